@@ -1,6 +1,6 @@
 """Imports every query module so the registry is filled."""
 
-from logsift.plans import q_evidence  # noqa: F401
+from logsift.plans import q_evidence, q_lines  # noqa: F401
 from logsift.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -66,3 +66,159 @@ v_rec AS (
 
 def with_views(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
+
+
+def _cents(c: str) -> str:
+    return f"CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR)"
+
+
+_LVL = ("CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' WHEN 'click' THEN 'debug' "
+        "WHEN 'purchase' THEN 'Info' ELSE 'info' END")
+
+V_RAW_LINE = f"""
+v_raw_line AS (
+  SELECT 'ns-' || CAST(user_id % 3 AS VARCHAR) AS namespace,
+         'pod-' || CAST(user_id % 10 AS VARCHAR) AS pod,
+         CASE WHEN event_id % 9 = 0 THEN 'previous' ELSE 'current' END AS instance,
+         event_id AS line_id, ts,
+         CASE WHEN event_id % 50 = 7 THEN ''
+              WHEN event_id % 50 = 11 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '123Z' || ' [1,2]'
+              WHEN event_id % 50 = 13 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '123Z' || ' {{"level": "ERROR", broken '
+              WHEN event_id % 4 = 3 THEN
+                '{{"severity":"' || {_LVL} || '","msg":"' || event_type || ' value=' || {_cents('value')} || ' user=' || CAST(user_id AS VARCHAR)
+                || '","service":"svc-' || CAST(event_id % 3 AS VARCHAR) || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z"}}'
+              ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '123Z' || ' ' ||
+                CASE event_id % 4
+                  WHEN 0 THEN '{{"@timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","level":"' || {_LVL}
+                    || '","message":"' || event_type || ' value=' || {_cents('value')} || ' user=' || CAST(user_id AS VARCHAR)
+                    || '","application_name":"svc-' || CAST(event_id % 3 AS VARCHAR) || '"}}'
+                  WHEN 1 THEN upper({_LVL}) || ' [main] ' || event_type || ' value=' || {_cents('value')} || ' user=' || CAST(user_id AS VARCHAR)
+                  ELSE 'processed ' || event_type || ' value=' || {_cents('value')} || ' user=' || CAST(user_id AS VARCHAR)
+                END
+         END AS line
+  FROM events)"""
+
+_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_KUB = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}))\s+"
+
+
+def _first_json(col: str, keys: list[str]) -> str:
+    parts = [f"nullif(json_extract_string({col}, '$.\"{k}\"'), '')" for k in keys]
+    return "coalesce(" + ", ".join(parts) + ")"
+
+
+def _is_obj(col: str) -> str:
+    guarded = f"CASE WHEN starts_with({col}, '{{') AND json_valid({col}) THEN {col} END"
+    return f"coalesce(json_type({guarded}) = 'OBJECT', false)"
+
+
+LEVEL_TOKEN = r"(?i)\b(CRITICAL|ERROR|WARNING|WARN|INFO|DEBUG|TRACE|FATAL|SEVERE)\b"
+
+V_PARSED = f"""
+p0 AS (
+  SELECT *, nullif(regexp_extract(line, '{_KUB}', 1), '') AS kts,
+         {_STRIP.format(x=f"regexp_replace(line, '{_KUB}', '')")} AS rest
+  FROM v_raw_line WHERE {_STRIP.format(x='line')} <> ''),
+p1a AS (
+  SELECT *, {_is_obj('rest')} AS was_json FROM p0),
+p1 AS (
+  SELECT *, CASE WHEN was_json THEN rest END AS j FROM p1a),
+p2 AS (
+  SELECT *,
+    coalesce({_norm_level(_first_json('j', ['level', 'severity', 'log_level', 'loglevel', 'lvl']))},
+             {_norm_level(f"nullif(regexp_extract(substr(rest, 1, 80), '{LEVEL_TOKEN}', 1), '')")}) AS lvl
+  FROM p1),
+v_parsed AS (
+  SELECT namespace, pod, instance, line_id, ts,
+    coalesce(kts, {_first_json('j', ['@timestamp', 'timestamp', 'time', 'ts'])}, '') AS timestamp,
+    coalesce(lvl, 'INFO') AS level,
+    CASE WHEN was_json THEN coalesce({_first_json('j', ['message', 'msg', 'log', 'text'])}, rest) ELSE rest END AS message,
+    CASE WHEN was_json THEN coalesce({_first_json('j', ['application_name', 'app', 'service', 'logger_name', 'service_name'])}, 'unknown-service')
+         ELSE 'unknown-service' END AS app_name,
+    lvl IS NOT NULL AS level_parsed, was_json
+  FROM p2)"""
+
+
+V_DUMP_LINE = """
+v_dump_line AS (
+  SELECT 'dump-' || CAST(user_id % 5 AS VARCHAR) || '.log' AS file,
+         CAST(trunc(event_id / 1000) AS BIGINT) AS chunk, event_id AS line_no,
+         CASE event_id % 6
+           WHEN 0 THEN '{"@timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00","message":"' || event_type
+                 || ' value=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || '","application_name":"App_'
+                 || CAST(event_id % 3 AS VARCHAR) || '","HOSTNAME":"Host-' || CAST(user_id % 4 AS VARCHAR) || '.Pod"}'
+           WHEN 1 THEN '"Jan 1, 2024 @ 00:00:00.000","{""timestamp"":""' || strftime(ts, '%Y-%m-%d %H:%M:%S')
+                 || '"",""msg"":""' || event_type || ' value=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)
+                 || '"",""app"":""App_' || CAST(event_id % 3 AS VARCHAR) || '""}"'
+           WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z ' || event_type || ' value=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)
+           WHEN 3 THEN '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+05:30], ' || event_type || ' value=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)
+           WHEN 4 THEN '  select x from t where id=' || CAST(event_id AS VARCHAR)
+           ELSE '   ' END AS line
+  FROM events)"""
+
+_RFC = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})"
+_LEAD = r"^\[?(" + _RFC + r")\]?[\s,]*"
+
+
+def _sanitise(x: str) -> str:
+    s = f"regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9.-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')"
+    return f"CASE WHEN {s} = '' THEN 'unknown' ELSE {s} END"
+
+
+def _first_json_nested(col: str, keys: list[str]) -> str:
+    parts = []
+    for k in keys:
+        v = f"json_extract_string({col}, '$.\"{k}\"')"
+        if "." in k:
+            v = f"coalesce({v}, json_extract_string({col}, '$.{k}'))"
+        parts.append(f"nullif({v}, '')")
+    return "coalesce(" + ", ".join(parts) + ")"
+
+
+def _norm_ts(x: str) -> str:
+    t = f"trim({x})"
+    parsed = f"TRY_CAST(regexp_replace({t}, 'Z$', '+00:00') AS TIMESTAMPTZ)"
+    iso = (f"CASE WHEN microsecond({parsed}) % 1000000 = 0 THEN strftime({parsed} AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') "
+           f"ELSE strftime({parsed} AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%f+00:00') END")
+    return (f"CASE WHEN coalesce({t}, '') = '' THEN '' WHEN regexp_full_match({t}, '{_RFC}') THEN {t} "
+            f"ELSE coalesce({iso}, '') END")
+
+
+V_DUMP = f"""
+d0 AS (
+  SELECT *, {_STRIP.format(x='line')} AS st FROM v_dump_line WHERE {_STRIP.format(x='line')} <> ''),
+d1 AS (
+  SELECT *, {_is_obj('st')} AS bare,
+         replace(regexp_extract(st, '(?s)"(\\{{.*\\}})"\\s*(?:,|$)', 1), '""', '"') AS cand FROM d0),
+d2 AS (
+  SELECT *, CASE WHEN bare THEN st WHEN NOT starts_with(st, '{{') AND {_is_obj('cand')} THEN cand END AS p,
+         nullif(regexp_extract(line, '{_KUB}', 1), '') AS kub,
+         nullif(regexp_extract(line, '{_LEAD}', 1), '') AS lead FROM d1),
+d3 AS (
+  SELECT file, chunk, line_no,
+    CASE WHEN p IS NOT NULL THEN 'json' WHEN kub IS NOT NULL THEN 'kubelet'
+         WHEN lead IS NOT NULL THEN 'plain-dated' ELSE 'plain' END AS format,
+    nullif(CASE WHEN p IS NOT NULL THEN {_norm_ts(_first_json_nested('p', ['@timestamp', 'timestamp', 'time', 'ts']))}
+         WHEN kub IS NOT NULL THEN kub WHEN lead IS NOT NULL THEN lead ELSE '' END, '') AS ts_raw,
+    nullif(trim({_first_json_nested('p', ['HOSTNAME', 'hostname', 'kubernetes.pod_name', 'pod_name', 'host'])}), '') AS pod_raw,
+    nullif(trim({_first_json_nested('p', ['application_name', 'app', 'service', 'service_name'])}), '') AS app_raw,
+    CASE WHEN p IS NOT NULL THEN p WHEN kub IS NOT NULL THEN regexp_replace(line, '{_KUB}', '')
+         WHEN lead IS NOT NULL THEN regexp_replace(line, '{_LEAD}', '') ELSE line END AS body
+  FROM d2),
+d4 AS (
+  SELECT *, last_value(ts_raw IGNORE NULLS) OVER (PARTITION BY file ORDER BY chunk, line_no
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ts_f FROM d3),
+d5 AS (
+  SELECT *, CASE WHEN pod_raw IS NOT NULL THEN {_sanitise('pod_raw')} END AS pod_s,
+            CASE WHEN app_raw IS NOT NULL THEN {_sanitise('app_raw')} END AS app_s
+  FROM d4 WHERE ts_f IS NOT NULL),
+d6 AS (
+  SELECT *, last_value(pod_s IGNORE NULLS) OVER w AS pod_f, last_value(app_s IGNORE NULLS) OVER w AS app_f
+  FROM d5 WINDOW w AS (PARTITION BY file ORDER BY chunk, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d7 AS (
+  SELECT *, first_value(app_f) OVER (PARTITION BY file ORDER BY chunk, line_no) AS first_app FROM d6),
+v_dump AS (
+  SELECT file, chunk, line_no, format, ts_f AS timestamp,
+         coalesce(pod_f, {_sanitise("coalesce(first_app, 'unknown-service') || '-offline-0'")}) AS pod,
+         coalesce(app_f, 'unknown-service') AS app, body, ts_f || ' ' || body AS out_line
+  FROM d7)"""

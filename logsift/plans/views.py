@@ -51,3 +51,61 @@ def v_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("event_type"), F.lit(" value="), _cents(F.col("value")),
                  F.lit(" k="), F.get_json_object("props", "$.k"), suffix).alias("message"),
     )
+
+
+def _level_word(et):
+    return (F.when(et == "error", "ERROR").when(et == "signup", "WARNING").when(et == "click", "debug")
+            .when(et == "purchase", "Info").otherwise("info"))
+
+
+def v_raw_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pod-log lines: kubelet prefix + JSON / plain / level-less text."""
+    ev = table(spark, sf_dir, "events")
+    eid, et = F.col("event_id"), F.col("event_type")
+    tsu = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    kts = F.concat(tsu, F.lit("123Z"))
+    msg = F.concat(et, F.lit(" value="), _cents(F.col("value")), F.lit(" user="), F.col("user_id").cast("string"))
+    app = F.concat(F.lit("svc-"), (eid % 3).cast("string"))
+    lvl = _level_word(et)
+    m4 = eid % 4
+    body = (F.when(m4 == 0, F.concat(F.lit('{"@timestamp":"'), tsu, F.lit('Z","level":"'), lvl,
+                                     F.lit('","message":"'), msg, F.lit('","application_name":"'), app, F.lit('"}')))
+            .when(m4 == 1, F.concat(F.upper(lvl), F.lit(" [main] "), msg))
+            .when(m4 == 2, F.concat(F.lit("processed "), msg))
+            .otherwise(F.concat(F.lit('{"severity":"'), lvl, F.lit('","msg":"'), msg, F.lit('","service":"'), app,
+                                F.lit('","ts":"'), tsu, F.lit('Z"}'))))
+    m50 = eid % 50
+    line = (F.when(m50 == 7, F.lit(""))
+            .when(m50 == 11, F.concat(kts, F.lit(" [1,2]")))
+            .when(m50 == 13, F.concat(kts, F.lit(' {"level": "ERROR", broken ')))
+            .when(m4 == 3, body)
+            .otherwise(F.concat(kts, F.lit(" "), body)))
+    return ev.select(
+        F.concat(F.lit("ns-"), (F.col("user_id") % 3).cast("string")).alias("namespace"),
+        F.concat(F.lit("pod-"), (F.col("user_id") % 10).cast("string")).alias("pod"),
+        F.when(eid % 9 == 0, "previous").otherwise("current").alias("instance"),
+        eid.alias("line_id"), F.col("ts"), line.alias("line"))
+
+
+def v_dump_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixed-format dump: one file per 5 users, lines in event order."""
+    ev = table(spark, sf_dir, "events")
+    eid, et = F.col("event_id"), F.col("event_type")
+    tsu = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    msg = F.concat(et, F.lit(" value="), _cents(F.col("value")))
+    host = F.concat(F.lit("Host-"), (F.col("user_id") % 4).cast("string"), F.lit(".Pod"))
+    app = F.concat(F.lit("App_"), (eid % 3).cast("string"))
+    m6 = eid % 6
+    line = (F.when(m6 == 0, F.concat(F.lit('{"@timestamp":"'), tsu, F.lit('+00:00","message":"'), msg,
+                                     F.lit('","application_name":"'), app, F.lit('","HOSTNAME":"'), host, F.lit('"}')))
+            .when(m6 == 1, F.concat(F.lit('"Jan 1, 2024 @ 00:00:00.000","{""timestamp"":""'),
+                                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit('"",""msg"":""'), msg,
+                                    F.lit('"",""app"":""'), app, F.lit('""}"')))
+            .when(m6 == 2, F.concat(tsu, F.lit("Z "), msg))
+            .when(m6 == 3, F.concat(F.lit("["), tsu, F.lit("+05:30], "), msg))
+            .when(m6 == 4, F.concat(F.lit("  select x from t where id="), eid.cast("string")))
+            .otherwise(F.lit("   ")))
+    return ev.select(
+        F.concat(F.lit("dump-"), (F.col("user_id") % 5).cast("string"), F.lit(".log")).alias("file"),
+        (eid / 1000).cast("bigint").alias("chunk"),
+        eid.alias("line_no"), line.alias("line"))

@@ -222,3 +222,202 @@ v_dump AS (
          coalesce(pod_f, {_sanitise("coalesce(first_app, 'unknown-service') || '-offline-0'")}) AS pod,
          coalesce(app_f, 'unknown-service') AS app, body, ts_f || ' ' || body AS out_line
   FROM d7)"""
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def v_deadletter_sql() -> str:
+    from logsift.plans.dlt_fixture import TRACES, TYPE_A, TYPE_B
+    traces = ", ".join(f"({i}, {_sql_str(t)})" for i, t in enumerate(TRACES))
+    return f"""
+dl_traces(i, t) AS (VALUES {traces}),
+dl0 AS (
+  SELECT e.*, epoch_us(ts) // 1000 AS ms,
+         substr(md5('ref' || CAST(user_id AS VARCHAR)), 1, 24) AS ref,
+         substr(md5('other' || CAST(event_id AS VARCHAR)), 1, 24) AS other,
+         replace(t.t, '{{n}}', CAST(event_id % 97 + 1 AS VARCHAR)) AS trace
+  FROM events e JOIN dl_traces t ON t.i = e.event_id % 8),
+v_deadletter AS (
+  SELECT 'enrolment.requests.dlt' AS dlt_topic, CAST(event_id % 4 AS INTEGER) AS dlt_partition,
+         event_id AS dlt_offset, ts AS dlt_timestamp, ts, user_id, event_id,
+         CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'bad key!' ELSE ref END AS key,
+         CASE WHEN event_id % 23 <> 0 THEN
+              CASE WHEN event_id % 97 = 0 THEN 'enrolment/' || repeat('very-long-topic-', 10) ELSE 'enrolment.requests' END
+         END AS h_topic,
+         CASE WHEN event_id % 23 <> 0 THEN ' ' || CAST(event_id % 6 AS VARCHAR) || ' ' END AS h_partition,
+         CASE WHEN event_id % 23 <> 0 THEN CAST(event_id * 10 AS VARCHAR) END AS h_offset,
+         CASE WHEN event_id % 19 = 0 THEN 'garbage' ELSE CAST(ms - 154800000 AS VARCHAR) END AS h_orig_ts,
+         'grp-' || CAST(event_id % 2 AS VARCHAR) AS h_group,
+         'org.springframework.kafka.listener.ListenerExecutionFailedException' AS h_fqcn,
+         'java.lang.RuntimeException' AS h_cause,
+         CASE WHEN event_id % 8 = 6 THEN '[SCORE_THRESHOLD_BREACH] score below threshold'
+              WHEN event_id % 8 = 5 THEN 'Listener failed; nested [PACKET_STATUS_INVALID]'
+              ELSE 'Listener failed' END AS h_msg,
+         CASE WHEN event_id % 8 <> 6 THEN trace END AS h_trace,
+         '3' AS h_attempts,
+         hex(ms - 154800000) AS h_retry_orig,
+         CASE WHEN event_id % 7 <> 0 THEN hex(ms) END AS h_backoff,
+         CASE WHEN event_id % 2 = 0 THEN {_sql_str(TYPE_A)} ELSE {_sql_str(TYPE_B)} END AS h_type,
+         CASE WHEN event_id % 13 = 0 THEN 'not json {{'
+              WHEN event_id % 2 = 0 THEN '{{"event_id":"' || md5(CAST(event_id AS VARCHAR)) || '","response":{{"refId":"'
+                 || CASE WHEN event_id % 11 = 0 THEN other ELSE ref END || '","requestId":"req-' || CAST(event_id AS VARCHAR)
+                 || '","results":{{"referenceId":"' || CASE WHEN event_id % 11 = 0 THEN other ELSE ref END
+                 || '","matches":[{{"engine":"E' || CAST(event_id % 3 AS VARCHAR) || '","candidates":[{{"candidateRefId":"c'
+                 || CAST(event_id AS VARCHAR) || '","score":' || CAST(event_id % 100 AS VARCHAR) || '}}]}}]}}}}}}'
+              ELSE '{{"eventId":"' || md5(CAST(event_id AS VARCHAR)) || '","data":{{"meta":{{"refId":"'
+                 || CASE WHEN event_id % 11 = 0 THEN other ELSE ref END || '","flag":true}}}},"items":[{{"ref_id":"zz'
+                 || CAST(event_id AS VARCHAR) || '"}}]}}'
+         END AS payload
+  FROM dl0)"""
+
+
+def _dec_epoch(x: str) -> str:
+    s = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    dec = f"CASE WHEN regexp_full_match({s}, '\\d{{1,18}}') THEN CAST({s} AS BIGINT) END"
+    hx = (f"CASE WHEN regexp_full_match({s}, '[0-9A-Fa-f]{{1,15}}') THEN "
+          f"CAST(('0x' || {s}) AS BIGINT) END")
+    ok = "CASE WHEN {v} BETWEEN 946684800000 AND 4102444800000 THEN {v} END"
+    return f"coalesce({ok.format(v=dec)}, {ok.format(v=hx)})"
+
+
+def _as_str(x: str) -> str:
+    return f"nullif(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '')"
+
+
+def _as_int(x: str) -> str:
+    s = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"CASE WHEN regexp_full_match({s}, '[+-]?\\d{{1,18}}') THEN CAST({s} AS BIGINT) END"
+
+
+def _case_id(topic: str, part: str, off: str) -> str:
+    clean = f"regexp_replace({topic}, '[^A-Za-z0-9_.:-]', '-', 'g')"
+    suffix = f"('-' || CAST({part} AS VARCHAR) || '-' || CAST({off} AS VARCHAR))"
+    plain = f"('dlt-' || {clean} || {suffix})"
+    room = f"greatest(0, 113 - length({suffix}))"
+    cut = f"('dlt-' || substr({clean}, 1, {room}) || '-' || substr(sha256({topic}), 1, 10) || {suffix})"
+    cid = f"(CASE WHEN length({plain}) > 128 THEN {cut} ELSE {plain} END)"
+    return (f"CASE WHEN {topic} IS NOT NULL AND {part} IS NOT NULL AND {off} IS NOT NULL "
+            f"AND regexp_full_match({cid}, '[A-Za-z0-9_.:-]{{1,128}}') THEN {cid} END")
+
+
+def v_dlt_headers_sql() -> str:
+    return f"""
+dh0 AS (
+  SELECT *, {_as_str('h_topic')} AS original_topic, {_as_int('h_partition')} AS original_partition,
+         {_as_int('h_offset')} AS original_offset, {_dec_epoch('h_orig_ts')} AS original_timestamp_ms,
+         {_as_str('h_group')} AS consumer_group, {_as_str('h_fqcn')} AS exception_fqcn,
+         {_as_str('h_cause')} AS exception_cause_fqcn, {_as_str('h_msg')} AS exception_message,
+         {_as_str('h_trace')} AS stacktrace, {_as_int('h_attempts')} AS attempts,
+         {_dec_epoch('h_retry_orig')} AS retry_original_timestamp_ms, {_dec_epoch('h_backoff')} AS backoff_timestamp_ms,
+         {_as_str('h_type')} AS type_id
+  FROM v_deadletter),
+v_dlt AS (
+  SELECT *, coalesce(backoff_timestamp_ms, original_timestamp_ms) AS last_attempt_ms,
+         backoff_timestamp_ms IS NULL AS anchor_is_fallback,
+         coalesce({_case_id('original_topic', 'original_partition', 'original_offset')},
+                  {_case_id('dlt_topic', 'dlt_partition', 'dlt_offset')}) AS case_id,
+         CASE WHEN regexp_full_match({_as_str('key')}, '[A-Za-z0-9][A-Za-z0-9_.:-]{{7,127}}') THEN {_as_str('key')} END AS key_ref_id
+  FROM dh0)"""
+
+
+_FR = r"^\s*at\s+([^\s(]+)(?:\((.*)\))?\s*$"
+_EL = r"^\s*\.\.\.\s+(\d+)\s+more\s*$"
+_FQ = r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*$"
+_SYN = (r"\$\$(?:SpringCGLIB|EnhancerBySpringCGLIB|FastClassBySpringCGLIB|Lambda)"
+        r"|GeneratedMethodAccessor\d+|GeneratedConstructorAccessor\d+|\$Proxy\d+")
+_CODE = r"\[([A-Z][A-Z0-9_]{2,})\]"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def v_failures_sql(app_prefix: str = "com.example.app.", boiler: str = "com.example.app.common.ErrorFactory") -> str:
+    from logsift.operators.deadletter import CLASS_BY_CATEGORY, DEFAULT_CLASS_MAP
+    from logsift.plans.dlt_fixture import REASON_CODES
+    cmap = ", ".join(f"({_sql_str(k)}, {_sql_str(v)})" for k, v in sorted(DEFAULT_CLASS_MAP.items()))
+    rc = ", ".join("(" + ", ".join(_sql_str(x) for x in row) + ")" for row in REASON_CODES)
+    by_cat = " ".join(f"WHEN {_sql_str(k)} THEN {_sql_str(v)}" for k, v in CLASS_BY_CATEGORY.items())
+    return f"""
+class_map(prefix, mapped_class) AS (VALUES {cmap}),
+rc(code, description, category, category_source, failure_class, stage, section, numeric_id) AS (VALUES {rc}),
+rc_cls AS (
+  SELECT *, CASE WHEN upper(trim(failure_class)) IN ('A', 'C') THEN upper(trim(failure_class))
+                 ELSE coalesce(CASE upper(trim(category)) {by_cat} END, '') END AS catalog_class FROM rc),
+f0 AS (
+  SELECT *, stacktrace IS NULL OR {_strip_sql('stacktrace')} = '' AS blank,
+         string_split(stacktrace, chr(10) || 'Caused by: ') AS blocks FROM v_dlt),
+f1 AS (
+  SELECT *, CASE WHEN blank THEN 0 ELSE len(blocks) END AS chain_depth,
+         string_split(blocks[-1], chr(10)) AS lines FROM f0),
+f2 AS (
+  SELECT *, list_position(list_transform(lines, lambda l: regexp_matches(l, '{_FR}') OR regexp_matches(l, '{_EL}')), true) AS fi,
+         list_transform(list_filter(lines, lambda l: regexp_matches(l, '{_FR}')),
+                        lambda l: regexp_replace(regexp_extract(l, '{_FR}', 1), '^[^/]*/', '')) AS raw_frames,
+         list_filter(lines, lambda l: regexp_matches(l, '{_EL}')) AS el_lines FROM f1),
+f3 AS (
+  SELECT *, {_strip_sql("array_to_string(CASE WHEN fi IS NULL THEN lines ELSE lines[1:fi - 1] END, chr(10))")} AS hdr FROM f2),
+f4 AS (
+  SELECT *, instr(hdr, ': ') AS pos FROM f3),
+f5 AS (
+  SELECT *, CASE WHEN pos > 0 THEN substr(hdr, 1, pos - 1) ELSE hdr END AS cand,
+            CASE WHEN pos > 0 THEN {_strip_sql('substr(hdr, pos + 2)')} ELSE '' END AS rest FROM f4),
+f6 AS (
+  SELECT *,
+    CASE WHEN blank THEN NULL WHEN regexp_full_match(cand, '{_FQ}') AND hdr <> '' THEN cand ELSE '' END AS root_fqcn,
+    CASE WHEN blank THEN '' WHEN regexp_full_match(cand, '{_FQ}') AND hdr <> '' THEN rest ELSE hdr END AS root_message,
+    blank OR (len(raw_frames) = 0 AND len(el_lines) = 0) AS truncated,
+    CASE WHEN blank THEN [] ELSE list_filter(raw_frames, lambda f: f <> '' AND starts_with(f, '{app_prefix}')
+         AND NOT regexp_matches(f, '{_SYN}') AND NOT starts_with(f, '{boiler}')) END AS frames
+  FROM f5),
+f_map AS (
+  SELECT root_fqcn, arg_max(mapped_class, length(prefix)) AS mapped_class
+  FROM (SELECT DISTINCT root_fqcn FROM f6 WHERE root_fqcn <> '') d JOIN class_map ON starts_with(d.root_fqcn, prefix)
+  GROUP BY root_fqcn),
+f7 AS (
+  SELECT f6.*, m.mapped_class,
+    coalesce(root_fqcn, '') = '' AS no_root,
+    (ends_with(coalesce(root_fqcn, ''), 'BusinessException') AND coalesce(root_fqcn, '') <> '') AS biz,
+    nullif(regexp_extract(coalesce(exception_message, ''), '{_CODE}', 1), '') AS hdr_code,
+    coalesce(nullif(regexp_extract(root_message, '{_CODE}', 1), ''),
+             nullif(regexp_extract(coalesce(exception_message, ''), '{_CODE}', 1), '')) AS both_code
+  FROM f6 LEFT JOIN f_map m USING (root_fqcn)),
+f8 AS (
+  SELECT *, CASE WHEN no_root THEN hdr_code WHEN biz OR mapped_class = 'A' THEN both_code END AS code,
+            CASE WHEN no_root THEN hdr_code ELSE both_code END AS code_cand FROM f7),
+f9 AS (
+  SELECT f8.*, r.catalog_class, r.description, r.category, r.category_source, r.stage,
+    coalesce(r.catalog_class, '') = 'C' AS cat_c
+  FROM f8 LEFT JOIN rc_cls r ON r.code = f8.code_cand),
+f10 AS (
+  SELECT *,
+    CASE WHEN no_root AND code IS NOT NULL AND cat_c THEN 'C' WHEN no_root AND code IS NOT NULL THEN 'A'
+         WHEN no_root THEN 'U' WHEN biz AND code IS NOT NULL AND cat_c THEN 'C' WHEN biz THEN 'A'
+         WHEN mapped_class = 'B' THEN 'B' WHEN mapped_class = 'C' THEN 'C' WHEN mapped_class = 'A' THEN 'A'
+         ELSE 'U' END AS failure_class,
+    CASE WHEN no_root AND code IS NOT NULL AND cat_c THEN 'stacktrace unparseable; code ' || code || ' recovered from the kafka_exception-message header and declared a technical fault by the reason-code catalog'
+         WHEN no_root AND code IS NOT NULL THEN 'stacktrace unparseable; business code recovered from the kafka_exception-message header'
+         WHEN no_root THEN 'stacktrace absent or unparseable'
+         WHEN biz AND code IS NOT NULL AND cat_c THEN 'raised as a business exception, but the reason-code catalog declares ' || code || ' a technical fault'
+         WHEN biz AND code IS NOT NULL THEN 'business exception carrying code ' || code
+         WHEN biz THEN 'business exception with no enumerated code in its message'
+         WHEN mapped_class = 'B' THEN 'code defect; no source access, so it is routed to the development team undiagnosed'
+         WHEN mapped_class = 'C' THEN 'technical or transient fault'
+         WHEN mapped_class = 'A' THEN 'mapped to business class by DLT_CLASS_MAP'
+         ELSE 'unrecognised root exception ' || coalesce(root_fqcn, '') || '; add it to DLT_CLASS_MAP once its treatment is known' END AS class_reason
+  FROM f9),
+v_failures AS (
+  SELECT *, CASE WHEN failure_class IN ('A', 'C') THEN code END AS business_code,
+    CASE WHEN failure_class IN ('A', 'C') AND code IS NOT NULL AND code = code_cand THEN description END AS registry_description,
+    CASE WHEN failure_class IN ('A', 'C') AND code IS NOT NULL AND code = code_cand THEN category END AS registry_category,
+    CASE WHEN failure_class IN ('A', 'C') AND code IS NOT NULL AND code = code_cand THEN category_source END AS registry_category_source,
+    CASE WHEN failure_class IN ('A', 'C') AND code IS NOT NULL AND code = code_cand THEN stage END AS registry_stage,
+    sha256({_strip_sql("coalesce(root_fqcn, '')")} || '|' || {_strip_sql("coalesce(CASE WHEN failure_class IN ('A', 'C') THEN code END, '')")}
+           || '|' || array_to_string(frames[1:5], chr(10))) AS fingerprint,
+    CASE WHEN coalesce(root_fqcn, '') = '' THEN 'UnknownException' ELSE regexp_extract(root_fqcn, '([^.]*)$', 1) END
+      || CASE WHEN coalesce(CASE WHEN failure_class IN ('A', 'C') THEN code END, '') <> ''
+              THEN '[' || code || ']' ELSE '' END
+      || CASE WHEN len(frames) > 0 THEN ' @ ' || regexp_extract(frames[1], '([^.]*\\.[^.]*)$', 1) ELSE '' END AS signature
+  FROM f10)"""

@@ -109,3 +109,64 @@ def v_dump_line(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("dump-"), (F.col("user_id") % 5).cast("string"), F.lit(".log")).alias("file"),
         (eid / 1000).cast("bigint").alias("chunk"),
         eid.alias("line_no"), line.alias("line"))
+
+
+def v_deadletter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead-lettered records: header map, key, payload text, one per event."""
+    from logsift.plans.dlt_fixture import TRACES, TYPE_A, TYPE_B
+    ev = table(spark, sf_dir, "events")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    m8 = eid % 8
+    trace = F.element_at(F.array(*[F.lit(t) for t in TRACES]), (m8 + 1).cast("int"))
+    trace = F.replace(trace, F.lit("{n}"), (eid % 97 + 1).cast("string"))
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    orig_ms = ms - F.lit(43 * 3600 * 1000)
+    ref = F.substring(F.md5(F.concat(F.lit("ref"), uid.cast("string"))), 1, 24)
+    other = F.substring(F.md5(F.concat(F.lit("other"), eid.cast("string"))), 1, 24)
+    pay_ref = F.when(eid % 11 == 0, other).otherwise(ref)
+    topic = F.when(eid % 97 == 0, F.concat(F.lit("enrolment/"), F.repeat(F.lit("very-long-topic-"), 10)))\
+        .otherwise(F.lit("enrolment.requests"))
+    msg = (F.when(m8 == 6, F.lit("[SCORE_THRESHOLD_BREACH] score below threshold"))
+           .when(m8 == 5, F.lit("Listener failed; nested [PACKET_STATUS_INVALID]"))
+           .otherwise(F.lit("Listener failed")))
+    type_id = F.when(eid % 2 == 0, F.lit(TYPE_A)).otherwise(F.lit(TYPE_B))
+    entries = [
+        ("kafka_original-topic", F.when(eid % 23 != 0, topic)),
+        ("kafka_original-partition", F.when(eid % 23 != 0, F.concat(F.lit(" "), (eid % 6).cast("string"), F.lit(" ")))),
+        ("kafka_original-offset", F.when(eid % 23 != 0, (eid * 10).cast("string"))),
+        ("kafka_original-timestamp", F.when(eid % 19 == 0, F.lit("garbage")).otherwise(orig_ms.cast("string"))),
+        ("kafka_dlt-original-consumer-group", F.concat(F.lit("grp-"), (eid % 2).cast("string"))),
+        ("kafka_exception-fqcn", F.lit("org.springframework.kafka.listener.ListenerExecutionFailedException")),
+        ("kafka_exception-cause-fqcn", F.lit("java.lang.RuntimeException")),
+        ("kafka_exception-message", msg),
+        ("kafka_exception-stacktrace", F.when(m8 != 6, trace)),
+        ("retry_topic-attempts", F.lit("3")),
+        ("retry_topic-original-timestamp", F.hex(orig_ms)),
+        ("retry_topic-backoff-timestamp", F.when(eid % 7 != 0, F.hex(ms))),
+        ("__TypeId__", type_id),
+    ]
+    hdr = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value"))
+                                               for k, v in entries]), lambda e: e["value"].isNotNull()))
+    payload_a = F.concat(F.lit('{"event_id":"'), F.md5(eid.cast("string")), F.lit('","response":{"refId":"'), pay_ref,
+                         F.lit('","requestId":"req-'), eid.cast("string"),
+                         F.lit('","results":{"referenceId":"'), pay_ref, F.lit('","matches":[{"engine":"E'),
+                         (eid % 3).cast("string"), F.lit('","candidates":[{"candidateRefId":"c'), eid.cast("string"),
+                         F.lit('","score":'), (eid % 100).cast("string"), F.lit('}]}]}}}'))
+    payload_b = F.concat(F.lit('{"eventId":"'), F.md5(eid.cast("string")), F.lit('","data":{"meta":{"refId":"'),
+                         pay_ref, F.lit('","flag":true}},"items":[{"ref_id":"zz'), eid.cast("string"), F.lit('"}]}'))
+    payload = (F.when(eid % 13 == 0, F.lit("not json {"))
+               .when(eid % 2 == 0, payload_a).otherwise(payload_b))
+    key = (F.when(eid % 5 == 0, F.lit(None).cast("string"))
+           .when(eid % 5 == 1, F.lit("bad key!"))
+           .otherwise(ref))
+    return ev.select(
+        F.lit("enrolment.requests.dlt").alias("dlt_topic"), (eid % 4).cast("int").alias("dlt_partition"),
+        eid.alias("dlt_offset"), F.col("ts").alias("dlt_timestamp"), key.alias("key"),
+        hdr.alias("headers"), payload.alias("payload"), F.col("ts"), uid.alias("user_id"), eid.alias("event_id"))
+
+
+def reason_codes(spark: SparkSession) -> DataFrame:
+    from logsift.plans.dlt_fixture import REASON_CODES
+    return spark.createDataFrame(REASON_CODES, "code string, description string, category string, "
+                                 "category_source string, failure_class string, stage string, section string, "
+                                 "numeric_id string")

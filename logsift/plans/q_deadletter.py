@@ -37,7 +37,7 @@ FAILURE_COLS = ["case_id", "failure_class", "class_reason", "root_fqcn", "root_m
 
 def dlt_failures_df(spark, sf_dir):
     recs = dlt_records(spark, sf_dir)
-    return D.build_failures(recs, reason_codes(spark), D.class_map_frame(spark), packages=APP_PACKAGES,
+    return D.build_failures(recs, reason_codes(spark), packages=APP_PACKAGES,
                             boilerplate=BOILERPLATE)
 
 

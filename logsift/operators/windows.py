@@ -56,3 +56,33 @@ def chunked_running_sum(df: DataFrame, value: str, group: Sequence[str] | str, c
     if not inclusive:
         total = total - F.col(value)
     return res.withColumn(out, total).drop("_rs_local", "_rs_in")
+
+
+def kth_smallest(values: DataFrame, col: str, k: DataFrame, k_col: str = "k", buckets: int = 256,
+                 accuracy: int = 10000) -> DataFrame:
+    """Exact k-th smallest value (0-based) of ``col``, as a one-row frame.
+
+    Scalable selection without a global sort or an unpartitioned window over
+    rows: values are first counted per distinct value (partial aggregation),
+    the distinct values are cut into ~``buckets`` ranges by approximate
+    quantiles, bucket totals (a few hundred rows) locate the bucket holding
+    rank k, and only that bucket's distinct values are ranked exactly.
+    ``k`` is a one-row frame holding the wanted rank.
+    """
+    from pyspark.sql import Window
+    per_value = values.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
+    probs = [i / buckets for i in range(1, buckets)]
+    splits = per_value.agg(F.percentile_approx(col, probs, accuracy).alias("_splits"))
+    with_b = (per_value.crossJoin(F.broadcast(splits))
+              .withColumn("_b", F.size(F.filter("_splits", lambda s: s < F.col(col)))).drop("_splits"))
+    tot = with_b.groupBy("_b").agg(F.sum("_cnt").alias("_bt"))
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= `buckets` rows
+    offs = tot.withColumn("_before", F.coalesce(F.sum("_bt").over(w), F.lit(0)))
+    target = (offs.crossJoin(F.broadcast(k.select(F.col(k_col).alias("_k"))))
+              .where((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_bt")))
+              .select("_b", "_before", "_k"))
+    inb = with_b.join(F.broadcast(target), "_b")
+    wr = Window.partitionBy("_b").orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inb.withColumn("_upto", F.col("_before") + F.sum("_cnt").over(wr))
+    return ranked.where((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_cnt") <= F.col("_k"))) \
+        .select(F.col(col).alias("value"))

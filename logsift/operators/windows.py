@@ -24,34 +24,44 @@ def chunked_ffill(df: DataFrame, cols: Sequence[str], group: Sequence[str] | str
                   order: Sequence[str] | str, suffix: str = "") -> DataFrame:
     """Replace NULLs in ``cols`` by the last non-null value earlier in the
     group (ordered by ``chunk`` then ``order``).  Output columns are named
-    ``col + suffix`` (in place when suffix is empty)."""
+    ``col + suffix`` (in place when suffix is empty).
+
+    One shuffle on (group, chunk): the in-chunk carry and the chunk's tail
+    value are windows over the same partitioning, and the per-chunk tails
+    (one row per chunk) carry across chunks with a window over chunks only.
+    """
     group, order, cols = _as_list(group), _as_list(order), list(cols)
-    w_local = (Window.partitionBy(*group, chunk).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    okey = F.struct(*[F.col(c) for c in order])
-    local = df.withColumns({f"_lf_{c}": F.last(F.col(c), ignorenulls=True).over(w_local) for c in cols})
-    tails = df.groupBy(*group, chunk).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"_tail_{c}") for c in cols])
-    w_prev = (Window.partitionBy(*group).orderBy(chunk)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = tails.select(*group, chunk, *[F.last(F.col(f"_tail_{c}"), ignorenulls=True).over(w_prev)
-                                          .alias(f"_in_{c}") for c in cols])
-    out = local.join(carry, [*group, chunk], "left")
+    w_part = Window.partitionBy(*group, chunk)
+    w_local = w_part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_all = w_part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    win = df.withColumns({
+        **{f"_lf_{c}": F.last(F.col(c), ignorenulls=True).over(w_local) for c in cols},
+        **{f"_tail_{c}": F.last(F.col(c), ignorenulls=True).over(w_all) for c in cols},
+        "_rn_chunk": F.row_number().over(w_part.orderBy(*order)),
+    })
+    w_prev = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (win.where(F.col("_rn_chunk") == 1)
+             .select(*group, chunk, *[F.last(F.col(f"_tail_{c}"), ignorenulls=True).over(w_prev).alias(f"_in_{c}")
+                                      for c in cols]))
+    out = win.drop(*[f"_tail_{c}" for c in cols], "_rn_chunk").join(carry, [*group, chunk], "left")
     return (out.withColumns({c + suffix: F.coalesce(F.col(f"_lf_{c}"), F.col(f"_in_{c}")) for c in cols})
             .drop(*[f"_lf_{c}" for c in cols], *[f"_in_{c}" for c in cols]))
 
 
 def chunked_running_sum(df: DataFrame, value: str, group: Sequence[str] | str, chunk: str,
                         order: Sequence[str] | str, out: str = "running", inclusive: bool = True) -> DataFrame:
-    """Running total of ``value`` within the group, in (chunk, order) order."""
+    """Running total of ``value`` within the group, in (chunk, order) order.
+    Same single-shuffle shape as :func:`chunked_ffill`."""
     group, order = _as_list(group), _as_list(order)
-    w_local = (Window.partitionBy(*group, chunk).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = df.withColumn("_rs_local", F.sum(F.col(value)).over(w_local))
-    tot = df.groupBy(*group, chunk).agg(F.sum(F.col(value)).alias("_rs_tot"))
+    w_part = Window.partitionBy(*group, chunk)
+    w_local = w_part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    win = df.withColumns({"_rs_local": F.sum(F.col(value)).over(w_local),
+                          "_rs_tot": F.sum(F.col(value)).over(w_part),
+                          "_rn_chunk": F.row_number().over(w_part.orderBy(*order))})
     w_prev = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select(*group, chunk, F.coalesce(F.sum("_rs_tot").over(w_prev), F.lit(0)).alias("_rs_in"))
-    res = local.join(carry, [*group, chunk], "left")
+    carry = (win.where(F.col("_rn_chunk") == 1)
+             .select(*group, chunk, F.coalesce(F.sum("_rs_tot").over(w_prev), F.lit(0)).alias("_rs_in")))
+    res = win.drop("_rs_tot", "_rn_chunk").join(carry, [*group, chunk], "left")
     total = F.col("_rs_in") + F.col("_rs_local")
     if not inclusive:
         total = total - F.col(value)

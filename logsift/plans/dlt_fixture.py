@@ -69,3 +69,15 @@ REASON_CODES = [
     ("PACKET_STATUS_INVALID", "Packet status invalid", "BUSINESS_VALIDATION_ERROR", "inferred", "", "STATUS", "status", "2203"),
     ("SCORE_THRESHOLD_BREACH", "Score threshold breached", "", "", "A", "MATCH", "match", "2305"),
 ]
+
+# What a case's own log lines say about its failure (indexed like TRACES).
+DECLARED_IN_LOGS = [
+    "com.example.app.common.BusinessException: [REF_DATA_NOT_FOUND] missing",
+    "publish error [KAFKA_PUBLISH_FAILED]",
+    "NullPointerException at Strings.len",
+    "javax.net.ssl.SSLHandshakeException: handshake",
+    "WeirdFailure seen",
+    "status check [PACKET_STATUS_INVALID]",
+    "score [SCORE_THRESHOLD_BREACH]",
+    "nothing named here",
+]

@@ -208,3 +208,21 @@ def dlt_refid_paths(spark, sf_dir):
     in an Arrow-batched UDF; the oracle lists the fixture's known paths)."""
     from logsift.operators.corpus import refid_path_frequency
     return refid_path_frequency(v_deadletter(spark, sf_dir))
+
+
+ANALYSIS_NOW = "2024-02-01 00:00:00"
+ANALYSIS_MAX_AGE = 40 * 86400
+
+
+def dlt_cases_df(spark, sf_dir, now=ANALYSIS_NOW, max_age=ANALYSIS_MAX_AGE):
+    df = D.log_window(dlt_full_df(spark, sf_dir), F.lit(now).cast("timestamp"), max_age_seconds=max_age)
+    return df.withColumn("gaps_list", D.evidence_gaps(F.col("ref_id_mismatch"), F.col("ref_id"),
+                                                      F.col("last_attempt_ms"), F.col("too_old")))
+
+
+def dlt_analysis_df(spark, sf_dir):
+    from logsift.operators.analysis import analyse_cases
+    from logsift.plans.views import v_agent, v_case_log
+    agent = v_agent(spark, sf_dir).join(dlt_records(spark, sf_dir).select("event_id", "case_id"), "event_id") \
+        .drop("event_id")
+    return analyse_cases(dlt_cases_df(spark, sf_dir), v_case_log(spark, sf_dir), agent)

@@ -171,3 +171,37 @@ def reason_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REASON_CODES, "code string, description string, category string, "
                                  "category_source string, failure_class string, stage string, section string, "
                                  "numeric_id string")
+
+
+def v_case_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0-6 service log lines around each dead-lettered record's last attempt,
+    keyed by the record's correlation id; some name the declared failure,
+    some another exception."""
+    from logsift.plans.dlt_fixture import DECLARED_IN_LOGS
+    ev = table(spark, sf_dir, "events")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    ref = F.substring(F.md5(F.concat(F.lit("ref"), uid.cast("string"))), 1, 24)
+    j = F.col("j")
+    k = (eid + j) % 5
+    decl = F.element_at(F.array(*[F.lit(t) for t in DECLARED_IN_LOGS]), ((eid % 8) + 1).cast("int"))
+    text = (F.when(k == 0, F.concat(F.lit("ERROR [svc] failure: "), decl))
+            .when(k == 1, F.lit("ERROR [svc] org.example.db.PoolExhaustedException: pool exhausted"))
+            .when(k == 2, F.concat(F.lit("INFO [svc] step "), j.cast("string"), F.lit(" done")))
+            .when(k == 3, F.lit("WARN [svc] slow call in DedupServiceImpl.lookupMaster"))
+            .otherwise(F.lit("FATAL [svc] worker stopped")))
+    lines = ev.select(eid, uid, "ts", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j")).where(F.col("j") < eid % 7)
+    return lines.select(
+        ref.alias("ref_id"),
+        F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) - j * 40000000).alias("ts"),
+        (eid * 10 + j).alias("line_id"), text.alias("line"))
+
+
+def v_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded agent results for the dead-letter cases (one per record)."""
+    ev = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    actions = F.array(*[F.lit(a) for a in ["NEEDS_MANUAL_REVIEW", "ROUTE_TO_DEV", "REDRIVE_AFTER_RECOVERY",
+                                           "DATA_FIX_REQUIRED", "NO_ACTION"]])
+    return ev.select(eid.alias("event_id"), (eid % 3 != 0).alias("agent_ok"),
+                     F.element_at(actions, ((eid % 5) + 1).cast("int")).alias("agent_action"),
+                     ((eid % 100) / 100.0).alias("agent_confidence"))

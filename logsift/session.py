@@ -65,3 +65,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         pass
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialize(df, eager: bool = True):
+    """Cut lineage by writing ``df`` to the reliable checkpoint folder.
+
+    Used where a large intermediate feeds several branches (so it is not
+    recomputed per branch) and to bound recovery work when executors are
+    lost.  Never a local checkpoint: executor-local blocks die with the
+    executor.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)

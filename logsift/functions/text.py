@@ -68,3 +68,33 @@ def to_ts(rfc3339: Column) -> Column:
 
 def rfc3339(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def py_fixed(x: Column, digits: int = 2) -> Column:
+    """``f"{x:.Nf}"`` as Python formats it: correctly rounded from the exact
+    binary value, ties to even.  (Spark's format_number/format_string round
+    the shortest decimal form, which differs on values like 0.855.)
+
+    x * 10^N is split into the rounded product and its exact error term
+    (Veltkamp split, Dekker's two-product), which decides exact ties.
+    Non-negative inputs only.
+    """
+    scale = float(10 ** digits)
+
+    def split(a):
+        c = a * F.lit(134217729.0)
+        hi = c - (c - a)
+        return hi, a - hi
+    p = x * F.lit(scale)
+    a_hi, a_lo = split(x)
+    b_hi, b_lo = split(F.lit(scale))
+    err = ((a_hi * b_hi - p) + a_hi * b_lo + a_lo * b_hi) + a_lo * b_lo
+    f = F.floor(p)
+    frac = p - f
+    up = (F.when(frac > 0.5, True).when(frac < 0.5, False)
+          .when(err > 0, True).when(err < 0, False).otherwise(f % 2 == 1))
+    n = (f + F.when(up, 1).otherwise(0)).cast("bigint")
+    whole = (n / F.lit(int(scale))).cast("bigint").cast("string")
+    if digits == 0:
+        return F.when(x.isNotNull(), whole)
+    return F.when(x.isNotNull(), F.concat(whole, F.lit("."), F.lpad((n % F.lit(int(scale))).cast("string"), digits, "0")))

@@ -144,7 +144,10 @@ def replay_gate(cases: DataFrame, action: str = "final_action", confidence: str
     """should_replay with the first failing reason (or the passing one)."""
     a, c = F.col(action), F.col(confidence)
     acts = "(" + ", ".join("'" + x + "'" for x in actions) + ")"
-    fmt2 = lambda x: F.format_number(x, 2).cast("string")
+    from logsift.functions.text import py_fixed
+
+    def fmt2(x):
+        return py_fixed(x, 2)
     reason = (F.when(F.lit(not enabled), F.lit("DLT_AUTO_REPLAY_ENABLED is off"))
               .when(~a.isin(*actions) | a.isNull(),
                     F.concat(F.lit("action '"), F.coalesce(a, F.lit("None")), F.lit("' is not in the replay-worthy set "),

@@ -451,3 +451,176 @@ v_ref_ids AS (
          coalesce(key_ref_id IS NOT NULL AND coalesce(by_type, by_search) IS NOT NULL
                   AND coalesce(by_type, by_search) <> key_ref_id, false) AS ref_id_mismatch
   FROM ri1)"""
+
+
+def v_case_log_sql() -> str:
+    from logsift.plans.dlt_fixture import DECLARED_IN_LOGS
+    decl = ", ".join(f"({i}, {_sql_str(t)})" for i, t in enumerate(DECLARED_IN_LOGS))
+    return f"""
+decl(i, t) AS (VALUES {decl}),
+cl0 AS (
+  SELECT e.event_id, e.user_id, e.ts, j.j FROM events e, (SELECT unnest(range(0, 6)) AS j) j WHERE j.j < e.event_id % 7),
+v_case_log AS (
+  SELECT substr(md5('ref' || CAST(user_id AS VARCHAR)), 1, 24) AS ref_id,
+         make_timestamp(epoch_us(ts) - j * 40000000) AS ts, event_id * 10 + j AS line_id,
+         CASE (event_id + j) % 5
+           WHEN 0 THEN 'ERROR [svc] failure: ' || d.t
+           WHEN 1 THEN 'ERROR [svc] org.example.db.PoolExhaustedException: pool exhausted'
+           WHEN 2 THEN 'INFO [svc] step ' || CAST(j AS VARCHAR) || ' done'
+           WHEN 3 THEN 'WARN [svc] slow call in DedupServiceImpl.lookupMaster'
+           ELSE 'FATAL [svc] worker stopped' END AS line
+  FROM cl0 JOIN decl d ON d.i = cl0.event_id % 8)"""
+
+
+_ERR = r"\b(ERROR|FATAL|SEVERE)\b"
+_FQ_TXT = r"\b((?:[a-z][\w$]*\.){2,}[A-Z][\w$]*(?:Exception|Error|Throwable))\b"
+
+
+def v_corroboration_sql(now: str, max_age: int) -> str:
+    return f"""
+cs0 AS (
+  SELECT f.*, r.record_key, r.payload_ref_id, r.ref_id, r.ref_id_source, r.ref_id_mismatch,
+         f.last_attempt_ms - 300000 AS ws_ms, f.last_attempt_ms + 120000 AS we_ms,
+         greatest(0.0, (epoch_ms(TIMESTAMP '{now}') - (f.last_attempt_ms - 300000)) / 1000.0) AS age
+  FROM v_failures f JOIN v_ref_ids r USING (case_id)),
+cs AS (
+  SELECT *, (ref_id IS NULL OR last_attempt_ms IS NULL OR age > {max_age}) AS fetch_skipped,
+         CASE WHEN coalesce(root_fqcn, '') = '' THEN '' ELSE regexp_extract(root_fqcn, '([^.]*)$', 1) END AS simple
+  FROM cs0),
+cl AS (
+  SELECT c.case_id, l.ts, l.line_id, l.line FROM cs c JOIN v_case_log l
+    ON l.ref_id = c.ref_id AND l.ts >= make_timestamp(c.ws_ms * 1000) AND l.ts <= make_timestamp(c.we_ms * 1000)
+  WHERE NOT c.fetch_skipped),
+el AS (
+  SELECT cl.*, trim(line) AS l, c.root_fqcn, c.business_code, c.simple, c.frames,
+         row_number() OVER (PARTITION BY cl.case_id ORDER BY cl.ts, cl.line_id) AS rk
+  FROM cl JOIN cs c USING (case_id) WHERE regexp_matches(line, '{_ERR}')),
+el2 AS (
+  SELECT *, coalesce(root_fqcn, '') <> '' AND contains(l, root_fqcn) AS h_fq,
+            simple <> '' AND contains(l, simple) AS h_simple,
+            coalesce(business_code, '') <> '' AND contains(l, business_code) AS h_code,
+            regexp_extract_all(l, '{_FQ_TXT}', 1) AS seen
+  FROM el),
+agg AS (
+  SELECT case_id, count(*) AS n_err, bool_or(h_fq) AS m_fq, bool_or(h_simple) AS m_simple, bool_or(h_code) AS m_code,
+         list_sort(list_distinct(flatten(list(seen)))) AS exc,
+         string_agg(CASE WHEN rk <= 20 THEN l END, chr(10) ORDER BY rk) AS cites
+  FROM el2 GROUP BY case_id),
+nl AS (SELECT case_id, count(*) AS n_lines FROM cl GROUP BY case_id),
+co0 AS (
+  SELECT cs.*, coalesce(nl.n_lines, 0) AS n_lines, coalesce(agg.n_err, 0) AS n_err,
+    CASE WHEN agg.m_fq THEN 'fqcn' WHEN agg.m_simple THEN 'simple name' WHEN agg.m_code THEN 'business code' END AS matched_on,
+    list_filter(coalesce(agg.exc, []), lambda x: x <> coalesce(cs.root_fqcn, '') AND regexp_extract(x, '([^.]*)$', 1) <> cs.simple) AS unexpl,
+    agg.cites
+  FROM cs LEFT JOIN nl USING (case_id) LEFT JOIN agg USING (case_id)),
+v_corr AS (
+  SELECT *,
+    CASE WHEN fetch_skipped OR n_lines = 0 OR n_err = 0 THEN 'UNVERIFIABLE'
+         WHEN matched_on IS NOT NULL AND len(unexpl) = 0 THEN 'CORROBORATED'
+         WHEN matched_on IS NOT NULL THEN 'PARTIAL' WHEN len(unexpl) > 0 THEN 'CONTRADICTED'
+         ELSE 'UNVERIFIABLE' END AS verdict,
+    CASE WHEN fetch_skipped THEN 'the log fetch was skipped or failed'
+         WHEN n_lines = 0 THEN 'the log source returned no lines for this identifier'
+         WHEN n_err = 0 THEN 'logs were fetched but contain no error-level lines'
+         WHEN matched_on IS NOT NULL AND len(unexpl) = 0 THEN 'the declared root appears in the logs (matched on its ' || matched_on || ')'
+         WHEN matched_on IS NOT NULL THEN 'the declared root appears, but the window also holds errors it does not explain'
+         WHEN len(unexpl) > 0 THEN 'the declared root (' || CASE WHEN simple = '' THEN 'unknown' ELSE simple END
+              || ') does not appear in the logs, but '
+              || array_to_string(list_transform(unexpl[1:3], lambda x: regexp_extract(x, '([^.]*)$', 1)), ', ') || ' did'
+         ELSE 'error lines were found but none names an exception type' END AS corroboration_reason,
+    coalesce(NOT fetch_skipped AND n_lines > 0 AND n_err > 0 AND matched_on IS NOT NULL, false) AS matched_declared,
+    CASE WHEN NOT fetch_skipped AND n_lines > 0 THEN n_err ELSE 0 END AS error_lines_seen,
+    fetch_skipped AS could_not_look,
+    CASE WHEN NOT fetch_skipped AND n_lines > 0 AND n_err > 0 THEN coalesce(cites, '') ELSE '' END AS citations_text,
+    CASE WHEN NOT fetch_skipped AND n_lines > 0 AND n_err > 0 THEN array_to_string(unexpl, ',') ELSE '' END AS unexplained_text
+  FROM co0)"""
+
+
+def _tmpl(text: str, **cols: str) -> str:
+    import re
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", text):
+        parts.append(_sql_str(text[pos:m.start()]))
+        parts.append(f"coalesce({cols[m.group(1)]}, '')")
+        pos = m.end()
+    parts.append(_sql_str(text[pos:]))
+    return "(" + " || ".join(parts) + ")"
+
+
+def _policy(prefix: str, action: str, conf: str, reused: str) -> str:
+    """DLT ceilings over columns of the current relation (has_gap is false)."""
+    hit = "(registry_description IS NOT NULL AND registry_description <> '')"
+    labels = (f"list_filter([CASE WHEN failure_class IN ('B', 'U') THEN 'class_' || lower(failure_class) END, "
+              f"CASE WHEN verdict = 'UNVERIFIABLE' THEN 'unverifiable' END, "
+              f"CASE WHEN verdict = 'CONTRADICTED' THEN 'contradicted' END, "
+              f"CASE WHEN failure_class = 'A' AND NOT {hit} THEN 'registry_miss' END, "
+              f"CASE WHEN {conf} IS NOT NULL AND {reused} THEN 'reuse_decay' END], lambda x: x IS NOT NULL)")
+    ceiling = (f"least(1.0, CASE WHEN failure_class IN ('B', 'U') THEN 0.3 ELSE 1.0 END, "
+               f"CASE WHEN verdict = 'UNVERIFIABLE' THEN 0.5 ELSE 1.0 END, CASE WHEN verdict = 'CONTRADICTED' THEN 0.6 ELSE 1.0 END, "
+               f"CASE WHEN failure_class = 'A' AND NOT {hit} THEN 0.5 ELSE 1.0 END)")
+    conf_out = f"CASE WHEN {conf} IS NULL THEN NULL ELSE least(CASE WHEN {reused} THEN {conf} * 0.95 ELSE {conf} END, {ceiling}) END"
+    act_out = (f"CASE WHEN failure_class IN ('B', 'U') AND NOT ({action} IN ('NEEDS_MANUAL_REVIEW', 'ROUTE_TO_DEV')) "
+               f"THEN 'NEEDS_MANUAL_REVIEW' ELSE {action} END")
+    return f"{conf_out} AS {prefix}confidence, {act_out} AS {prefix}action, {labels} AS {prefix}ceilings"
+
+
+def v_decisions_sql() -> str:
+    from logsift.operators import policy as P
+    seen = ("CASE WHEN occurrence = 0 THEN 'This is the first recorded occurrence of this failure signature.' "
+            "ELSE CAST(occurrence AS VARCHAR) || ' ' || CASE WHEN occurrence = 1 THEN 'occurrence' ELSE 'occurrences' END "
+            "|| ' of this signature recorded' || CASE WHEN group_first_seen IS NOT NULL THEN ' first seen ' "
+            "|| strftime(group_first_seen, '%Y-%m-%d %H:%M UTC') ELSE '' END || '.' END")
+    prov = ("CASE WHEN registry_category_source = 'declared' THEN " + _sql_str(P.PROVENANCE_DECLARED)
+            + " WHEN registry_category_source = 'inferred' THEN " + _sql_str(P.PROVENANCE_INFERRED)
+            + " ELSE " + _sql_str(P.PROVENANCE_OTHER) + " END")
+    detail = ("CASE WHEN coalesce(registry_description, '') <> '' THEN ' (\"' || registry_description || '\")' ELSE '' END")
+    note = (f"CASE WHEN coalesce(business_code, '') <> '' AND registry_category = 'TECHNICAL_EXCEPTION' THEN "
+            f"{_tmpl(P.CATALOG_NOTE, code='business_code', detail=detail, provenance=prov)} ELSE '' END")
+    sig = "coalesce(nullif(signature, ''), nullif(root_fqcn, ''), 'unknown failure')"
+    return f"""
+v_agent AS (
+  SELECT event_id, event_id % 3 <> 0 AS agent_ok,
+         ['NEEDS_MANUAL_REVIEW', 'ROUTE_TO_DEV', 'REDRIVE_AFTER_RECOVERY', 'DATA_FIX_REQUIRED', 'NO_ACTION'][event_id % 5 + 1] AS agent_action,
+         (event_id % 100) / 100.0 AS agent_confidence FROM events),
+dd0 AS (
+  SELECT v.*, a.agent_ok, a.agent_action, a.agent_confidence,
+    count(*) OVER (PARTITION BY fingerprint ORDER BY dlt_timestamp, case_id ROWS UNBOUNDED PRECEDING) AS occurrence,
+    coalesce(sum(CASE WHEN failure_class = 'A' AND coalesce(a.agent_ok, false) THEN 1 ELSE 0 END)
+      OVER (PARTITION BY fingerprint ORDER BY dlt_timestamp, case_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior_ok,
+    min(dlt_timestamp) OVER (PARTITION BY fingerprint) AS group_first_seen
+  FROM v_corr v LEFT JOIN v_agent a USING (event_id)),
+dd1 AS (
+  SELECT *,
+    CASE WHEN failure_class <> 'A' THEN 'CANNED' WHEN verdict IN ('CONTRADICTED', 'PARTIAL') THEN 'LLM_REQUIRED'
+         WHEN prior_ok = 0 THEN 'LLM_REQUIRED' ELSE 'REUSE_GROUP' END AS decision,
+    CASE WHEN failure_class <> 'A' THEN 'class ' || failure_class || ' has a fixed treatment; no model involved'
+         WHEN verdict IN ('CONTRADICTED', 'PARTIAL') THEN 'corroboration came back ' || verdict || '; the discrepancy leads the finding'
+         WHEN prior_ok = 0 THEN 'novel fingerprint; no recommendation on file for this group'
+         WHEN verdict = 'CORROBORATED' THEN 'known fingerprint, logs corroborate the trace; serving the group''s recommendation'
+         ELSE 'known fingerprint but corroboration was unverifiable; serving the group''s recommendation at a capped confidence' END AS decision_reason,
+    CASE failure_class
+      WHEN 'C' THEN {_tmpl(P.C_NARRATIVE, signature=sig, seen=seen, catalog_note=note)}
+      WHEN 'B' THEN {_tmpl(P.B_NARRATIVE, signature=sig, seen=seen)}
+      WHEN 'U' THEN {_tmpl(P.U_NARRATIVE, signature=sig, seen=seen, class_reason='class_reason')} END AS canned_narrative,
+    CASE failure_class WHEN 'C' THEN {_sql_str(P.C_RECOMMENDATION)} WHEN 'B' THEN {_sql_str(P.B_RECOMMENDATION)}
+      WHEN 'U' THEN {_sql_str(P.U_RECOMMENDATION)} END AS canned_recommendation,
+    CASE failure_class WHEN 'C' THEN 'REDRIVE_AFTER_RECOVERY' WHEN 'B' THEN 'ROUTE_TO_DEV'
+      WHEN 'U' THEN 'NEEDS_MANUAL_REVIEW' END AS canned_action
+  FROM dd0),
+dd2 AS (
+  SELECT *, CASE WHEN decision = 'CANNED' THEN 'canned' WHEN decision = 'REUSE_GROUP' THEN 'group_reuse'
+                 WHEN coalesce(agent_ok, false) THEN 'agent' ELSE 'failed_synthesis' END AS provenance FROM dd1),
+dd3 AS (
+  SELECT *, CASE provenance WHEN 'canned' THEN canned_action WHEN 'agent' THEN agent_action
+                 WHEN 'failed_synthesis' THEN 'NEEDS_MANUAL_REVIEW' END AS action0,
+            CASE provenance WHEN 'agent' THEN agent_confidence WHEN 'failed_synthesis' THEN 0.0 END AS conf0 FROM dd2),
+dd4 AS (SELECT *, {_policy('p1_', 'action0', 'conf0', 'false')} FROM dd3),
+dd5 AS (
+  SELECT *, last_value(CASE WHEN provenance = 'agent' THEN {{'a': p1_action, 'c': p1_confidence}} END IGNORE NULLS)
+            OVER (PARTITION BY fingerprint ORDER BY dlt_timestamp, case_id ROWS UNBOUNDED PRECEDING) AS rec
+  FROM dd4),
+dd6 AS (
+  SELECT *, CASE WHEN provenance = 'group_reuse' THEN rec.a ELSE action0 END AS action1,
+            CASE WHEN provenance = 'group_reuse' THEN rec.c ELSE conf0 END AS conf1,
+            provenance = 'group_reuse' AS reused FROM dd5),
+v_decisions AS (SELECT *, {_policy('final_', 'action1', 'conf1', 'reused')} FROM dd6)"""

@@ -226,3 +226,42 @@ def dlt_analysis_df(spark, sf_dir):
     agent = v_agent(spark, sf_dir).join(dlt_records(spark, sf_dir).select("event_id", "case_id"), "event_id") \
         .drop("event_id")
     return analyse_cases(dlt_cases_df(spark, sf_dir), v_case_log(spark, sf_dir), agent)
+
+
+_CORR_VIEWS = ov.with_views(ov.v_deadletter_sql(), ov.v_dlt_headers_sql(), ov.v_failures_sql(), ov.v_ref_ids_sql(),
+                            ov.v_case_log_sql(), ov.v_corroboration_sql(ANALYSIS_NOW, ANALYSIS_MAX_AGE))
+
+
+@query("dlt_corroboration", _CORR_VIEWS + """
+SELECT case_id, verdict, corroboration_reason, matched_declared, error_lines_seen, could_not_look,
+       citations_text, unexplained_text, matched_on FROM v_corr""")
+def dlt_corroboration(spark, sf_dir):
+    """Declared root versus the error lines inside each case's log window."""
+    return dlt_analysis_df(spark, sf_dir).select(
+        "case_id", "verdict", "corroboration_reason", "matched_declared", "error_lines_seen", "could_not_look",
+        F.array_join("citations", "\n").alias("citations_text"), F.array_join("unexplained", ",").alias("unexplained_text"),
+        "matched_on")
+
+
+_DEC_VIEWS = _CORR_VIEWS + ", " + ov.v_decisions_sql()
+
+
+@query("dlt_decisions", _DEC_VIEWS + """
+SELECT case_id, occurrence, decision, decision_reason, provenance, canned_narrative, canned_recommendation,
+       final_action, round(final_confidence, 6) AS final_confidence, array_to_string(final_ceilings, ',') AS ceilings,
+       coalesce(final_action IN ('REDRIVE_AFTER_RECOVERY') AND final_confidence IS NOT NULL AND final_confidence >= 0.55
+                AND coalesce(ref_id, '') <> '', false) AS should_replay,
+       CASE WHEN final_action IS NULL OR final_action NOT IN ('REDRIVE_AFTER_RECOVERY')
+              THEN 'action ''' || coalesce(final_action, 'None') || ''' is not in the replay-worthy set (''REDRIVE_AFTER_RECOVERY'')'
+            WHEN final_confidence IS NULL THEN 'finding carries no confidence score -- a canned treatment produced it, and no model ran to be confident about anything'
+            WHEN final_confidence < 0.55 THEN 'confidence ' || printf('%.2f', final_confidence) || ' is below DLT_REPLAY_CONFIDENCE_THRESHOLD (0.55)'
+            WHEN coalesce(ref_id, '') = '' THEN 'no refId on this case; nothing to identify the packet to OIS with'
+            ELSE 'action ' || final_action || ' at confidence ' || printf('%.2f', final_confidence) || ' clears the 0.55 threshold' END AS replay_reason,
+       CASE WHEN final_action = 'NO_ACTION' THEN 'COMPLETED' ELSE 'NEEDS_MANUAL_REVIEW' END AS terminal_status
+FROM v_decisions""")
+def dlt_decisions(spark, sf_dir):
+    """Occurrence order, reuse decision, treatment, ceilings and replay gate."""
+    return dlt_analysis_df(spark, sf_dir).select(
+        "case_id", "occurrence", "decision", "decision_reason", "provenance", "canned_narrative",
+        "canned_recommendation", "final_action", F.round("final_confidence", 6).alias("final_confidence"),
+        F.array_join("ceilings_applied", ",").alias("ceilings"), "should_replay", "replay_reason", "terminal_status")

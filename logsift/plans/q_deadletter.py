@@ -265,3 +265,103 @@ def dlt_decisions(spark, sf_dir):
         "case_id", "occurrence", "decision", "decision_reason", "provenance", "canned_narrative",
         "canned_recommendation", "final_action", F.round("final_confidence", 6).alias("final_confidence"),
         F.array_join("ceilings_applied", ",").alias("ceilings"), "should_replay", "replay_reason", "terminal_status")
+
+
+def dlt_groups_df(spark, sf_dir):
+    from logsift.operators import groups as G
+    cases = dlt_analysis_df(spark, sf_dir).withColumn("seen_at", F.col("dlt_timestamp"))
+    g = G.group_rollup(cases, seq="dlt_timestamp")
+    return G.attach_recommendations(g, cases.withColumn("action", F.col("final_action"))
+                                    .withColumn("confidence", F.col("final_confidence")), seq="dlt_timestamp")
+
+
+_GROUP_SQL = _DEC_VIEWS + """,
+g_hist AS (
+  SELECT fingerprint, string_agg(verdict || '=' || CAST(n AS VARCHAR), ',' ORDER BY verdict) AS history_text
+  FROM (SELECT fingerprint, verdict, count(*) AS n FROM v_decisions GROUP BY ALL) GROUP BY fingerprint),
+g_mem AS (
+  SELECT fingerprint, count(*) AS n_members, arg_max(case_id, rk_asc) AS newest_member, arg_min(case_id, rk_asc) AS oldest_retained
+  FROM (SELECT fingerprint, case_id, row_number() OVER (PARTITION BY fingerprint ORDER BY dlt_timestamp DESC, case_id DESC) AS rk,
+               row_number() OVER (PARTITION BY fingerprint ORDER BY dlt_timestamp, case_id) AS rk_asc FROM v_decisions)
+  WHERE rk <= 200 GROUP BY fingerprint),
+g_rec AS (
+  SELECT fingerprint, arg_max(final_action, dlt_timestamp) AS recommendation_action,
+         arg_max(final_confidence, dlt_timestamp) AS recommendation_confidence
+  FROM v_decisions WHERE provenance = 'agent' GROUP BY fingerprint),
+v_groups AS (
+  SELECT fingerprint, count(DISTINCT case_id) AS occurrence_count, min(dlt_timestamp) AS first_seen, max(dlt_timestamp) AS last_seen,
+         arg_max(signature, (dlt_timestamp, case_id)) FILTER (WHERE coalesce(signature, '') <> '') AS signature,
+         arg_max(failure_class, (dlt_timestamp, case_id)) AS failure_class,
+         arg_max(business_code, (dlt_timestamp, case_id)) FILTER (WHERE business_code IS NOT NULL) AS business_code
+  FROM v_decisions GROUP BY fingerprint)"""
+
+
+@query("dlt_groups", _GROUP_SQL + """
+SELECT g.*, h.history_text, m.n_members, m.newest_member, m.oldest_retained,
+       CASE WHEN r.recommendation_action IS NOT NULL THEN 'draft' ELSE 'none' END AS recommendation_state,
+       r.recommendation_action, round(r.recommendation_confidence, 6) AS recommendation_confidence
+FROM v_groups g LEFT JOIN g_hist h USING (fingerprint) LEFT JOIN g_mem m USING (fingerprint) LEFT JOIN g_rec r USING (fingerprint)""")
+def dlt_groups(spark, sf_dir):
+    """Failure-group roll-up: distinct occurrences, first/last seen, latest
+    signature/class/code, verdict history, newest 200 members, recommendation."""
+    g = dlt_groups_df(spark, sf_dir)
+    hist = F.array_join(F.transform(F.array_sort(F.map_entries("corroboration_history")),
+                                    lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return g.select("fingerprint", "occurrence_count", "first_seen", "last_seen", "signature", "failure_class",
+                    "business_code", hist.alias("history_text"), F.size("members").cast("bigint").alias("n_members"),
+                    F.try_element_at("members", F.lit(-1)).alias("newest_member"),
+                    F.try_element_at("members", F.lit(1)).alias("oldest_retained"), "recommendation_state",
+                    "recommendation_action", F.round("recommendation_confidence", 6).alias("recommendation_confidence"))
+
+
+@query("dlt_top_groups", _GROUP_SQL + """
+SELECT substr(fingerprint, 1, 16) AS fingerprint, occurrence_count, failure_class, last_seen, signature
+FROM v_groups ORDER BY occurrence_count DESC, v_groups.fingerprint LIMIT 5""")
+def dlt_top_groups(spark, sf_dir):
+    """Top groups by occurrence count (a top-k report)."""
+    g = dlt_groups_df(spark, sf_dir)
+    return (g.orderBy(F.col("occurrence_count").desc(), F.col("fingerprint")).limit(5)
+            .select(F.substring("fingerprint", 1, 16).alias("fingerprint"), "occurrence_count", "failure_class",
+                    "last_seen", "signature"))
+
+
+@query("dlt_unreviewed", _GROUP_SQL + """
+, ur AS (SELECT g.fingerprint, g.occurrence_count, g.signature FROM v_groups g JOIN g_rec r USING (fingerprint))
+SELECT substr(fingerprint, 1, 16) AS fingerprint, occurrence_count AS served, signature FROM ur""")
+def dlt_unreviewed(spark, sf_dir):
+    """Draft recommendations awaiting review, most-served first."""
+    g = dlt_groups_df(spark, sf_dir).where(F.col("recommendation_state") == "draft")
+    return g.orderBy(F.col("occurrence_count").desc()).select(
+        F.substring("fingerprint", 1, 16).alias("fingerprint"), F.col("occurrence_count").alias("served"), "signature")
+
+
+@query("dlt_fleet_stats", _GROUP_SQL + """
+, vt AS (SELECT verdict, count(*) AS n FROM v_decisions GROUP BY verdict)
+SELECT (SELECT CAST(sum(occurrence_count) AS BIGINT) FROM v_groups) AS cases,
+       (SELECT count(*) FROM v_groups) AS signatures,
+       (SELECT CAST(coalesce(sum(occurrence_count) FILTER (WHERE failure_class = 'A'), 0) AS BIGINT) FROM v_groups) AS class_a,
+       (SELECT CAST(coalesce(sum(occurrence_count) FILTER (WHERE failure_class = 'B'), 0) AS BIGINT) FROM v_groups) AS class_b,
+       (SELECT CAST(coalesce(sum(occurrence_count) FILTER (WHERE failure_class = 'C'), 0) AS BIGINT) FROM v_groups) AS class_c,
+       (SELECT CAST(coalesce(sum(occurrence_count) FILTER (WHERE failure_class = 'U'), 0) AS BIGINT) FROM v_groups) AS class_u,
+       (SELECT CAST(coalesce(sum(n) FILTER (WHERE verdict IN ('CONTRADICTED', 'PARTIAL')), 0) AS BIGINT) FROM vt) AS discrepancies,
+       (SELECT count(*) FILTER (WHERE failure_class = 'A') FROM v_groups) AS class_a_groups,
+       (SELECT round(CASE WHEN sum(occurrence_count) FILTER (WHERE failure_class = 'A') > 0
+                     THEN greatest(0.0, 1.0 - (count(*) FILTER (WHERE failure_class = 'A'))
+                          / (sum(occurrence_count) FILTER (WHERE failure_class = 'A'))) ELSE 0.0 END, 4) FROM v_groups)
+         AS llm_calls_avoided""")
+def dlt_fleet_stats(spark, sf_dir):
+    """Fleet statistics: cases, signatures, cases per class, discrepancies and
+    the share of model calls avoided by reuse."""
+    from logsift.operators.groups import llm_calls_avoided
+    g = dlt_groups_df(spark, sf_dir)
+    cls = F.col("failure_class")
+    per = g.agg(F.sum("occurrence_count").cast("bigint").alias("cases"), F.count(F.lit(1)).alias("signatures"),
+                *[F.coalesce(F.sum(F.when(cls == c, F.col("occurrence_count"))), F.lit(0)).cast("bigint")
+                  .alias(f"class_{c.lower()}") for c in "ABCU"],
+                F.count_if(cls == "A").alias("class_a_groups"))
+    disc = g.select(F.explode("corroboration_history").alias("verdict", "n")).where(
+        F.col("verdict").isin("CONTRADICTED", "PARTIAL")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("discrepancies"))
+    out = per.crossJoin(disc)  # two one-row aggregates
+    return out.select("cases", "signatures", "class_a", "class_b", "class_c", "class_u", "discrepancies",
+                      "class_a_groups", F.round(llm_calls_avoided(F.col("class_a"), F.col("class_a_groups")), 4)
+                      .alias("llm_calls_avoided"))

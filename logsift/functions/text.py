@@ -17,9 +17,14 @@ CASE_ID_UNSAFE_RE = r"[^A-Za-z0-9_.:-]"
 # ---------------------------------------------------------------------------
 
 
+# ASCII whitespace a Python str.strip() removes (besides the Unicode spaces).
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
 def strip_ws(c: Column) -> Column:
-    """Strip leading/trailing whitespace of every kind (not just spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace (all ASCII kinds, not just spaces);
+    a character-set trim, no regex."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def blank_to_null(c: Column) -> Column:

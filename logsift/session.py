@@ -19,6 +19,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Generated methods above ~8 KB of bytecode are never JIT-compiled by the
+    # JVM; falling back to per-operator code for those is faster than running
+    # one huge interpreted method (wide header/trace projections hit this).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

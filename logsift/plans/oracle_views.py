@@ -624,3 +624,77 @@ dd6 AS (
             CASE WHEN provenance = 'group_reuse' THEN rec.c ELSE conf0 END AS conf1,
             provenance = 'group_reuse' AS reused FROM dd5),
 v_decisions AS (SELECT *, {_policy('final_', 'action1', 'conf1', 'reused')} FROM dd6)"""
+
+
+_ACTS6 = "['REPLAY', 'WHITELISTING', 'QC_REPLAY', 'RO_APPROVAL', 'RESIDENT_PACKET_RESUBMIT', 'MANUAL_REVIEW']"
+
+V_CASEBOOK = f"""
+cb0 AS (
+  SELECT *, 'RC_' || replace(upper(substr(o_orderpriority, 3, 100)), ' ', '_') AS code,
+         CASE o_orderstatus WHEN 'F' THEN 'NEW' WHEN 'O' THEN 'UPDATE' END AS etype,
+         {_ACTS6}[o_orderkey % 6 + 1] AS action FROM orders),
+cb1 AS (
+  SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'RB_' || code || '_' || coalesce(etype, 'ANY') END AS shadow_id FROM cb0),
+v_casebook AS (
+  SELECT 'EV' || CAST(o_orderkey AS VARCHAR) AS event_id,
+         CASE o_orderkey % 11 WHEN 0 THEN 'IN_PROGRESS' WHEN 1 THEN 'LOGS_FETCHED' WHEN 2 THEN 'FAILED_TIMEOUT'
+              WHEN 3 THEN 'DLQ' WHEN 4 THEN 'REJECTED' WHEN 5 THEN 'NEEDS_MANUAL_REVIEW' ELSE 'COMPLETED' END AS status,
+         code AS reason_code, etype AS enrolment_type,
+         CASE (o_orderkey // 2) % 4 WHEN 1 THEN 'runbook:' || code WHEN 3 THEN NULL ELSE 'agent' END AS resolution_source,
+         action AS agent_action,
+         CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_orderkey % 100) / 100.0 END AS confidence,
+         o_orderkey % 13 = 0 AS abstained,
+         CASE WHEN shadow_id IS NOT NULL THEN {_ACTS6}[(o_orderkey // 7) % 6 + 1] END AS shadow_action,
+         shadow_id AS shadow_runbook_id,
+         CASE WHEN shadow_id IS NOT NULL THEN {_ACTS6}[(o_orderkey // 7) % 6 + 1] = action END AS shadow_agreed,
+         'pf-' || CAST(o_orderkey % 3 AS VARCHAR) AS prompt_fingerprint, o_orderdate AS updated_at, o_custkey AS customer
+  FROM cb1)"""
+
+V_VERDICT = f"""
+vv0 AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0),
+v_verdict AS (
+  SELECT CASE WHEN o_orderkey % 31 = 0 THEN 'EVX' ELSE 'EV' END || CAST(o_orderkey AS VARCHAR) AS event_id,
+         CASE o_custkey % 5 WHEN 0 THEN 'CORRECT' WHEN 1 THEN ' incorrect ' WHEN 2 THEN 'PARTIAL' WHEN 3 THEN 'correct'
+              ELSE 'MAYBE' END AS verdict,
+         'op' || CAST(o_custkey % 3 AS VARCHAR) AS verified_by, o_orderdate + INTERVAL 1 DAY AS verified_at, '' AS notes,
+         CASE WHEN o_custkey % 5 = 1 THEN {_ACTS6}[(o_orderkey + 1) % 6 + 1] END AS corrected_action
+  FROM vv0
+  UNION ALL
+  SELECT CASE WHEN o_orderkey % 31 = 0 THEN 'EVX' ELSE 'EV' END || CAST(o_orderkey AS VARCHAR), 'CORRECT', 'op-review',
+         o_orderdate + INTERVAL 2 DAY, 'revised', NULL
+  FROM vv0 WHERE o_orderkey % 10 = 0)"""
+
+V_OUTCOME = """
+vo0 AS (SELECT *, upper(trim(coalesce(verdict, ''))) AS v FROM v_verdict),
+vo1 AS (
+  SELECT event_id, arg_max({'verdict': v, 'verified_by': verified_by, 'verified_at': verified_at, 'notes': notes,
+                             'corrected_action': corrected_action}, verified_at) AS o
+  FROM vo0 WHERE v IN ('CORRECT', 'INCORRECT', 'PARTIAL') GROUP BY event_id),
+v_outcome AS (
+  SELECT vo1.event_id, o.verdict AS verdict, o.verified_by AS verified_by, o.verified_at AS verified_at, o.notes AS notes,
+         o.corrected_action AS corrected_action, c.reason_code, c.enrolment_type, c.resolution_source, c.agent_action,
+         c.confidence, c.abstained, c.shadow_action, c.shadow_runbook_id, c.shadow_agreed, c.prompt_fingerprint
+  FROM vo1 JOIN v_casebook c USING (event_id)),
+v_acc AS (
+  SELECT coalesce(reason_code, 'unknown') AS reason_code, coalesce(enrolment_type, 'unknown') AS enrolment_type,
+         CASE WHEN coalesce(resolution_source, 'unknown') LIKE 'runbook:%' THEN 'runbook' ELSE coalesce(resolution_source, 'unknown') END AS resolution_source,
+         count(*) FILTER (WHERE verdict = 'CORRECT') AS "CORRECT", count(*) FILTER (WHERE verdict = 'INCORRECT') AS "INCORRECT",
+         count(*) FILTER (WHERE verdict = 'PARTIAL') AS "PARTIAL"
+  FROM v_outcome GROUP BY ALL),
+v_acc2 AS (
+  SELECT *, "CORRECT" + "INCORRECT" + "PARTIAL" AS total,
+         CASE WHEN "CORRECT" + "INCORRECT" + "PARTIAL" > 0 THEN round_even("CORRECT" / ("CORRECT" + "INCORRECT" + "PARTIAL"), 4) ELSE 0.0 END AS accuracy
+  FROM v_acc),
+v_shadow AS (
+  SELECT coalesce(reason_code, 'unknown') AS reason_code, coalesce(enrolment_type, 'unknown') AS enrolment_type,
+         shadow_runbook_id AS runbook_id, count(*) AS shadowed,
+         count(*) FILTER (WHERE coalesce(shadow_agreed, false)) AS agreed, count(*) FILTER (WHERE NOT coalesce(shadow_agreed, false)) AS disagreed,
+         count(*) FILTER (WHERE verdict = 'CORRECT' AND coalesce(shadow_agreed, false)) AS would_be_correct,
+         count(*) FILTER (WHERE verdict = 'CORRECT') AS agent_correct,
+         count(*) FILTER (WHERE verdict IN ('CORRECT', 'INCORRECT', 'PARTIAL')) AS verdicts
+  FROM v_outcome WHERE coalesce(shadow_runbook_id, '') <> '' GROUP BY ALL),
+v_shadow2 AS (
+  SELECT *, CASE WHEN shadowed > 0 THEN round_even(agreed / shadowed, 4) ELSE 0.0 END AS agreement_rate,
+         CASE WHEN verdicts > 0 THEN round_even(would_be_correct / verdicts, 4) ELSE 0.0 END AS would_be_accuracy,
+         CASE WHEN verdicts > 0 THEN round_even(agent_correct / verdicts, 4) ELSE 0.0 END AS agent_accuracy
+  FROM v_shadow)"""

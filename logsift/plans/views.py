@@ -205,3 +205,53 @@ def v_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(eid.alias("event_id"), (eid % 3 != 0).alias("agent_ok"),
                      F.element_at(actions, ((eid % 5) + 1).cast("int")).alias("agent_action"),
                      ((eid % 100) / 100.0).alias("agent_confidence"))
+
+
+ACTIONS6 = ["REPLAY", "WHITELISTING", "QC_REPLAY", "RO_APPROVAL", "RESIDENT_PACKET_RESUBMIT", "MANUAL_REVIEW"]
+
+
+def v_casebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rejection casebook per order: status, code, type, resolution,
+    shadow runbook comparison."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    acts = F.array(*[F.lit(a) for a in ACTIONS6])
+    code = F.concat(F.lit("RC_"), F.regexp_replace(F.upper(F.substring("o_orderpriority", 3, 100)), " ", "_"))
+    etype = F.when(F.col("o_orderstatus") == "F", "NEW").when(F.col("o_orderstatus") == "O", "UPDATE")
+    status = (F.when(k % 11 == 0, "IN_PROGRESS").when(k % 11 == 1, "LOGS_FETCHED").when(k % 11 == 2, "FAILED_TIMEOUT")
+              .when(k % 11 == 3, "DLQ").when(k % 11 == 4, "REJECTED").when(k % 11 == 5, "NEEDS_MANUAL_REVIEW")
+              .otherwise("COMPLETED"))
+    action = F.element_at(acts, (k % 6 + 1).cast("int"))
+    shadow_id = F.when(k % 3 == 0, F.concat(F.lit("RB_"), code, F.lit("_"), F.coalesce(etype, F.lit("ANY"))))
+    shadow_action = F.when(shadow_id.isNotNull(), F.element_at(acts, ((k / 7).cast("bigint") % 6 + 1).cast("int")))
+    return o.select(
+        F.concat(F.lit("EV"), k.cast("string")).alias("event_id"), status.alias("status"),
+        code.alias("reason_code"), etype.alias("enrolment_type"),
+        F.when((k / 2).cast("bigint") % 4 == 1, F.concat(F.lit("runbook:"), code))
+        .when((k / 2).cast("bigint") % 4 == 3, F.lit(None).cast("string"))
+        .otherwise(F.lit("agent")).alias("resolution_source"),
+        action.alias("agent_action"),
+        F.when(k % 9 == 0, F.lit(None).cast("double")).otherwise((k % 100) / 100.0).alias("confidence"),
+        (k % 13 == 0).alias("abstained"), shadow_action.alias("shadow_action"), shadow_id.alias("shadow_runbook_id"),
+        F.when(shadow_id.isNotNull(), shadow_action == action).alias("shadow_agreed"),
+        F.concat(F.lit("pf-"), (k % 3).cast("string")).alias("prompt_fingerprint"),
+        F.col("o_orderdate").alias("updated_at"), F.col("o_custkey").alias("customer"))
+
+
+def v_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator verdicts: half the orders, some revised, some invalid, some
+    for unknown events."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == 0)
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    acts = F.array(*[F.lit(a) for a in ACTIONS6])
+    raw = (F.when(c % 5 == 0, "CORRECT").when(c % 5 == 1, " incorrect ").when(c % 5 == 2, "PARTIAL")
+           .when(c % 5 == 3, "correct").otherwise("MAYBE"))
+    eid = F.when(k % 31 == 0, F.concat(F.lit("EVX"), k.cast("string"))).otherwise(F.concat(F.lit("EV"), k.cast("string")))
+    first = o.select(eid.alias("event_id"), raw.alias("verdict"), F.concat(F.lit("op"), (c % 3).cast("string")).alias("verified_by"),
+                     (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("verified_at"), F.lit("").alias("notes"),
+                     F.when(c % 5 == 1, F.element_at(acts, ((k + 1) % 6 + 1).cast("int"))).alias("corrected_action"))
+    second = o.where(k % 10 == 0).select(
+        eid.alias("event_id"), F.lit("CORRECT").alias("verdict"), F.lit("op-review").alias("verified_by"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).alias("verified_at"), F.lit("revised").alias("notes"),
+        F.lit(None).cast("string").alias("corrected_action"))
+    return first.unionByName(second)

@@ -698,3 +698,36 @@ v_shadow2 AS (
          CASE WHEN verdicts > 0 THEN round_even(would_be_correct / verdicts, 4) ELSE 0.0 END AS would_be_accuracy,
          CASE WHEN verdicts > 0 THEN round_even(agent_correct / verdicts, 4) ELSE 0.0 END AS agent_accuracy
   FROM v_shadow)"""
+
+
+V_RULE = """
+v_rule AS (
+  SELECT CASE WHEN p_partkey % 100 < 2 THEN ['RC_URGENT', 'RC_HIGH', 'RC_MEDIUM', 'RC_NOT_SPECIFIED', 'RC_LOW'][(p_partkey // 100) % 5 + 1]
+              ELSE 'RC_PART_' || CAST(p_partkey AS VARCHAR) END AS reject_reason_code,
+         p_name AS rule_description, p_size % 7 <> 0 AS is_active,
+         CASE p_partkey % 6 WHEN 0 THEN '{"statement":{"Condition":{"StringEquals":{"enrolmentType":"UPDATE"}}}}'
+              WHEN 1 THEN '{"statement":{"Condition":{"StringEquals":{"enrolmentType":"ENROLMENT"}}}}'
+              WHEN 2 THEN '{"statement":{"Condition":{"StringEquals":{"enrolmentType":"U"}}}}'
+              WHEN 3 THEN '{"statement":{"Condition":{}}}' WHEN 4 THEN '{broken'
+              ELSE '{"statement":{"Effect":"Deny"}}' END AS rule_data,
+         p_partkey AS rule_pos
+  FROM part)"""
+
+V_RUNBOOK = f"""
+v_runbook AS (
+  SELECT 'RB_' || CAST(p_partkey AS VARCHAR) AS runbook_id,
+         CASE WHEN p_size % 9 = 0 THEN '2.0' ELSE '1.1' END AS schema_version,
+         CASE WHEN p_partkey % 100 < 10 THEN ['RC_URGENT', 'RC_HIGH', 'RC_MEDIUM', 'RC_NOT_SPECIFIED', 'RC_LOW'][(p_partkey // 100) % 5 + 1]
+              ELSE 'RC_PART_' || CAST(p_partkey AS VARCHAR) END AS reason_code,
+         ['NEW', 'UPDATE', 'ANY', ' update ', NULL][p_partkey % 5 + 1] AS enrolment_type,
+         CASE WHEN p_size % 4 = 0 THEN 'draft' ELSE 'final' END AS status,
+         CAST((p_partkey // 1000) % 3 + 1 AS INTEGER) AS version,
+         'sha256:' || sha256(p_name) AS rule_fingerprint,
+         'desc' AS rejection_description, CASE WHEN p_size % 11 = 0 THEN NULL ELSE 'syn' END AS synthesis,
+         {_ACTS6}[p_partkey % 6 + 1] AS action, 'PENDING' AS resident_action
+  FROM part),
+v_rb_valid AS (
+  SELECT *, CASE WHEN coalesce(upper(trim(enrolment_type)), '') = '' THEN 'ANY' ELSE upper(trim(enrolment_type)) END AS rb_type
+  FROM v_runbook WHERE status = 'final' AND schema_version IN ('1.0', '1.1')
+    AND regexp_full_match(reason_code, '[A-Za-z0-9_.:-]{{1,128}}') AND rejection_description IS NOT NULL
+    AND synthesis IS NOT NULL AND action IS NOT NULL AND resident_action IS NOT NULL)"""

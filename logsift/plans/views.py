@@ -255,3 +255,45 @@ def v_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).alias("verified_at"), F.lit("revised").alias("notes"),
         F.lit(None).cast("string").alias("corrected_action"))
     return first.unionByName(second)
+
+
+CODES5 = ["RC_URGENT", "RC_HIGH", "RC_MEDIUM", "RC_NOT_SPECIFIED", "RC_LOW"]
+
+
+def v_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules table: one rule per part; 2% carry the casebooks' reason codes."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    codes = F.array(*[F.lit(c) for c in CODES5])
+    code = F.when(k % 100 < 2, F.element_at(codes, ((k / 100).cast("bigint") % 5 + 1).cast("int"))) \
+        .otherwise(F.concat(F.lit("RC_PART_"), k.cast("string")))
+    et = (F.when(k % 6 == 0, F.lit('{"statement":{"Condition":{"StringEquals":{"enrolmentType":"UPDATE"}}}}'))
+          .when(k % 6 == 1, F.lit('{"statement":{"Condition":{"StringEquals":{"enrolmentType":"ENROLMENT"}}}}'))
+          .when(k % 6 == 2, F.lit('{"statement":{"Condition":{"StringEquals":{"enrolmentType":"U"}}}}'))
+          .when(k % 6 == 3, F.lit('{"statement":{"Condition":{}}}'))
+          .when(k % 6 == 4, F.lit("{broken"))
+          .otherwise(F.lit('{"statement":{"Effect":"Deny"}}')))
+    return p.select(code.alias("reject_reason_code"), F.col("p_name").alias("rule_description"),
+                    (F.col("p_size") % 7 != 0).alias("is_active"), et.alias("rule_data"), k.alias("rule_pos"))
+
+
+def v_runbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runbooks (drafts and finals): one per part; 10% for the casebook codes."""
+    p = table(spark, sf_dir, "part")
+    k, sz = F.col("p_partkey"), F.col("p_size")
+    codes = F.array(*[F.lit(c) for c in CODES5])
+    acts = F.array(*[F.lit(a) for a in ACTIONS6])
+    code = F.when(k % 100 < 10, F.element_at(codes, ((k / 100).cast("bigint") % 5 + 1).cast("int"))) \
+        .otherwise(F.concat(F.lit("RC_PART_"), k.cast("string")))
+    et = F.element_at(F.array(F.lit("NEW"), F.lit("UPDATE"), F.lit("ANY"), F.lit(" update "), F.lit(None).cast("string")),
+                      (k % 5 + 1).cast("int"))
+    version = ((k / 1000).cast("bigint") % 3 + 1).cast("int")
+    res = F.struct(F.lit("desc").alias("rejection_description"),
+                   F.when(sz % 11 == 0, F.lit(None).cast("string")).otherwise(F.lit("syn")).alias("synthesis"),
+                   F.element_at(acts, (k % 6 + 1).cast("int")).alias("action"), F.lit("PENDING").alias("resident_action"))
+    return p.select(
+        F.concat(F.lit("RB_"), k.cast("string")).alias("runbook_id"), F.lit(None).cast("string").alias("schema_note"),
+        F.when(sz % 9 == 0, "2.0").otherwise("1.1").alias("schema_version"), code.alias("reason_code"),
+        et.alias("enrolment_type"), F.when(sz % 4 == 0, "draft").otherwise("final").alias("status"),
+        version.alias("version"), F.concat(F.lit("sha256:"), F.sha2(F.col("p_name"), 256)).alias("rule_fingerprint"),
+        res.alias("resolution")).drop("schema_note")

@@ -208,9 +208,13 @@ def check_synthesis(df: DataFrame, text: str = "response", enums: dict[str, Sequ
             .drop("_blk", "_obj", "_p"))
 
 
+APPROVAL_STRIP = "*_`\"' \t\n\r"
+
+
 def is_reviewer_approved(feedback: Column) -> Column:
-    """Markup-stripped text must START with APPROVED."""
-    stripped = F.regexp_replace(F.coalesce(feedback, F.lit("")), r"^[\s*_`\"']+|[\s*_`\"']+$", "")
+    """Whitespace-, then markup-stripped text must START with APPROVED."""
+    from logsift.functions.text import strip_ws
+    stripped = F.btrim(strip_ws(F.coalesce(feedback, F.lit(""))), F.lit(APPROVAL_STRIP))
     return F.upper(stripped).startswith("APPROVED")
 
 
@@ -245,7 +249,8 @@ def validate_generic_text(text: Column, source_values: Column | None = None) ->
 
 def validate_learning_rule(rule: Column) -> Column:
     """Violations of a proposed rule (empty -> one violation and stop)."""
-    t = F.trim(F.coalesce(rule, F.lit("")))
+    from logsift.functions.text import strip_ws
+    t = strip_ws(F.coalesce(rule, F.lit("")))
     low = F.lower(t)
     markers = F.array(*[F.lit(m) for m in INJECTION_MARKERS])
     inj = F.transform(F.filter(markers, lambda m: low.contains(m)),

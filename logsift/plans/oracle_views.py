@@ -731,3 +731,29 @@ v_rb_valid AS (
   FROM v_runbook WHERE status = 'final' AND schema_version IN ('1.0', '1.1')
     AND regexp_full_match(reason_code, '[A-Za-z0-9_.:-]{{1,128}}') AND rejection_description IS NOT NULL
     AND synthesis IS NOT NULL AND action IS NOT NULL AND resident_action IS NOT NULL)"""
+
+
+V_REJECTION = """
+v_rejection AS (
+  SELECT o_orderkey AS msg_offset,
+    CASE WHEN o_orderkey % 41 = 0 THEN 'garbage-' || CAST(o_orderkey AS VARCHAR) ELSE
+      '{"eventId":"' || CASE WHEN o_orderkey % 37 = 0 THEN 'EV ' || CAST(o_orderkey AS VARCHAR) || '/..' ELSE 'EV' || CAST(o_orderkey AS VARCHAR) END
+      || '","category":"PACKET","sourceTopic":"packets.rejected","flowMetaData":{"stage":"BIO","subStage":"DEDUP"},"packetMetaData":{"refId":"'
+      || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || '","srn":"SRN' || CAST(o_custkey AS VARCHAR) || '","enrolmentType":"'
+      || CASE o_orderstatus WHEN 'F' THEN 'NEW' WHEN 'O' THEN 'UPDATE' ELSE '' END || '"},'
+      || CASE WHEN o_orderkey % 43 = 0 THEN '"other":1' ELSE
+           '"packetExecutionSummary":{"packetStatus":"' || CASE WHEN o_orderkey % 5 = 0 THEN 'SUCCESS' ELSE 'REJECTED' END
+           || '","errorData":[' || CASE WHEN o_orderkey % 3 = 0 THEN '{"type":"VALIDATION","errorReasonCode":""},' ELSE '' END
+           || '{"type":"BUSINESS","errorReasonCode":"RC_' || replace(upper(substr(o_orderpriority, 3, 100)), ' ', '_') || '"}]}' END
+      || '}' END AS value
+  FROM orders),
+rj AS (
+  SELECT *, coalesce(starts_with(trim(value), '{') AND json_valid(value), false) AS obj FROM v_rejection),
+rj2 AS (
+  SELECT *, CASE WHEN obj THEN json_extract_string(value, '$.eventId') END AS eid,
+         CASE WHEN obj THEN json_extract(value, '$.packetExecutionSummary') END AS pes FROM rj),
+rj3 AS (
+  SELECT *, CASE WHEN NOT obj THEN 'payload is not a JSON object' WHEN eid IS NULL THEN 'eventId missing'
+                 WHEN NOT regexp_full_match(eid, '[A-Za-z0-9_.:-]{1,128}') THEN 'eventId does not match the id pattern'
+                 WHEN pes IS NULL OR json_type(pes) = 'NULL' THEN 'packetExecutionSummary missing' END AS poison_reason
+  FROM rj2)"""

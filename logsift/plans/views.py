@@ -297,3 +297,27 @@ def v_runbook(spark: SparkSession, sf_dir: str) -> DataFrame:
         et.alias("enrolment_type"), F.when(sz % 4 == 0, "draft").otherwise("final").alias("status"),
         version.alias("version"), F.concat(F.lit("sha256:"), F.sha2(F.col("p_name"), 256)).alias("rule_fingerprint"),
         res.alias("resolution")).drop("schema_note")
+
+
+def v_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejection-topic values (JSON text), one per order, with poison."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    code = F.concat(F.lit("RC_"), F.regexp_replace(F.upper(F.substring("o_orderpriority", 3, 100)), " ", "_"))
+    eid = F.when(k % 37 == 0, F.concat(F.lit("EV "), k.cast("string"), F.lit("/..")))\
+        .otherwise(F.concat(F.lit("EV"), k.cast("string")))
+    status = F.when(k % 5 == 0, F.lit("SUCCESS")).otherwise(F.lit("REJECTED"))
+    first = F.when(k % 3 == 0, F.lit('{"type":"VALIDATION","errorReasonCode":""},')).otherwise(F.lit(""))
+    etype = F.when(F.col("o_orderstatus") == "F", "NEW").when(F.col("o_orderstatus") == "O", "UPDATE").otherwise("")
+    js = F.concat(
+        F.lit('{"eventId":"'), eid, F.lit('","category":"PACKET","sourceTopic":"packets.rejected",'
+                                          '"flowMetaData":{"stage":"BIO","subStage":"DEDUP"},'
+                                          '"packetMetaData":{"refId":"'), F.lpad(k.cast("string"), 12, "0"),
+        F.lit('","srn":"SRN'), F.col("o_custkey").cast("string"), F.lit('","enrolmentType":"'), etype,
+        F.lit('"},'),
+        F.when(k % 43 == 0, F.lit('"other":1')).otherwise(F.concat(
+            F.lit('"packetExecutionSummary":{"packetStatus":"'), status, F.lit('","errorData":['), first,
+            F.lit('{"type":"BUSINESS","errorReasonCode":"'), code, F.lit('"}]}'))),
+        F.lit("}"))
+    value = F.when(k % 41 == 0, F.concat(F.lit("garbage-"), k.cast("string"))).otherwise(js)
+    return o.select(k.alias("msg_offset"), value.alias("value"))

@@ -321,3 +321,12 @@ def v_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("}"))
     value = F.when(k % 41 == 0, F.concat(F.lit("garbage-"), k.cast("string"))).otherwise(js)
     return o.select(k.alias("msg_offset"), value.alias("value"))
+
+
+def v_text_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, as a flow per document (whole texts)."""
+    d = table(spark, sf_dir, "documents")
+    ex = d.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("seq", "message"))
+    return ex.where(F.trim(F.col("message")) != "").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("flow_id"), F.col("seq").cast("bigint").alias("seq"),
+        F.lpad(F.col("seq").cast("string"), 8, "0").alias("timestamp"), "message")

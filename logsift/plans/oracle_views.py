@@ -757,3 +757,35 @@ rj3 AS (
                  WHEN NOT regexp_full_match(eid, '[A-Za-z0-9_.:-]{1,128}') THEN 'eventId does not match the id pattern'
                  WHEN pes IS NULL OR json_type(pes) = 'NULL' THEN 'packetExecutionSummary missing' END AS poison_reason
   FROM rj2)"""
+
+
+V_POD = """
+vp0 AS (SELECT s.*, n.n_name, lower(replace(n.n_name, ' ', '-')) AS svc FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey),
+v_pod AS (
+  SELECT 'ns-' || CAST(s_nationkey % 3 AS VARCHAR) AS namespace, svc || '-' || CAST(s_suppkey AS VARCHAR) AS pod,
+         CASE WHEN s_suppkey % 7 = 0 THEN 'Pending' WHEN s_suppkey % 17 = 0 THEN NULL ELSE 'Running' END AS phase,
+         CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE strftime(make_timestamp((1704067200 + s_suppkey * 3600) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS start_time,
+         svc, CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'b' END AS tier,
+         CASE WHEN s_suppkey % 13 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN ['istio-proxy'] WHEN s_suppkey % 5 = 1 THEN ['app', 'istio-proxy']
+              ELSE ['app', 'worker'] END AS containers,
+         CAST(s_suppkey % 4 AS INTEGER) AS app_restarts
+  FROM vp0),
+v_service AS (
+  SELECT lower(replace(n_name, ' ', '-')) AS service, n_nationkey AS ord, 'ns-' || CAST(n_nationkey % 3 AS VARCHAR) AS namespace,
+         CASE WHEN n_nationkey % 2 = 0 THEN 'name_contains' ELSE 'label' END AS mode, lower(replace(n_name, ' ', '-')) AS value
+  FROM nation),
+pe AS (
+  SELECT p.*, coalesce(phase, 'Running') AS ph,
+         CAST(coalesce(start_time, '2000-01-01T00:00:00+00:00') AS TIMESTAMPTZ) AS st,
+         CASE WHEN len(coalesce(containers, [])) > 0 THEN containers ELSE ['app'] END AS cs FROM v_pod p),
+pc AS (
+  SELECT *, CASE WHEN len(list_filter(cs, lambda c: c NOT IN ('istio-proxy', 'linkerd-proxy', 'vault-agent'))) = 0 THEN cs
+                 ELSE list_filter(cs, lambda c: c NOT IN ('istio-proxy', 'linkerd-proxy', 'vault-agent')) END AS kept FROM pe WHERE ph <> 'Pending'),
+pcont AS (SELECT namespace, pod, st, svc, tier, app_restarts, unnest(kept) AS container FROM pc),
+pm AS (
+  SELECT s.service, s.ord, c.* FROM pcont c JOIN v_service s ON s.namespace = c.namespace
+   AND ((s.mode = 'name_contains' AND contains(c.pod, s.value)) OR (s.mode = 'label' AND c.svc = s.value AND c.tier = 'a'))),
+pr AS (
+  SELECT service, ord, namespace, pod, st, row_number() OVER (PARTITION BY service ORDER BY st DESC NULLS LAST, pod) AS rank,
+         count(*) OVER (PARTITION BY service) AS n
+  FROM (SELECT DISTINCT service, ord, namespace, pod, st FROM pm))"""

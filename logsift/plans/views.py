@@ -330,3 +330,37 @@ def v_text_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.where(F.trim(F.col("message")) != "").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("flow_id"), F.col("seq").cast("bigint").alias("seq"),
         F.lpad(F.col("seq").cast("string"), 8, "0").alias("timestamp"), "message")
+
+
+def v_pod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pod inventory: one pod per supplier, named after its nation."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey")
+    svc = F.lower(F.regexp_replace("n_name", " ", "-"))
+    containers = (F.when(k % 13 == 0, F.lit(None).cast("array<string>"))
+                  .when(k % 5 == 0, F.array(F.lit("istio-proxy")))
+                  .when(k % 5 == 1, F.array(F.lit("app"), F.lit("istio-proxy")))
+                  .otherwise(F.array(F.lit("app"), F.lit("worker"))))
+    start = F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(
+        F.date_format(F.timestamp_seconds(F.lit(1704067200) + k * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return s.select(
+        F.concat(F.lit("ns-"), (F.col("s_nationkey") % 3).cast("string")).alias("namespace"),
+        F.concat(svc, F.lit("-"), k.cast("string")).alias("pod"),
+        F.when(k % 7 == 0, "Pending").when(k % 17 == 0, F.lit(None).cast("string")).otherwise("Running").alias("phase"),
+        start.alias("start_time"),
+        F.create_map(F.lit("app"), svc, F.lit("tier"), F.when(k % 2 == 0, "a").otherwise("b")).alias("labels"),
+        containers.alias("containers"),
+        F.create_map(F.lit("app"), (k % 4).cast("int")).alias("restart_counts"))
+
+
+def v_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured services: one per nation; even ones match pods by name,
+    odd ones by label selector."""
+    n = table(spark, sf_dir, "nation")
+    svc = F.lower(F.regexp_replace("n_name", " ", "-"))
+    mode = F.when(F.col("n_nationkey") % 2 == 0, "name_contains").otherwise("label")
+    return n.select(svc.alias("service"), F.col("n_nationkey").alias("ord"),
+                    F.concat(F.lit("ns-"), (F.col("n_nationkey") % 3).cast("string")).alias("namespace"),
+                    mode.alias("mode"), svc.alias("value"),
+                    F.when(mode == "label", F.create_map(F.lit("app"), svc, F.lit("tier"), F.lit("a")))
+                    .alias("selector"))

@@ -1,6 +1,6 @@
 """Imports every query module so the registry is filled."""
 
-from logsift.plans import q_deadletter, q_evidence, q_intake, q_lines, q_outcomes, q_pods, q_rules, q_templates  # noqa: F401
+from logsift.plans import q_deadletter, q_evidence, q_fetch, q_intake, q_lines, q_outcomes, q_pods, q_rules, q_templates  # noqa: F401
 from logsift.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -364,3 +364,23 @@ def v_service(spark: SparkSession, sf_dir: str) -> DataFrame:
                     mode.alias("mode"), svc.alias("value"),
                     F.when(mode == "label", F.create_map(F.lit("app"), svc, F.lit("tier"), F.lit("a")))
                     .alias("selector"))
+
+
+def v_status_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case status events over time, one small history per order."""
+    o = table(spark, sf_dir, "orders")
+    k, t0 = F.col("o_orderkey"), F.col("o_orderdate")
+    cid = F.concat(F.lit("EV"), k.cast("string"))
+
+    def ev(offset_min, status, cond=None):
+        df = o if cond is None else o.where(cond)
+        return df.select(cid.alias("case_id"), (t0 + F.expr(f"INTERVAL {offset_min} MINUTES")).alias("status_at"),
+                         status.alias("status") if not isinstance(status, str) else F.lit(status).alias("status"))
+    term = F.when(k % 4 == 0, "COMPLETED").when(k % 4 == 1, "REJECTED").otherwise("NEEDS_MANUAL_REVIEW")
+    parts = [ev(0, "LOGS_FETCHED"), ev(1, "IN_PROGRESS"),
+             ev(3, "FAILED_TIMEOUT", k % 9 == 0), ev(5, term, k % 6 != 5),
+             ev(7, "LOGS_FETCHED", k % 8 == 0), ev(8, "DLQ", k % 25 == 0)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

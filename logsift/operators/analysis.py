@@ -74,4 +74,6 @@ def analyse_cases(cases: DataFrame, lines: DataFrame, agent: DataFrame | None =
                        "reused": reuse})
     c = P.dlt_confidence(c.drop("final_action", "final_confidence", "ceilings_applied", "_rec", "_rec_f"))
     c = P.replay_gate(c, enabled=replay_enabled)
-    return c.withColumn("terminal_status", P.terminal_status(F.col("final_action")))
+    c = c.withColumn("terminal_status", P.terminal_status(F.col("final_action")))
+    # Roll-ups, casebooks and reports all branch from this table.
+    return _mat(c) if materialize else c

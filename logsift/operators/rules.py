@@ -63,8 +63,9 @@ def rules_for_cases(cases: DataFrame, rules: DataFrame, code: str = "reason_code
     keep = (F.col("_target").isNull() | ~parsed | F.coalesce(rtype, F.lit("")).__eq__("")
             | (rtype == F.col("_target")))
     j = j.withColumn("_keep", F.coalesce(keep, F.lit(True)))
-    any_keep = j.groupBy("event_id").agg(F.bool_or("_keep").alias("_any_keep"))
-    return (j.join(any_keep, "event_id").where(F.col("_keep") | ~F.col("_any_keep"))
+    # rows per case = rules for one code (a handful), so this window is bounded
+    any_keep = F.max(F.col("_keep").cast("int")).over(Window.partitionBy("event_id")) == 1
+    return (j.withColumn("_any_keep", any_keep).where(F.col("_keep") | ~F.col("_any_keep"))
             .drop("_keep", "_any_keep", "_target").withColumnRenamed("_rule_code", "matched_code"))
 
 

@@ -702,7 +702,7 @@ v_shadow2 AS (
 
 V_RULE = """
 v_rule AS (
-  SELECT CASE WHEN p_partkey % 100 < 2 THEN ['RC_URGENT', 'RC_HIGH', 'RC_MEDIUM', 'RC_NOT_SPECIFIED', 'RC_LOW'][(p_partkey // 100) % 5 + 1]
+  SELECT CASE WHEN p_partkey <= 40 THEN ['RC_URGENT', 'RC_HIGH', 'RC_MEDIUM', 'RC_NOT_SPECIFIED', 'RC_LOW'][p_partkey % 5 + 1]
               ELSE 'RC_PART_' || CAST(p_partkey AS VARCHAR) END AS reject_reason_code,
          p_name AS rule_description, p_size % 7 <> 0 AS is_active,
          CASE p_partkey % 6 WHEN 0 THEN '{"statement":{"Condition":{"StringEquals":{"enrolmentType":"UPDATE"}}}}'
@@ -717,7 +717,7 @@ V_RUNBOOK = f"""
 v_runbook AS (
   SELECT 'RB_' || CAST(p_partkey AS VARCHAR) AS runbook_id,
          CASE WHEN p_size % 9 = 0 THEN '2.0' ELSE '1.1' END AS schema_version,
-         CASE WHEN p_partkey % 100 < 10 THEN ['RC_URGENT', 'RC_HIGH', 'RC_MEDIUM', 'RC_NOT_SPECIFIED', 'RC_LOW'][(p_partkey // 100) % 5 + 1]
+         CASE WHEN p_partkey <= 200 THEN ['RC_URGENT', 'RC_HIGH', 'RC_MEDIUM', 'RC_NOT_SPECIFIED', 'RC_LOW'][(p_partkey // 7) % 5 + 1]
               ELSE 'RC_PART_' || CAST(p_partkey AS VARCHAR) END AS reason_code,
          ['NEW', 'UPDATE', 'ANY', ' update ', NULL][p_partkey % 5 + 1] AS enrolment_type,
          CASE WHEN p_size % 4 = 0 THEN 'draft' ELSE 'final' END AS status,

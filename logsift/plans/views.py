@@ -261,11 +261,12 @@ CODES5 = ["RC_URGENT", "RC_HIGH", "RC_MEDIUM", "RC_NOT_SPECIFIED", "RC_LOW"]
 
 
 def v_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules table: one rule per part; 2% carry the casebooks' reason codes."""
+    """Rules table: one rule per part; the first 40 carry the casebooks'
+    reason codes (8 rules per code at every scale), the rest other codes."""
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     codes = F.array(*[F.lit(c) for c in CODES5])
-    code = F.when(k % 100 < 2, F.element_at(codes, ((k / 100).cast("bigint") % 5 + 1).cast("int"))) \
+    code = F.when(k <= 40, F.element_at(codes, (k % 5 + 1).cast("int"))) \
         .otherwise(F.concat(F.lit("RC_PART_"), k.cast("string")))
     et = (F.when(k % 6 == 0, F.lit('{"statement":{"Condition":{"StringEquals":{"enrolmentType":"UPDATE"}}}}'))
           .when(k % 6 == 1, F.lit('{"statement":{"Condition":{"StringEquals":{"enrolmentType":"ENROLMENT"}}}}'))
@@ -278,12 +279,13 @@ def v_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_runbook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runbooks (drafts and finals): one per part; 10% for the casebook codes."""
+    """Runbooks (drafts and finals): one per part; the first 200 are for the
+    casebook codes (a constant number per code at every scale)."""
     p = table(spark, sf_dir, "part")
     k, sz = F.col("p_partkey"), F.col("p_size")
     codes = F.array(*[F.lit(c) for c in CODES5])
     acts = F.array(*[F.lit(a) for a in ACTIONS6])
-    code = F.when(k % 100 < 10, F.element_at(codes, ((k / 100).cast("bigint") % 5 + 1).cast("int"))) \
+    code = F.when(k <= 200, F.element_at(codes, ((k / 7).cast("bigint") % 5 + 1).cast("int"))) \
         .otherwise(F.concat(F.lit("RC_PART_"), k.cast("string")))
     et = F.element_at(F.array(F.lit("NEW"), F.lit("UPDATE"), F.lit("ANY"), F.lit(" update "), F.lit(None).cast("string")),
                       (k % 5 + 1).cast("int"))

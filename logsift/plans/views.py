@@ -15,7 +15,8 @@ RFC3339_US = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from logsift.session import ensure_parallelism
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _cents(c):

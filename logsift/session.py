@@ -81,3 +81,19 @@ def materialize(df, eager: bool = True):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Spread a scan that yields fewer splits than the cluster's parallelism.
+
+    A small table stored as one file with one row group scans as a single
+    task, and every row-wise stage after it (parsing, regex, hashing) would
+    run single-threaded until the first shuffle.  Large inputs made of many
+    files already have enough splits and are returned untouched.  Filters and
+    column pruning still reach the scan below the repartition.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

@@ -112,3 +112,73 @@ def code_descriptions(spark, sf_dir):
     """Reason code -> published description (default text on a miss)."""
     codes = v_casebook(spark, sf_dir).select(F.col("reason_code").alias("code")).distinct()
     return R.describe_codes(codes, reason_codes(spark))
+
+
+_SRC_SQL = """
+WITH src AS (
+  SELECT 'Codes.java' AS file, p_partkey AS line_no,
+    CASE WHEN p_partkey % 50 = 1 THEN '// ## Stage ' || CAST(p_partkey // 50 AS VARCHAR) || ' :: DONE'
+         WHEN p_partkey % 10 = 2 THEN '// Section ' || CAST(p_partkey // 10 AS VARCHAR)
+         WHEN p_partkey % 37 = 3 THEN '// ' || e
+         WHEN p_partkey = 1000 THEN '    private static Map tempMap = new HashMap<>();'
+         WHEN p_partkey > 1000 THEN m ELSE e END AS line
+  FROM (SELECT *, '    CODE_' || CAST(p_partkey % 700 AS VARCHAR) || '("CODE_' || CAST(p_partkey % 700 AS VARCHAR) || '", "'
+                  || replace(p_name, '"', '') || '", ReasonCategory.' || ['BUSINESS_VALIDATION_ERROR', 'BUSINESS_EXCEPTION', 'TECHNICAL_EXCEPTION'][p_partkey % 3 + 1] || '),' AS e,
+               '        tempMap.put(' || ['17', '37', '12', '23'][p_partkey % 4 + 1] || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0')
+                  || ', new ReasonCode("CODE_' || CAST(p_partkey % 700 AS VARCHAR) || '", "' || replace(p_name, '"', '') || '"));' AS m
+        FROM part)),
+s1 AS (
+  SELECT *, trim(line) AS st, CASE WHEN contains(line, 'tempMap = new HashMap') THEN 1 ELSE 0 END AS is_marker FROM src),
+s2 AS (
+  SELECT *, coalesce(sum(is_marker) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mb FROM s1),
+s3 AS (
+  SELECT *, is_marker = 1 AND mb = 0 AS first_marker, CASE WHEN mb > 0 OR (is_marker = 1 AND mb = 0) THEN 1 ELSE 0 END AS blk,
+         starts_with(st, '//') AS is_comment,
+         starts_with(st, '//') AND (contains(st, 'tempMap.put') OR regexp_matches(regexp_replace(st, '^/+', ''), '^\\s*([A-Z][A-Z0-9_]*)\\s*\\(\\s*"([^"]+)"\\s*,\\s*"([^"]*)"\\s*,\\s*((?:Error)?ReasonCategory)\\.([A-Z_]+)\\s*\\)')) AS commented,
+         regexp_extract(st, '^//\\s*##\\s*(.+?)\\s*$', 1) AS stage_txt FROM s2),
+s4 AS (
+  SELECT *, CASE WHEN is_comment AND NOT commented AND stage_txt <> '' THEN trim(split_part(trim(stage_txt), '::', 1)) END AS stage_set,
+            CASE WHEN is_comment AND NOT commented AND stage_txt = '' THEN trim(split_part(trim(regexp_replace(st, '^/+', '')), '::', 1)) END AS section_set,
+            first_marker OR is_comment AS skip FROM s3),
+s5 AS (
+  SELECT *, sum(CASE WHEN stage_set IS NOT NULL OR first_marker THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS seg FROM s4),
+s6 AS (
+  SELECT *, coalesce(last_value(stage_set IGNORE NULLS) OVER (PARTITION BY file, blk ORDER BY line_no ROWS UNBOUNDED PRECEDING), '') AS stage,
+            coalesce(last_value(section_set IGNORE NULLS) OVER (PARTITION BY file, seg ORDER BY line_no ROWS UNBOUNDED PRECEDING), '') AS section
+  FROM s5),
+body AS (SELECT * FROM s6 WHERE NOT skip),
+en AS (
+  SELECT regexp_extract(line, '^\\s*([A-Z][A-Z0-9_]*)\\s*\\(\\s*"([^"]+)"\\s*,\\s*"([^"]*)"\\s*,\\s*((?:Error)?ReasonCategory)\\.([A-Z_]+)\\s*\\)', 2) AS code,
+         trim(regexp_extract(line, '^\\s*([A-Z][A-Z0-9_]*)\\s*\\(\\s*"([^"]+)"\\s*,\\s*"([^"]*)"\\s*,\\s*((?:Error)?ReasonCategory)\\.([A-Z_]+)\\s*\\)', 3)) AS description,
+         regexp_extract(line, '^\\s*([A-Z][A-Z0-9_]*)\\s*\\(\\s*"([^"]+)"\\s*,\\s*"([^"]*)"\\s*,\\s*((?:Error)?ReasonCategory)\\.([A-Z_]+)\\s*\\)', 5) AS category,
+         stage, section, line_no
+  FROM body WHERE regexp_matches(line, '^\\s*([A-Z][A-Z0-9_]*)\\s*\\(\\s*"([^"]+)"\\s*,\\s*"([^"]*)"\\s*,\\s*((?:Error)?ReasonCategory)\\.([A-Z_]+)\\s*\\)')),
+mp AS (
+  SELECT regexp_extract(line, '^\\s*tempMap\\.put\\(\\s*(\\d+)\\s*,\\s*new ReasonCode\\(\\s*"([^"]+)"\\s*,\\s*"([^"]*)"\\s*\\)\\s*\\)', 2) AS code,
+         trim(regexp_extract(line, '^\\s*tempMap\\.put\\(\\s*(\\d+)\\s*,\\s*new ReasonCode\\(\\s*"([^"]+)"\\s*,\\s*"([^"]*)"\\s*\\)\\s*\\)', 3)) AS description,
+         regexp_extract(line, '^\\s*tempMap\\.put\\(\\s*(\\d+)\\s*,\\s*new ReasonCode\\(\\s*"([^"]+)"\\s*,\\s*"([^"]*)"\\s*\\)\\s*\\)', 1) AS numeric_id,
+         stage, section, line_no
+  FROM body WHERE regexp_matches(line, '^\\s*tempMap\\.put\\(\\s*(\\d+)\\s*,\\s*new ReasonCode\\(\\s*"([^"]+)"\\s*,\\s*"([^"]*)"\\s*\\)\\s*\\)')),
+e AS (SELECT code, arg_max({'d': description, 'c': category, 's': stage, 'x': section}, line_no) AS r FROM en GROUP BY code),
+m AS (SELECT code, arg_min({'d': description, 'n': numeric_id, 's': stage, 'x': section}, line_no) AS r,
+             arg_max(numeric_id, line_no) AS last_id FROM mp GROUP BY code),
+j AS (SELECT coalesce(e.code, m.code) AS code, e.r AS er, m.r AS mr, m.last_id,
+             CASE substr(m.r.n, 1, 2) WHEN '17' THEN 'BUSINESS_EXCEPTION' WHEN '37' THEN 'TECHNICAL_EXCEPTION'
+                  WHEN '12' THEN 'TECHNICAL_EXCEPTION' ELSE '' END AS inferred
+      FROM e FULL OUTER JOIN m ON e.code = m.code),
+k AS (SELECT *, CASE WHEN er IS NOT NULL THEN er.c ELSE inferred END AS category FROM j)
+SELECT code, CASE WHEN er IS NOT NULL THEN er.d ELSE mr.d END AS description, category,
+       CASE WHEN er IS NOT NULL THEN 'declared' WHEN inferred <> '' THEN 'inferred' ELSE '' END AS category_source,
+       CASE category WHEN 'BUSINESS_VALIDATION_ERROR' THEN 'A' WHEN 'BUSINESS_EXCEPTION' THEN 'A' WHEN 'TECHNICAL_EXCEPTION' THEN 'C' ELSE '' END AS failure_class,
+       CASE WHEN er IS NOT NULL THEN er.s ELSE mr.s END AS stage, CASE WHEN er IS NOT NULL THEN er.x ELSE mr.x END AS section,
+       coalesce(last_id, '') AS numeric_id
+FROM k"""
+
+
+@query("codes_from_source", _SRC_SQL)
+def codes_from_source(spark, sf_dir):
+    """Reason-code catalog extracted from source text: declared enum rows,
+    inferred id-map rows, carried stage/section context, merged on code."""
+    from logsift.operators.catalogs import codes_from_source as cfs
+    from logsift.plans.views import v_code_source
+    return cfs(v_code_source(spark, sf_dir)).drop("_order")

@@ -387,3 +387,26 @@ def v_status_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def v_code_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Java-like reason-code source derived from ``part``: stage and section
+    comments, enum rows with declared categories, commented-out rows, then
+    the id-keyed map block (some codes repeat the enum's)."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    code = F.concat(F.lit("CODE_"), (k % 700).cast("string"))
+    cats = F.array(F.lit("BUSINESS_VALIDATION_ERROR"), F.lit("BUSINESS_EXCEPTION"), F.lit("TECHNICAL_EXCEPTION"))
+    prefixes = F.array(F.lit("17"), F.lit("37"), F.lit("12"), F.lit("23"))
+    desc = F.regexp_replace(F.col("p_name"), '"', "")
+    enum_line = F.concat(F.lit("    "), code, F.lit('("'), code, F.lit('", "'), desc, F.lit('", ReasonCategory.'),
+                         F.element_at(cats, (k % 3 + 1).cast("int")), F.lit("),"))
+    map_line = F.concat(F.lit("        tempMap.put("), F.element_at(prefixes, (k % 4 + 1).cast("int")),
+                        F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(', new ReasonCode("'), code, F.lit('", "'),
+                        desc, F.lit('"));'))
+    line = (F.when(k % 50 == 1, F.concat(F.lit("// ## Stage "), (k / 50).cast("bigint").cast("string"), F.lit(" :: DONE")))
+            .when(k % 10 == 2, F.concat(F.lit("// Section "), (k / 10).cast("bigint").cast("string")))
+            .when(k % 37 == 3, F.concat(F.lit("// "), enum_line))
+            .when(k == 1000, F.lit("    private static Map tempMap = new HashMap<>();"))
+            .when(k > 1000, map_line).otherwise(enum_line))
+    return p.select(F.lit("Codes.java").alias("file"), k.alias("line_no"), line.alias("line"))

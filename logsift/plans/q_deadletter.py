@@ -365,3 +365,26 @@ def dlt_fleet_stats(spark, sf_dir):
     return out.select("cases", "signatures", "class_a", "class_b", "class_c", "class_u", "discrepancies",
                       "class_a_groups", F.round(llm_calls_avoided(F.col("class_a"), F.col("class_a_groups")), 4)
                       .alias("llm_calls_avoided"))
+
+
+@query("dlt_casebooks")
+def dlt_casebooks(spark, sf_dir):
+    """Terminal DLT casebooks with the bounded evidence document and the
+    payload summary, flattened for checking."""
+    from logsift.operators import casebooks as CB
+    from pyspark.sql import types as T
+    a = dlt_analysis_df(spark, sf_dir)
+    a = a.withColumn("logs_text", F.lit(None).cast("string"))
+    cand = T.StructType([T.StructField("candidateRefId", T.StringType()), T.StructField("score", T.IntegerType())])
+    ddl = ("response STRUCT<refId: STRING, results: STRUCT<referenceId: STRING, matches: ARRAY<STRUCT<engine: STRING, "
+           "candidates: ARRAY<STRUCT<candidateRefId: STRING, score: INT>>>>>>")
+    spec = {"schema_ddl": ddl, "matchers": "response.results.matches",
+            "engine": "engine", "candidates": "candidates", "candidate_type": T.ArrayType(cand)}
+    from logsift.plans.dlt_fixture import TYPE_A
+    s = CB.payload_summary(a, typed={TYPE_A: spec})
+    books = CB.dlt_casebook(s)
+    return books.join(s.select("case_id", "payload_keys", "candidate_total",
+                               CB.evidence_document(s).alias("evidence")), "case_id").select(
+        "case_id", "status", F.col("casebook.finding.action").alias("action"),
+        F.col("casebook.reuse.decision").alias("decision"), F.array_join("payload_keys", ",").alias("payload_keys"),
+        "candidate_total", F.length("evidence").alias("evidence_chars"))

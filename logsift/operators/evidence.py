@@ -113,14 +113,22 @@ def route_flows(profile: DataFrame, full_below: int = FULL_TRACE_BELOW) -> DataF
 
 def reduce_evidence(lines: DataFrame, before: int = ERROR_CONTEXT_BEFORE, after: int = ERROR_CONTEXT_AFTER,
                     full_below: int = FULL_TRACE_BELOW, flow: str = "flow_id",
-                    order: Sequence[str] = ORDER) -> DataFrame:
+                    order: Sequence[str] = ORDER, materialize: bool = True) -> DataFrame:
     """The reduced evidence line table for every flow.
 
     Output: flow_id, route, section, ts, line_id, line.  ``full`` flows keep
     every line; ``error_context`` flows keep the error block with ``***``
     markers; ``reduced`` flows keep boundaries and decision-vocabulary lines
     (their template clusters come from the template operators).
+
+    The prepared lines feed every branch (profile, bounds, three routes), so
+    by default they are written once to the reliable checkpoint folder
+    instead of being re-derived (and re-redacted) per branch.
     """
+    if materialize:
+        from logsift.session import materialize as _mat
+        keep = [c for c in (flow, *order, "timestamp", "app_name", "pod_name", "level", "message") if c in lines.columns]
+        lines = _mat(lines.select(*keep))
     prof = route_flows(flow_profile(lines, flow, order), full_below)
     routes = prof.select(flow, "route", "n_lines", "n_errors", "_first_err", "_last_err")
     rendered = trace_line(F.col("timestamp"), F.col("app_name"), F.col("pod_name"),

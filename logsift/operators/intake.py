@@ -89,3 +89,17 @@ def eligibility(messages: DataFrame, terminal_ids: DataFrame, id_col: str = "eve
 def narrow_payload(messages: DataFrame) -> DataFrame:
     """The four payload fields the analysis reads (nested pruning applies)."""
     return messages.select("eventId", "flowMetaData", "packetMetaData", "packetExecutionSummary")
+
+
+def lookup_residents(keys: DataFrame, residents: DataFrame, srn: str = "srn", uid: str = "uid") -> DataFrame:
+    """Resident rows per request: by SRN first, else by UID (two equi-joins,
+    the SRN match taking priority)."""
+    r = residents.select([F.col(c).alias(f"r_{c}") for c in residents.columns])
+    by_srn = keys.join(r, keys[srn].isNotNull() & (keys[srn] == F.col(f"r_{srn}")), "left") \
+        .withColumn("_hit", F.col(f"r_{srn}").isNotNull())
+    has_srn = by_srn.where("_hit").select(*keys.columns).distinct()
+    rest = keys.join(has_srn, list(keys.columns), "left_anti")
+    by_uid = rest.join(r, rest[uid].isNotNull() & (rest[uid] == F.col(f"r_{uid}")), "left") \
+        .withColumn("matched_by", F.when(F.col(f"r_{uid}").isNotNull(), F.lit("uid")))
+    return (by_srn.where("_hit").drop("_hit").withColumn("matched_by", F.lit("srn"))
+            .unionByName(by_uid, allowMissingColumns=True))

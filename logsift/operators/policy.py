@@ -261,3 +261,19 @@ def validate_learning_rule(rule: Column) -> Column:
     fence = F.array_compact(F.array(F.when(t.contains("```"), F.lit("Contains a fenced code block."))))
     return F.when(t == "", F.array(F.lit("Rule is empty."))).otherwise(
         F.concat(base, inj, fence, validate_generic_text(t)))
+
+
+# --- fixed values (must equal the behaviour being matched) -----------------
+REPLAY_ID_TYPE = "REFID"
+REPLAY_OPERATOR = "dlt-analysis-auto"
+REPLAY_CATEGORY = "DLT_REDRIVE"
+REPLAY_PRIORITY = 5
+# ---------------------------------------------------------------------------
+
+
+def replay_nominations(cases: DataFrame, id_col: str = "ref_id") -> DataFrame:
+    """Replay-queue rows for cases that cleared the gate."""
+    return cases.where(F.col("should_replay")).select(
+        "case_id", F.col(id_col).alias("id"), F.lit(REPLAY_ID_TYPE).alias("idType"),
+        F.lit(REPLAY_PRIORITY).alias("priority"), F.lit(REPLAY_OPERATOR).alias("operatorName"),
+        F.lit(REPLAY_CATEGORY).alias("category"), F.lit(False).alias("fromSedaStart"))

@@ -171,3 +171,8 @@ def describe_codes(codes: DataFrame, catalog: DataFrame, code: str = "code") ->
     cat = F.broadcast(catalog.select(F.col("code").alias("_c"), F.col("description").alias("_d")))
     j = codes.join(cat, codes[code] == F.col("_c"), "left")
     return j.withColumn("description", F.coalesce(F.col("_d"), F.lit(UNKNOWN_ERROR))).drop("_c", "_d")
+
+
+def serve_allowed(code: Column, allowlist: Sequence[str] | None) -> Column:
+    """Runbook serving allow-list: unset means every code may be served."""
+    return F.lit(True) if allowlist is None else F.coalesce(code.isin(*allowlist), F.lit(False))

@@ -647,7 +647,8 @@ v_casebook AS (
          CASE WHEN shadow_id IS NOT NULL THEN {_ACTS6}[(o_orderkey // 7) % 6 + 1] END AS shadow_action,
          shadow_id AS shadow_runbook_id,
          CASE WHEN shadow_id IS NOT NULL THEN {_ACTS6}[(o_orderkey // 7) % 6 + 1] = action END AS shadow_agreed,
-         'pf-' || CAST(o_orderkey % 3 AS VARCHAR) AS prompt_fingerprint, o_orderdate AS updated_at, o_custkey AS customer
+         'pf-' || CAST(o_orderkey % 3 AS VARCHAR) AS prompt_fingerprint, o_orderdate AS updated_at, o_custkey AS customer,
+         CASE WHEN o_orderkey % 17 = 0 THEN 'ESCALATED TO HUMAN REVIEW: low confidence' ELSE 'resolved' END AS synthesis
   FROM cb1)"""
 
 V_VERDICT = f"""

@@ -388,3 +388,15 @@ def dlt_casebooks(spark, sf_dir):
         "case_id", "status", F.col("casebook.finding.action").alias("action"),
         F.col("casebook.reuse.decision").alias("decision"), F.array_join("payload_keys", ",").alias("payload_keys"),
         "candidate_total", F.length("evidence").alias("evidence_chars"))
+
+
+@query("replay_nominations", _DEC_VIEWS + """
+SELECT case_id, ref_id AS id, 'REFID' AS idType, 5 AS priority, 'dlt-analysis-auto' AS operatorName,
+       'DLT_REDRIVE' AS category, false AS fromSedaStart
+FROM v_decisions
+WHERE final_action IN ('REDRIVE_AFTER_RECOVERY') AND final_confidence IS NOT NULL AND final_confidence >= 0.55
+  AND coalesce(ref_id, '') <> ''""")
+def replay_nominations(spark, sf_dir):
+    """Replay-queue rows for the cases that cleared the replay gate."""
+    from logsift.operators.policy import replay_nominations as nominate
+    return nominate(dlt_analysis_df(spark, sf_dir))

@@ -55,3 +55,12 @@ FROM rendered WHERE n_lines >= 50 AND has_err IS NULL AND regexp_matches(message
 def reduced_evidence(spark, sf_dir):
     """Flagship: records -> level -> redaction -> route -> evidence lines."""
     return evidence.reduce_evidence(prepared_log(spark, sf_dir), before=CTX_BEFORE, after=CTX_AFTER)
+
+
+@query("redaction_totals", ov.with_views(ov.V_LOG, ov.V_REC) + """
+SELECT label, CAST(sum(n) AS BIGINT) AS redacted FROM (
+  SELECT 'VID' AS label, c_vid AS n FROM v_rec UNION ALL SELECT 'AADHAAR', c_aadhaar FROM v_rec
+  UNION ALL SELECT 'MOBILE', c_mob FROM v_rec UNION ALL SELECT 'EMAIL', c_email FROM v_rec) WHERE n > 0 GROUP BY label""")
+def redaction_totals(spark, sf_dir):
+    """Redaction hits per pattern label over every log record."""
+    return records.redaction_totals(prepared_log(spark, sf_dir))

@@ -182,3 +182,17 @@ def codes_from_source(spark, sf_dir):
     from logsift.operators.catalogs import codes_from_source as cfs
     from logsift.plans.views import v_code_source
     return cfs(v_code_source(spark, sf_dir)).drop("_order")
+
+
+@query("casebook_groups", ov.with_views(ov.V_CASEBOOK) + """
+, clean AS (SELECT *, upper(trim(enrolment_type)) AS t FROM v_casebook
+            WHERE status IN ('COMPLETED', 'REJECTED') AND NOT contains(coalesce(synthesis, ''), 'ESCALATED TO HUMAN REVIEW')
+              AND reason_code IS NOT NULL AND enrolment_type IS NOT NULL),
+g AS (SELECT reason_code, t AS enrolment_type, count(*) AS samples,
+             array_to_string(list_sort(list(event_id ORDER BY event_id)[1:5]), ',') AS example_ids FROM clean GROUP BY ALL)
+SELECT * FROM g WHERE samples >= 3""")
+def casebook_groups(spark, sf_dir):
+    """Clean terminal casebooks grouped by (code, type) with >= 3 samples and
+    five example ids (the drafting input; drafting itself is a model call)."""
+    g = R.group_casebooks(v_casebook(spark, sf_dir))
+    return g.select("reason_code", "enrolment_type", "samples", F.array_join("example_ids", ",").alias("example_ids"))

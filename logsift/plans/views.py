@@ -160,11 +160,12 @@ def v_deadletter(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (F.when(eid % 5 == 0, F.lit(None).cast("string"))
            .when(eid % 5 == 1, F.lit("bad key!"))
            .otherwise(ref))
-    return ev.select(
+    out = ev.select(
         F.lit("enrolment.requests.dlt").alias("dlt_topic"), (eid % 4).cast("int").alias("dlt_partition"),
         eid.alias("dlt_offset"), F.timestamp_millis(ms + (eid % 600) * 1000 + 250).alias("dlt_timestamp"),
         key.alias("key"),
         hdr.alias("headers"), payload.alias("payload"), F.col("ts"), uid.alias("user_id"), eid.alias("event_id"))
+    return out
 
 
 def reason_codes(spark: SparkSession) -> DataFrame:
@@ -236,7 +237,8 @@ def v_casebook(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 13 == 0).alias("abstained"), shadow_action.alias("shadow_action"), shadow_id.alias("shadow_runbook_id"),
         F.when(shadow_id.isNotNull(), shadow_action == action).alias("shadow_agreed"),
         F.concat(F.lit("pf-"), (k % 3).cast("string")).alias("prompt_fingerprint"),
-        F.col("o_orderdate").alias("updated_at"), F.col("o_custkey").alias("customer"))
+        F.col("o_orderdate").alias("updated_at"), F.col("o_custkey").alias("customer"),
+        F.when(k % 17 == 0, F.lit("ESCALATED TO HUMAN REVIEW: low confidence")).otherwise(F.lit("resolved")).alias("synthesis"))
 
 
 def v_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:

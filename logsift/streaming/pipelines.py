@@ -108,3 +108,47 @@ def capture_snapshots(spark: SparkSession, snap_dir: str, fetched: DataFrame, ba
     new = insert_if_absent(fetched, existing.drop("batch_id") if existing is not None else None, [key])
     append_batch(new, snap_dir, batch_id)
     return spark.read.parquet(snap_dir).drop("batch_id").join(fetched.select(key).distinct(), key, "left_semi")
+
+
+def start_rejection_ingest(stream: DataFrame, out_dir: str, checkpoint: str, trigger_once: bool = True):
+    """Rejection ingest: valid, eligible messages go to the hand-off table,
+    poison to the dead-letter envelope table, both from one micro-batch; a
+    case already terminal (or seen earlier) is skipped, so redelivery is
+    idempotent."""
+    from logsift.operators import intake as I
+    from logsift.sources.sinks import dlq_envelope
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        good, poison = I.parse_rejections(batch)
+        terminal = read_table(spark, f"{out_dir}/terminal")
+        seen = read_table(spark, f"{out_dir}/handoff_ids")
+        known = terminal.select("event_id") if terminal is not None else None
+        if seen is not None:
+            s = seen.select("event_id")
+            known = s if known is None else known.unionByName(s)
+        term = known if known is not None else spark.createDataFrame([], "event_id string")
+        e = I.eligibility(good.dropDuplicates(["eventId"]), term)
+        ok = e.where(F.col("skip_reason").isNull())
+        append_batch(handoff(I.narrow_payload(ok)), f"{out_dir}/handoff", batch_id)
+        append_batch(ok.select(F.col("eventId").alias("event_id")), f"{out_dir}/handoff_ids", batch_id)
+        append_batch(dlq_envelope(poison), f"{out_dir}/dlq", batch_id)
+        append_batch(e.where(F.col("skip_reason").isNotNull()).select("eventId", "skip_reason"),
+                     f"{out_dir}/skipped", batch_id)
+
+    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
+def update_decisions(spark: SparkSession, cases_dir: str, out_dir: str, batch_cases: DataFrame, lines: DataFrame,
+                     agent: DataFrame | None, batch_id: int) -> None:
+    """Stateful reuse decisions per micro-batch: the stored cases of every
+    fingerprint the batch touches are re-analysed together, so the running
+    "recommendation exists" state is exact whatever the batch boundaries."""
+    from logsift.operators.analysis import analyse_cases
+    append_batch(batch_cases, cases_dir, batch_id)
+    touched = batch_cases.select("fingerprint").distinct()
+    allc = spark.read.parquet(cases_dir).drop("batch_id").join(touched, "fingerprint", "left_semi")
+    out = analyse_cases(allc, lines, agent)
+    append_batch(out.drop("chain", "headers"), out_dir, batch_id)

@@ -17,8 +17,11 @@ FAILED_NARRATIVE = ("The analysis produced output that does not satisfy the find
                     "attempt. The verbatim stack trace and logs are attached.")
 
 
-def day_bucket(ts: Column) -> Column:
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / 86400).cast("bigint")
+def time_bucket(ts: Column, seconds: int = 3600) -> Column:
+    """Chunk key for the order-dependent windows: cases of one fingerprint in
+    one hour (bounded by the arrival rate); the carry step then sees one row
+    per (fingerprint, hour)."""
+    return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds).cast("bigint")
 
 
 def analyse_cases(cases: DataFrame, lines: DataFrame, agent: DataFrame | None = None,
@@ -39,7 +42,7 @@ def analyse_cases(cases: DataFrame, lines: DataFrame, agent: DataFrame | None =
     c = C.corroborate(c, cl)
     if materialize:
         c = _mat(c)
-    c = c.withColumn("bucket", day_bucket(F.col(seq)))
+    c = c.withColumn("bucket", time_bucket(F.col(seq)))
     c = G.occurrence_numbers(c, seq)
     if agent is not None:
         c = c.join(agent, "case_id", "left")

@@ -46,11 +46,10 @@ def index_fetch(ids: DataFrame, index: DataFrame, apps: Sequence[str] = (), sinc
     hits = match_ids(src, ids, line="message", key=(line_key,))
     rec = hits.join(src.drop("flow_id"), line_key)
     w = Window.partitionBy("flow_id").orderBy(*[F.col(c) for c in order])
-    ranked = rec.withColumn("_rk", F.row_number().over(w))
-    kept = ranked.where(F.col("_rk") <= cap)
-    over = ranked.where(F.col("_rk") == cap + 1).select("flow_id").withColumn("truncated", F.lit(True))
-    out = kept.drop("_rk").join(over, "flow_id", "left").withColumn(
-        "truncated", F.coalesce(F.col("truncated"), F.lit(False)))
+    kept = rec.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= cap).drop("_rk")
+    over = (hits.groupBy("flow_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
+            .select("flow_id", F.lit(True).alias("truncated")))
+    out = kept.join(over, "flow_id", "left").withColumn("truncated", F.coalesce(F.col("truncated"), F.lit(False)))
     defaults = {"timestamp": DEFAULT_TIME, "level": DEFAULT_LEVEL, "app_name": DEFAULT_APP}
     return out.withColumns({
         **{c: F.coalesce(F.col(c), F.lit(v)) if c in out.columns else F.lit(v) for c, v in defaults.items()},

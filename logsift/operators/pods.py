@@ -164,24 +164,42 @@ def id_tokens(text: Column, shape: str = r"[A-Za-z0-9][A-Za-z0-9_.:-]{3,127}") -
 
 
 def match_ids(lines: DataFrame, ids: DataFrame, line: str = "line", key: Sequence[str] = ("file", "line_no"),
-              case_sensitive: bool = True) -> DataFrame:
+              case_sensitive: bool = True, broadcast_limit: int = 10000) -> DataFrame:
     """Lines containing any of many identifiers: (flow_id, *key) pairs.
 
     Id-shaped identifiers are matched by exploding the line's tokens and
-    equi-joining with the id table (no theta join); identifiers that are not
-    whole tokens fall back to ``contains`` against a broadcast list, which is
-    only used for those few.  An empty id list matches nothing.
+    equi-joining with the id table (no theta join).  Identifiers that are not
+    one token are matched exactly with ``contains``: those that have a
+    token of at least 4 characters are candidates via that (longest) token
+    and then verified; only the residue without any such token -- short,
+    punctuation-only strings -- is broadcast, and only below
+    ``broadcast_limit`` rows (checked, else an error).  An empty id list
+    matches nothing.
     """
     norm = (lambda c: c) if case_sensitive else F.lower
     lines = lines.select(*key, line)
     toks = lines.select(*key, F.explode(id_tokens(norm(F.col(line)))).alias("_tok"))
-    idn = ids.select("flow_id", norm(F.col("identifier")).alias("_tok"))
+    ident = norm(F.col("identifier"))
+    shaped = ident.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.:-]{3,127}$")
+    idn = ids.where(shaped).select("flow_id", ident.alias("_tok"))
     exact = toks.join(idn, "_tok").select("flow_id", *key)
-    shaped = F.col("identifier").rlike(r"^[A-Za-z0-9][A-Za-z0-9_.:-]{3,127}$")
-    odd = ids.where(~shaped)
-    loose = (lines.join(F.broadcast(odd), norm(F.col(line)).contains(norm(F.col("identifier"))))
-             .select("flow_id", *key))
-    return exact.unionByName(loose).distinct()
+    odd = ids.where(~shaped).select("flow_id", ident.alias("_id"))
+    by_len = F.array_sort(F.transform(id_tokens(F.col("_id")),
+                                      lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    longest = F.try_element_at(by_len, F.lit(1))["t"]
+    odd = odd.withColumn("_tok", longest)
+    cand = (toks.join(odd.where(F.col("_tok").isNotNull()), "_tok").join(lines, list(key))
+            .where(norm(F.col(line)).contains(F.col("_id"))).select("flow_id", *key))
+    residue = odd.where(F.col("_tok").isNull()).select("flow_id", "_id")
+    n_res = residue.count()
+    if n_res > broadcast_limit:
+        raise ValueError(f"{n_res} identifiers have no token of 4+ characters; refusing to broadcast them")
+    parts = exact.unionByName(cand)
+    if n_res:
+        loose = (lines.join(F.broadcast(residue), norm(F.col(line)).contains(F.col("_id")))
+                 .select("flow_id", *key))
+        parts = parts.unionByName(loose)
+    return parts.distinct()
 
 
 def match_context(lines: DataFrame, matches: DataFrame, before: int = CONTEXT_BEFORE, after: int = CONTEXT_AFTER,

@@ -114,3 +114,13 @@ def test_catalog_aliases_and_drift(spark):
     assert cat == {"C1": ("second", ""), "C2": ("x", "")}
     assert CA.schema_drift(["a", "b", "extra"], ["a", "b", "c"])["status"] == "DRIFT"
     assert CA.schema_drift(["a"], ["a", "b"], "b")["broken_export"] is True
+
+
+def test_match_ids_odd_identifiers_exact(spark):
+    lines = spark.createDataFrame([(1, "user ab c-12345 done"), (2, "xyz"), (3, "has a b inside"), (4, "glued ID-777x")],
+                                  "line_no int, line string")
+    ids = spark.createDataFrame([("f1", "ab c-12345"), ("f2", "a b"), ("f3", "ID-777x"), ("f4", "ID-777")],
+                                "flow_id string, identifier string")
+    got = sorted((r.flow_id, r.line_no) for r in PO.match_ids(lines, ids, key=("line_no",)).collect())
+    # f4's id is only a substring of a longer token: token semantics do not match it
+    assert got == [("f1", 1), ("f2", 3), ("f3", 4)]

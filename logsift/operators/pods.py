@@ -235,9 +235,9 @@ def rotation_gaps(raw_oldest: DataFrame, requested_start: Column, pod_start: str
     pod_young = F.col(pod_start).isNotNull() & (F.col(pod_start) >= o - F.expr(f"INTERVAL {slack} SECONDS"))
     return raw_oldest.where(o.isNotNull() & late & ~pod_young).select(
         "*", F.lit("LOG_ROTATION").alias("gap_type"),
-        F.concat(F.lit("requested from "), F.date_format(requested_start, "yyyy-MM-dd'T'HH:mm:ssXXX"),
-                 F.lit(", oldest available line is "), F.date_format(o, "yyyy-MM-dd'T'HH:mm:ssXXX"),
-                 F.lit(". Logs before "), F.date_format(o, "yyyy-MM-dd'T'HH:mm:ssXXX"),
+        F.concat(F.lit("requested from "), F.date_format(requested_start, "yyyy-MM-dd'T'HH:mm:ssxxx"),
+                 F.lit(", oldest available line is "), F.date_format(o, "yyyy-MM-dd'T'HH:mm:ssxxx"),
+                 F.lit(". Logs before "), F.date_format(o, "yyyy-MM-dd'T'HH:mm:ssxxx"),
                  F.lit(" were rotated off the node and are unrecoverable.")).alias("detail"))
 
 
@@ -245,8 +245,8 @@ def pod_replaced_gaps(targets: DataFrame, requested_start: Column) -> DataFrame:
     """POD_REPLACED: one per pod that started after the window began."""
     t = targets.where(F.col("start_time") > requested_start).select("pod", "start_time").dropDuplicates(["pod"])
     return t.select(F.lit("POD_REPLACED").alias("gap_type"), F.concat(
-        F.lit("pod "), F.col("pod"), F.lit(" started "), F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ssXXX"),
-        F.lit(", after the requested window began at "), F.date_format(requested_start, "yyyy-MM-dd'T'HH:mm:ssXXX"),
+        F.lit("pod "), F.col("pod"), F.lit(" started "), F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ssxxx"),
+        F.lit(", after the requested window began at "), F.date_format(requested_start, "yyyy-MM-dd'T'HH:mm:ssxxx"),
         F.lit(". An earlier pod served part of this window; its logs are gone.")).alias("detail"), "pod")
 
 

@@ -86,3 +86,21 @@ def pod_read_report(spark, sf_dir):
     return j.groupBy(F.col("pod_name").alias("pod"), F.col("app_name").alias("container")).agg(
         F.count(F.lit(1)).alias("lines"), F.count_if(F.coalesce(F.col("_m"), F.lit(False))).alias("matched_lines"),
         F.sum(F.octet_length("message") + 1).cast("bigint").alias("bytes"))
+
+
+REQUESTED_START = "2024-01-03 00:00:00"
+
+
+@query("pod_replaced_gaps", ov.with_views(ov.V_POD) + f"""
+, t AS (SELECT DISTINCT pod, CAST(st AS TIMESTAMP) AS st FROM pcont),
+s AS (SELECT pod, min(st) AS st FROM t WHERE st > TIMESTAMP '{REQUESTED_START}' GROUP BY pod)
+SELECT 'POD_REPLACED' AS gap_type,
+       'pod ' || pod || ' started ' || strftime(st, '%Y-%m-%dT%H:%M:%S+00:00') || ', after the requested window began at '
+       || strftime(TIMESTAMP '{REQUESTED_START}', '%Y-%m-%dT%H:%M:%S+00:00')
+       || '. An earlier pod served part of this window; its logs are gone.' AS detail, pod
+FROM s""")
+def pod_replaced_gaps(spark, sf_dir):
+    """POD_REPLACED: one gap per eligible pod that started after the window
+    began (an earlier pod's logs are gone)."""
+    pods = PO.eligible_containers(PO.pod_inventory(v_pod(spark, sf_dir)))
+    return PO.pod_replaced_gaps(pods, F.lit(REQUESTED_START).cast("timestamp"))

@@ -96,3 +96,50 @@ def kth_smallest(values: DataFrame, col: str, k: DataFrame, k_col: str = "k", bu
     ranked = inb.withColumn("_upto", F.col("_before") + F.sum("_cnt").over(wr))
     return ranked.where((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_cnt") <= F.col("_k"))) \
         .select(F.col(col).alias("value"))
+
+
+def greedy_segments(df: DataFrame, size: str, group: Sequence[str] | str, chunk: str, order: Sequence[str] | str,
+                    limit: int, out: str = "segment") -> DataFrame:
+    """Greedy byte-budget segmentation, exact and without a per-group scan.
+
+    Rows are written in (chunk, order) order; a new segment starts before a
+    row when the current segment already holds >= ``limit`` bytes.  With S
+    the bytes before a row, the segment starting at row b ends before the
+    first row j with S_j >= S_b + limit.  That "next start" is a rank of
+    S_b + limit among the S values (a running count over starts and targets
+    merged, chunked by byte bucket), and the segment starts are the orbit of
+    row 0 under it, found by pointer doubling: log2(#segments) self-joins,
+    each level written to the checkpoint folder.
+    """
+    from logsift.session import materialize
+    group, order = _as_list(group), _as_list(order)
+    one = df.withColumn("_one", F.lit(1))
+    base = chunked_running_sum(one, "_one", group, chunk, order, out="_idx", inclusive=False).drop("_one")
+    base = chunked_running_sum(base, size, group, chunk, order, out="_S", inclusive=False)
+    base = materialize(base)
+    keys = [*group]
+    starts = base.select(*keys, F.col("_S").alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_ref"))
+    targets = base.select(*keys, (F.col("_S") + F.lit(limit)).alias("_v"), F.lit(0).alias("_kind"),
+                          F.col("_idx").alias("_ref"))
+    merged = starts.unionByName(targets).withColumn("_vb", F.floor(F.col("_v") / F.lit(max(1, limit))))
+    ranked = chunked_running_sum(merged.withColumn("_o", F.struct("_v", "_kind")), "_kind", keys, "_vb", "_o",
+                                 out="_starts_before", inclusive=False)
+    n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    jump = (ranked.where(F.col("_kind") == 0).join(n, keys)
+            .select(*keys, F.col("_ref").alias("_i"),
+                    F.when(F.col("_starts_before") < F.col("_n"), F.col("_starts_before")).alias("_j")))
+    jump = materialize(jump.where(F.col("_j").isNotNull()))
+    visited = materialize(base.where(F.col("_idx") == 0).select(*keys, F.col("_idx").alias("_i")))
+    while True:
+        step = visited.join(jump, [*keys, "_i"]).select(*keys, F.col("_j").alias("_i"))
+        visited = materialize(visited.unionByName(step).distinct())
+        jump = jump.alias("a").join(jump.alias("b"), [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys],
+                                                      F.col("a._j") == F.col("b._i")]) \
+            .select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a._i").alias("_i"), F.col("b._j").alias("_j"))
+        jump = materialize(jump)
+        if jump.limit(1).count() == 0:     # every jump now runs past the end
+            break
+    starts_flag = visited.select(*keys, F.col("_i").alias("_idx"), F.lit(1).alias("_start"))
+    flagged = base.join(starts_flag, [*keys, "_idx"], "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
+    seg = chunked_running_sum(flagged, "_start", group, chunk, order, out=out)
+    return seg.withColumn(out, F.col(out) - 1).drop("_idx", "_S", "_start")

@@ -29,3 +29,22 @@ def test_kth_smallest_exact(spark):
         kdf = spark.createDataFrame([(k,)], "k long")
         got = kth_smallest(df, "x", kdf, buckets=16).collect()
         assert [r.value for r in got] == [sorted(vals)[k]]
+
+
+def test_greedy_segments_match_sequential_writer(spark):
+    from logsift.operators.windows import greedy_segments
+    rnd = random.Random(9)
+    data = []
+    for g in range(3):
+        for i in range(rnd.randint(1, 120)):
+            data.append((g, i // 25, i, rnd.choice([1, 5, 10, 40, 90])))
+    df = spark.createDataFrame(data, "g int, c int, o int, s int")
+    limit = 100
+    got = {(r.g, r.o): r.segment for r in greedy_segments(df, "s", "g", "c", "o", limit).collect()}
+    for g in range(3):
+        seg, used = 0, 0
+        for (gg, c, o, s) in sorted(x for x in data if x[0] == g):
+            if used >= limit:              # the shard is full before this line
+                seg, used = seg + 1, 0
+            assert got[(g, o)] == seg
+            used += s

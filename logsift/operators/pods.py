@@ -294,3 +294,19 @@ def fetch_rollup(per_target: DataFrame, key: Sequence[str] = ("flow_id",)) -> Da
         F.count(F.lit(1)).alias("pods_queried"), F.count_if(~F.col("read_ok")).alias("pods_failed"),
         F.min("oldest_ts").alias("oldest_line"), F.min("start_time").alias("earliest_start"))
     return agg.withColumn("ok", ~((F.col("pods_failed") == F.col("pods_queried")) & (F.col("records") == 0)))
+
+
+def configured_services(spark: SparkSession, *lists: str | None, default: str = "") -> DataFrame:
+    """The service list: the first non-empty comma list among ``lists``
+    (parameters, in priority order), trimmed, de-duplicated with the first
+    occurrence kept; ``default`` when every list is empty."""
+    for raw in lists:
+        names: list[str] = []
+        for name in (n.strip() for n in (raw or "").split(",")):
+            if name and name not in names:
+                names.append(name)
+        if names:
+            break
+    else:
+        names = [default] if default else []
+    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "service string, ord int")

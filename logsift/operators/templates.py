@@ -204,3 +204,12 @@ def render_report(clusters: DataFrame, flow: str = "flow_id") -> DataFrame:
                          F.posexplode(F.slice("examples", 1, 3)).alias("_p", "_e")).select(
         flow, "_o", (F.col("_p") + 2).alias("_k"), F.concat(F.lit("         example: "), F.col("_e")).alias("line"))
     return head.unionByName(seen).unionByName(ex).withColumnsRenamed({"_o": "order_key", "_k": "line_in_block"})
+
+
+def catalog_health(catalog: DataFrame, warn_share: float = BOILERPLATE_WARN_SHARE) -> DataFrame:
+    """Share of catalog templates classified boilerplate, and the warning
+    flag when it exceeds 0.40 (a catalog that hides too much)."""
+    agg = catalog.agg(F.count(F.lit(1)).alias("templates"),
+                      F.count_if(F.col("classification") == "boilerplate").alias("boilerplate"))
+    share = F.when(F.col("templates") > 0, F.col("boilerplate") / F.col("templates")).otherwise(F.lit(0.0))
+    return agg.withColumns({"boilerplate_share": share, "warn": share > warn_share})

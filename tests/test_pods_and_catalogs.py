@@ -124,3 +124,14 @@ def test_match_ids_odd_identifiers_exact(spark):
     got = sorted((r.flow_id, r.line_no) for r in PO.match_ids(lines, ids, key=("line_no",)).collect())
     # f4's id is only a substring of a longer token: token semantics do not match it
     assert got == [("f1", 1), ("f2", 3), ("f3", 4)]
+
+
+def test_configured_services_and_catalog_health(spark):
+    svc = PO.configured_services(spark, "  ", " b, a ,b,, c", "x")
+    assert [(r.service, r.ord) for r in svc.collect()] == [("b", 0), ("a", 1), ("c", 2)]
+    assert [r.service for r in PO.configured_services(spark, None, "", default="d").collect()] == ["d"]
+    from logsift.operators.templates import catalog_health
+    cat = spark.createDataFrame([("t1", "boilerplate"), ("t2", "informative"), ("t3", "boilerplate")],
+                                "template_id string, classification string")
+    h = catalog_health(cat).collect()[0]
+    assert h.boilerplate == 2 and h.warn is True

@@ -48,7 +48,8 @@ def dlt_failures(spark, sf_dir):
     """Trace chain -> root, normalised frames, class A/B/C/U, code, catalog row,
     fingerprint and signature for every record."""
     return dlt_failures_df(spark, sf_dir).select(
-        *FAILURE_COLS, F.array_join("frames", "\n").alias("frames_text"), F.size("chain").alias("chain_depth"))
+        *FAILURE_COLS, F.array_join("frames", "\n").alias("frames_text"),
+        F.size("chain").cast("bigint").alias("chain_depth"))
 
 
 REF_COLS = ["case_id", "record_key", "ref_id", "ref_id_source", "payload_ref_id", "ref_id_mismatch"]
@@ -307,7 +308,8 @@ def dlt_groups(spark, sf_dir):
     g = dlt_groups_df(spark, sf_dir)
     hist = F.array_join(F.transform(F.array_sort(F.map_entries("corroboration_history")),
                                     lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return g.select("fingerprint", "occurrence_count", "first_seen", "last_seen", "signature", "failure_class",
+    return g.select("fingerprint", "occurrence_count", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"),
+                    F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "signature", "failure_class",
                     "business_code", hist.alias("history_text"), F.size("members").cast("bigint").alias("n_members"),
                     F.try_element_at("members", F.lit(-1)).alias("newest_member"),
                     F.try_element_at("members", F.lit(1)).alias("oldest_retained"), "recommendation_state",
@@ -322,7 +324,7 @@ def dlt_top_groups(spark, sf_dir):
     g = dlt_groups_df(spark, sf_dir)
     return (g.orderBy(F.col("occurrence_count").desc(), F.col("fingerprint")).limit(5)
             .select(F.substring("fingerprint", 1, 16).alias("fingerprint"), "occurrence_count", "failure_class",
-                    "last_seen", "signature"))
+                    F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "signature"))
 
 
 @query("dlt_unreviewed", _GROUP_SQL + """

@@ -31,7 +31,8 @@ def pod_targets(spark, sf_dir):
     """(pod, container) targets: Pending and sidecars dropped, services matched
     by name or labels, newest 3 pods per service, round-robin merged."""
     t, _ = _targets(spark, sf_dir)
-    return t.select("service", "namespace", "pod", "container", "restart_count", "rank", "merge_pos")
+    return t.select("service", "namespace", "pod", "container", "restart_count", F.col("rank").cast("bigint").alias("rank"),
+                    F.col("merge_pos").cast("bigint").alias("merge_pos"))
 
 
 @query("pod_truncation_gaps", ov.with_views(ov.V_POD) + f"""

@@ -72,7 +72,8 @@ def eval_recall(spark, sf_dir):
     kw = F.concat(words, F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("zz-not-there"))).otherwise(F.array().cast("array<string>")))
     cases = labels.join(docs, "doc_id").select(F.col("doc_id").alias("refid"), kw.alias("expected_evidence_keywords"))
     outs = docs.where(F.col("doc_id") % 5 != 0).select(F.col("doc_id").alias("refid"), F.col("text").alias("output"))
-    return RP.keyword_recall(cases, outs)
+    out = RP.keyword_recall(cases, outs)
+    return out.withColumns({"found": F.col("found").cast("bigint"), "expected": F.col("expected").cast("bigint")})
 
 
 RET_NOW = "1998-09-01 00:00:00"

@@ -39,6 +39,8 @@ def analyse_cases(cases: DataFrame, lines: DataFrame, agent: DataFrame | None =
         c = _mat(c)
     looked = c.where(~F.col("fetch_skipped") & F.col("ref_id").isNotNull())
     cl = C.window_lines(looked, lines, both_bounds=both_bounds)
+    if materialize:
+        cl = _mat(cl)          # read by three branches of the corroboration
     c = C.corroborate(c, cl)
     if materialize:
         c = _mat(c)

@@ -224,9 +224,10 @@ def dlt_cases_df(spark, sf_dir, now=ANALYSIS_NOW, max_age=ANALYSIS_MAX_AGE):
 def dlt_analysis_df(spark, sf_dir):
     from logsift.operators.analysis import analyse_cases
     from logsift.plans.views import v_agent, v_case_log
-    agent = v_agent(spark, sf_dir).join(dlt_records(spark, sf_dir).select("event_id", "case_id"), "event_id") \
-        .drop("event_id")
-    return analyse_cases(dlt_cases_df(spark, sf_dir), v_case_log(spark, sf_dir), agent)
+    from logsift.session import materialize
+    cases = materialize(dlt_cases_df(spark, sf_dir))
+    agent = v_agent(spark, sf_dir).join(cases.select("event_id", "case_id"), "event_id").drop("event_id")
+    return analyse_cases(cases, v_case_log(spark, sf_dir), agent, materialize=True)
 
 
 _CORR_VIEWS = ov.with_views(ov.v_deadletter_sql(), ov.v_dlt_headers_sql(), ov.v_failures_sql(), ov.v_ref_ids_sql(),

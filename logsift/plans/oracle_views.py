@@ -652,7 +652,7 @@ v_casebook AS (
   FROM cb1)"""
 
 V_VERDICT = f"""
-vv0 AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0),
+vv0 AS (SELECT * FROM orders),
 v_verdict AS (
   SELECT CASE WHEN o_orderkey % 31 = 0 THEN 'EVX' ELSE 'EV' END || CAST(o_orderkey AS VARCHAR) AS event_id,
          CASE o_custkey % 5 WHEN 0 THEN 'CORRECT' WHEN 1 THEN ' incorrect ' WHEN 2 THEN 'PARTIAL' WHEN 3 THEN 'correct'

@@ -120,3 +120,29 @@ def seen_summary(occurrence: Column, first_seen: Column) -> Column:
 
 def llm_calls_avoided(messages: Column, groups: Column) -> Column:
     return F.when(messages <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - groups / messages))
+
+
+def group_detail(groups: DataFrame, prefix_len: int = 8, last_members: int = 10) -> DataFrame:
+    """Per group: its short prefix and whether that prefix is ambiguous
+    (shared with another group), the verdict history most frequent first,
+    a flag when some occurrences contradicted the trace, and the newest
+    ``last_members`` member ids.  Groups are one row per fingerprint, so the
+    ambiguity count is a small aggregate joined back."""
+    pre = F.substring("fingerprint", 1, prefix_len)
+    g = groups.withColumn("prefix", pre)
+    amb = g.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n"))
+    hist = F.array_sort(F.transform(F.map_entries("corroboration_history"),
+                                    lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("k"))))
+    return g.join(amb, "prefix").select(
+        "fingerprint", "prefix", (F.col("_n") > 1).alias("ambiguous_prefix"),
+        F.array_join(F.transform(hist, lambda x: F.concat(x["k"], F.lit("="), (-x["n"]).cast("string"))), ",")
+        .alias("history_by_count"),
+        F.coalesce(F.try_element_at(F.col("corroboration_history"), F.lit("CONTRADICTED")) > 0, F.lit(False))
+        .alias("some_contradicted"),
+        F.slice("members", -last_members, last_members).alias("last_members"))
+
+
+def resolve_prefix(groups: DataFrame, prefix: str) -> DataFrame:
+    """Groups whose fingerprint starts with ``prefix`` (callers treat zero or
+    several rows as 'not found' / 'use a longer prefix')."""
+    return groups.where(F.col("fingerprint").startswith(prefix))

@@ -403,3 +403,22 @@ def replay_nominations(spark, sf_dir):
     """Replay-queue rows for the cases that cleared the replay gate."""
     from logsift.operators.policy import replay_nominations as nominate
     return nominate(dlt_analysis_df(spark, sf_dir))
+
+
+@query("dlt_group_detail", _GROUP_SQL + """
+, hc AS (SELECT fingerprint, verdict, count(*) AS n FROM v_decisions GROUP BY ALL),
+hs AS (SELECT fingerprint, string_agg(verdict || '=' || CAST(n AS VARCHAR), ',' ORDER BY -n, verdict) AS history_by_count,
+              coalesce(max(CASE WHEN verdict = 'CONTRADICTED' THEN n END), 0) > 0 AS some_contradicted FROM hc GROUP BY fingerprint),
+lm AS (SELECT fingerprint, string_agg(case_id, ',' ORDER BY dlt_timestamp, case_id) AS last_members
+       FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY dlt_timestamp DESC, case_id DESC) AS rk FROM v_decisions)
+       WHERE rk <= 10 GROUP BY fingerprint),
+px AS (SELECT substr(fingerprint, 1, 8) AS prefix, count(*) AS n FROM v_groups GROUP BY 1)
+SELECT g.fingerprint, substr(g.fingerprint, 1, 8) AS prefix, px.n > 1 AS ambiguous_prefix, hs.history_by_count,
+       hs.some_contradicted, lm.last_members
+FROM v_groups g JOIN px ON px.prefix = substr(g.fingerprint, 1, 8) JOIN hs USING (fingerprint) JOIN lm USING (fingerprint)""")
+def dlt_group_detail(spark, sf_dir):
+    """Group detail for every group: prefix and its ambiguity, verdict
+    history most frequent first, contradiction flag, last 10 members."""
+    from logsift.operators.groups import group_detail
+    d = group_detail(dlt_groups_df(spark, sf_dir))
+    return d.withColumn("last_members", F.array_join("last_members", ","))

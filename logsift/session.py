@@ -84,16 +84,25 @@ def materialize(df, eager: bool = True):
 
 
 def ensure_parallelism(df, min_partitions: int | None = None):
-    """Spread a scan that yields fewer splits than the cluster's parallelism.
+    """Spread a scan whose splits are few *and* far from full.
 
     A small table stored as one file with one row group scans as a single
     task, and every row-wise stage after it (parsing, regex, hashing) would
-    run single-threaded until the first shuffle.  Large inputs made of many
-    files already have enough splits and are returned untouched.  Filters and
-    column pruning still reach the scan below the repartition.
+    run single-threaded until the first shuffle.  A large table whose splits
+    are already near ``maxPartitionBytes`` is left alone: more tasks come
+    from its own splits, and a repartition would only add a shuffle.
+    Filters and column pruning still reach the scan below the repartition.
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    have = df.rdd.getNumPartitions()
+    if have >= want:
+        return df
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    except Exception:  # noqa: BLE001 - estimates unavailable: be conservative
+        return df
+    if size >= have * split // 2:
         return df
     return df.repartition(want)

@@ -64,9 +64,8 @@ def reuse_decisions(cases: DataFrame, seq: str = "seq", bucket: str = "bucket",
                 .when(~has_rec, F.lit(D_LLM))
                 .otherwise(F.lit(D_REUSE)))
     reason = (F.when(F.col("failure_class") != "A",
-                     F.concat(F.lit("class "), F.col("failure_class"), F.lit(" has a fixed treatment; no model involved")))
-              .when(v.isin("CONTRADICTED", "PARTIAL"),
-                    F.concat(F.lit("corroboration came back "), v, F.lit("; the discrepancy leads the finding")))
+                     F.format_string(R_CANNED.replace("{cls}", "%s"), F.col("failure_class")))
+              .when(v.isin("CONTRADICTED", "PARTIAL"), F.format_string(R_DISCREPANCY.replace("{verdict}", "%s"), v))
               .when(F.lit(not reuse_enabled), F.lit(R_REUSE_OFF))
               .when(~has_rec, F.lit(R_NOVEL))
               .when(v == "CORROBORATED", F.lit(R_REUSE_OK))

@@ -225,7 +225,9 @@ def dlt_analysis_df(spark, sf_dir):
     from logsift.operators.analysis import analyse_cases
     from logsift.plans.views import v_agent, v_case_log
     from logsift.session import materialize
-    cases = materialize(dlt_cases_df(spark, sf_dir))
+    # raw headers and trace text are not read after parsing; keep the
+    # checkpointed case table narrow
+    cases = materialize(dlt_cases_df(spark, sf_dir).drop("headers", "stacktrace"))
     agent = v_agent(spark, sf_dir).join(cases.select("event_id", "case_id"), "event_id").drop("event_id")
     return analyse_cases(cases, v_case_log(spark, sf_dir), agent, materialize=True)
 

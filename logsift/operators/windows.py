@@ -113,6 +113,8 @@ def greedy_segments(df: DataFrame, size: str, group: Sequence[str] | str, chunk:
     """
     from logsift.session import materialize
     group, order = _as_list(group), _as_list(order)
+    if limit <= 0:                       # no budget: one segment per group
+        return df.withColumn(out, F.lit(0).cast("bigint"))
     one = df.withColumn("_one", F.lit(1))
     base = chunked_running_sum(one, "_one", group, chunk, order, out="_idx", inclusive=False).drop("_one")
     base = chunked_running_sum(base, size, group, chunk, order, out="_S", inclusive=False)

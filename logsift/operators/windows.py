@@ -68,7 +68,7 @@ def chunked_running_sum(df: DataFrame, value: str, group: Sequence[str] | str, c
     return res.withColumn(out, total).drop("_rs_local", "_rs_in")
 
 
-def kth_smallest(values: DataFrame, col: str, k: DataFrame, k_col: str = "k", buckets: int = 256,
+def kth_smallest(values: DataFrame, col: str, k: DataFrame, k_col: str = "k", buckets: int = 1024,
                  accuracy: int = 10000) -> DataFrame:
     """Exact k-th smallest value (0-based) of ``col``, as a one-row frame.
 

@@ -135,3 +135,31 @@ def test_configured_services_and_catalog_health(spark):
                                 "template_id string, classification string")
     h = catalog_health(cat).collect()[0]
     assert h.boilerplate == 2 and h.warn is True
+
+
+def test_codes_from_source_context_and_merge(spark):
+    src = [
+        '// ## Intake :: DONE',
+        '// Business checks',
+        '    A_CODE("A_CODE", "first", ReasonCategory.BUSINESS_EXCEPTION),',
+        '//    B_CODE("B_CODE", "commented", ReasonCategory.TECHNICAL_EXCEPTION),',
+        '    C_CODE("C_CODE", "tech", ErrorReasonCategory.TECHNICAL_EXCEPTION),',
+        '    A_CODE("A_CODE", "second", ReasonCategory.BUSINESS_VALIDATION_ERROR),',
+        '    private static Map tempMap = new HashMap<>();',
+        '// Data access',
+        '        tempMap.put(12001, new ReasonCode("D_CODE", "data"));',
+        '        tempMap.put(17002, new ReasonCode("A_CODE", "again"));',
+        '        tempMap.put(23003, new ReasonCode("E_CODE", "unknown range"));',
+        '//        tempMap.put(37004, new ReasonCode("F_CODE", "commented"));',
+    ]
+    df = spark.createDataFrame([("S.java", i, l) for i, l in enumerate(src)], "file string, line_no int, line string")
+    out = {r.code: r for r in CA.codes_from_source(df).collect()}
+    assert set(out) == {"A_CODE", "C_CODE", "D_CODE", "E_CODE"}
+    a = out["A_CODE"]
+    assert (a.description, a.category, a.category_source, a.failure_class, a.stage, a.section, a.numeric_id) == \
+        ("second", "BUSINESS_VALIDATION_ERROR", "declared", "A", "Intake", "Business checks", "17002")
+    assert (out["C_CODE"].failure_class, out["C_CODE"].numeric_id) == ("C", "")
+    d = out["D_CODE"]
+    assert (d.category, d.category_source, d.failure_class, d.stage, d.section) == \
+        ("TECHNICAL_EXCEPTION", "inferred", "C", "", "Data access")
+    assert (out["E_CODE"].category, out["E_CODE"].category_source) == ("", "")

@@ -43,30 +43,38 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts of every text; ``keep`` names columns to carry along."""
     cols = [F.col(c) for c in ("doc_id", "lang", "source", *keep)]
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select(
-        *cols,
-        F.array_remove(F.split(text, "[ \\t-\\r]+", -1), "").alias("_w"),
-        F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\t-\\r]")).alias("_l"),
+    words = F.array_remove(F.split(text, "[ \\t-\\r]+", -1), "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
+    return docs.select(
+        *cols, F.size(words).cast("long").alias("n_words"),
         (F.length(text) - _count_of(text, BLANKS)).cast("long").alias("word_chars"),
         _count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
-    )
-    # 3-word windows sorted by hash: equal windows become neighbours
-    n = F.size("_w")
-    windows = F.array_sort(F.transform(
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _let(_let(words, _windows), _repeat_words).cast("long").alias("n_repeat_words"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once: a lambda variable is not
+    copied into its uses when the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _windows(w: Column) -> Column:
+    """3-word windows sorted by hash: equal windows become neighbours."""
+    n = F.size(w)
+    return F.array_sort(F.transform(
         F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))))
-    sorted_ = words.select(
-        *cols, "word_chars", "n_symbols", n.cast("long").alias("n_words"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), windows.alias("_s"))
-    m = F.size("_s")
+        lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
+
+
+def _repeat_words(s: Column) -> Column:
+    """Words in the windows that have an equal neighbour."""
+    n = F.size(s)
     twins = F.filter(
-        F.when(m >= 2, F.sequence(F.lit(1), m - 1)).otherwise(F.array().cast("array<int>")),
-        lambda k: F.get("_s", k)["h"] == F.get("_s", k - 1)["h"])
-    covered = F.flatten(F.transform(twins, lambda k: F.flatten(F.transform(
-        F.array(F.get("_s", k)["i"], F.get("_s", k - 1)["i"]), lambda i: F.array(i, i + 1, i + 2)))))
-    return sorted_.select(
-        *cols, "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        F.size(F.array_distinct(covered)).cast("long").alias("n_repeat_words"))
+        F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
+        lambda k: F.get(s, k)["h"] == F.get(s, k - 1)["h"])
+    return F.size(F.array_distinct(F.flatten(F.transform(twins, lambda k: F.array(*[
+        F.get(s, j)["i"] + x for j in (k, k - 1) for x in range(3)])))))
 
 
 def base_failed() -> Column:
@@ -82,10 +90,11 @@ def bucket(num: str, den: str, scale: int) -> Column:
 
 def fences(measured: DataFrame, min_docs: int = 100, spread: int = 5) -> DataFrame:
     """Low and high fence of every ratio for each (lang, source)."""
-    good = measured.where(~base_failed())
-    long = good.select("lang", "source", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), bucket(a, b, k).alias("bucket"))
-        for m, (a, b, k, _) in RATIOS.items()])).alias("x")).select("lang", "source", "x.*")
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(a, b, k).alias("bucket"))
+                     for m, (a, b, k, _) in RATIOS.items()])
+    # no filter on the counts: pushed below them, it would take them twice
+    long = (measured.select("lang", "source", F.explode(F.when(~base_failed(), each)).alias("x"))
+            .select("lang", "source", "x.*"))
     sketch = materialise(long.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n")),
                          "quality-sketch")
     levels = []
@@ -127,7 +136,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
         v = bucket(a, b, k)
         inside = inside & (v >= F.col(f"_low_{m}")) & (v <= F.col(f"_high_{m}"))
     return (joined.withColumn("base_failed", base_failed())
-            .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))))
+            .withColumn("kept", F.when(base_failed(), F.lit(False)).otherwise(F.coalesce(inside, F.lit(False)))))
 
 
 def quality_verdicts(docs: DataFrame, min_docs: int = 100, spread: int = 5) -> DataFrame:

@@ -36,6 +36,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsift.llm.suffixes import drop_repeated_strings
+    return drop_repeated_strings(documents(spark, sf_dir))
+
+
 @_query
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsift.llm.secrets import secret_report
@@ -48,6 +54,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(documents(spark, sf_dir))
 
 
+@_query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsift.llm.substring import drop_repeated_windows
+    return drop_repeated_windows(documents(spark, sf_dir))
+
+
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsift.llm.toxicity import toxicity

@@ -36,3 +36,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs now (it
+    acts when the driver's JVM collects its garbage)."""
+    import gc
+    gc.collect()
+    spark._jvm.System.gc()

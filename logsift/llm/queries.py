@@ -36,6 +36,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsift.llm.lm import lm_scores
+    return lm_scores(documents(spark, sf_dir))
+
+
 @_query
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsift.llm.suffixes import drop_repeated_strings

@@ -9,9 +9,11 @@ online on training documents kept out of the tables, and an adaptive
 probability map by last byte and mixed odds refines the result.  The sum of
 the decisions' log probabilities is the log probability of the text.
 
-Tables, weights and map are sums over all training documents: each task adds
-up its documents, and the sums are merged in Spark in two steps.  Their size
-is fixed (``table_bits``), and that is what is broadcast.  The word-count
+What is scored is the text as the baseline sees it: A-Z lower-cased, words
+joined by single spaces.  Tables, weights and map are sums over all training
+documents: each task adds up its documents, and the sums are merged in Spark
+in two steps.  Tables grow with the training bytes up to ``most_bits``; the
+merged tables (two bytes a slot) are what is broadcast.  The word-count
 baseline is exact: counts of the ``top_words`` commonest words are broadcast
 and every other occurrence is joined to its count.
 
@@ -108,12 +110,11 @@ class Spelled:
         out = [two, four * np.uint32(0x165667B1), prefix]
         return [c ^ (c >> np.uint32(15)) for c in out]
 
-    def decisions(self, bits: int):
+    def decisions(self, bits: tuple):
         """Per depth: number of places still open, slots of the predictors,
         bits."""
         _, nodes, values = self.code
-        ctx = self.contexts()
-        mask = np.uint32((1 << bits) - 1)
+        ctx = list(zip(self.contexts(), [np.uint32((1 << b) - 1) for b in bits]))
         for d in range(len(nodes)):
             n = int(self.open[d])
             if not n:
@@ -121,7 +122,7 @@ class Spelled:
             b = self.bytes[:n]
             node = nodes[d].take(b)
             slots = []
-            for c in ctx:
+            for c, mask in ctx:
                 s = c[:n] ^ node
                 s *= np.uint32(0x85EBCA6B)
                 s ^= s >> np.uint32(13)
@@ -130,6 +131,11 @@ class Spelled:
             yield n, slots, values[d].take(b)
 
 
+def spelling(text: bytes | None) -> bytes:
+    """The text that is scored: A-Z lower-cased, words single-spaced."""
+    return b" ".join((text or b"").lower().split())
+
+
 def grouped(texts, size: int):
     group, held = [], 0
     for t in texts:
@@ -144,29 +150,34 @@ def grouped(texts, size: int):
 
 # ---------------------------------------------------------------- learning
 
-def merge(parts: DataFrame, kind: str) -> dict[str, np.ndarray]:
+def merge(parts: DataFrame, kind: str, finish=None) -> dict[str, np.ndarray]:
     """Sums of the vectors that tasks emitted as (name, chunk, salt, data),
-    first per salt, then over salts; the result is of fixed size."""
-    def add(batches):
-        import zstandard
-        sums: dict = {}
-        for b in batches:
-            for name, chunk, data in zip(*[b.column(i).to_pylist() for i in (0, 1, 3)]):
-                v = np.frombuffer(zstandard.decompress(data), kind)
-                if (name, chunk) in sums:
-                    sums[name, chunk] += v
-                else:
-                    sums[name, chunk] = v.copy()
-        for (name, chunk), v in sums.items():
-            yield _row(name, chunk, 0, v)
+    first per salt, then over salts; ``finish`` is applied to each summed
+    chunk.  The result has the size of the model."""
+    wide = {"<i4": "<i8"}.get(kind, kind)
+
+    def adder(read, last):
+        def add(batches):
+            import zstandard
+            sums: dict = {}
+            for b in batches:
+                for name, chunk, data in zip(*[b.column(i).to_pylist() for i in (0, 1, 3)]):
+                    v = np.frombuffer(zstandard.decompress(data), read)
+                    if (name, chunk) in sums:
+                        sums[name, chunk] += v
+                    else:
+                        sums[name, chunk] = v.astype(wide)
+            for (name, chunk), v in sums.items():
+                yield _row(name, chunk, 0, finish(v) if last and finish else v)
+        return add
 
     schema = "name string, chunk int, salt int, data binary"
-    once = parts.repartition("name", "chunk", "salt").mapInArrow(add, schema)
-    whole = materialise(once.repartition("name", "chunk").mapInArrow(add, schema), "lm-sums")
+    once = parts.repartition("name", "chunk", "salt").mapInArrow(adder(kind, False), schema)
+    whole = materialise(once.repartition("name", "chunk").mapInArrow(adder(wide, True), schema), "lm-sums")
     import zstandard
     got: dict[str, list] = {}
-    for r in whole.orderBy("name", "chunk").collect():       # fixed size: the model itself
-        got.setdefault(r["name"], []).append(np.frombuffer(zstandard.decompress(r["data"]), kind))
+    for r in sorted(whole.collect(), key=lambda r: (r["name"], r["chunk"])):       # the model itself
+        got.setdefault(r["name"], []).append(np.frombuffer(zstandard.decompress(r["data"]), "<i2" if finish else wide))
     return {k: np.concatenate(v) for k, v in got.items()}
 
 
@@ -187,34 +198,43 @@ def byte_weights(texts: DataFrame) -> np.ndarray:
         total = np.zeros(256, "<i8")
         for b in batches:
             for t in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer((t or b"") + b"\xff", np.uint8), minlength=256)
+                total += np.bincount(np.frombuffer(spelling(t) + b"\xff", np.uint8), minlength=256)
         yield _row("bytes", 0, _salt(), total)
 
     return merge(texts.mapInArrow(run, "name string, chunk int, salt int, data binary"), "<i8").get("bytes", np.zeros(256))
 
 
-def bit_counts(texts: DataFrame, code, bits: int, group_bytes: int) -> list[np.ndarray]:
-    """Counts of zeros and ones in every slot of every predictor."""
+def _add(total: np.ndarray, at: np.ndarray) -> None:
+    """total[at] += 1, equal places added up first."""
+    at.sort()
+    heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    total[at[heads]] += np.diff(np.append(heads, len(at))).astype(total.dtype)
+
+
+def bit_tables(texts: DataFrame, code, bits: tuple, group_bytes: int) -> list[np.ndarray]:
+    """Odds tables from the counts of zeros and ones in every slot."""
     def run(batches):
-        total = [np.zeros(2 << bits, np.int32) for _ in range(ORDERS)]
+        total = [np.zeros(2 << b, np.int32) for b in bits]
         seen = False
         for b in batches:
-            for group in grouped((t or b"" for t in b.column(0).to_pylist()), group_bytes):
+            for group in grouped((spelling(t) for t in b.column(0).to_pylist()), group_bytes):
                 seen = True
-                pieces: list[list] = [[] for _ in range(ORDERS)]
+                pieces: list[list] = [[] for _ in bits]
                 for _, slots, bit in Spelled(group, code).decisions(bits):
                     for k, s in enumerate(slots):
                         pieces[k].append((s << np.uint32(1)) | bit)
-                for k in range(ORDERS):
-                    total[k] += np.bincount(np.concatenate(pieces[k]), minlength=2 << bits)
+                for k, p in enumerate(pieces):
+                    _add(total[k], np.concatenate(p))
         if seen:
             salt = _salt()
-            for k in range(ORDERS):
-                for c in range(0, 2 << bits, CHUNK):
-                    yield _row(f"order{k}", c // CHUNK, salt, total[k][c:c + CHUNK].astype("<i8"))
+            for k, counts in enumerate(total):
+                for c in range(0, len(counts), CHUNK):
+                    part = counts[c:c + CHUNK]
+                    if part.any():
+                        yield _row(f"order{k}", c // CHUNK, salt, part.astype("<i4"))
 
-    got = merge(texts.mapInArrow(run, "name string, chunk int, salt int, data binary"), "<i8")
-    return [got.get(f"order{k}", np.zeros(2 << bits, np.int64)) for k in range(ORDERS)]
+    got = merge(texts.mapInArrow(run, "name string, chunk int, salt int, data binary"), "<i4", odds_table)
+    return [got.get(f"order{k}", np.zeros(1 << b, np.int16)) for k, b in enumerate(bits)]
 
 
 def odds_table(counts: np.ndarray) -> np.ndarray:
@@ -223,7 +243,7 @@ def odds_table(counts: np.ndarray) -> np.ndarray:
     n0, n1 = counts[0::2].astype(float), counts[1::2].astype(float)
     st = np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8)
     seen = np.searchsorted([1, 4, 32], n0 + n1, "right")
-    return ((st * 1000).round().astype(np.int16) << 2 | seen).astype(np.int16)
+    return ((st * 1000).round().astype(np.int16) << 2 | seen).astype("<i2")
 
 
 def mixed(model: dict, slots: list) -> tuple[np.ndarray, np.ndarray, list]:
@@ -257,7 +277,7 @@ def tune(texts: DataFrame, model: dict, group_bytes: int, rate: float = 0.4) ->
         w = own["weights"] = own["weights"].copy()
         ones, alls, total = np.zeros(256 * MAP_CELLS), np.zeros(256 * MAP_CELLS), 0
         for b in batches:
-            for group in grouped((t or b"" for t in b.column(0).to_pylist()), group_bytes):
+            for group in grouped((spelling(t) for t in b.column(0).to_pylist()), group_bytes):
                 sp = Spelled(group, own["code"])
                 for n_open, slots, bit in sp.decisions(own["bits"]):
                     gate, z, x = mixed(own, slots)
@@ -283,15 +303,22 @@ def tune(texts: DataFrame, model: dict, group_bytes: int, rate: float = 0.4) ->
     model["map"] = ((ones + 8 * prior) / (alls + 8)).astype(np.float32)
 
 
-def train(docs: DataFrame, table_bits: int = 20, group_bytes: int = 1 << 18) -> dict:
+def sizes(train_bytes: int, most_bits: int) -> tuple[int, ...]:
+    """Bits of the tables: a slot of the word predictor for every eight
+    bytes of text, fewer for the short contexts."""
+    word = max(16, min(most_bits, int(train_bytes).bit_length() - 3))
+    return min(18, word), min(22, word), word
+
+
+def train(docs: DataFrame, train_bytes: int, most_bits: int = 24, group_bytes: int = 1 << 18) -> dict:
     learn = docs.where(~held_out()).select(F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h"))
     aside = learn.where("pmod(h, 8) = 0").select("text")
     rest = learn.where("pmod(h, 8) <> 0").select("text")
     code = prefix_code(byte_weights(aside))
-    counts = bit_counts(rest, code, table_bits, 4 * group_bytes)
+    bits = sizes(train_bytes, most_bits)
     centre = (np.arange(MAP_CELLS) + 0.5) * (16 / MAP_CELLS) - 8
     model = {
-        "code": code, "bits": table_bits, "tables": [odds_table(c) for c in counts],
+        "code": code, "bits": bits, "tables": bit_tables(rest, code, bits, 4 * group_bytes),
         "weights": np.vstack([np.full((ORDERS, GATES), 0.35), np.zeros((1, GATES))]).astype(np.float32),
         "map": np.tile(1 / (1 + np.exp(-centre)), (256, 1)).astype(np.float32),
     }
@@ -359,15 +386,16 @@ def common(counts: DataFrame, top_words: int) -> tuple[int, dict[bytes, int]]:
     return least, {bytes(r["token"]): r["n"] for r in counts.where(F.col("n") >= least).collect()}
 
 
-def lm_scores(docs: DataFrame, table_bits: int = 20, top_words: int = 100_000, group_bytes: int = 1 << 18) -> DataFrame:
+def lm_scores(docs: DataFrame, most_bits: int = 24, top_words: int = 100_000, group_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte."""
     spark = docs.sparkSession
     counts = materialise(word_counts(docs), "lm-words")
     release(spark)
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n, v, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"),
+                            F.coalesce(F.sum(F.col("n") * (F.length("token") + 1)), F.lit(0))).first()
     least, known = common(counts, top_words)
-    model = train(docs, table_bits, group_bytes)
+    model = train(docs, size, most_bits, group_bytes)
     shared = spark.sparkContext.broadcast((model, {w: math.log10(c + 1) for w, c in known.items()}))
     floor = math.log10(n + v + 1)
 
@@ -377,11 +405,11 @@ def lm_scores(docs: DataFrame, table_bits: int = 20, top_words: int = 100_000, g
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             at = 0
-            for group in grouped((t or b"" for t in b.column(1).to_pylist()), group_bytes):
+            for group in grouped((spelling(t) for t in b.column(1).to_pylist()), group_bytes):
                 score = log10_probabilities(group, own)
                 n_tok, n_top, base, rare = [], [], [], []
                 for t in group:
-                    words = t.lower().split()
+                    words = t.split(b" ") if t else []
                     words.append(b"")
                     got = [logs.get(w) for w in words]
                     left = Counter(w for w, g in zip(words, got) if g is None)

@@ -30,11 +30,12 @@ CATEGORY_CLASS = {"BUSINESS_VALIDATION_ERROR": "A", "BUSINESS_EXCEPTION": "A", "
 
 
 def _pick(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
-    norm = {c.strip().lower().lstrip("﻿"): c for c in columns}
-    for cand in candidates:
-        if cand in norm:
-            return norm[cand]
-    return None
+    """The column whose name (trimmed, without BOM) is the best-ranked alias;
+    of two such columns the later one."""
+    rank = {alias: i for i, alias in reversed(list(enumerate(candidates)))}
+    named = [(rank.get(c.strip().lower().lstrip("\ufeff")), -i) for i, c in enumerate(columns)]
+    best = min((x for x in named if x[0] is not None), default=None)
+    return None if best is None else columns[-best[1]]
 
 
 def normalise_catalog(raw: DataFrame, order: str = "_row") -> DataFrame:
@@ -142,16 +143,33 @@ def catalog_report(catalog: DataFrame) -> DataFrame:
     return by_cat.withColumn("kind", F.lit("category"))
 
 
-def schema_drift(columns: Sequence[str], expected: Sequence[str], first_value: str | None = None) -> dict:
-    """Column drift of a table against the expected schema (driver-side over
-    column names only -- metadata, not data)."""
-    cols = [c.strip().lower() for c in columns if c.strip()]
-    exp = [e.lower() for e in expected]
-    if len(cols) == 1 and len(exp) > 1:
-        sample = (first_value or "").strip().lower()
-        return {"status": "SINGLE_COLUMN", "broken_export": sample in exp or sample == cols[0],
-                "unknown": [], "missing": []}
-    unknown = [c for c in cols if c not in exp]
-    missing = [e for e in exp if e not in cols]
-    return {"status": "DRIFT" if unknown or missing else "OK", "broken_export": False,
-            "unknown": unknown, "missing": missing}
+def column_drift(spark: SparkSession, columns: Sequence[str], expected: Sequence[str]) -> DataFrame:
+    """One row per name: its column, and whether it is matched, unknown
+    (present only) or missing (expected only)."""
+    name = F.lower(F.trim("name"))
+    table = lambda names, flag: (spark.createDataFrame([(n,) for n in names], "name string")
+                                 .select(name.alias("name")).where("name <> ''").distinct().withColumn(flag, F.lit(True)))
+    both = table(columns, "present").join(table(expected, "wanted"), "name", "full")
+    return both.select("name", F.when(F.col("present") & F.col("wanted"), "matched")
+                       .when(F.col("present"), "unknown").otherwise("missing").alias("state"))
+
+
+def schema_drift(spark: SparkSession, columns: Sequence[str], expected: Sequence[str],
+                 first_value: str | None = None) -> DataFrame:
+    """One summary row: status (OK, DRIFT, or SINGLE_COLUMN when a wide table
+    arrives as one column), broken_export (that one column holds a header),
+    unknown and missing names."""
+    drift = column_drift(spark, columns, expected)
+    names = lambda state: F.array_sort(F.collect_list(F.when(F.col("state") == state, F.col("name"))))
+    head = F.lower(F.trim(F.lit(first_value or "")))
+    row = drift.agg(names("unknown").alias("unknown"), names("missing").alias("missing"),
+                    F.count_if(F.col("state") != "missing").alias("_have"), F.count_if(F.col("state") != "unknown").alias("_want"),
+                    F.bool_or((F.col("state") != "unknown") & (F.col("name") == head)).alias("_expected_name"),
+                    F.bool_or((F.col("state") != "missing") & (F.col("name") == head)).alias("_own_name"))
+    single = (F.col("_have") == 1) & (F.col("_want") > 1)
+    none = F.array().cast("array<string>")
+    return row.select(
+        F.when(single, "SINGLE_COLUMN").when(F.size("unknown") + F.size("missing") > 0, "DRIFT").otherwise("OK").alias("status"),
+        (single & (F.col("_expected_name") | F.col("_own_name"))).alias("broken_export"),
+        F.when(single, none).otherwise(F.col("unknown")).alias("unknown"),
+        F.when(single, none).otherwise(F.col("missing")).alias("missing"))

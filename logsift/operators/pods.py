@@ -158,48 +158,46 @@ def byte_cap(lines: DataFrame, cap: int = MAX_BYTES_PER_POD, file: str = "file",
     return kept, gaps
 
 
-def id_tokens(text: Column, shape: str = r"[A-Za-z0-9][A-Za-z0-9_.:-]{3,127}") -> Column:
-    """Identifier-shaped tokens of a line (for the containment equi-join)."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(shape), 0))
+#: Length of the grams that bring identifiers and lines together; shorter
+#: identifiers are their own gram.
+GRAM = 8
+
+
+def _grams(text: Column, n: Column | int) -> Column:
+    """The distinct substrings of ``n`` characters."""
+    n = F.lit(n) if isinstance(n, int) else n
+    last = F.length(text) - n + 1
+    return F.array_distinct(F.transform(
+        F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.substring(text, i, n)))
 
 
 def match_ids(lines: DataFrame, ids: DataFrame, line: str = "line", key: Sequence[str] = ("file", "line_no"),
-              case_sensitive: bool = True, broadcast_limit: int = 10000) -> DataFrame:
-    """Lines containing any of many identifiers: (flow_id, *key) pairs.
-
-    Id-shaped identifiers are matched by exploding the line's tokens and
-    equi-joining with the id table (no theta join).  Identifiers that are not
-    one token are matched exactly with ``contains``: those that have a
-    token of at least 4 characters are candidates via that (longest) token
-    and then verified; only the residue without any such token -- short,
-    punctuation-only strings -- is broadcast, and only below
-    ``broadcast_limit`` rows (checked, else an error).  An empty id list
-    matches nothing.
+              case_sensitive: bool = True) -> DataFrame:
+    """Lines containing any of many identifiers, as plain substrings:
+    (flow_id, *key) pairs, each once.
+
+    An identifier of 8 or more characters meets a line through its last 8
+    characters (ends differ more than shared prefixes do), a shorter one
+    through all of its characters; candidates are then verified with
+    ``contains`` on the whole identifier.  Only the lines' grams of lengths
+    that some identifier needs are made, and only those equal to one of the
+    identifiers' grams pass the join (which the planner broadcasts, or
+    filters at run time, when the identifiers are few).  An empty or null identifier matches nothing.
     """
     norm = (lambda c: c) if case_sensitive else F.lower
-    lines = lines.select(*key, line)
-    toks = lines.select(*key, F.explode(id_tokens(norm(F.col(line)))).alias("_tok"))
-    ident = norm(F.col("identifier"))
-    shaped = ident.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.:-]{3,127}$")
-    idn = ids.where(shaped).select("flow_id", ident.alias("_tok"))
-    exact = toks.join(idn, "_tok").select("flow_id", *key)
-    odd = ids.where(~shaped).select("flow_id", ident.alias("_id"))
-    by_len = F.array_sort(F.transform(id_tokens(F.col("_id")),
-                                      lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
-    longest = F.try_element_at(by_len, F.lit(1))["t"]
-    odd = odd.withColumn("_tok", longest)
-    cand = (toks.join(odd.where(F.col("_tok").isNotNull()), "_tok").join(lines, list(key))
-            .where(norm(F.col(line)).contains(F.col("_id"))).select("flow_id", *key))
-    residue = odd.where(F.col("_tok").isNull()).select("flow_id", "_id")
-    n_res = residue.count()
-    if n_res > broadcast_limit:
-        raise ValueError(f"{n_res} identifiers have no token of 4+ characters; refusing to broadcast them")
-    parts = exact.unionByName(cand)
-    if n_res:
-        loose = (lines.join(F.broadcast(residue), norm(F.col(line)).contains(F.col("_id")))
-                 .select("flow_id", *key))
-        parts = parts.unionByName(loose)
-    return parts.distinct()
+    size = F.least(F.length("_id"), F.lit(GRAM))
+    wanted = (ids.select("flow_id", norm(F.col("identifier")).alias("_id")).where(F.length("_id") > 0).distinct()
+              .withColumn("_gram", F.right("_id", size)))
+    grams = wanted.select("_gram").distinct()
+    # the few gram lengths in use, as one row beside every line
+    lengths = grams.agg(F.collect_set(F.length("_gram")).alias("_lengths"))
+    text = norm(F.col(line))
+    made = lines.select(*key, line).crossJoin(F.broadcast(lengths)).select(
+        *key, F.explode(F.array_distinct(F.flatten(F.transform("_lengths", lambda n: _grams(text, n))))).alias("_gram"))
+    near = made.join(wanted, "_gram").select(*key, "flow_id", "_id").distinct()
+    return (near.join(lines.select(*key, line), list(key)).where(norm(F.col(line)).contains(F.col("_id")))
+            .select("flow_id", *key).distinct())
 
 
 def match_context(lines: DataFrame, matches: DataFrame, before: int = CONTEXT_BEFORE, after: int = CONTEXT_AFTER,
@@ -300,13 +298,8 @@ def configured_services(spark: SparkSession, *lists: str | None, default: str =
     """The service list: the first non-empty comma list among ``lists``
     (parameters, in priority order), trimmed, de-duplicated with the first
     occurrence kept; ``default`` when every list is empty."""
-    for raw in lists:
-        names: list[str] = []
-        for name in (n.strip() for n in (raw or "").split(",")):
-            if name and name not in names:
-                names.append(name)
-        if names:
-            break
-    else:
-        names = [default] if default else []
-    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "service string, ord int")
+    given = spark.createDataFrame(list(enumerate([*lists, default])), "priority int, raw string")
+    names = given.select("priority", F.array_distinct(F.filter(
+        F.transform(F.split(F.coalesce("raw", F.lit("")), ","), lambda n: F.trim(n)), lambda n: n != "")).alias("names"))
+    chosen = names.where(F.size("names") > 0).agg(F.min_by("names", "priority").alias("names"))
+    return chosen.select(F.posexplode("names").alias("ord", "service")).select("service", "ord")

@@ -16,7 +16,12 @@ v_log AS (
          event_type || ' value=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)
            || ' k=' || json_extract_string(props, '$.k')
            || CASE event_id % 10
-                WHEN 0 THEN ' refId=' || '1' || lpad(CAST(user_id AS VARCHAR), 11, '0')
+                WHEN 0 THEN CASE (event_id // 10) % 5
+                  WHEN 0 THEN ' refId=1' || lpad(CAST(user_id AS VARCHAR), 11, '0')
+                  WHEN 1 THEN ' failed for 1' || lpad(CAST(user_id AS VARCHAR), 11, '0') || '.'
+                  WHEN 2 THEN ' id:1' || lpad(CAST(user_id AS VARCHAR), 11, '0') || ':failed'
+                  WHEN 3 THEN ' svc-1' || lpad(CAST(user_id AS VARCHAR), 11, '0') || ' x'
+                  ELSE ' run91' || lpad(CAST(user_id AS VARCHAR), 11, '0') || '7' END
                 WHEN 1 THEN ' mobile 9' || lpad(CAST(event_id % 1000000000 AS VARCHAR), 9, '0')
                 WHEN 2 THEN ' vid ' || lpad(CAST(event_id AS VARCHAR), 16, '4')
                 WHEN 3 THEN ' aadhaar 2345 6789 ' || lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0')

@@ -198,15 +198,16 @@ def dlt_arrival_lag(spark, sf_dir):
     return arrival_lag(dlt_records(spark, sf_dir))
 
 
-@query("dlt_refid_paths", ov.with_views(ov.v_deadletter_sql()) + f"""
+@query("dlt_refid_paths", ov.with_views(ov.v_deadletter_sql()) + r"""
 , ok AS (SELECT * FROM v_deadletter WHERE json_valid(payload))
-SELECT 'response.refId' AS path, count(*) AS payloads FROM ok WHERE event_id % 2 = 0
-UNION ALL SELECT 'response.results.referenceId', count(*) FROM ok WHERE event_id % 2 = 0
-UNION ALL SELECT 'data.meta.refId', count(*) FROM ok WHERE event_id % 2 = 1
-UNION ALL SELECT 'items[].ref_id', count(*) FROM ok WHERE event_id % 2 = 1""")
+SELECT replace(replace(substr(t.fullkey, 3), '[0]', '[]'), '"', '') AS path, count(*) AS payloads
+FROM ok, json_tree(CAST(payload AS JSON)) AS t
+WHERE t.key IN ('refId', 'ref_id', 'referenceId', 'referenceID', 'rid')
+  AND t.type IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT', 'BOOLEAN') AND NOT regexp_matches(t.fullkey, '\[[1-9][0-9]*\]')
+GROUP BY 1""")
 def dlt_refid_paths(spark, sf_dir):
-    """Every payload path holding an id-like key, by frequency (recursive walk
-    in an Arrow-batched UDF; the oracle lists the fixture's known paths)."""
+    """Every payload path holding an id-like key, by frequency (a walk in an
+    Arrow-batched UDF; the oracle walks the same JSON trees)."""
     from logsift.operators.corpus import refid_path_frequency
     return refid_path_frequency(v_deadletter(spark, sf_dir))
 

@@ -22,10 +22,8 @@ def _ids(spark, sf_dir):
 
 _TOK = """
 ids AS (SELECT DISTINCT flow_id, ref_id AS identifier FROM v_log),
-tok AS (SELECT line_id, unnest(list_distinct(regexp_extract_all(message, '[A-Za-z0-9][A-Za-z0-9_.:-]{3,127}'))) AS t FROM v_log),
-ltok AS (SELECT line_id, unnest(list_distinct(regexp_extract_all(lower(message), '[A-Za-z0-9][A-Za-z0-9_.:-]{3,127}'))) AS t FROM v_log),
-hit AS (SELECT DISTINCT i.flow_id, tok.line_id FROM tok JOIN ids i ON i.identifier = tok.t),
-lhit AS (SELECT DISTINCT i.flow_id, ltok.line_id FROM ltok JOIN ids i ON lower(i.identifier) = ltok.t)"""
+hit AS (SELECT DISTINCT i.flow_id, l.line_id FROM v_log l JOIN ids i ON contains(l.message, i.identifier)),
+lhit AS (SELECT DISTINCT i.flow_id, l.line_id FROM v_log l JOIN ids i ON contains(lower(l.message), lower(i.identifier)))"""
 
 
 @query("index_fetch", ov.with_views(ov.V_LOG, _TOK) + f"""

@@ -54,13 +54,12 @@ def _pod_lines(spark, sf_dir):
 , nl AS (SELECT *, pod_name AS file, row_number() OVER (PARTITION BY pod_name ORDER BY CAST(line_id / 1000 AS BIGINT), ts, line_id) AS line_no
          FROM v_log),
 ids AS (SELECT DISTINCT flow_id, ref_id AS identifier FROM v_log),
-tok AS (SELECT file, line_no, unnest(list_distinct(regexp_extract_all(message, '[A-Za-z0-9][A-Za-z0-9_.:-]{3,127}'))) AS t FROM nl),
-m AS (SELECT DISTINCT i.flow_id, tok.file, tok.line_no FROM tok JOIN ids i ON i.identifier = tok.t),
+m AS (SELECT DISTINCT i.flow_id, nl.file, nl.line_no FROM nl JOIN ids i ON contains(nl.message, i.identifier)),
 p AS (SELECT DISTINCT flow_id, file, unnest(range(line_no - 5, line_no + 21)) AS line_no FROM m)
 SELECT p.flow_id, nl.file, nl.line_no, nl.line_id, nl.message FROM p JOIN nl USING (file, line_no)""")
 def pod_match_context(spark, sf_dir):
     """Per flow: lines of each pod log within 5 before / 20 after any line
-    naming one of the flow's identifiers (token equi-join; range expansion)."""
+    containing one of the flow's identifiers (range expansion)."""
     lines = _pod_lines(spark, sf_dir)
     ids = v_log(spark, sf_dir).select("flow_id", F.col("ref_id").alias("identifier")).distinct()
     m = PO.match_ids(lines, ids, line="message", key=("file", "line_no"))
@@ -70,15 +69,14 @@ def pod_match_context(spark, sf_dir):
 
 @query("pod_read_report", ov.with_views(ov.V_LOG) + """
 , ids AS (SELECT DISTINCT ref_id FROM v_log),
-tok AS (SELECT line_id, unnest(list_distinct(regexp_extract_all(message, '[A-Za-z0-9][A-Za-z0-9_.:-]{3,127}'))) AS t FROM v_log),
-hit AS (SELECT DISTINCT line_id FROM tok JOIN ids ON ids.ref_id = tok.t)
+hit AS (SELECT DISTINCT line_id FROM v_log JOIN ids ON contains(message, ids.ref_id))
 SELECT pod_name AS pod, app_name AS container, count(*) AS lines,
        count(*) FILTER (WHERE hit.line_id IS NOT NULL) AS matched_lines,
        CAST(sum(strlen(message) + 1) AS BIGINT) AS bytes
 FROM v_log LEFT JOIN hit USING (line_id) GROUP BY ALL""")
 def pod_read_report(spark, sf_dir):
     """Per (pod, container): lines read, lines naming any identifier, bytes.
-    Identifier containment is the token equi-join of ``match_ids``."""
+    Containment is that of ``match_ids``."""
     lg = v_log(spark, sf_dir)
     ids = lg.select(F.lit("any").alias("flow_id"), F.col("ref_id").alias("identifier")).distinct()
     hit = PO.match_ids(lg, ids, line="message", key=("line_id",)).select("line_id").distinct() \

@@ -28,7 +28,15 @@ def v_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     eid = F.col("event_id")
     ref_id = F.concat(F.lit("1"), F.lpad(F.col("user_id").cast("string"), 11, "0"))
-    suffix = (F.when(eid % 10 == 0, F.concat(F.lit(" refId="), ref_id))
+    # the identifier stands alone, before a full stop, between colons, after
+    # a hyphen, and inside a longer run
+    turn = F.floor(eid / 10) % 5
+    named = (F.when(turn == 0, F.concat(F.lit(" refId="), ref_id))
+             .when(turn == 1, F.concat(F.lit(" failed for "), ref_id, F.lit(".")))
+             .when(turn == 2, F.concat(F.lit(" id:"), ref_id, F.lit(":failed")))
+             .when(turn == 3, F.concat(F.lit(" svc-"), ref_id, F.lit(" x")))
+             .otherwise(F.concat(F.lit(" run9"), ref_id, F.lit("7"))))
+    suffix = (F.when(eid % 10 == 0, named)
               .when(eid % 10 == 1, F.concat(F.lit(" mobile 9"), F.lpad((eid % 1000000000).cast("string"), 9, "0")))
               .when(eid % 10 == 2, F.concat(F.lit(" vid "), F.lpad(eid.cast("string"), 16, "4")))
               .when(eid % 10 == 3, F.concat(F.lit(" aadhaar 2345 6789 "), F.lpad((eid % 10000).cast("string"), 4, "0")))

@@ -112,8 +112,9 @@ def test_catalog_aliases_and_drift(spark):
                                 "`﻿Reason_Code` string, Desc string, Category string, _row int")
     cat = {r.code: (r.description, r.category) for r in CA.normalise_catalog(raw).collect()}
     assert cat == {"C1": ("second", ""), "C2": ("x", "")}
-    assert CA.schema_drift(["a", "b", "extra"], ["a", "b", "c"])["status"] == "DRIFT"
-    assert CA.schema_drift(["a"], ["a", "b"], "b")["broken_export"] is True
+    assert tuple(CA.schema_drift(spark, ["a", "B ", "extra"], ["a", "b", "c"]).first()) == ("DRIFT", False, ["extra"], ["c"])
+    assert tuple(CA.schema_drift(spark, ["a"], ["a", "b"], "b").first()) == ("SINGLE_COLUMN", True, [], [])
+    assert CA.schema_drift(spark, ["a", "b"], ["b", "a"]).first()["status"] == "OK"
 
 
 def test_match_ids_odd_identifiers_exact(spark):
@@ -122,8 +123,20 @@ def test_match_ids_odd_identifiers_exact(spark):
     ids = spark.createDataFrame([("f1", "ab c-12345"), ("f2", "a b"), ("f3", "ID-777x"), ("f4", "ID-777")],
                                 "flow_id string, identifier string")
     got = sorted((r.flow_id, r.line_no) for r in PO.match_ids(lines, ids, key=("line_no",)).collect())
-    # f4's id is only a substring of a longer token: token semantics do not match it
-    assert got == [("f1", 1), ("f2", 3), ("f3", 4)]
+    assert got == [("f1", 1), ("f2", 3), ("f3", 4), ("f4", 4)]
+
+
+def test_match_ids_is_plain_containment(spark):
+    texts = ["ref 123456789012 ok", "(123456789012)", "failed for 123456789012.", "id:123456789012:failed", "svc-123456789012 x",
+             "run91234567890127", "12345678901", "x 42", "a.b", "", None, "é123456789012é", "REF AbC-9 end"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_no int, line string")
+    idents = ["123456789012", "42", "3", ".", "9012.", "abc-9", "AbC-9", "", None, "é1", "nowhere at all"]
+    ids = spark.createDataFrame([(f"f{i}", x) for i, x in enumerate(idents)], "flow_id string, identifier string")
+    for exact in (True, False):
+        low = (lambda x: x) if exact else str.lower
+        want = sorted((f"f{i}", n) for i, x in enumerate(idents) if x for n, t in enumerate(texts) if t and low(x) in low(t))
+        got = sorted((r.flow_id, r.line_no) for r in PO.match_ids(lines, ids, key=("line_no",), case_sensitive=exact).collect())
+        assert got == want
 
 
 def test_configured_services_and_catalog_health(spark):

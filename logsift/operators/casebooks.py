@@ -31,6 +31,7 @@ def payload_summary(df: DataFrame, payload: str = "payload", type_id: str = "typ
         "payload_is_object": keys.isNotNull(),
     }
     out = df.withColumns(cols)
+    typed_cols: dict[str, list[Column]] = {}
     for t, spec in typed.items():
         node = F.from_json(F.col(payload), spec["schema_ddl"])
         for part in spec["matchers"].split("."):
@@ -39,12 +40,12 @@ def payload_summary(df: DataFrame, payload: str = "payload", type_id: str = "typ
         per = F.transform(found, lambda m: F.struct(m[spec["engine"]].alias("engine"),
                                                     F.size(F.coalesce(m[spec["candidates"]], F.array())).alias("candidates")))
         cands = F.flatten(F.transform(found, lambda m: F.coalesce(m[spec["candidates"]], F.array().cast(spec["candidate_type"]))))
-        out = out.withColumns({
-            "matchers": F.when(F.col(type_id) == t, per),
-            "candidate_total": F.when(F.col(type_id) == t, F.size(cands)),
-            "first_candidates": F.when(F.col(type_id) == t, F.slice(cands, 1, MAX_SUMMARY_CANDIDATES)),
-        })
-    return out
+        own = {"matchers": per, "candidate_total": F.size(cands), "first_candidates": F.slice(cands, 1, MAX_SUMMARY_CANDIDATES)}
+        if len({s["candidate_type"] for s in typed.values()}) > 1:     # one column for all types
+            own["first_candidates"] = F.transform(own["first_candidates"], lambda c: F.to_json(F.struct(c.alias("candidate"))))
+        for name, value in own.items():
+            typed_cols.setdefault(name, []).append(F.when(F.col(type_id) == t, value))
+    return out.withColumns({name: F.coalesce(*values) for name, values in typed_cols.items()})
 
 
 def evidence_document(cases: DataFrame, logs: str = "logs_text") -> Column:

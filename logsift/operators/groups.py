@@ -101,8 +101,8 @@ def group_rollup(cases: DataFrame, seq: str = "seq", seen: str = "seen_at", memb
 def attach_recommendations(groups: DataFrame, findings: DataFrame, seq: str = "seq") -> DataFrame:
     """Latest agent recommendation per group (state draft); none -> 'none'."""
     rec = (findings.where(F.col("provenance") == "agent").groupBy("fingerprint")
-           .agg(F.max_by(F.col("action"), F.col(seq)).alias("recommendation_action"),
-                F.max_by(F.col("confidence"), F.col(seq)).alias("recommendation_confidence")))
+           .agg(F.max_by(F.col("action"), F.struct(seq, "action", "confidence")).alias("recommendation_action"),
+                F.max_by(F.col("confidence"), F.struct(seq, "action", "confidence")).alias("recommendation_confidence")))
     return (groups.join(rec, "fingerprint", "left")
             .withColumn("recommendation_state", F.when(F.col("recommendation_action").isNotNull(), F.lit(STATE_DRAFT))
                         .otherwise(F.lit(STATE_NONE))))

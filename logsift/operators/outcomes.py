@@ -37,7 +37,7 @@ def record_outcomes(verdicts: DataFrame, casebooks: DataFrame) -> tuple[DataFram
         .otherwise(F.concat(F.lit("No casebook found for event "), F.col("event_id"))).alias("reject_reason"))
     valid = v.where(F.col("_v").isin(*OUTCOME_VERDICTS)).withColumn("verdict", F.col("_v")).drop("_v")
     payload = F.struct("verdict", "verified_by", "verified_at", "notes", "corrected_action")
-    latest = (valid.groupBy("event_id").agg(F.max_by(payload, F.col("verified_at")).alias("_o"))
+    latest = (valid.groupBy("event_id").agg(F.max_by(payload, F.struct(F.col("verified_at"), payload)).alias("_o"))
               .select("event_id", "_o.*"))
     outcomes = latest.join(casebooks.select("event_id", *OUTCOME_FIELDS), "event_id", "inner")
     return outcomes, rejects

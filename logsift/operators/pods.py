@@ -257,16 +257,22 @@ def parse_degraded_gaps(quality: DataFrame, threshold: float = PARSE_DEGRADED_RA
               "ERROR lines below must not be read as an absence of errors.")).alias("detail"))
 
 
+NO_PODS = "no searchable pods"
+
+
 def coverage_gaps(listed: DataFrame, present: DataFrame, services: DataFrame, searchable: DataFrame) -> DataFrame:
     """POD_VANISHED for listed (pod, container) with no log lines;
-    SERVICE_UNAVAILABLE for configured services with no searchable pods."""
+    SERVICE_UNAVAILABLE for configured services with no searchable pods
+    (``services`` may carry the ``reason``)."""
+    reason = F.coalesce("reason", F.lit(NO_PODS)) if "reason" in services.columns else F.lit(NO_PODS)
     vanished = listed.join(present, ["namespace", "pod"], "left_anti").select(
         F.lit("POD_VANISHED").alias("gap_type"),
-        F.concat(F.lit("pod "), F.col("pod"), F.lit(" was listed but its log could not be read (404); it was "
-                                                    "deleted between discovery and read.")).alias("detail"))
+        F.concat(F.lit("pod "), F.col("pod"), F.lit(" disappeared between listing and reading; "
+                                                    "its logs are unrecoverable.")).alias("detail"))
     unavailable = services.join(searchable, "service", "left_anti").select(
         F.lit("SERVICE_UNAVAILABLE").alias("gap_type"),
-        F.concat(F.lit("service "), F.col("service"), F.lit(" could not be searched.")).alias("detail"))
+        F.concat(F.lit("service '"), F.col("service"), F.lit("' could not be searched: "), reason,
+                 F.lit(". Any part of this packet's journey through it is missing from these logs.")).alias("detail"))
     return vanished.unionByName(unavailable)
 
 

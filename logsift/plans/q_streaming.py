@@ -34,7 +34,8 @@ f AS (
     max(status_at) AS updated_at
   FROM v_status_event GROUP BY case_id),
 cur AS (
-  SELECT case_id, coalesce(prot, term, live, CASE WHEN fetched_at IS NOT NULL THEN 'LOGS_FETCHED' END) AS status, updated_at
+  SELECT case_id, coalesce(prot, term, live, CASE WHEN fetched_at IS NOT NULL THEN 'LOGS_FETCHED' END) AS status,
+         live_at AS started_at, updated_at
   FROM f)"""
 
 
@@ -50,7 +51,7 @@ NOW = "1998-08-03 00:00:00"
 
 @query("stale_sweep", ov.with_views(V_STATUS_EVENT, _FOLD) + f"""
 SELECT case_id, TIMESTAMP '{NOW}' AS status_at, 'FAILED_TIMEOUT' AS status FROM cur
-WHERE status = 'IN_PROGRESS' AND epoch(TIMESTAMP '{NOW}') - epoch(updated_at) > 1800""")
+WHERE status = 'IN_PROGRESS' AND epoch(TIMESTAMP '{NOW}') - epoch(started_at) > 1800""")
 def stale_sweep(spark, sf_dir):
     """Cases stuck IN_PROGRESS for more than 30 minutes -> FAILED_TIMEOUT."""
     cur = fold_status(v_status_event(spark, sf_dir))

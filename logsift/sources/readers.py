@@ -28,9 +28,19 @@ CATALOG_SCHEMA = "template_id STRING, template STRING, classification STRING, pc
 
 
 def _json(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
-    # Spark skips files starting with "_" or "." and puts unreadable records
-    # in _corrupt_record (PERMISSIVE), which is what a capture directory needs.
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    # Spark skips files starting with "_" or "."; unreadable documents are
+    # left out here and listed by ``unreadable``.
+    return spark.read.schema(schema).option("multiLine", multiline).option("mode", "DROPMALFORMED").json(path)
+
+
+def unreadable(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
+    """The documents a reader leaves out: file, raw text and the fields that
+    could be read."""
+    raw = (spark.read.schema(f"{schema}, _corrupt_record STRING").option("multiLine", multiline)
+           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    fields = F.struct(*[c for c in raw.columns if c != "_corrupt_record"])       # what could be read of it
+    return (raw.select(F.col("_metadata.file_path").alias("file"), F.col("_corrupt_record").alias("raw_text"), fields.alias("fields"))
+            .where(F.col("raw_text").isNotNull()))
 
 
 def read_casebooks(spark: SparkSession, root: str, schema: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,13 +50,16 @@ def append_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The table at ``path``; None only when nothing has been written there."""
     try:
         r = spark.read
         if schema is not None:
             r = r.schema(schema)
         return r.parquet(path)
-    except Exception:  # table not created yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def latest_by_key(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:

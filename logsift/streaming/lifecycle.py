@@ -36,14 +36,17 @@ def fold_status(events: DataFrame, key: str = "case_id", ts: str = "status_at",
     # LOGS_FETCHED is only written over nothing (or itself), so any other
     # live state wins whatever its time.
     live = F.coalesce(F.col("_live"), F.when(F.col("_fetched_at").isNotNull(), F.lit(LOGS_FETCHED)))
-    return agg.select(key, F.coalesce(F.col("_prot"), F.col("_term"), live).alias("status"), "updated_at")
+    return agg.select(key, F.coalesce(F.col("_prot"), F.col("_term"), live).alias("status"),
+                      F.col("_live_at").alias("started_at"), "updated_at")
 
 
 def sweep_stale(current: DataFrame, now: Column, max_age: int = MAX_IN_PROGRESS_AGE_SECONDS,
                 shutting_down: bool = False) -> DataFrame:
     """Cases stuck IN_PROGRESS beyond the deadline become FAILED_TIMEOUT
-    (FAILED_SHUTDOWN when the service is draining): new terminal events."""
+    (FAILED_SHUTDOWN when the service is draining): new terminal events.  The
+    age counts from the start of the run, so events that change nothing (a
+    late LOGS_FETCHED) do not renew it."""
     stale = (F.col("status") == IN_PROGRESS) & (
-        F.lit(shutting_down) | (F.unix_seconds(now) - F.unix_seconds(F.col("updated_at").cast("timestamp")) > max_age))
+        F.lit(shutting_down) | (F.unix_seconds(now) - F.unix_seconds(F.col("started_at").cast("timestamp")) > max_age))
     return current.where(stale).select(
         "case_id", now.alias("status_at"), F.lit(FAILED_SHUTDOWN if shutting_down else FAILED_TIMEOUT).alias("status"))

@@ -8,14 +8,21 @@ fingerprints a batch touches.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logsift.functions import redact as R
 from logsift.operators import deadletter as D
 from logsift.operators import groups as G
+from logsift.operators.catalogs import read_catalog
 from logsift.sources.sinks import append_batch, handoff, insert_if_absent, latest_by_key, read_table
 
+#: Columns that may hold text from outside; redacted before they are stored.
+FREE_TEXT = ("payload", "key", "stacktrace", "exception_message", "root_message", "outer_message", "signature", "declared_message")
+
 KAFKA_SCHEMA = T.StructType([
     T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType()),
     T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()),
@@ -36,19 +43,22 @@ def decode_deadletters(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("topic").alias("dlt_topic"), F.col("partition").alias("dlt_partition"),
         F.col("offset").alias("dlt_offset"), F.col("timestamp").alias("dlt_timestamp"),
-        F.trim(F.decode("key", "UTF-8")).alias("key"), D.headers_from_kafka(F.col("headers")).alias("headers"),
-        F.decode("value", "UTF-8").alias("payload"))
+        F.trim(D.utf8(F.col("key"))).alias("key"), D.headers_from_kafka(F.col("headers")).alias("headers"),
+        D.utf8(F.col("value")).alias("payload"))
 
 
 def evidence_batch(batch: DataFrame, reason_codes: DataFrame | None, now, type_paths=None, packages=None,
                    boilerplate=None, terminal: DataFrame | None = None) -> DataFrame:
     """One micro-batch of dead-letter records -> evidence rows (the STR-01
     batch definition): typed headers, case id, failure, ids, window, gaps.
-    Already-terminal cases and redeliveries within the batch are dropped."""
+    Cases in ``terminal`` (finished or stored before) are dropped, and of
+    several deliveries within the batch the first stays."""
     recs = D.parse_deadletters(batch).where(F.col("case_id").isNotNull())
-    recs = recs.dropDuplicates(["case_id"])
+    first = [c for c in ("dlt_partition", "dlt_offset") if c in recs.columns] or ["case_id"]
+    recs = (recs.groupBy("case_id").agg(F.min_by(F.struct(*[c for c in recs.columns if c != "case_id"]), F.struct(*first)).alias("_r"))
+            .select("case_id", "_r.*"))
     if terminal is not None:
-        recs = recs.join(terminal.select("case_id"), "case_id", "left_anti")
+        recs = recs.join(terminal.select("case_id").distinct(), "case_id", "left_anti")
     kw = {}
     if packages is not None:
         kw["packages"] = packages
@@ -61,6 +71,20 @@ def evidence_batch(batch: DataFrame, reason_codes: DataFrame | None, now, type_p
                                                          F.col("last_attempt_ms"), F.col("too_old")))
 
 
+def keyless_rejects(batch: DataFrame) -> DataFrame:
+    """Records without a usable case id, redacted, with the reason."""
+    recs = D.parse_deadletters(batch).where(F.col("case_id").isNull())
+    return redact_evidence(recs.drop("headers")).withColumn("reject_reason", F.lit("no case id: topic, partition or offset is missing"))
+
+
+def redact_evidence(df: DataFrame, allow: Sequence[str] = ("case_id", "ref_id")) -> DataFrame:
+    """Every free-text column redacted before anything is stored; the
+    identifiers in ``allow`` survive."""
+    kept = [F.col(c) for c in allow if c in df.columns]
+    text = [f.name for f in df.schema.fields if f.name in FREE_TEXT and isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: R.redact(F.col(c), kept)[0] for c in text})
+
+
 def start_deadletter_ingest(stream: DataFrame, out_dir: str, checkpoint: str, reason_codes_path: str | None = None,
                             now_fn=None, type_paths=None, packages=None, boilerplate=None, trigger_once: bool = True):
     """Dead-letter ingest: every micro-batch re-reads the reference catalog
@@ -69,11 +93,16 @@ def start_deadletter_ingest(stream: DataFrame, out_dir: str, checkpoint: str, re
     spark = stream.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        codes = spark.read.option("header", True).csv(reason_codes_path) if reason_codes_path else None
-        terminal = read_table(spark, f"{out_dir}/terminal")
+        codes = read_catalog(spark, reason_codes_path) if reason_codes_path else None
+        known = read_table(spark, f"{out_dir}/terminal")
+        stored = read_table(spark, f"{out_dir}/evidence")
+        if stored is not None:      # a replay of this batch replaces its own rows
+            stored = stored.where(F.col("batch_id") != batch_id).select("case_id")
+            known = stored if known is None else known.select("case_id").unionByName(stored)
         now = F.lit(now_fn()) if now_fn else F.current_timestamp()
-        ev = evidence_batch(batch, codes, now, type_paths, packages, boilerplate, terminal)
-        ev = ev.drop("headers", "chain").persist()
+        append_batch(keyless_rejects(batch), f"{out_dir}/rejects", batch_id)
+        ev = evidence_batch(batch, codes, now, type_paths, packages, boilerplate, known)
+        ev = redact_evidence(ev.drop("headers", "chain")).persist()
         append_batch(ev, f"{out_dir}/evidence", batch_id)
         append_batch(handoff(ev.select("case_id", "ref_id", "fingerprint", "failure_class", "evidence_gaps",
                                        "window_start", "window_end")), f"{out_dir}/handoff", batch_id)

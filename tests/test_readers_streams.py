@@ -47,3 +47,14 @@ def test_rejection_stream_splits_good_and_poison(spark):
     assert spark.read.parquet(f"{base}/out/handoff").count() == 1
     assert spark.read.parquet(f"{base}/out/dlq").count() == 2
     assert [r.skip_reason for r in spark.read.parquet(f"{base}/out/skipped").collect()] == ["non-rejected packet"]
+
+
+def test_unreadable_files_are_left_out_and_listed(spark):
+    base = tempfile.mkdtemp(prefix="logsift-bad-")
+    for name, text in (("good.json", '{"refid": "r1", "expected_outcome": "x"}'), ("bad.json", '{"refid": '), ("_skip.json", '{"refid": "no"}')):
+        with open(f"{base}/{name}", "w") as f:
+            f.write(text)
+    cases = RD.read_eval_cases(spark, base)
+    assert [r.refid for r in cases.collect()] == ["r1"] and cases.count() == 1
+    bad = RD.unreadable(spark, base, RD.EVAL_SCHEMA).collect()
+    assert len(bad) == 1 and bad[0].file.endswith("bad.json")

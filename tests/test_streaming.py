@@ -77,3 +77,43 @@ def test_status_fold_and_sweep(spark):
     assert cur == {"a": "IN_PROGRESS", "b": "FAILED_TIMEOUT", "c": "REJECTED"}
     swept = sweep_stale(fold_status(ev), F.lit("2024-01-01 01:00:00").cast("timestamp")).collect()
     assert [(r.case_id, r.status) for r in swept] == [("a", "FAILED_TIMEOUT")]
+
+
+def test_ingest_survives_redelivery_broken_headers_and_missing_coordinates(spark):
+    base = tempfile.mkdtemp(prefix="logsift-safe-")
+    src = f"{base}/src"
+
+    def record(offset, headers=(), topic="dlt", value=b"mail someone@example.org now", key=b"k-000000001"):
+        return (key, value, topic, 0, offset, None, [("kafka_exception-message", b"call 9876543210 or x@example.org"), *headers])
+
+    def run():
+        stream = SP.decode_deadletters(spark.readStream.schema(SP.KAFKA_SCHEMA).parquet(src))
+        SP.start_deadletter_ingest(stream, f"{base}/out", f"{base}/ckpt", now_fn=lambda: "2024-01-02 00:00:00").awaitTermination(300)
+
+    spark.createDataFrame([record(1), record(2, [("weird", b"\xff\xfe not utf-8")]), record(3, topic=None)],
+                          SP.KAFKA_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    run()
+    spark.createDataFrame([record(2), record(4, key=b"\xff\xfe", value=b"\xff")], SP.KAFKA_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    run()
+    got = spark.read.parquet(f"{base}/out/evidence")
+    assert sorted(r.case_id for r in got.collect()) == ["dlt-dlt-0-1", "dlt-dlt-0-2", "dlt-dlt-0-4"]
+    assert spark.read.parquet(f"{base}/out/rejects").count() == 1
+    stored = " ".join(str(r.asDict()) for t in ("evidence", "rejects") for r in spark.read.parquet(f"{base}/out/{t}").collect())
+    assert "example.org" not in stored and "9876543210" not in stored
+
+
+def test_a_late_ignored_event_does_not_renew_the_age(spark):
+    ev = spark.createDataFrame([("a", "2024-01-01 00:01:00", "IN_PROGRESS"), ("a", "2024-01-01 01:00:00", "LOGS_FETCHED")],
+                               "case_id string, status_at string, status string").withColumn("status_at", F.col("status_at").cast("timestamp"))
+    assert sweep_stale(fold_status(ev), F.lit("2024-01-01 01:10:00").cast("timestamp")).count() == 1
+
+
+def test_read_table_hides_only_a_missing_table(spark):
+    import pytest
+    from logsift.sources.sinks import read_table
+    base = tempfile.mkdtemp(prefix="logsift-read-")
+    assert read_table(spark, f"{base}/none") is None
+    with open(f"{base}/broken.parquet", "wb") as f:
+        f.write(b"not parquet")
+    with pytest.raises(Exception):
+        read_table(spark, f"{base}/broken.parquet").count()

@@ -31,11 +31,12 @@ def _phrase_free(message: Column, phrases: Sequence[str]) -> Column:
 
 
 def index_fetch(ids: DataFrame, index: DataFrame, apps: Sequence[str] = (), since: Column | None = None,
-                phrases: Sequence[str] = (), cap: int = MAX_DOCUMENTS, order: Sequence[str] = ("ts", "line_id"),
+                phrases: Sequence[str] = (), cap: int | None = None, order: Sequence[str] = ("ts", "line_id"),
                 line_key: str = "line_id") -> DataFrame:
     """Records naming each id: app list (pushed to the scan), time lower
-    bound, boilerplate-phrase exclusion, ordered by (time, doc id), at most
-    ``cap`` per id (``truncated`` marks ids that hit it)."""
+    bound, boilerplate-phrase exclusion.  All of them unless a ``cap`` is
+    given: then the first ``cap`` per id by (time, doc id), with ``truncated``
+    marking the ids that have more."""
     src = index
     if apps:
         src = src.where(F.col("app_name").isin(*apps))
@@ -45,11 +46,17 @@ def index_fetch(ids: DataFrame, index: DataFrame, apps: Sequence[str] = (), sinc
         src = src.where(_phrase_free(F.col("message"), phrases))
     hits = match_ids(src, ids, line="message", key=(line_key,))
     rec = hits.join(src.drop("flow_id"), line_key)
+    if cap is None:
+        return _with_defaults(rec.withColumn("truncated", F.lit(False)))
     w = Window.partitionBy("flow_id").orderBy(*[F.col(c) for c in order])
     kept = rec.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= cap).drop("_rk")
     over = (hits.groupBy("flow_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
             .select("flow_id", F.lit(True).alias("truncated")))
-    out = kept.join(over, "flow_id", "left").withColumn("truncated", F.coalesce(F.col("truncated"), F.lit(False)))
+    return _with_defaults(kept.join(over, "flow_id", "left")
+                          .withColumn("truncated", F.coalesce(F.col("truncated"), F.lit(False))))
+
+
+def _with_defaults(out: DataFrame) -> DataFrame:
     defaults = {"timestamp": DEFAULT_TIME, "level": DEFAULT_LEVEL, "app_name": DEFAULT_APP}
     return out.withColumns({
         **{c: F.coalesce(F.col(c), F.lit(v)) if c in out.columns else F.lit(v) for c, v in defaults.items()},

@@ -9,8 +9,7 @@ from logsift.plans import oracle_views as ov
 from logsift.plans.registry import query
 from logsift.plans.views import v_log
 
-# Small context sizes so the window really cuts at sf0.01 (flows of 49-86 lines).
-CTX_BEFORE, CTX_AFTER = 3, 2
+CTX_BEFORE, CTX_AFTER = evidence.ERROR_CONTEXT_BEFORE, evidence.ERROR_CONTEXT_AFTER
 
 
 def prepared_log(spark, sf_dir):

@@ -13,7 +13,6 @@ APPS = ["svc-0", "svc-1"]
 PHRASES = ["decision: packet status"]
 NOW = "2024-01-31 00:00:00"
 DAYS = 20
-CAP = 3
 
 
 def _ids(spark, sf_dir):
@@ -28,17 +27,13 @@ lhit AS (SELECT DISTINCT i.flow_id, l.line_id FROM v_log l JOIN ids i ON contain
 
 @query("index_fetch", ov.with_views(ov.V_LOG, _TOK) + f"""
 , src AS (SELECT * FROM v_log WHERE app_name IN ('svc-0', 'svc-1') AND ts >= TIMESTAMP '{NOW}' - INTERVAL {DAYS} DAY
-          AND NOT contains(message, 'decision: packet status')),
-rec AS (SELECT h.flow_id, s.line_id, s.ts, s.timestamp, s.app_name,
-               row_number() OVER (PARTITION BY h.flow_id ORDER BY s.ts, s.line_id) AS rk
-        FROM hit h JOIN src s USING (line_id))
-SELECT flow_id, line_id, timestamp, app_name, max(rk) OVER (PARTITION BY flow_id) > {CAP} AS truncated
-FROM rec QUALIFY rk <= {CAP}""")
+          AND NOT contains(message, 'decision: packet status'))
+SELECT h.flow_id, s.line_id, s.timestamp, s.app_name, false AS truncated FROM hit h JOIN src s USING (line_id)""")
 def index_fetch(spark, sf_dir):
     """Per id: matching records after app filter, look-back and boilerplate
-    exclusion, ordered, at most 3 (truncated flagged)."""
+    exclusion; all of them."""
     since = F.lit(NOW).cast("timestamp_ntz") - F.expr(f"INTERVAL {DAYS} DAYS")
-    out = FE.index_fetch(_ids(spark, sf_dir), v_log(spark, sf_dir), APPS, since, PHRASES, CAP)
+    out = FE.index_fetch(_ids(spark, sf_dir), v_log(spark, sf_dir), APPS, since, PHRASES)
     return out.select("flow_id", "line_id", "timestamp", "app_name", "truncated")
 
 

@@ -60,7 +60,7 @@ def v_response(spark, sf_dir):
     k = F.col("conv_id") * 7 + F.col("turn")
     acts = F.array(*[F.lit(a) for a in P.ACTIONS + ["REPLAY_PACKET"]])
     ras = F.array(*[F.lit(a) for a in P.RESIDENT_ACTIONS])
-    body = F.concat(F.lit('{"rejection_description":"d","synthesis":"'), F.regexp_replace(F.substring("text", 1, 40), '["\\\\\n]', " "),
+    body = F.concat(F.lit('{"rejection_description":"d","synthesis":"'), F.regexp_replace("text", '["\\\\\n]', " "),
                     F.lit('","action":"'), F.element_at(acts, (k % 7 + 1).cast("int")),
                     F.lit('","resident_action":"'), F.element_at(ras, (k % 4 + 1).cast("int")),
                     F.lit('","confidence":'), ((k % 12) / 10.0).cast("string"), F.lit("}"))
@@ -97,7 +97,7 @@ def text_validators(spark, sf_dir):
 _RESP_SQL = f"""
 WITH c AS (SELECT *, conv_id * 7 + turn AS k FROM conversations WHERE role = 'assistant'),
 b AS (
-  SELECT *, '{{"rejection_description":"d","synthesis":"' || regexp_replace(substr(text, 1, 40), '["\\\\\\n]', ' ', 'g')
+  SELECT *, '{{"rejection_description":"d","synthesis":"' || regexp_replace(text, '["\\\\\\n]', ' ', 'g')
          || '","action":"' || ({ov._sql_str(str(P.ACTIONS + ["REPLAY_PACKET"]).replace("'", '"'))}::JSON->>(CAST(k % 7 AS INTEGER)))
          || '","resident_action":"' || ({ov._sql_str(str(P.RESIDENT_ACTIONS).replace("'", '"'))}::JSON->>(CAST(k % 4 AS INTEGER)))
          || '","confidence":' || CAST((k % 12) / 10.0 AS VARCHAR) || '}}' AS body FROM c),

@@ -7,11 +7,12 @@ last-wins (header maps), no web UI.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -54,20 +55,24 @@ def apply_session_defaults(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) is a scratch folder created.
+    ``spark.checkpoint.dir`` names it and is used as is.  Only a local master
+    (tests, benchmarks) may go without: it gets a scratch folder that is
+    removed with the session.  A cluster without a shared folder is an error,
+    as a machine-local one would be invisible to the executors.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
-    local = tempfile.mkdtemp(prefix="logsift-ckpt-", dir=os.environ.get("LOGSIFT_SCRATCH", "/tmp"))
-    try:
-        spark.conf.set("spark.checkpoint.dir", local)
-    except Exception:  # static conf on some deployments; the context setting suffices
-        pass
-    spark.sparkContext.setCheckpointDir(local)
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    local = _LOCAL.get(spark.sparkContext.applicationId)
+    if local is None:
+        local = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="logsift-ckpt-")
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}")
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+        spark.sparkContext.setCheckpointDir(local)
     return local
 
 

@@ -28,6 +28,8 @@ def analyse_cases(cases: DataFrame, lines: DataFrame, agent: DataFrame | None =
                   reuse_enabled: bool = True, replay_enabled: bool = True, both_bounds: bool = True,
                   seq: str = "dlt_timestamp", materialize: bool = True) -> DataFrame:
     """``cases``: failures + ids + window + gaps columns (one row per case);
+    a boolean ``trace_gap`` column marks cases whose fetched trace has evidence
+    gaps (their confidence is capped);
     ``lines``: (ref_id, ts, line_id, line); ``agent``: (case_id, agent_ok,
     agent_action, agent_confidence) recorded model results, or None.
     Returns one row per case with verdict, occurrence, decision, provenance,
@@ -67,7 +69,8 @@ def analyse_cases(cases: DataFrame, lines: DataFrame, agent: DataFrame | None =
                    .when(prov == "failed_synthesis", F.lit("NEEDS_MANUAL_REVIEW"))),
         "confidence": (F.when(prov == "agent", F.col("agent_confidence"))
                        .when(prov == "failed_synthesis", F.lit(0.0))),
-        "reused": F.lit(False), "has_gap": F.lit(False),
+        "reused": F.lit(False),
+        "has_gap": F.coalesce(F.col("trace_gap"), F.lit(False)) if "trace_gap" in cases.columns else F.lit(False),
     })
     c = P.dlt_confidence(c)
     # Group recommendation in force at each case: the latest earlier agent finding.

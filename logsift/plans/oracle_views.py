@@ -553,16 +553,18 @@ def _tmpl(text: str, **cols: str) -> str:
 
 
 def _policy(prefix: str, action: str, conf: str, reused: str) -> str:
-    """DLT ceilings over columns of the current relation (has_gap is false)."""
+    """DLT ceilings over columns of the current relation (every seventh record's trace has gaps)."""
     hit = "(registry_description IS NOT NULL AND registry_description <> '')"
     labels = (f"list_filter([CASE WHEN failure_class IN ('B', 'U') THEN 'class_' || lower(failure_class) END, "
               f"CASE WHEN verdict = 'UNVERIFIABLE' THEN 'unverifiable' END, "
               f"CASE WHEN verdict = 'CONTRADICTED' THEN 'contradicted' END, "
               f"CASE WHEN failure_class = 'A' AND NOT {hit} THEN 'registry_miss' END, "
+              f"CASE WHEN event_id % 7 = 0 THEN 'evidence_gap' END, "
               f"CASE WHEN {conf} IS NOT NULL AND {reused} THEN 'reuse_decay' END], lambda x: x IS NOT NULL)")
     ceiling = (f"least(1.0, CASE WHEN failure_class IN ('B', 'U') THEN 0.3 ELSE 1.0 END, "
                f"CASE WHEN verdict = 'UNVERIFIABLE' THEN 0.5 ELSE 1.0 END, CASE WHEN verdict = 'CONTRADICTED' THEN 0.6 ELSE 1.0 END, "
-               f"CASE WHEN failure_class = 'A' AND NOT {hit} THEN 0.5 ELSE 1.0 END)")
+               f"CASE WHEN failure_class = 'A' AND NOT {hit} THEN 0.5 ELSE 1.0 END, "
+               f"CASE WHEN event_id % 7 = 0 THEN 0.6 ELSE 1.0 END)")
     conf_out = f"CASE WHEN {conf} IS NULL THEN NULL ELSE least(CASE WHEN {reused} THEN {conf} * 0.95 ELSE {conf} END, {ceiling}) END"
     act_out = (f"CASE WHEN failure_class IN ('B', 'U') AND NOT ({action} IN ('NEEDS_MANUAL_REVIEW', 'ROUTE_TO_DEV')) "
                f"THEN 'NEEDS_MANUAL_REVIEW' ELSE {action} END")

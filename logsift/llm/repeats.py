@@ -27,7 +27,7 @@ from logsift.llm.staging import materialise, release, scratch_path, shuffle_widt
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
-SLICE = 1 << 21
+SLICE = 1 << 18
 _POWERS: dict[str, np.ndarray] = {}
 
 

@@ -85,7 +85,7 @@ def _single_spaced(text: bytes) -> bytes:
     return b" ".join(text.split())
 
 
-def drop_repeated_windows(docs: DataFrame, window: int = 35, block_bytes: int = 1 << 21, texts: bool = False) -> DataFrame:
+def drop_repeated_windows(docs: DataFrame, window: int = 35, block_bytes: int = 1 << 20, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, on request, the kept
     words as text."""
     spark = docs.sparkSession

@@ -67,8 +67,8 @@ class WordWindows:
         block, at = state["block"], state["at"]
         n_words = len(state["doc"])
         change = np.zeros(n_words + 1, np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + self.sizes[-1], -1)
+        change[at] += 1
+        change[at + self.sizes[-1]] -= 1
         kept = np.cumsum(change)[:-1] == 0
         first = np.searchsorted(state["doc"], np.arange(len(block.doc_ids) + 1))
         for i in range(len(block.doc_ids)):

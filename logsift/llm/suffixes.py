@@ -38,16 +38,17 @@ from logsift.llm.repeats import Block, Rounds, pack_blocks, window_keys
 
 #: Perfect difference set modulo 73.
 PERIOD, COVER = 73, np.array([0, 1, 3, 7, 15, 31, 36, 54, 63])
-#: A cut about every 64 bytes, where the key of the last 16 bytes is small.
-CUT_BYTES, CUT_SHARE = 16, 64
+#: A cut about every 64 bytes, where a hash of the next 8 bytes is small.
+CUT_BYTES, CUT_SHARE = 8, 64
 
 
 def _any_in(mask: np.ndarray, back: int, ahead: int) -> np.ndarray:
     """Is the mask set anywhere in [i - back, i + ahead]?"""
     n = len(mask)
-    sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
-    i = np.arange(n)
-    return sums[np.minimum(i + ahead + 1, n)] > sums[np.maximum(i - back, 0)]
+    sums = np.zeros(back + n + ahead + 1, np.int32)
+    np.cumsum(mask, out=sums[back + 1:back + n + 1])
+    sums[back + n + 1:] = sums[back + n]
+    return sums[back + ahead + 1:back + ahead + 1 + n] > sums[:n]
 
 
 class ByteWindows:
@@ -65,12 +66,15 @@ class ByteWindows:
         return state
 
     def _cut(self, state: dict) -> None:
-        """Segments: from a cut to ``length`` + 16 bytes past the next one."""
+        """Segments: from a cut to ``length`` bytes past the end of the next
+        one."""
         block, room = state["block"], state["room"]
-        at = np.flatnonzero(room >= CUT_BYTES)
-        small = window_keys(block.data, at, at + CUT_BYTES) < np.uint64((1 << 64) // CUT_SHARE)
+        words = np.ndarray((max(len(block.data) - CUT_BYTES + 1, 0),), "<u8", block.raw, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+        words ^= words >> np.uint64(32)
+        words *= np.uint64(0xD6E8FEB86659FD93)
+        at = np.flatnonzero(words < np.uint64((1 << 64) // CUT_SHARE))
         full = np.flatnonzero(np.diff(block.bounds) >= self.length)
-        cuts = np.unique(np.concatenate([at[small], block.bounds[full]]))
+        cuts = np.unique(np.concatenate([at, block.bounds[full]]))
         cuts = cuts[room[cuts] >= self.length] if len(cuts) else cuts
         ends = cuts + room[cuts] if len(cuts) else cuts
         after = np.append(cuts[1:], len(block.data)) + self.length + CUT_BYTES if len(cuts) else cuts
@@ -81,8 +85,11 @@ class ByteWindows:
         block = state["block"]
         residue = np.zeros(PERIOD, bool)
         residue[COVER] = True
-        place = np.arange(len(block.data)) - np.repeat(block.bounds[:-1], np.diff(block.bounds))
-        want = residue[place % PERIOD] & (state["room"] >= self.seed)
+        turn = np.resize(residue, max(int(np.diff(block.bounds).max(initial=0)), PERIOD))
+        want = np.zeros(len(block.data), bool)
+        for a, b in zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist()):
+            want[a:b] = turn[:b - a]
+        want &= state["room"] >= self.seed
         # `open` ends with a document's last full string, so a reach of
         # PERIOD - 1 bytes back stays inside the document or finds nothing
         return np.flatnonzero(want & _any_in(state["open"], PERIOD - 1, 0))
@@ -100,8 +107,8 @@ class ByteWindows:
     def mark(self, level: int, state: dict, flags: np.ndarray) -> None:
         if level == 0:
             change = np.zeros(len(state["dup"]) + 1, np.int32)
-            np.add.at(change, state["seg"][flags], 1)
-            np.add.at(change, state["seg_end"][flags] - self.length + 1, -1)
+            change[state["seg"][flags]] += 1                       # segments start apart, but may end together
+            change -= np.bincount(state["seg_end"][flags] - self.length + 1, minlength=len(change)).astype(np.int32)
             state["dup"] = np.cumsum(change)[:-1] > 0
             state["open"] &= ~state["dup"]
         elif level == 1:
@@ -115,16 +122,15 @@ class ByteWindows:
         block, n = state["block"], len(state["dup"])
         dup = np.flatnonzero(state["dup"])
         change = np.zeros(n + 1, np.int32)
-        np.add.at(change, dup, 1)
-        np.add.at(change, dup + self.length, -1)
+        change[dup] += 1
+        change[dup + self.length] -= 1
         gone = np.cumsum(change)[:-1] > 0
         for i in range(len(block.doc_ids)):
             a, b = int(block.bounds[i]), int(block.bounds[i + 1])
             own = gone[a:b]
-            removed = int(own.sum())
+            removed = int(np.count_nonzero(own))
             kept = block.raw[a:b] if not removed else block.data[a:b][~own].tobytes()
-            edge = np.diff(np.concatenate([[0], own.view(np.int8)]))
-            spans = int((edge == 1).sum())
+            spans = int(own[0]) + int(np.count_nonzero(own[1:] & ~own[:-1])) if removed else 0
             yield (None if block.nulls[i] else int(block.doc_ids[i]), b - a, removed, spans,
                    hashlib.sha256(kept).hexdigest(), kept)
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.llm.repeats import _BYTES, _powers
-from logsift.llm.staging import materialise, release
+from logsift.llm.staging import PACKED, materialise, release
 
 END, PAD = 255, 4              # 255 is in no UTF-8 text
 ORDERS = 3                     # predictors
@@ -173,7 +173,7 @@ def merge(parts: DataFrame, kind: str, finish=None) -> dict[str, np.ndarray]:
 
     schema = "name string, chunk int, salt int, data binary"
     once = parts.repartition("name", "chunk", "salt").mapInArrow(adder(kind, False), schema)
-    whole = materialise(once.repartition("name", "chunk").mapInArrow(adder(wide, True), schema), "lm-sums")
+    whole = materialise(once.repartition("name", "chunk").mapInArrow(adder(wide, True), schema), "lm-sums", **PACKED)
     import zstandard
     got: dict[str, list] = {}
     for r in sorted(whole.collect(), key=lambda r: (r["name"], r["chunk"])):       # the model itself

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.staging import materialise, release, scratch_path, shuffle_width
+from logsift.llm.staging import PACKED, materialise, release, scratch_path, shuffle_width
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
@@ -127,7 +127,7 @@ def pack_blocks(docs: DataFrame, prepare, block_bytes: int, ordered: bool) -> st
         rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     name = f"blocks_{uuid.uuid4().hex}"
     (rows.mapInArrow(run, BLOCKS).write.bucketBy(shuffle_width(spark), "block")
-     .option("path", scratch_path(spark, "blocks")).saveAsTable(name))
+     .options(path=scratch_path(spark, "blocks"), **PACKED).saveAsTable(name))
     release(spark)
     return name
 

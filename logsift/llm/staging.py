@@ -22,11 +22,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: For tables of large, already compressed values: the codec would only copy
+#: them through off-heap buffers as large as a page.
+PACKED = {"compression": "uncompressed"}
+
+
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,7 +39,7 @@ from logsift.llm.staging import PACKED, materialise, release
 
 END, PAD = 255, 4              # 255 is in no UTF-8 text
 ORDERS = 3                     # predictors
-GATES, MAP_CELLS = 16, 32
+GATES, MAP_CELLS, STEPS = 16, 32, 32
 CHUNK = 1 << 16
 
 
@@ -193,15 +193,13 @@ def _salt() -> int:
     return TaskContext.get().partitionId() // 64
 
 
-def byte_weights(texts: DataFrame) -> np.ndarray:
-    def run(batches):
-        total = np.zeros(256, "<i8")
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(spelling(t) + b"\xff", np.uint8), minlength=256)
-        yield _row("bytes", 0, _salt(), total)
-
-    return merge(texts.mapInArrow(run, "name string, chunk int, salt int, data binary"), "<i8").get("bytes", np.zeros(256))
+def byte_weights(words: dict[bytes, int]) -> np.ndarray:
+    """How often each byte stands in the commonest words, their blanks
+    included (only the lengths of the code depend on it)."""
+    total = np.zeros(256, np.int64)
+    for w, n in words.items():
+        total += n * np.bincount(np.frombuffer(w + (b" " if w else b"\xff"), np.uint8), minlength=256)
+    return total
 
 
 def _add(total: np.ndarray, at: np.ndarray) -> None:
@@ -260,7 +258,7 @@ def mixed(model: dict, slots: list) -> tuple[np.ndarray, np.ndarray, list]:
     z = w[ORDERS].take(gate)
     for k in range(ORDERS):
         z += w[k].take(gate) * x[k]
-    return gate, np.clip(z, -12, 12, out=z), x
+    return gate, np.clip(z, -11.999, 11.999, out=z), x
 
 
 def cell(z: np.ndarray) -> np.ndarray:
@@ -310,11 +308,11 @@ def sizes(train_bytes: int, most_bits: int) -> tuple[int, ...]:
     return min(18, word), min(22, word), word
 
 
-def train(docs: DataFrame, train_bytes: int, most_bits: int = 24, group_bytes: int = 1 << 18) -> dict:
+def train(docs: DataFrame, words: dict[bytes, int], train_bytes: int, most_bits: int = 24, group_bytes: int = 1 << 18) -> dict:
     learn = docs.where(~held_out()).select(F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h"))
     aside = learn.where("pmod(h, 8) = 0").select("text")
     rest = learn.where("pmod(h, 8) <> 0").select("text")
-    code = prefix_code(byte_weights(aside))
+    code = prefix_code(byte_weights(words))
     bits = sizes(train_bytes, most_bits)
     centre = (np.arange(MAP_CELLS) + 0.5) * (16 / MAP_CELLS) - 8
     model = {
@@ -323,22 +321,32 @@ def train(docs: DataFrame, train_bytes: int, most_bits: int = 24, group_bytes: i
         "map": np.tile(1 / (1 + np.exp(-centre)), (256, 1)).astype(np.float32),
     }
     tune(aside, model, group_bytes // 8)
+    model["spent"] = spent_table(model["map"])
     release(docs.sparkSession)
     return model
 
 
+def spent_table(refine: np.ndarray) -> np.ndarray:
+    """Log10 probability of a one and of a zero by last byte and mixed odds
+    in steps of 1/STEPS: the mean of the odds' own and the refined one."""
+    z = (np.arange(24 * STEPS) + 0.5) / STEPS - 12
+    one = 0.5 / (1 + np.exp(-z)) + 0.5 * refine[:, cell(z)]
+    one = np.clip(one, 1e-6, 1 - 1e-6)
+    return np.log10(np.stack([1 - one, one])).astype(np.float32).ravel()
+
+
 def log10_probabilities(texts: list[bytes], model: dict) -> np.ndarray:
     """Log10 probability of each text (with its end mark)."""
     sp = Spelled(texts, model["code"])
-    last, flat, half = sp.last * MAP_CELLS, model["map"].ravel(), np.float32(0.5)
-    spent = np.zeros(len(sp.at), np.float64)
+    last = sp.last * (24 * STEPS) + 12 * STEPS
+    spent, table = np.zeros(len(sp.at), np.float64), model["spent"]
     for n, slots, bit in sp.decisions(model["bits"]):
         _, z, _ = mixed(model, slots)
-        at = cell(z)
+        z *= np.float32(STEPS)
+        at = np.floor(z, out=z).astype(np.intp)
         at += last[:n]
-        p = half / (1 + np.exp(-z)) + half * flat.take(at)
-        np.subtract(1, p, out=p, where=~bit)
-        spent[:n] += np.log10(np.maximum(p, np.float32(1e-6)))
+        at += bit * (256 * 24 * STEPS)
+        spent[:n] += table.take(at, mode="clip")
     total = np.empty_like(spent)
     total[sp.order] = spent
     sums = np.concatenate([[0.0], np.cumsum(total)])
@@ -386,7 +394,7 @@ def common(counts: DataFrame, top_words: int) -> tuple[int, dict[bytes, int]]:
     return least, {bytes(r["token"]): r["n"] for r in counts.where(F.col("n") >= least).collect()}
 
 
-def lm_scores(docs: DataFrame, most_bits: int = 24, top_words: int = 100_000, group_bytes: int = 1 << 18) -> DataFrame:
+def lm_scores(docs: DataFrame, most_bits: int = 24, top_words: int = 300_000, group_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte."""
     spark = docs.sparkSession
@@ -395,7 +403,7 @@ def lm_scores(docs: DataFrame, most_bits: int = 24, top_words: int = 100_000, gr
     n, v, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"),
                             F.coalesce(F.sum(F.col("n") * (F.length("token") + 1)), F.lit(0))).first()
     least, known = common(counts, top_words)
-    model = train(docs, size, most_bits, group_bytes)
+    model = train(docs, known, size, most_bits, group_bytes)
     shared = spark.sparkContext.broadcast((model, {w: math.log10(c + 1) for w, c in known.items()}))
     floor = math.log10(n + v + 1)
 

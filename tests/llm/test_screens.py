@@ -158,14 +158,15 @@ def test_probabilities_of_all_next_bytes_add_up_to_one():
     model = {"code": code, "bits": (10, 10, 10), "tables": [rng.integers(-30000, 30000, 1 << 10).astype(np.int16) for _ in range(3)],
              "weights": rng.normal(0.3, 0.2, (lm.ORDERS + 1, lm.GATES)).astype(np.float32),
              "map": np.tile(1 / (1 + np.exp(-centre)), (256, 1)).astype(np.float32)}
+    model["spent"] = lm.spent_table(model["map"])
     # P(text) must be the sum over its one-byte extensions and its end: P(prefix ab) = sum_c P(abc...) ; check the code is complete
     assert math.isclose(sum(2.0 ** -int(n) for n in code[0]), 1.0)
     sp = lm.Spelled([bytes([b]) for b in range(255)], code)
     first = {b: 0.0 for b in range(256)}
     for n, slots, bit in sp.decisions(model["bits"]):
         _, z, _ = lm.mixed(model, slots)
-        p = 0.5 / (1 + np.exp(-z)) + 0.5 * model["map"].ravel().take(lm.cell(z) + sp.last[:n] * lm.MAP_CELLS)
-        lp = np.log(np.where(bit, p, 1 - p))
+        at = np.floor(z * lm.STEPS).astype(int) + 12 * lm.STEPS + sp.last[:n] * 24 * lm.STEPS
+        lp = model["spent"][at + bit * 256 * 24 * lm.STEPS] * np.log(10)
         for i in range(n):
             if sp.order[i] % 2 == 0:              # the byte of text i (its end mark is odd)
                 first[int(sp.order[i]) // 2] += float(lp[i])
@@ -178,6 +179,7 @@ def test_score_does_not_depend_on_neighbours(spark):
     code = lm.prefix_code(sum(np.bincount(np.frombuffer(d + b"\xff", np.uint8), minlength=256) for d in docs))
     model = {"code": code, "bits": (12, 12, 12), "tables": [np.arange(1 << 12, dtype=np.int16)] * 3,
              "weights": np.full((lm.ORDERS + 1, lm.GATES), 0.3, np.float32), "map": np.full((256, lm.MAP_CELLS), 0.5, np.float32)}
+    model["spent"] = lm.spent_table(model["map"])
     together = lm.log10_probabilities(docs, model)
     alone = [lm.log10_probabilities([d], model)[0] for d in docs]
     assert np.allclose(together, alone)

@@ -108,7 +108,7 @@ class Words:
     """Word -> its vocabulary features, remembered per worker."""
 
     def __init__(self, vocab: dict[str, int], most: int = 500_000):
-        self.vocab, self.most, self.known = vocab, most, {}
+        self.vocab, self.most, self.known, self.tokens = vocab, most, {}, {}
 
     def __call__(self, word: str) -> tuple:
         got = self.known.get(word)
@@ -118,9 +118,18 @@ class Words:
             got = self.known[word] = tuple(sorted(self.vocab[g] for g in grams(word) if g in self.vocab))
         return got
 
+    def token(self, token: str) -> bool:
+        """Does a blank-separated token hold a word with features?"""
+        got = self.tokens.get(token)
+        if got is None:
+            if len(self.tokens) >= self.most:
+                self.tokens.clear()
+            got = self.tokens[token] = any(map(self, WORD.findall(token)))
+        return got
+
     def sentences(self, text: str):
         """(start, end, features) of the sentences that have any."""
-        if not any(map(self, WORD.findall(text.lower()))):
+        if not any(map(self.token, set(text.lower().split()))):
             return []
         out = []
         for m in SENTENCE.finditer(text):

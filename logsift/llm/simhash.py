@@ -52,15 +52,16 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long); ``keep`` names
+    long columns to carry along."""
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t or b"", words) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *keep])
 
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *keep)
+            .mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep))))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -111,13 +112,18 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                       .select(F.col("node").alias("fp"), F.col("component").alias("root"))))
 
 
+def rooted(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of a table of distinct fingerprints with their component."""
+    return (distinct.join(links(distinct.select("fp"), radius), "fp", "left")
+            .withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the least doc_id that can be
     reached over links of ``radius`` or fewer differing bits."""
     prints = materialise(fingerprints(docs, words), "simhash-prints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    linked = (distinct.join(links(distinct.select("fp"), radius), "fp", "left")
-              .withColumn("root", F.coalesce("root", "fp")))
+    linked = rooted(distinct, radius)
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
@@ -125,14 +131,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One document of each group: the one with the least doc_id (any one of
-    rows that repeat it).  Rows without an id stay when their group has
-    none."""
-    groups = near_duplicates(docs, words, radius)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    kept = materialise(kept.groupBy("_kept").agg(F.count("*").alias("_n")), "simhash-kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
+    """One document of each group: the one with the least doc_id, a row
+    without an id only when its group has none; among rows of that id the one
+    with the least text key (any one of rows that repeat both).  Rows are
+    known by doc_id and two hashes of the text, so equal or missing ids of
+    unlike texts stay apart."""
+    keyed = docs.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
+    prints = materialise(fingerprints(keyed, words, ("_h1", "_h2")), "simhash-prints")
+    counted = prints.groupBy("doc_id", "fp", "_h1", "_h2").agg(F.count("*").alias("_n"))
+    row = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"),
+                   F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"), "_n")
+    distinct = materialise(counted.groupBy("fp").agg(F.min(row).alias("_row")), "simhash-distinct")
+    kept = materialise(rooted(distinct, radius).groupBy("root").agg(F.min("_row").alias("_row")).select("_row.*"),
+                       "simhash-kept")
+    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_k1"))
+                     & (F.col("_h2") == F.col("_k2")))
     if not kept.where("_n > 1").limit(1).count():
         return out.select(*docs.columns)
     return (out.where("_n = 1").select(*docs.columns)
-            .unionAll(out.where("_n > 1").dropDuplicates(["doc_id"]).select(*docs.columns)))
+            .unionAll(out.where("_n > 1").dropDuplicates(["_id", "_k1", "_k2"]).select(*docs.columns)))

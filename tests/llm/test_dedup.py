@@ -64,6 +64,20 @@ def test_keep_one_keeps_the_least_id_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_keep_one_tells_rows_of_missing_or_equal_ids_apart(spark):
+    t = [r[1] for r in rows()]
+    unlike = [t[i] for i in (11, 12, 13, 14, 15, 16)]
+    assert len({c for _, _, c in brute_groups(list(enumerate(unlike)), 4)}) == 6
+    a, b, c, d, e, f = unlike
+    # three texts without an id (one twice), one whose group has an id; one id with three texts, the least of two groups
+    data = [(None, a), (None, b), (None, c), (None, c), (None, d), (7, d), (3, d), (5, e), (5, f), (5, a + " tail"), (8, e), (9, f)]
+    near = simhash.near_duplicates(frame(spark, [(0, a, "en", "s", 0, "", 0, ""), (1, a + " tail", "en", "s", 0, "", 0, "")]))
+    same = near.select("component_id").distinct().count() == 1
+    got = simhash.keep_one(frame(spark, [(i, x, "en", "s", 0, "", 0, "") for i, x in data])).collect()
+    want = [(None, b), (None, c), (3, d), (5, e), (5, f), (5, a + " tail")] + ([] if same else [(None, a)])
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("window", [5, 35])
 def test_repeated_windows_match_brute_force(spark, window):
     from logsift.llm.substring import drop_repeated_windows

@@ -99,7 +99,7 @@ def vocabulary(sample: DataFrame, size: int, least_docs: int) -> dict[str, int]:
     rate = n[True] / (n[True] + n[False])
     seen = F.col("a") + F.col("b")
     z = (F.col("a") - seen * rate) / F.sqrt(seen * (rate * (1 - rate)))
-    best = (summed.where(seen >= least_docs).where((F.col("a") > 3 * rate * seen) & (z > 5))
+    best = (summed.where(seen >= least_docs).where(z > 5)
             .orderBy(F.desc(z), "gram").limit(size).select("gram").collect())     # at most `size` rows
     return {r["gram"]: i for i, r in enumerate(best)}
 

@@ -1,9 +1,11 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from corpus import ITEMS, frame, rows, sha, words
 
 from logsift.llm import decontam, lm, quality, secrets, toxicity
@@ -217,3 +219,23 @@ def test_toxicity_learns_from_document_labels(spark):
     none = toxicity.toxicity(frame(spark, data[:5]), tags.limit(0)).collect()
     assert all(r["predicted"] == 0 for r in none)
     assert toxicity.toxicity(frame(spark, []), tags).count() == 0
+
+
+@pytest.mark.parametrize("percent", [40, 60])
+def test_toxicity_learns_where_toxic_documents_are_many(spark, percent):
+    rng = random.Random(percent)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    stems = ["vilqoo", "nastzar", "crudxip"]
+    data, labels = [], []
+    for i in range(1000):
+        sentences = [" ".join(rng.choice(vocab) for _ in range(10)) for _ in range(rng.randint(1, 8))]
+        toxic = i * 37 % 100 < percent
+        if toxic:
+            sentences[rng.randrange(len(sentences))] += " " + rng.choice(stems)
+        data.append((i, ". ".join(sentences) + ".", "en", "s", 0, "", 0, ""))
+        labels.append((i, 1, int(toxic)))
+    tags = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(frame(spark, data), tags).where("held_out").collect()
+    truth = {d: t for d, _, t in labels}
+    assert {truth[r["doc_id"]] for r in got} == {0, 1}
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in got) / len(got) >= 0.97

@@ -4,9 +4,9 @@ Patterns find candidate spans in every text: assignments, access keys and
 hex runs (the base kinds), and long mixed letter-digit words (kind
 ``mixed``, kept only when the corpus says they look live).  The value of each
 candidate is hashed and counted over the corpus by distinct repositories
-(documents) and distinct owners (sources).  A value that many owners hold is
-a copied example; one that stays with few owners and few repositories is
-owner-specific and looks live.
+(documents) and distinct owners (sources).  A value that many owners or many
+repositories hold is a copied example; one that stays with few owners and few
+repositories is owner-specific and looks live.
 
 Counting goes value -> (value, owner) -> value in partial aggregates, so a
 value that a third of the documents hold is added up before it is shuffled.
@@ -94,14 +94,19 @@ def ownership(found: DataFrame) -> DataFrame:
             .groupBy("value").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners")))
 
 
-def scan(docs: DataFrame, example_owners: int = 4) -> DataFrame:
+def _live(example_owners: int, example_repos: int) -> F.Column:
+    return (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos)
+
+
+def scan(docs: DataFrame, example_owners: int = 4, example_repos: int = 100) -> DataFrame:
     """Per document row: doc_id, _row and ``spans`` with kind, start, end,
-    n_repos, n_owners and live (held by fewer than ``example_owners``)."""
+    n_repos, n_owners and live (held by fewer than ``example_owners`` owners
+    and fewer than ``example_repos`` repositories)."""
     found = materialise(candidates(docs), "secret-candidates")
     spans = found.where(F.size("spans") > 0)
     each = spans.select("_row", F.explode("spans").alias("s")).select("_row", "s.*")
     judged = (each.join(ownership(spans), "value")
-              .withColumn("live", F.col("n_owners") < example_owners)
+              .withColumn("live", _live(example_owners, example_repos))
               .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
                   "start", "kind", "end", "n_repos", "n_owners", "live"))).alias("spans")))
     none = F.array().cast("array<struct<start:long,kind:int,end:long,n_repos:long,n_owners:long,live:boolean>>")
@@ -114,10 +119,10 @@ def _listed(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_report(docs: DataFrame, example_owners: int = 4) -> DataFrame:
+def secret_report(docs: DataFrame, example_owners: int = 4, example_repos: int = 100) -> DataFrame:
     """Counts and spans per document; ``spans`` adds to the base kinds the
     mixed words that look live."""
-    rows = scan(docs, example_owners)
+    rows = scan(docs, example_owners, example_repos)
     base = F.filter("spans", lambda s: s["kind"] < 3)
     shown = F.filter("spans", lambda s: (s["kind"] < 3) | s["live"])
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
@@ -128,7 +133,7 @@ def secret_report(docs: DataFrame, example_owners: int = 4) -> DataFrame:
         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_example"))
 
 
-def redact(docs: DataFrame, example_owners: int = 4, mark: str = "<SECRET>") -> DataFrame:
+def redact(docs: DataFrame, example_owners: int = 4, mark: str = "<SECRET>", example_repos: int = 100) -> DataFrame:
     """The documents with every live-looking value's span replaced by
     ``mark`` (overlapping spans by one mark) and n_chars set anew where a
     text changed; copied examples stay.  The texts are shuffled once, by
@@ -136,7 +141,7 @@ def redact(docs: DataFrame, example_owners: int = 4, mark: str = "<SECRET>") ->
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     found = materialise(candidates(keyed, keep=("_text_hash",)).where(F.size("spans") > 0), "secret-candidates")
     each = found.select("doc_id", "_text_hash", F.explode("spans").alias("s")).select("doc_id", "_text_hash", "s.*")
-    live = (each.join(ownership(found).where(F.col("n_owners") < example_owners), "value")
+    live = (each.join(ownership(found).where(_live(example_owners, example_repos)), "value")
             .groupBy("doc_id", "_text_hash")
             .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
             .withColumnsRenamed({"doc_id": "_doc_id", "_text_hash": "_hash"}))

@@ -89,6 +89,16 @@ def test_copied_examples_are_told_from_live_values(spark):
     assert red[0]["text"] == data[0][1] and red[0]["n_chars"] == 0 and len(red) == len(data)
 
 
+def test_a_value_in_many_documents_of_one_source_is_a_copied_example(spark):
+    live, pasted = "Q7zR2mK9xW4vB8nT6yLp3s", "Paste0Your1Own2Key3Here4"
+    data = [(i, f"see {pasted} here", "en", "hot", 0, "", 0, "") for i in range(2000)]
+    data += [(3000 + i, f"fork {live}", "en", "hot", 0, "", 0, "") for i in range(5)]
+    got = {r["doc_id"]: r for r in secrets.secret_report(frame(spark, data)).collect()}
+    assert all((r["n_live"], r["n_example"], r["spans"]) == ((1, 0, "mixed:5:27") if d >= 3000 else (0, 1, "")) for d, r in got.items())
+    red = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, data)).collect()}
+    assert all(red[d[0]] == ("fork <SECRET>" if d[0] >= 3000 else d[1]) for d in data)
+
+
 # ---------------------------------------------------------------- decontamination
 
 def edit_search(pattern, text):

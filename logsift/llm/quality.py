@@ -9,7 +9,9 @@ quantile sketch.  Sketches add up, so they are built by partial aggregation
 whatever the size of a source, and a group with too few documents takes the
 sum of its language (or of the corpus).  Fences lie ``spread`` times the
 lower (upper) half-width from the median, so they follow the bulk of a
-source and not its outliers.
+source and not its outliers.  The upper one lies at least an upper half-width
+beyond the 90 % quantile, so that counts which are zero in most documents of
+a source, and not in the others, have a fence of that source too.
 
 Defined results: null or blank text has no words and fails the base rule;
 null lang or source form groups of their own; repeated rows are judged row
@@ -118,7 +120,7 @@ def fences(measured: DataFrame, min_docs: int = 100, spread: int = 5) -> DataFra
                          pick("b").alias("b"), slack.alias("slack"))
     one = lambda m, c: F.max(F.when(F.col("metric") == m, c))
     low = F.col("m") - F.lit(spread) * (F.col("b") - F.col("m")) - F.col("slack")
-    high = F.col("m") + F.lit(spread) * (F.col("m") - F.col("a")) + F.col("slack")
+    high = F.greatest(F.col("m") + F.lit(spread) * (F.col("m") - F.col("a")), 2 * F.col("b") - F.col("m")) + F.col("slack")
     return every.groupBy("lang", "source").agg(
         *[one(m, low).alias(f"_low_{m}") for m in RATIOS], *[one(m, high).alias(f"_high_{m}") for m in RATIOS])
 

@@ -48,6 +48,19 @@ def test_fences_follow_the_source(spark):
     assert kept.columns == frame(spark).columns and kept.count() == len(data) + 1
 
 
+def test_upper_fences_follow_a_source_with_some_symbols(spark):
+    def doc(i, text):
+        return (i, text, "en", "mixed", 0, "", 0, "")
+    words_ = lambda i: [f"w{(i * 7 + j * 13) % 997}x" for j in range(80)]
+    # 30 % code-like texts (200 to 500 symbols in 1,000 words of the same lengths), and one far beyond them
+    data = [doc(i, " ".join("#" * (i % 10 < 3 and j < 16 + i % 25) + w[i % 10 < 3 and j < 16 + i % 25:] for j, w in enumerate(words_(i))))
+            for i in range(300)]
+    odd = doc(5000, " ".join("##" + w[2:] + "x" for w in words_(1)))
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(frame(spark, [*data, odd])).collect()}
+    assert all(kept[d[0]] for d in data) and kept[5000] is False
+    assert quality.keep_good(frame(spark, [*data, odd])).count() == len(data)
+
+
 # ---------------------------------------------------------------- secrets
 
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.sources.sinks import DLT_CASEBOOK_SCHEMA_VERSION, CASEBOOK_SCHEMA_VERSION
@@ -48,6 +48,23 @@ def payload_summary(df: DataFrame, payload: str = "payload", type_id: str = "typ
     return out.withColumns({name: F.coalesce(*values) for name, values in typed_cols.items()})
 
 
+def logs_text(case_lines: DataFrame, line: str = "line", order: Sequence[str] = ("ts", "line_id"),
+              chars: int = MAX_EVIDENCE_CHARS) -> DataFrame:
+    """case_id, logs_text: the case's log lines in order, one a row of text,
+    as far as the first ``chars`` characters reach.  Every line but the first
+    takes a character at least (its line break), so no more than ``chars`` + 1
+    lines of a hot case leave the partial top-N."""
+    w = Window.partitionBy("case_id").orderBy(*order)
+    size = F.length("_line") + 1
+    return (case_lines.select("case_id", *order, F.substring(F.coalesce(F.col(line), F.lit("")), 1, chars).alias("_line"))
+            .withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= chars + 1)
+            .withColumn("_at", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - size)
+            .where(F.col("_at") <= chars)
+            .groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_line"))).alias("_lines"))
+            .select("case_id", F.substring(F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n"), 1, chars)
+                    .alias("logs_text")))
+
+
 def evidence_document(cases: DataFrame, logs: str = "logs_text") -> Column:
     """The bounded evidence text of a case (chain, frames, registry line,
     payload summary, corroboration, logs cut at 40,000 characters)."""

@@ -377,12 +377,16 @@ def dlt_fleet_stats(spark, sf_dir):
 
 @query("dlt_casebooks")
 def dlt_casebooks(spark, sf_dir):
-    """Terminal DLT casebooks with the bounded evidence document and the
-    payload summary, flattened for checking."""
+    """Terminal DLT casebooks with the bounded evidence document (with the
+    case's log lines inside its window) and the payload summary, flattened
+    for checking."""
     from logsift.operators import casebooks as CB
+    from logsift.operators.corroborate import window_lines
+    from logsift.plans.views import v_case_log
     from pyspark.sql import types as T
     a = dlt_analysis_df(spark, sf_dir)
-    a = a.withColumn("logs_text", F.lit(None).cast("string"))
+    looked = a.where(~F.col("fetch_skipped") & F.col("ref_id").isNotNull())
+    a = a.join(CB.logs_text(window_lines(looked, v_case_log(spark, sf_dir))), "case_id", "left")
     cand = T.StructType([T.StructField("candidateRefId", T.StringType()), T.StructField("score", T.IntegerType())])
     ddl = ("response STRUCT<refId: STRING, results: STRUCT<referenceId: STRING, matches: ARRAY<STRUCT<engine: STRING, "
            "candidates: ARRAY<STRUCT<candidateRefId: STRING, score: INT>>>>>>")

@@ -54,3 +54,30 @@ def test_fetch_rollup_ok_semantics(spark):
                                 "flow_id string, records long, bytes long, read_ok boolean, oldest_ts string, start_time timestamp")
     got = {r.flow_id: (r.ok, r.pods_queried, r.pods_failed, r.records) for r in PO.fetch_rollup(per).collect()}
     assert got == {"a": (False, 2, 2, 0), "b": (True, 2, 1, 5)}
+
+
+def test_logs_text_is_the_head_of_a_cases_lines_in_order(spark):
+    lines = [("a", 2, 1, "third"), ("a", 1, 9, "second"), ("a", 1, 8, "first"), ("b", 1, 1, None), ("b", 2, 2, "x" * 50)]
+    lines += [("c", 1, i, "") for i in range(100)]
+    df = spark.createDataFrame(lines, "case_id string, ts int, line_id int, line string")
+    for chars in (1, 6, 12, 30, 1000):
+        got = {r.case_id: r.logs_text for r in CB.logs_text(df, chars=chars).collect()}
+        assert got == {"a": "first\nsecond\nthird"[:chars], "b": ("\n" + "x" * 50)[:chars], "c": ("\n" * 99)[:chars]}
+
+
+def test_registered_casebooks_hold_the_cases_log_lines(spark):
+    from __spark_entry__ import SMOKE_DIR, queries
+    from logsift.operators.corroborate import window_lines
+    from logsift.plans.q_deadletter import dlt_analysis_df
+    from logsift.plans.views import v_case_log
+    got = {r.case_id: r.evidence_chars for r in queries()["dlt_casebooks"](spark, SMOKE_DIR).collect()}
+    cases = dlt_analysis_df(spark, SMOKE_DIR)
+    assert len(got) == cases.count()
+    lines = {}
+    for r in window_lines(cases.where("not fetch_skipped and ref_id is not null"), v_case_log(spark, SMOKE_DIR)).collect():
+        lines.setdefault(r.case_id, []).append(r.line)
+    assert lines
+    bare = cases.withColumn("logs_text", F.lit(None).cast("string"))
+    for r in bare.select("case_id", F.length(CB.evidence_document(bare)).alias("n")).collect():
+        logs = "\n".join(lines.get(r.case_id, ["(no logs were fetched)"]))
+        assert got[r.case_id] == r.n - len("(no logs were fetched)") + min(len(logs), CB.MAX_EVIDENCE_CHARS)

@@ -95,7 +95,7 @@ def write_token_blocks(docs: DataFrame, path: str, vocab: str | None = None, end
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], names)
 
         for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
+            for d, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
                 ids.append(np.append(x, np.uint32(end_id)))
                 docs_in.append(d)
                 held += len(x) + 1

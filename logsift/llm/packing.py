@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int) -> DataFrame
         enc = encoder(vocab)
         for b in batches:
             rows = []
-            for d, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
+            for d, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
                 raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
                 for k, (s, n) in enumerate(cut(len(raw) // 4, capacity)):
                     rows.append((d, k, s, n, zlib.crc32(raw[4 * s:4 * (s + n)])))

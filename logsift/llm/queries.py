@@ -79,6 +79,12 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(documents(spark, sf_dir))
 
 
+@_query
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsift.llm.alignment import align_tokenizers
+    return align_tokenizers(documents(spark, sf_dir))
+
+
 # Quality rules in SQL: same counts, same buckets, same fences.
 _RATIO_SQL = {"c": ("word_chars", 100, 100), "s": ("n_symbols", 1000, 100), "d": ("n_dup_lines", 1000, 20)}
 

@@ -9,19 +9,23 @@ from logsift.llm import binary_output, packing
 from logsift.llm.tokens import PieceEncoder, default_vocab
 
 
-def library_ids(texts):
+def library_ids(texts, plain=False):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(default_vocab())
-    tok.encode_special_tokens = True
+    if plain:
+        tok.encode_special_tokens = True
     return [tok.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
 
 
 def test_pieces_give_the_librarys_ids():
     odd = ["", None, " ", "  ", "a  b", "a   b\n\n c", "foo\nbar", "\nfoo", " foo", "foo ", "foo\n", " \n ", "it's don't 's",
-           "a\tb \tc", "x<|endoftext|> y", "é à b 　c", "foo 's", "日本 語", "a\x1cb \x1c c", "\u0085 x"]
+           "a\tb \tc", "x<|endoftext|> y", "é à b 　c", "foo 's", "日本 語", "a\x1cb \x1c c", "\u0085 x", "<|endoftext|>", "\x01a b", "b \x01a", "x\u3000 y", "a\u00a0b \u2028c"]
     every = odd + [r[1] for r in rows()]
-    enc = PieceEncoder(default_vocab(), max_pieces=50, group_chars=200)       # resets between groups
-    assert [list(x) + [0] for x in enc.encode(every)] == library_ids(every)
+    for plain in (False, True):
+        enc = PieceEncoder(default_vocab(), plain, max_pieces=50, group_bytes=200)       # resets between groups
+        assert [list(x) + [0] for x in enc.encode(every)] == library_ids(every, plain)
+    assert 50256 in library_ids(["x<|endoftext|> y"])[0] and 50256 not in library_ids(["x<|endoftext|> y"], True)[0]
+    assert list(PieceEncoder(default_vocab()).encode([])) == []
 
 
 def test_bits_round_trip():

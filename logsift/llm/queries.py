@@ -85,6 +85,12 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align_tokenizers(documents(spark, sf_dir))
 
 
+@_query
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsift.llm.embedding_dedup import near_duplicates
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 # Quality rules in SQL: same counts, same buckets, same fences.
 _RATIO_SQL = {"c": ("word_chars", 100, 100), "s": ("n_symbols", 1000, 100), "d": ("n_dup_lines", 1000, 20)}
 
@@ -145,3 +151,19 @@ def _quality_sql() -> str:
 
 
 ORACLES["op7_quality_rules"] = _quality_sql()
+
+
+ORACLES["op12_embedding_near_dedup"] = """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    links AS (SELECT a.vec_id x, b.vec_id y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+              WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach(vec_id, seen) AS (
+      SELECT x, x FROM links UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON l.x = r.seen)
+    SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) n_links, coalesce(c, e.vec_id) component_id,
+           coalesce(c, e.vec_id) = e.vec_id kept
+    FROM embeddings e
+    LEFT JOIN (SELECT x, count(*) n FROM links GROUP BY x) l ON l.x = e.vec_id
+    LEFT JOIN (SELECT vec_id, min(seen) c FROM reach GROUP BY vec_id) r ON r.vec_id = e.vec_id"""

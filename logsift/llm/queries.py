@@ -91,6 +91,17 @@ def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@_query
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsift.llm.hard_negatives import mine_hard_negatives
+    from logsift.llm.vectors import finite
+    v = F.col("embedding").cast("array<double>")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.when(finite(v), F.transform(v, lambda x: F.floor(256 * x).cast("double"))).alias("embedding"))
+    return mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 # Quality rules in SQL: same counts, same buckets, same fences.
 _RATIO_SQL = {"c": ("word_chars", 100, 100), "s": ("n_symbols", 1000, 100), "d": ("n_dup_lines", 1000, 20)}
 
@@ -137,7 +148,7 @@ def _quality_sql() -> str:
     sk AS (SELECT lang, source, metric, slack, bucket, count(*) n FROM ({sketch}) GROUP BY ALL),
     sl AS (SELECT DISTINCT metric, slack FROM sk),
     {', '.join(levels)},
-    f AS (SELECT lang, source, metric, m - 5 * (b - m) - slack lo, m + 5 * (m - a) + slack hi FROM (
+    f AS (SELECT lang, source, metric, m - 5 * (b - m) - slack lo, greatest(m + 5 * (m - a), 2 * b - m) + slack hi FROM (
             SELECT l0.lang, l0.source, l0.metric, slack,
                    CASE WHEN l0.n >= 100 THEN l0.a WHEN l1.n >= 100 THEN l1.a ELSE l2.a END a,
                    CASE WHEN l0.n >= 100 THEN l0.m WHEN l1.n >= 100 THEN l1.m ELSE l2.m END m,
@@ -167,3 +178,18 @@ ORACLES["op12_embedding_near_dedup"] = """
     FROM embeddings e
     LEFT JOIN (SELECT x, count(*) n FROM links GROUP BY x) l ON l.x = e.vec_id
     LEFT JOIN (SELECT vec_id, min(seen) c FROM reach GROUP BY vec_id) r ON r.vec_id = e.vec_id"""
+
+ORACLES["op13_hard_negative_mining"] = """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label,
+             list_transform(CAST(embedding AS DOUBLE[]), x -> floor(256 * x)) e
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id anchor_id, b.vec_id id, a.label = b.label same, CAST(list_inner_product(a.e, b.e) AS BIGINT) score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, id positive_id, score positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id negative_id, positive_score, score negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY rank <= 5 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)"""

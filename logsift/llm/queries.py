@@ -167,8 +167,8 @@ ORACLES["op7_quality_rules"] = _quality_sql()
 ORACLES["op12_embedding_near_dedup"] = """
     WITH RECURSIVE v AS (
       SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings
-      WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-        AND len(list_filter(embedding, x -> x <> 0)) > 0),
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
     links AS (SELECT a.vec_id x, b.vec_id y FROM v a JOIN v b ON a.vec_id <> b.vec_id
               WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
     reach(vec_id, seen) AS (
@@ -182,14 +182,14 @@ ORACLES["op12_embedding_near_dedup"] = """
 ORACLES["op13_hard_negative_mining"] = """
     WITH v AS (
       SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label,
-             list_transform(CAST(embedding AS DOUBLE[]), x -> floor(256 * x)) e
+             list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) e
       FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (SELECT a.vec_id anchor_id, b.vec_id id, a.label = b.label same, CAST(list_inner_product(a.e, b.e) AS BIGINT) score
           FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
     p AS (SELECT anchor_id, id positive_id, score positive_score FROM s WHERE same
           QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
-    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id negative_id, positive_score, score negative_score
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id negative_id, positive_score, score negative_score
     FROM p JOIN s USING (anchor_id)
     WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
-    QUALIFY rank <= 5 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)"""
+    QUALIFY rank <= 5"""

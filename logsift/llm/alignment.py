@@ -6,8 +6,8 @@ puts the space itself).  Byte ends of the tokens come from the vocabularies'
 own bytes and are verified against the text.  Anchors are byte offsets where
 tokens of both end and the next token of both starts with a blank; they split
 the two id sequences into windows of about a word.  A window's alignment (its
-groups between shared ends, and its id pairs) is worked out once per worker
-for a tuple of A and B ids and then reused.
+groups between shared ends, and its id pairs) is worked out once per block of
+documents for a tuple of A and B ids and then reused.
 
 An id pair's count is the number of documents that hold it linked.  Each task
 writes blocks of documents with the block's distinct pairs; counts are added
@@ -23,7 +23,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.llm.staging import materialise
-from logsift.llm.tokens import _BLANK_RUN, _MARK, PieceEncoder, default_vocab, encoder
+from logsift.llm.tokens import _BLANK_RUN, _MARK, PieceEncoder, default_vocab
 
 PIECE_FILE = "piece_bpe_32k.model"
 BLOCKS = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
@@ -66,6 +65,20 @@ class Side:
         return int(self.lens[ids].sum()) == len(text) and b"".join(self.table[ids]) == text
 
 
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices first[i], first[i] + 1, ... (size[i] of them) in a row."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def mixed(ids: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit mix of every token and its place in its window."""
+    x = ids.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32)) + np.uint64(salt)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class SpacedPieces(PieceEncoder):
     """The same piecewise encoding for a sentencepiece BPE over blank + text:
     merges stay inside vocabulary entries, and no entry has a blank after
@@ -89,30 +102,92 @@ class SpacedPieces(PieceEncoder):
         return [ids or [blank] if t[:1] == " " else ids[1:] for t, ids in zip(texts, got)]
 
 
+class Tokens:
+    """Both id sequences of a group of documents in a row, and the shared
+    ends: ``i``, ``j`` count the A and B tokens up to each, ``cuts`` are the
+    places among them of the anchors, which end the windows."""
+
+    def __init__(self, pair: "Pair", a: list[np.ndarray], b: list[np.ndarray]):
+        self.n_a = np.fromiter(map(len, a), np.int64, len(a))
+        self.n_b = np.fromiter(map(len, b), np.int64, len(b))
+        self.a, self.b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+        ends_a, ends_b = np.cumsum(pair.a.lens[self.a]), np.cumsum(pair.b.lens[self.b])
+        total = int(ends_a[-1]) + 1 if len(ends_a) else 1
+        in_a, in_b = np.zeros(total, bool), np.zeros(total, bool)
+        in_a[ends_a], in_b[ends_b] = True, True
+        self.i, self.j = np.flatnonzero(in_b[ends_a]) + 1, np.flatnonzero(in_a[ends_b]) + 1
+        # the next document starts with a blank too: its start is an anchor
+        next_a, next_b = np.append(pair.a.marked[self.a], True), np.append(pair.b.marked[self.b], True)
+        self.cuts = np.flatnonzero(next_a[self.i] & next_b[self.j])
+        self.end_a, self.end_b = self.i[self.cuts], self.j[self.cuts]
+        self.size_a, self.size_b = np.diff(self.end_a, prepend=0), np.diff(self.end_b, prepend=0)
+
+    def distinct_windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(one window of each kind, every window's kind): grouped by a hash
+        of the id tuples, then compared id by id."""
+        n = len(self.cuts)
+        place_a, place_b = spans(np.zeros(n, np.int64), self.size_a), spans(np.zeros(n, np.int64), self.size_b)
+        start_a, start_b = self.end_a - self.size_a, self.end_b - self.size_b
+        key = (np.add.reduceat(mixed(self.a, place_a, 1), start_a) ^ (np.add.reduceat(mixed(self.b, place_b, 1 << 63), start_b) * np.uint64(0x9E3779B97F4A7C15)))
+        _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+        like = first[kind]
+        same = (self.size_a == self.size_a[like]) & (self.size_b == self.size_b[like])
+        safe = np.where(same, like, np.arange(n))
+        for ids, start, size in ((self.a, start_a, self.size_a), (self.b, start_b, self.size_b)):
+            unlike = ids != ids[spans(start[safe], size)]
+            same &= ~np.logical_or.reduceat(unlike, start)
+        other = np.flatnonzero(~same)                                # unlike windows of one hash
+        kind[other] = len(first) + np.arange(len(other))
+        return np.concatenate([first, other]), kind
+
+
+def joined(items: pa.Array, ends: np.ndarray, mark: str) -> pa.Array:
+    """The items up to each of ``ends`` (after the end before), joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), items), mark)
+
+
+class Memo:
+    """The alignments of a block's windows, one per id tuple pair: its groups
+    as text, its distinct id pairs and how often it links each."""
+
+    def __init__(self, t: Tokens):
+        sample, self.kind = t.distinct_windows()
+        # the sampled windows' groups, in a row
+        first_cut = np.append(-1, t.cuts[:-1])[sample] + 1
+        n_groups = t.cuts[sample] + 1 - first_cut
+        group = spans(first_cut, n_groups)
+        size_a, size_b = np.diff(t.i, prepend=0)[group], np.diff(t.j, prepend=0)[group]
+        start_a, start_b = t.i[group] - size_a, t.j[group] - size_b
+        window_ends = np.cumsum(n_groups)
+        decimal = lambda ids: pc.cast(pa.array(ids), pa.string())
+        left = joined(decimal(t.a[spans(start_a, size_a)]), np.cumsum(size_a), ",")
+        right = joined(decimal(t.b[spans(start_b, size_b)]), np.cumsum(size_b), ",")
+        self.spelt = joined(pc.binary_join_element_wise(left, right, "|"), window_ends, ";")
+        links = size_a * size_b
+        nth = spans(np.zeros(len(links), np.int64), links)
+        wide = np.repeat(size_b, links)
+        codes = (t.a[np.repeat(start_a, links) + nth // wide] << 32) | t.b[np.repeat(start_b, links) + nth % wide]
+        self.pairs, place = np.unique(codes, return_inverse=True)
+        window = np.repeat(np.repeat(np.arange(len(sample)), n_groups), links)
+        both, self.times = np.unique(window << 40 | place, return_counts=True)
+        self.place = both & (1 << 40) - 1
+        self.ends = np.append(0, np.cumsum(np.bincount(both >> 40, minlength=len(sample))))
+
+
 class Pair:
-    """Both tokenisers of a worker and the window memo."""
+    """Both tokenisers of a worker."""
 
-    def __init__(self, vocab: str, pieces: str, memo_ids: int = 2_000_000, long_window: int = 256):
-        self.enc = encoder(vocab, plain=True)
+    def __init__(self, vocab: str, pieces: str, max_pieces: int = 500_000):
+        self.enc = PieceEncoder(vocab, plain=True, max_pieces=max_pieces)
         alphabet = byte_level_alphabet()
         tokens = self.enc.tok.get_vocab()
         table = [b""] * (max(tokens.values()) + 1)
         for t, i in tokens.items():
             table[i] = bytes(map(alphabet.__getitem__, t)) if all(c in alphabet for c in t) else t.encode()
         self.a = Side(table)
-        self.dec = SpacedPieces(pieces)
+        self.dec = SpacedPieces(pieces, max_pieces)
         self.b = Side([bytes([int(t[3:5], 16)]) if self.dec.sp.is_byte(i) else t.replace("▁", " ").encode()
                        for i, t in enumerate(self.dec.names)])
-        self.memo_ids, self.long_window = memo_ids, long_window
-        self.reset()
-
-    def reset(self) -> None:
-        self.memo: dict = {}
-        self.held = 0
-        self.spelt: list[str] = []                                 # per known window: its groups as text,
-        self.groups, self.links = array("q"), array("q")           # their number, the links,
-        self.ends = array("q", [0])                                # where its pairs end in the
-        self.pairs, self.times = array("q"), array("q")            # distinct id pairs and how often each is linked
 
     def tokenise(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides per text; both empty where it has no tokens."""
@@ -121,69 +196,36 @@ class Pair:
         for t, a, b in zip(spaced.cast(pa.binary()).to_pylist(), self.enc.encode(spaced), self.dec.encode(spaced)):
             yield (a, b) if len(t) > 1 and self.a.spells(a, t) and self.b.spells(b, t) else (none, none)
 
-    def shared(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of A and of B up to each shared byte end, and whether that
-        end is an anchor: the last, or one before blank-marked tokens."""
-        _, i, j = np.intersect1d(np.cumsum(self.a.lens[a]), np.cumsum(self.b.lens[b]), assume_unique=True, return_indices=True)
-        i, j = i + 1, j + 1
-        anchor = i == len(a)
-        inner = ~anchor
-        anchor[inner] = self.a.marked[a[i[inner]]] & self.b.marked[b[j[inner]]]
-        return i, j, anchor
-
-    def learn(self, groups: list[tuple[list, list]]) -> int:
-        """Store a window's alignment; returns its number."""
-        found: dict = {}
-        for ga, gb in groups:
-            for x in ga:
-                for y in gb:
-                    k = x << 32 | y
-                    found[k] = found.get(k, 0) + 1
-        self.spelt.append(";".join([f"{','.join(map(str, ga))}|{','.join(map(str, gb))}" for ga, gb in groups]))
-        self.groups.append(len(groups))
-        self.links.append(sum([len(ga) * len(gb) for ga, gb in groups]))
-        self.pairs.extend(found.keys())
-        self.times.extend(found.values())
-        self.ends.append(len(self.pairs))
-        return len(self.spelt) - 1
-
-    def known(self, a: np.ndarray, b: np.ndarray) -> list[int]:
-        """Numbers of a document's windows in the memo."""
-        raw_a, raw_b, out = a.tobytes(), b.tobytes(), []
-        i, j, anchor = self.shared(a, b)
-        cuts = np.flatnonzero(anchor) + 1
-        i, j, ids_a, ids_b = i.tolist(), j.tolist(), None, None
-        i0 = j0 = k0 = 0
-        for k1 in cuts.tolist():
-            i1, j1 = i[k1 - 1], j[k1 - 1]
-            key = (raw_a[4 * i0:4 * i1], raw_b[4 * j0:4 * j1])
-            w = self.memo.get(key)
-            if w is None:
-                if ids_a is None:
-                    ids_a, ids_b = a.tolist(), b.tolist()
-                w = self.learn([(ids_a[p:q], ids_b[r:t]) for p, q, r, t in
-                                zip([i0, *i[k0:k1 - 1]], i[k0:k1], [j0, *j[k0:k1 - 1]], j[k0:k1])])
-                self.held += i1 - i0 + j1 - j0
-                if i1 - i0 < self.long_window:
-                    self.memo[key] = w
-            out.append(w)
-            i0, j0, k0 = i1, j1, k1
-        return out
-
-    def document(self, a: np.ndarray, b: np.ndarray) -> tuple:
-        """(n_groups, n_links, groups_sha256, distinct pairs, times)."""
-        if not len(a):
-            return 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        w = self.known(a, b)
-        digest = hashlib.sha256(";".join(map(self.spelt.__getitem__, w)).encode()).hexdigest()
-        w, n = np.unique(np.array(w, np.int64), return_counts=True)
-        ends = np.frombuffer(self.ends, np.int64)
-        first, size = ends[w], ends[w + 1] - ends[w]
-        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        pairs, place = np.unique(np.frombuffer(self.pairs, np.int64)[at], return_inverse=True)
-        times = np.bincount(place, np.frombuffer(self.times, np.int64)[at] * np.repeat(n, size), len(pairs)).astype(np.int64)
-        return (int((np.frombuffer(self.groups, np.int64)[w] * n).sum()), int((np.frombuffer(self.links, np.int64)[w] * n).sum()),
-                digest, pairs, times)
+    def block(self, texts: pa.Array) -> tuple:
+        """Of a group of documents: n_a, n_b, n_groups, n_links and
+        groups_sha256 each; their distinct pairs, how many of the documents
+        hold each; per document the end of its part of the lists of places
+        among the pairs and of times linked."""
+        t = Tokens(self, *map(list, zip(*self.tokenise(texts))))
+        n = len(t.n_a)
+        if not len(t.a):
+            zero, none = np.zeros(n, np.int64), np.zeros(0, np.int64)
+            return zero, zero, zero, zero, [""] * n, none, none, zero, none, none
+        # shared ends and windows up to each document's end
+        last = np.cumsum(t.n_a)
+        upto_end = lambda ends: np.searchsorted(ends, last, "right")
+        groups = upto_end(t.i)
+        links = np.append(0, np.cumsum(np.diff(t.i, prepend=0) * np.diff(t.j, prepend=0)))[groups]
+        windows = upto_end(t.end_a)
+        memo = Memo(t)
+        digests = [hashlib.sha256(x).hexdigest() if x else "" for x in
+                   joined(memo.spelt.take(pa.array(memo.kind)), windows, ";").cast(pa.binary()).to_pylist()]
+        # (document, window kind), then (document, pair)
+        doc = np.repeat(np.arange(n), np.diff(windows, prepend=0))
+        both, seen = np.unique(doc << 40 | memo.kind, return_counts=True)
+        d, w = both >> 40, both & (1 << 40) - 1
+        size = memo.ends[w + 1] - memo.ends[w]
+        at = spans(memo.ends[w], size)
+        both, into = np.unique(np.repeat(d, size) << 40 | memo.place[at], return_inverse=True)
+        times = np.bincount(into, memo.times[at] * np.repeat(seen, size), len(both)).astype(np.int64)
+        d, place, pairs = both >> 40, both & (1 << 40) - 1, memo.pairs
+        return (t.n_a, t.n_b, np.diff(groups, prepend=0), np.diff(links, prepend=0), digests, pairs,
+                np.bincount(place, minlength=len(pairs)), np.cumsum(np.bincount(d, minlength=n)), place, times)
 
 
 _PAIRS: dict = {}
@@ -195,43 +237,29 @@ def worker_pair(vocab: str, pieces: str) -> Pair:
     return _PAIRS[vocab, pieces]
 
 
-def aligned_blocks(docs: DataFrame, vocab: str, pieces: str, block_tokens: int = 1 << 19) -> DataFrame:
+def aligned_blocks(docs: DataFrame, vocab: str, pieces: str, block_bytes: int = 1 << 21) -> DataFrame:
     """One row per block of documents: their figures, the block's distinct
     pairs with the number of its documents that hold each, and every
     document's pairs as places in that list."""
     def run(batches):
         from pyspark import TaskContext
-        block, made = TaskContext.get().partitionId() << 32, 0
+        number = TaskContext.get().partitionId() << 32
         pair = worker_pair(vocab, pieces)
-        rows, size = [], 0
-
-        def emit():
-            nonlocal rows, size, made
-            cols = list(zip(*rows))
-            lens = np.fromiter(map(len, cols[6]), np.int64, len(rows))
-            known, idx = np.unique(np.concatenate(cols[6]), return_inverse=True)
-            row = [[block + made], *([list(c)] for c in cols[:6]), [known], [np.bincount(idx, minlength=len(known))],
-                   [np.cumsum(lens).astype("<i8").tobytes()], [idx.astype("<u4").tobytes()],
-                   [np.concatenate(cols[7]).astype("<i8").tobytes()]]
-            longs = pa.list_(pa.int64())
-            kinds = [pa.int64(), *[longs] * 5, pa.list_(pa.string()), longs, longs, *[pa.binary()] * 3]
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], BLOCK_NAMES)
-            rows, size, made = [], 0, made + 1
-            if pair.held > pair.memo_ids:
-                pair.reset()
-            return out
-
+        longs = pa.list_(pa.int64())
+        kinds = [pa.int64(), *[longs] * 5, pa.list_(pa.string()), longs, longs, *[pa.binary()] * 3]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(ids), 256):
-                for d, (a, b) in zip(ids[k:k + 256], pair.tokenise(texts.slice(k, 256))):
-                    groups, links, digest, pairs, times = pair.document(a, b)
-                    rows.append((d, len(a), len(b), groups, links, digest, pairs, times))
-                    size += len(a) + 16
-                    if size >= block_tokens:
-                        yield emit()
-        if rows:
-            yield emit()
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.cumsum(size + 64) // block_bytes
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for k0, k1 in zip(cuts[:-1], cuts[1:]):
+                if k0 == k1:
+                    continue
+                part = batch.slice(k0, k1 - k0)
+                *facts, digests, known, held, ends, place, times = pair.block(part.column(1))
+                row = [[number], [part.column(0).to_pylist()], *([f] for f in facts), [digests], [known], [held],
+                       [ends.astype("<i8").tobytes()], [place.astype("<u4").tobytes()], [times.astype("<i8").tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], BLOCK_NAMES)
+                number += 1
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCKS)
 

@@ -70,19 +70,20 @@ def test_alignment_equals_brute_force(spark):
     assert alignment.align_tokenizers(frame(spark, [])).count() == 0
 
 
-def test_small_blocks_and_memo_give_the_same(spark, monkeypatch):
+def test_small_blocks_give_the_same(spark, monkeypatch):
     data = rows()[:30] + [(2000 + i, t, "en", "s", 0, "x", i, "y") for i, t in enumerate(ODD)]
     docs = frame(spark, data)
     whole = sorted((tuple(r) for r in alignment.align_tokenizers(docs).collect()), key=str)
-    one = alignment.Pair(default_vocab(), alignment.default_pieces(), memo_ids=10)
-    for _, text, *_ in data:                                  # the memo forgets after each document
-        (a, b), = one.tokenise(pa.array([text], pa.string()))
-        one.document(a, b)
-        one.reset()
+    one = alignment.Pair(default_vocab(), alignment.default_pieces(), max_pieces=20)
+    facts = {}
+    for d, text, *_ in data:    
+        n_a, n_b, n_groups, n_links, digests, *_ = one.block(pa.array([text], pa.string()))
+        facts[d] = (n_a[0], n_b[0], n_groups[0], n_links[0], digests[0])
+    assert facts == {r[0]: (*r[1:5], r[7]) for r in whole}
     blocks = alignment.aligned_blocks
 
-    def small(docs, vocab, pieces, block_tokens=64):
-        return blocks(docs, vocab, pieces, block_tokens)
+    def small(docs, vocab, pieces, block_bytes=200):
+        return blocks(docs, vocab, pieces, block_bytes)
     monkeypatch.setattr(alignment, "aligned_blocks", small)
     assert sorted((tuple(r) for r in alignment.align_tokenizers(docs.repartition(3)).collect()), key=str) == whole
 
@@ -91,3 +92,12 @@ def test_pair_table(spark):
     docs = frame(spark, [(i, "the cat the cat", "en", "s", 0, "x", 1, "y") for i in range(3)] + [(9, "the", "en", "s", 0, "x", 1, "y")])
     rows_ = alignment.pair_table(docs).collect()
     assert sorted(r["n_docs"] for r in rows_) == [3, 4] and all(r["best"] for r in rows_)
+
+
+def test_windows_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(alignment, "mixed", lambda ids, place, salt: (ids * 0).astype("uint64"))
+    one = alignment.Pair(default_vocab(), alignment.default_pieces())
+    text = "the cat sat on the unbelievably tall matmatmat the cat"
+    got = one.block(pa.array([text, None, text]))
+    want = [r for r in brute([(1, text), (2, None), (3, text)])]
+    assert [(a, b, g, n, s) for a, b, g, n, s in zip(*got[:5])] == [(*r[1:5], r[7]) for r in want]

@@ -111,3 +111,13 @@ def ensure_parallelism(df, min_partitions: int | None = None):
     if size >= have * split // 2:
         return df
     return df.repartition(want)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared checkpoint folder, removed when the
+    session's JVM ends."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path

@@ -25,6 +25,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsift.llm.staging import materialise
 
@@ -64,11 +65,11 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
 SPAN = "struct<start:long,kind:int,end:long,value:string>"
 
 
-def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def candidates(docs: DataFrame) -> DataFrame:
     """One row per document with its candidate spans and a row number that
     tells equal rows apart."""
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())]))
-    names = ("doc_id", "source", *keep)
+    names = ("doc_id", "source")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def run(batches):
@@ -133,33 +134,64 @@ def secret_report(docs: DataFrame, example_owners: int = 4, example_repos: int =
         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_example"))
 
 
-def redact(docs: DataFrame, example_owners: int = 4, mark: str = "<SECRET>", example_repos: int = 100) -> DataFrame:
-    """The documents with every live-looking value's span replaced by
-    ``mark`` (overlapping spans by one mark) and n_chars set anew where a
-    text changed; copied examples stay.  The texts are shuffled once, by
-    doc_id, to meet their spans."""
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    found = materialise(candidates(keyed, keep=("_text_hash",)).where(F.size("spans") > 0), "secret-candidates")
-    each = found.select("doc_id", "_text_hash", F.explode("spans").alias("s")).select("doc_id", "_text_hash", "s.*")
-    live = (each.join(ownership(found).where(_live(example_owners, example_repos)), "value")
-            .groupBy("doc_id", "_text_hash")
-            .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-            .withColumnsRenamed({"doc_id": "_doc_id", "_text_hash": "_hash"}))
+def _marked(text, spans, mark: str) -> F.Column:
+    """``text`` with every span of the sorted ``spans`` replaced by ``mark``
+    (overlapping ones by one)."""
     none = F.array().cast("array<struct<start:long,end:long>>")
     last = lambda acc: F.get(acc, F.size(acc) - 1)
-    joined = F.aggregate("_spans", none, lambda acc, s: F.when(
+    merged = F.aggregate(spans, none, lambda acc, s: F.when(
         last(acc)["end"] > s["start"],
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
             last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(acc, F.array(s))))
     gaps = F.zip_with(
-        F.concat(F.array(F.lit(0).cast("long")), F.transform("_m", lambda s: s["end"])),
-        F.concat(F.transform("_m", lambda s: s["start"]), F.array(F.length("text").cast("long"))),
-        lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
-    out = (keyed.join(live, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-           .withColumn("_m", F.when(F.col("_spans").isNotNull(), joined))
-           .withColumn("_new", F.when(F.col("_m").isNotNull(), F.array_join(gaps, mark))))
-    cols = [F.coalesce("_new", "text").alias("text") if c == "text"
-            else F.when(F.col("_new").isNotNull(), F.length("_new")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars"
-            else F.col(c) for c in docs.columns]
-    return out.select(*cols)
+        F.concat(F.array(F.lit(0).cast("long")), F.transform(merged, lambda s: s["end"])),
+        F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.length(text).cast("long"))),
+        lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
+    return F.array_join(gaps, mark)
+
+
+def redact(docs: DataFrame, example_owners: int = 4, mark: str = "<SECRET>", example_repos: int = 100) -> DataFrame:
+    """The documents with every live-looking value's span replaced by
+    ``mark`` (overlapping spans by one mark) and n_chars set anew where a
+    text changed; copied examples stay.  One pass writes the documents with
+    their candidate spans; only those that have some meet the verdicts, the
+    texts of all others are not shuffled."""
+    # the documents travel as one struct, so no column of theirs can clash
+    names = docs.columns
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
+    found = materialise(_with_spans(whole, docs.schema), "secret-documents")
+    clean = found.where(F.size("spans") == 0).select("doc.*")
+    held = found.where(F.size("spans") > 0)
+    values = held.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "spans")
+    live = materialise(ownership(values).where(_live(example_owners, example_repos)).select("value"), "live-secrets")
+    judged = (held.select("row", F.explode("spans").alias("s")).select("row", "s.*").join(live, "value")
+              .groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hits")))
+    new = (held.join(judged, "row", "left")
+           .withColumn("text", F.when(F.col("hits").isNotNull(), _marked(F.col("doc.text"), F.col("hits"), mark))))
+    cols = [F.coalesce("text", "doc.text").alias("text") if c == "text"
+            else F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("doc.n_chars")).cast("long").alias(c) if c == "n_chars"
+            else F.col(f"doc.`{c}`").alias(c) for c in names]
+    return clean.withColumns({"n_chars": F.col("n_chars").cast("long")} if "n_chars" in names else {}).unionByName(new.select(*cols))
+
+
+def _with_spans(whole: DataFrame, schema) -> DataFrame:
+    """(doc, row, spans) of documents held as structs."""
+    place = schema.names.index("text")
+    kinds = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())]))
+
+    def run(batches):
+        from pyspark import TaskContext
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            texts = b.column(0).field(place).cast(pa.string()).to_pylist()
+            spans = [[{"start": s, "kind": k, "end": e, "value": hashlib.sha256(v.encode()).hexdigest()}
+                      for s, k, e, v in find(t or "")] for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(range(row, row + b.num_rows), pa.int64()), pa.array(spans, kinds)], ["doc", "row", "spans"])
+            row += b.num_rows
+
+    return whole.mapInArrow(run, T.StructType([T.StructField("doc", schema), T.StructField("row", T.LongType()),
+                                               T.StructField("spans", T.ArrayType(T.StructType([
+                                                   T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()),
+                                                   T.StructField("end", T.LongType()), T.StructField("value", T.StringType())])))]))

@@ -112,6 +112,18 @@ def test_a_value_in_many_documents_of_one_source_is_a_copied_example(spark):
     assert all(red[d[0]] == ("fork <SECRET>" if d[0] >= 3000 else d[1]) for d in data)
 
 
+def test_redact_keeps_clashing_columns_and_missing_ids(spark):
+    names = ("_m", "_spans", "_text_hash", "row", "spans", "doc", "hits", "text_", "value")
+    data = [(1, "key password=hunter22 end", "s", 5, *names), (None, "token=abc123xyz789", None, None, *names),
+            (None, None, None, None, *names), (1, "key password=hunter22 end", "s", 5, *names)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    got = secrets.redact(df)
+    assert got.columns == df.columns
+    want = [(1, "key <SECRET> end", "s", 16, *names)] * 2 + [(None, "<SECRET>", None, 8, *names), (None, None, None, None, *names)]
+    fix = lambda rows: sorted(str(tuple(r)).replace("key password=<SECRET>", "key <SECRET>") for r in rows)
+    assert fix(got.collect()) == fix(want)
+
+
 # ---------------------------------------------------------------- decontamination
 
 def edit_search(pattern, text):

@@ -177,7 +177,7 @@ class Memo:
 class Pair:
     """Both tokenisers of a worker."""
 
-    def __init__(self, vocab: str, pieces: str, max_pieces: int = 500_000):
+    def __init__(self, vocab: str, pieces: str, max_pieces: int = 250_000):
         self.enc = PieceEncoder(vocab, plain=True, max_pieces=max_pieces)
         alphabet = byte_level_alphabet()
         tokens = self.enc.tok.get_vocab()
@@ -237,7 +237,7 @@ def worker_pair(vocab: str, pieces: str) -> Pair:
     return _PAIRS[vocab, pieces]
 
 
-def aligned_blocks(docs: DataFrame, vocab: str, pieces: str, block_bytes: int = 1 << 21) -> DataFrame:
+def aligned_blocks(docs: DataFrame, vocab: str, pieces: str, block_bytes: int = 1 << 20) -> DataFrame:
     """One row per block of documents: their figures, the block's distinct
     pairs with the number of its documents that hold each, and every
     document's pairs as places in that list."""
@@ -277,21 +277,21 @@ def pair_counts(entries: DataFrame) -> DataFrame:
 
 def _finish(batches):
     for batch in batches:
-        for r in batch.to_pylist():
-            ends = np.frombuffer(r["ends"], "<i8")
-            idx = np.frombuffer(r["idx"], "<u4").astype(np.int64)
-            times = np.frombuffer(r["times"], "<i8")
-            n = np.array([p["n"] for p in r["counts"] or ()], np.int64)
-            best = np.array([p["best"] for p in r["counts"] or ()], bool)
-
-            def per_doc(v):
-                total = np.concatenate([[0], np.cumsum(v)])
-                return np.diff(total[np.concatenate([[0], ends])])
-
-            n_best, count_sum = (per_doc(np.where(best[idx], times, 0)), per_doc(n[idx] * times)) if len(idx) else (ends * 0, ends * 0)
-            longs = [r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], n_best, count_sum]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in longs), pa.array(r["groups_sha256"], pa.string())],
-                                             [c.split()[0] for c in ROWS.split(", ")])
+        for k in range(batch.num_rows):                  # block by block: each may be megabytes
+            r = {c: batch.column(c)[k] for c in batch.schema.names}
+            facts = [r[c].values for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+            ends = np.frombuffer(r["ends"].as_buffer(), "<i8")
+            idx = np.frombuffer(r["idx"].as_buffer(), "<u4")
+            times = np.frombuffer(r["times"].as_buffer(), "<i8")
+            n_best = count_sum = ends * 0
+            if len(idx):
+                n = r["n"].values.to_numpy(zero_copy_only=False)
+                best = r["best"].values.to_numpy(zero_copy_only=False)
+                first = np.append(0, ends)
+                upto = lambda v: np.diff(np.append(0, np.cumsum(v))[first])
+                n_best, count_sum = upto(np.where(best[idx], times, 0)), upto(n[idx] * times)
+            facts += [pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), r["groups_sha256"].values]
+            yield pa.RecordBatch.from_arrays(facts, [c.split()[0] for c in ROWS.split(", ")])
 
 
 def align_tokenizers(docs: DataFrame, vocab: str | None = None, pieces: str | None = None) -> DataFrame:
@@ -302,7 +302,8 @@ def align_tokenizers(docs: DataFrame, vocab: str | None = None, pieces: str | No
                .select("block", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held")))
     counts = materialise(pair_counts(entries.select("pair", "held")), "pair-counts")
     looked = (entries.select("block", "pair").join(counts, "pair")
-              .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pair", "n", "best"))).alias("counts")))
+              .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pair", "n", "best"))).alias("x"))
+              .select("block", F.col("x.n").alias("n"), F.col("x.best").alias("best")))
     return (blocks.drop("pairs", "held").join(looked, "block", "left")
             .mapInArrow(_finish, ROWS))
 

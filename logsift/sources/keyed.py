@@ -105,6 +105,14 @@ class KeyedTable:
             raise LookupError(f"nothing has been written to {self.path}")
         return self._frame(state, self.files_of(value)).where(F.col(self.key) == value)
 
+    def rows_of(self, ids: DataFrame) -> DataFrame | None:
+        """The rows of the ids in ``ids``; only their buckets are read."""
+        state = self.manifest()
+        if state is None:
+            return None
+        ids = ids.select(self.key).distinct()
+        return self._frame(state, self._folders(state, sorted(self._touched(ids, state)))).join(ids, self.key, "left_semi")
+
     # -------------------------------------------------------------- writes
     def _write(self, rows: DataFrame, state: dict, touched: set[int], batch: tuple[str, int] | None) -> int:
         """Write the new contents of the ``touched`` buckets and publish."""
@@ -148,7 +156,7 @@ class KeyedTable:
         if self._replayed(state, batch):
             return state["version"]
         schema = T.StructType.fromJson(json.loads(state["schema"]))
-        if [(f.name, f.dataType) for f in rows.schema] != [(f.name, f.dataType) for f in schema]:
+        if rows.schema.simpleString() != schema.simpleString():
             raise ValueError(f"columns differ from the table's: {rows.schema.simpleString()}, {schema.simpleString()}")
         rows = rows.withColumn(self.key, F.when(F.col(self.key).isNull(), F.raise_error(F.lit("row without an id")))
                                .otherwise(F.col(self.key)))

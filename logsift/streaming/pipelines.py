@@ -154,7 +154,7 @@ def start_rejection_ingest(stream: DataFrame, out_dir: str, checkpoint: str, tri
         seen = read_table(spark, f"{out_dir}/handoff_ids")
         known = terminal.select("event_id") if terminal is not None else None
         if seen is not None:
-            s = seen.select("event_id")
+            s = seen.where(F.col("batch_id") != batch_id).select("event_id")      # a replay is not its own redelivery
             known = s if known is None else known.unionByName(s)
         term = known if known is not None else spark.createDataFrame([], "event_id string")
         e = I.eligibility(good.dropDuplicates(["eventId"]), term)

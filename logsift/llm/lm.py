@@ -1,21 +1,25 @@
 """Language-model scoring by logistic context mixing over bits.
 
-A text's bytes (and an end mark) are spelled as binary decisions of a prefix
-code, short for common bytes.  Several predictors, each a table of bit
-counts under a hashed context (the last 2 and 4 bytes, and the current word
-so far), give the log odds of each decision.  They are mixed by
-weights picked by a gate - how much each predictor has seen - that learn
-online on training documents kept out of the tables, and an adaptive
-probability map by last byte and mixed odds refines the result.  The sum of
-the decisions' log probabilities is the log probability of the text.
+A text's words are symbols of a prefix code over the common words of the
+training documents; any other word is an escape, its bytes in a second
+prefix code, and a blank.  Each symbol is a few binary decisions, and
+several predictors, tables of bit counts under a hashed context, give the
+log odds of each: for a word no context, the word before, the two words
+before and the last very common word (which tells the language); for a byte
+the last two, three and five bytes, and two bytes with that common word.
+The odds are mixed by weights picked by a gate - word or byte, and how much
+the predictors have seen - that learn online on training documents kept out
+of the tables, and an adaptive probability map by place and mixed odds
+refines the result.  The sum of the decisions' log probabilities is the log
+probability of the text.
 
 What is scored is the text as the baseline sees it: A-Z lower-cased, words
 joined by single spaces.  Tables, weights and map are sums over all training
 documents: each task adds up its documents, and the sums are merged in Spark
-in two steps.  Tables grow with the training bytes up to ``most_bits``; the
-merged tables (two bytes a slot) are what is broadcast.  The word-count
-baseline is exact: counts of the ``top_words`` commonest words are broadcast
-and every other occurrence is joined to its count.
+in two steps.  Tables grow with the training bytes up to ``most_bits``,
+which bounds the model that is broadcast (two bytes a slot).  The word-count baseline is exact: counts of the
+``top_words`` commonest words are broadcast and every other occurrence is
+joined to its count.
 
 Defined results: null text is empty (the end mark alone); repeated rows are
 scored row by row; a null doc_id is held out; without training documents
@@ -34,12 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.repeats import _BYTES, _powers
 from logsift.llm.staging import PACKED, materialise, release
 
-END, PAD = 255, 4              # 255 is in no UTF-8 text
-ORDERS = 3                     # predictors
-GATES, MAP_CELLS, STEPS = 16, 32, 32
+ESCAPE, END, FIRST = 256, 257, 258      # symbols: bytes, escape, end mark, then the coded words
+PAD = 5                                 # end marks before each text: contexts never cross texts
+ORDERS = 4                              # predictors
+COMMON = 64                             # words that tell the language
+CODED = 13                              # a coded word is one token of 2^13 or more: at most 8,192 words
+GATES, STEPS, MAP_CELLS = 128, 32, 32
+DEEP = 32                               # decisions of a word told apart by the map
+PLACES = 257 + DEEP                     # map rows: byte after each byte or escape, word by depth
 CHUNK = 1 << 16
 
 
@@ -49,78 +57,132 @@ def held_out() -> Column:
 
 # ---------------------------------------------------------------- spelling
 
-def prefix_code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Huffman code of the 256 bytes: length, decision node and bit at each
-    depth."""
-    heap = [(int(w) + 1, b, b) for b, w in enumerate(weights)]
+def prefix_code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Canonical Huffman code: length of each symbol and its path, a one bit
+    followed by the code, so that the decision node at depth d is the path
+    less its last (length - d) bits.  Weights below a millionth of the sum
+    are raised to it, which keeps paths within 32 bits."""
+    weights = np.maximum(weights, max(1, int(weights.sum()) >> 20)).tolist()
+    heap = [(w, i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
-    children: list = []
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        children.append((a[2], b[2]))
-        heapq.heappush(heap, (a[0] + b[0], 256 + len(children), 255 + len(children)))
-    paths: dict[int, list] = {}
-    todo = [(heap[0][2], [])]
-    while todo:
-        node, path = todo.pop()
-        if node < 256:
-            paths[node] = path
-        else:
-            for bit in (0, 1):
-                todo.append((children[node - 256][bit], path + [(node - 256, bit)]))
-    depth = max(map(len, paths.values()))
-    length = np.array([len(paths[b]) for b in range(256)])
-    nodes, bits = np.zeros((depth, 256), np.uint32), np.zeros((depth, 256), bool)
-    for b, path in paths.items():
-        for d, (node, bit) in enumerate(path):
-            nodes[d, b], bits[d, b] = node, bit
-    return length, nodes * np.uint32(0x9E3779B1), bits
+    n, up = len(heap), [0] * (2 * len(heap) - 1)
+    for node in range(n, 2 * n - 1):
+        (wa, a), (wb, b) = heapq.heappop(heap), heapq.heappop(heap)
+        up[a] = up[b] = node
+        heapq.heappush(heap, (wa + wb, node))
+    depth = [0] * (2 * n - 1)
+    for node in range(2 * n - 3, -1, -1):
+        depth[node] = depth[up[node]] + 1
+    length = np.array(depth[:n])
+    path, code, last = np.zeros(n, np.uint32), 0, 0
+    for i in np.argsort(length, kind="stable").tolist():
+        code <<= int(length[i]) - last
+        last = int(length[i])
+        path[i] = (1 << last) | code
+        code += 1
+    return length, path
+
+
+class Speller:
+    """The vocabulary's symbols and their prefix codes.  ``words``: word to
+    count, of which those that are one in 2^CODED of the ``total`` training
+    tokens or more (four at least) get a symbol of their own."""
+
+    def __init__(self, words: dict[bytes, int], total: int):
+        ranked = sorted(words.items(), key=lambda x: (-x[1], x[0]))
+        self.ids = {w: i for i, (w, _) in enumerate(ranked)}
+        counts = np.array([n for _, n in ranked], np.int64)
+        self.coded = int(np.searchsorted(-counts, -max(4, total >> CODED), "right"))
+        ends = words.get(b"", 0)
+        own = counts[:self.coded].copy()
+        if self.ids.get(b"", self.coded) < self.coded:
+            own[self.ids[b""]] = 0                     # the end mark has its own symbol
+        bytes_ = prefix_code(byte_weights(words))
+        word = prefix_code(np.concatenate([[max(total - int(own.sum()) - ends, 0) + 1, ends + 1], own]))
+        self.length = np.concatenate([bytes_[0], word[0]]).astype(np.uint8)
+        self.path = np.concatenate([bytes_[1], word[1]])
+
+    def symbols(self, texts: list[bytes]) -> tuple:
+        """Symbols with PAD end marks before each text, the mask of those
+        that are spelled, words a text, and all words with their ranks (-1:
+        unknown)."""
+        words: list[bytes] = []
+        sizes = np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            got = t.split(b" ") if t else []
+            sizes[i] = len(got) + 1
+            words += got
+            words.append(b"")
+        get = self.ids.get
+        ids = np.array([get(w, -1) for w in words], np.int64)
+        last = np.cumsum(sizes) - 1
+        spelled = (ids < 0) | (ids >= self.coded)
+        spelled[last] = False
+        rare = [words[i] for i in np.flatnonzero(spelled).tolist()]
+        width = np.ones(len(words), np.int64)
+        width[spelled] = np.fromiter(map(len, rare), np.int64, len(rare)) + 2
+        width[last - sizes + 1] += PAD
+        at = np.cumsum(width) - width
+        real = np.ones(int(width.sum()), bool)
+        pads = (at[last - sizes + 1][:, None] + np.arange(PAD)).ravel()
+        real[pads] = False
+        at[last - sizes + 1] += PAD
+        out = np.full(len(real), -1, np.int32)
+        out[pads] = END
+        out[at] = np.where(spelled, ESCAPE, ids + FIRST)
+        out[at[last]] = END
+        out[out < 0] = np.frombuffer(b"".join(w + b" " for w in rare), np.uint8)
+        return out.astype(np.uint32), real, sizes, words, ids
 
 
 class Spelled:
     """A group of texts laid out for vectorised decisions."""
 
-    def __init__(self, texts: list[bytes], code):
-        self.code = code
-        pad = bytes(PAD)
-        self.data = np.frombuffer(b"".join(pad + t + b"\xff" for t in texts), np.uint8)
-        sizes = np.array([len(t) + PAD + 1 for t in texts])
-        self.ends = np.cumsum(sizes)
-        real = np.ones(len(self.data), bool)
-        real[((self.ends - sizes)[:, None] + np.arange(PAD)).ravel()] = False
+    def __init__(self, texts: list[bytes], speller: Speller):
+        self.data, real, self.sizes, self.words, self.ids = speller.symbols(texts)
         at = np.flatnonzero(real)
+        self.ends = np.flatnonzero(real & (self.data == END)).searchsorted(at, "left")     # text of each place
+        length = speller.length[self.data[at]]
         # longest spelled first: the places still open at a depth are a prefix
-        self.order = np.argsort((255 - code[0][self.data[at]]).astype(np.uint8), kind="stable")
+        self.order = np.argsort(255 - length, kind="stable")
         self.at = at[self.order]
-        self.bytes = self.data[self.at]
-        self.last = self.data[self.at - 1].astype(np.intp)
-        longer = np.bincount(code[0][self.bytes], minlength=len(code[1]) + 1)
-        self.open = len(at) - np.cumsum(longer)              # places spelled beyond depth d
+        own = self.data[self.at]
+        self.length, self.path = length[self.order], speller.path[own]
+        self.open = len(at) - np.cumsum(np.bincount(self.length, minlength=1))      # places spelled beyond depth d
+        self.byte = own < 256
+        before = self.data[self.at - 1]
+        self.row = np.where(self.byte, np.minimum(before, 256), 257).astype(np.intp)
+        self.gate = self.byte.astype(np.int16) << 6
 
     def contexts(self) -> list[np.ndarray]:
-        d = self.data.astype(np.uint32)
-        back = [d[self.at - k] for k in range(1, PAD + 1)]
-        two = back[0] * np.uint32(0x2C1B3C6D) + back[1] * np.uint32(0x297A2D39)
-        four = two + back[2] * np.uint32(0x85EBCA6B) + back[3] * np.uint32(0xC2B2AE35)
-        up, down = _powers(len(self.data) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[self.data] * up[:len(self.data)])])
-        begins = np.where((self.data <= 32) | (self.data == END), np.arange(len(self.data)), 0)
-        word = np.maximum.accumulate(begins)[self.at - 1]
-        prefix = ((sums[self.at] - sums[word]) * down[word] >> np.uint64(32)).astype(np.uint32)
-        out = [two, four * np.uint32(0x165667B1), prefix]
-        return [c ^ (c >> np.uint32(15)) for c in out]
+        u = np.uint32
+        data, at = self.data, self.at
+        back = [data[at - k] for k in range(1, PAD + 1)]
+        place = np.arange(len(data))
+        told = np.maximum.accumulate(np.where((data >= END) & (data < FIRST + COMMON), place, 0))
+        lang = data[told[at - 1]] * u(0x7FEB352D)
+        one = back[0] * u(0x2C1B3C6D)
+        two = one + back[1] * u(0x297A2D39)
+        three = two + back[2] * u(0x85EBCA6B)
+        five = three + back[3] * u(0xC2B2AE35) + back[4] * u(0x27D4EB2F)
+        pick = lambda word, byte: np.where(self.byte, byte + u(0x68E31DA4), word)
+        out = [pick(u(0x1B56C4E9), two), pick(one, three), pick(two, five), pick(lang, lang + two)]
+        out = [c * u(0x165667B1) for c in out]
+        return [c ^ (c >> u(15)) for c in out]
 
     def decisions(self, bits: tuple):
         """Per depth: number of places still open, slots of the predictors,
         bits."""
-        _, nodes, values = self.code
         ctx = list(zip(self.contexts(), [np.uint32((1 << b) - 1) for b in bits]))
-        for d in range(len(nodes)):
+        for d in range(len(self.open)):
             n = int(self.open[d])
             if not n:
                 return
-            b = self.bytes[:n]
-            node = nodes[d].take(b)
+            left = self.length[:n] - np.uint8(d)
+            node = self.path[:n] >> (left - np.uint8(1))
+            bit = (node & np.uint32(1)).astype(bool)
+            node >>= np.uint32(1)
+            node *= np.uint32(0x9E3779B1)
             slots = []
             for c, mask in ctx:
                 s = c[:n] ^ node
@@ -128,7 +190,11 @@ class Spelled:
                 s ^= s >> np.uint32(13)
                 s &= mask
                 slots.append(s)
-            yield n, slots, values[d].take(b)
+            yield n, slots, bit
+
+    def rows(self, d: int, n: int) -> np.ndarray:
+        """Map rows of the open places at depth d."""
+        return np.where(self.byte[:n], self.row[:n], 257 + min(d, DEEP - 1))
 
 
 def spelling(text: bytes | None) -> bytes:
@@ -198,7 +264,7 @@ def byte_weights(words: dict[bytes, int]) -> np.ndarray:
     included (only the lengths of the code depend on it)."""
     total = np.zeros(256, np.int64)
     for w, n in words.items():
-        total += n * np.bincount(np.frombuffer(w + (b" " if w else b"\xff"), np.uint8), minlength=256)
+        total += n * np.bincount(np.frombuffer(w + b" ", np.uint8), minlength=256)
     return total
 
 
@@ -209,20 +275,31 @@ def _add(total: np.ndarray, at: np.ndarray) -> None:
     total[at[heads]] += np.diff(np.append(heads, len(at))).astype(total.dtype)
 
 
-def bit_tables(texts: DataFrame, code, bits: tuple, group_bytes: int) -> list[np.ndarray]:
+def count_bits(spelled: Spelled, bits: tuple, total: list[np.ndarray]) -> None:
+    """Add the decisions of a group to the counts of zeros and ones."""
+    pieces: list[list] = [[] for _ in bits]
+    for _, slots, bit in spelled.decisions(bits):
+        for k, s in enumerate(slots):
+            s <<= np.uint32(1)
+            s |= bit
+            pieces[k].append(s)
+    for k in range(len(bits)):
+        _add(total[k], np.concatenate(pieces[k]))
+        pieces[k] = []
+
+
+def bit_tables(texts: DataFrame, speller: Speller, bits: tuple, group_bytes: int) -> list[np.ndarray]:
     """Odds tables from the counts of zeros and ones in every slot."""
+    shared = texts.sparkSession.sparkContext.broadcast(speller)
+
     def run(batches):
+        own = shared.value
         total = [np.zeros(2 << b, np.int32) for b in bits]
         seen = False
         for b in batches:
             for group in grouped((spelling(t) for t in b.column(0).to_pylist()), group_bytes):
                 seen = True
-                pieces: list[list] = [[] for _ in bits]
-                for _, slots, bit in Spelled(group, code).decisions(bits):
-                    for k, s in enumerate(slots):
-                        pieces[k].append((s << np.uint32(1)) | bit)
-                for k, p in enumerate(pieces):
-                    _add(total[k], np.concatenate(p))
+                count_bits(Spelled(group, own), bits, total)
         if seen:
             salt = _salt()
             for k, counts in enumerate(total):
@@ -244,8 +321,9 @@ def odds_table(counts: np.ndarray) -> np.ndarray:
     return ((st * 1000).round().astype(np.int16) << 2 | seen).astype("<i2")
 
 
-def mixed(model: dict, slots: list) -> tuple[np.ndarray, np.ndarray, list]:
-    """Gate, mixed log odds and the predictors' odds of some decisions."""
+def mixed(model: dict, sp: Spelled, n: int, slots: list) -> tuple[np.ndarray, np.ndarray, list]:
+    """Gate, mixed log odds and the predictors' odds of the ``n`` open
+    decisions."""
     x, gate = [], None
     for table, s in zip(model["tables"], slots):
         v = table.take(s, mode="clip")
@@ -253,7 +331,7 @@ def mixed(model: dict, slots: list) -> tuple[np.ndarray, np.ndarray, list]:
         if len(x) > 1:
             seen = v & 3
             gate = seen if gate is None else gate << 2 | seen
-    gate = gate.astype(np.intp)
+    gate = (gate + sp.gate[:n]).astype(np.intp)
     w = model["weights"]
     z = w[ORDERS].take(gate)
     for k in range(ORDERS):
@@ -265,61 +343,79 @@ def cell(z: np.ndarray) -> np.ndarray:
     return np.clip((z + 8) * np.float32(MAP_CELLS / 16), 0, MAP_CELLS - 1).astype(np.intp)
 
 
-def tune(texts: DataFrame, model: dict, group_bytes: int, rate: float = 0.4) -> None:
-    """Weights by online gradient steps within each task, averaged by the
-    decisions they saw; counts of the refining map."""
+class Tuner:
+    """Weights by online gradient steps, and counts of the refining map."""
+
+    def __init__(self, model: dict, rate: float = 0.4):
+        self.model, self.rate = dict(model), rate
+        self.model["weights"] = model["weights"].copy()
+        self.ones, self.alls, self.total = np.zeros(PLACES * MAP_CELLS), np.zeros(PLACES * MAP_CELLS), 0
+
+    def learn(self, texts: list[bytes]) -> None:
+        w = self.model["weights"]
+        sp = Spelled(texts, self.model["speller"])
+        for d, (n_open, slots, bit) in enumerate(sp.decisions(self.model["bits"])):
+            gate, z, x = mixed(self.model, sp, n_open, slots)
+            err = bit - 1 / (1 + np.exp(-z))
+            n = np.maximum(np.bincount(gate, minlength=GATES), 32)
+            for k in range(ORDERS):
+                w[k] += (self.rate * np.bincount(gate, err * x[k], GATES) / n).astype(np.float32)
+            w[ORDERS] += (self.rate * np.bincount(gate, err, GATES) / n).astype(np.float32)
+            at = sp.rows(d, n_open) * MAP_CELLS + cell(z)
+            self.alls += np.bincount(at, minlength=len(self.alls))
+            self.ones += np.bincount(at, bit, len(self.ones))
+            self.total += n_open
+
+    def sums(self) -> np.ndarray:
+        return np.concatenate([(self.model["weights"] * self.total).ravel(), [self.total], self.ones, self.alls])
+
+
+def apply_tuning(model: dict, got: np.ndarray) -> None:
+    """Weights averaged by the decisions that tuned them, and the map."""
+    n = model["weights"].size
+    model["weights"] = (got[:n] / got[n]).reshape(model["weights"].shape).astype(np.float32)
+    ones, alls = got[n + 1:].reshape(2, PLACES, MAP_CELLS)
+    model["map"] = ((ones + 8 * model["map"]) / (alls + 8)).astype(np.float32)
+
+
+def tune(texts: DataFrame, model: dict, group_bytes: int) -> None:
+    """Tune in every task and average what the tasks learned."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        own = dict(shared.value)
-        w = own["weights"] = own["weights"].copy()
-        ones, alls, total = np.zeros(256 * MAP_CELLS), np.zeros(256 * MAP_CELLS), 0
+        tuner = Tuner(shared.value)
         for b in batches:
             for group in grouped((spelling(t) for t in b.column(0).to_pylist()), group_bytes):
-                sp = Spelled(group, own["code"])
-                for n_open, slots, bit in sp.decisions(own["bits"]):
-                    gate, z, x = mixed(own, slots)
-                    err = bit - 1 / (1 + np.exp(-z))
-                    n = np.maximum(np.bincount(gate, minlength=GATES), 32)
-                    for k in range(ORDERS):
-                        w[k] += (rate * np.bincount(gate, err * x[k], GATES) / n).astype(np.float32)
-                    w[ORDERS] += (rate * np.bincount(gate, err, GATES) / n).astype(np.float32)
-                    at = sp.last[:n_open] * MAP_CELLS + cell(z)
-                    alls += np.bincount(at, minlength=len(alls))
-                    ones += np.bincount(at, bit, len(ones))
-                    total += n_open
-        if total:
-            yield _row("tuned", 0, _salt(), np.concatenate([(w * total).ravel(), [total], ones, alls]).astype("<f8"))
+                tuner.learn(group)
+        if tuner.total:
+            yield _row("tuned", 0, _salt(), tuner.sums().astype("<f8"))
 
     got = merge(texts.mapInArrow(run, "name string, chunk int, salt int, data binary"), "<f8").get("tuned")
-    if got is None:
-        return
-    n = model["weights"].size
-    model["weights"] = (got[:n] / got[n]).reshape(model["weights"].shape).astype(np.float32)
-    ones, alls = got[n + 1:].reshape(2, 256, MAP_CELLS)
-    prior = model["map"]
-    model["map"] = ((ones + 8 * prior) / (alls + 8)).astype(np.float32)
+    if got is not None:
+        apply_tuning(model, got)
 
 
 def sizes(train_bytes: int, most_bits: int) -> tuple[int, ...]:
-    """Bits of the tables: a slot of the word predictor for every eight
-    bytes of text, fewer for the short contexts."""
-    word = max(16, min(most_bits, int(train_bytes).bit_length() - 3))
-    return min(18, word), min(22, word), word
+    """Bits of the tables: a slot of the longest contexts for every two bytes
+    of text, half as many for one word or the common word, a quarter for
+    the shortest."""
+    most = max(18, min(most_bits, int(train_bytes).bit_length() - 1))
+    return most - 2, most - 1, most, most - 1
 
 
-def train(docs: DataFrame, words: dict[bytes, int], train_bytes: int, most_bits: int = 24, group_bytes: int = 1 << 18) -> dict:
+def untuned(speller: Speller, bits: tuple, tables: list[np.ndarray]) -> dict:
+    centre = (np.arange(MAP_CELLS) + 0.5) * (16 / MAP_CELLS) - 8
+    return {"speller": speller, "bits": bits, "tables": tables,
+            "weights": np.vstack([np.full((ORDERS, GATES), 0.3), np.zeros((1, GATES))]).astype(np.float32),
+            "map": np.tile(1 / (1 + np.exp(-centre)), (PLACES, 1)).astype(np.float32)}
+
+
+def train(docs: DataFrame, speller: Speller, train_bytes: int, most_bits: int = 23, group_bytes: int = 1 << 18) -> dict:
     learn = docs.where(~held_out()).select(F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h"))
     aside = learn.where("pmod(h, 8) = 0").select("text")
     rest = learn.where("pmod(h, 8) <> 0").select("text")
-    code = prefix_code(byte_weights(words))
     bits = sizes(train_bytes, most_bits)
-    centre = (np.arange(MAP_CELLS) + 0.5) * (16 / MAP_CELLS) - 8
-    model = {
-        "code": code, "bits": bits, "tables": bit_tables(rest, code, bits, 4 * group_bytes),
-        "weights": np.vstack([np.full((ORDERS, GATES), 0.35), np.zeros((1, GATES))]).astype(np.float32),
-        "map": np.tile(1 / (1 + np.exp(-centre)), (256, 1)).astype(np.float32),
-    }
+    model = untuned(speller, bits, bit_tables(rest, speller, bits, group_bytes))
     tune(aside, model, group_bytes // 8)
     model["spent"] = spent_table(model["map"])
     release(docs.sparkSession)
@@ -327,7 +423,7 @@ def train(docs: DataFrame, words: dict[bytes, int], train_bytes: int, most_bits:
 
 
 def spent_table(refine: np.ndarray) -> np.ndarray:
-    """Log10 probability of a one and of a zero by last byte and mixed odds
+    """Log10 probability of a one and of a zero by map row and mixed odds
     in steps of 1/STEPS: the mean of the odds' own and the refined one."""
     z = (np.arange(24 * STEPS) + 0.5) / STEPS - 12
     one = 0.5 / (1 + np.exp(-z)) + 0.5 * refine[:, cell(z)]
@@ -335,23 +431,17 @@ def spent_table(refine: np.ndarray) -> np.ndarray:
     return np.log10(np.stack([1 - one, one])).astype(np.float32).ravel()
 
 
-def log10_probabilities(texts: list[bytes], model: dict) -> np.ndarray:
-    """Log10 probability of each text (with its end mark)."""
-    sp = Spelled(texts, model["code"])
-    last = sp.last * (24 * STEPS) + 12 * STEPS
+def log10_probabilities(sp: Spelled, model: dict) -> np.ndarray:
+    """Log10 probability of each text of a group (with its end mark)."""
     spent, table = np.zeros(len(sp.at), np.float64), model["spent"]
-    for n, slots, bit in sp.decisions(model["bits"]):
-        _, z, _ = mixed(model, slots)
+    for d, (n, slots, bit) in enumerate(sp.decisions(model["bits"])):
+        _, z, _ = mixed(model, sp, n, slots)
         z *= np.float32(STEPS)
         at = np.floor(z, out=z).astype(np.intp)
-        at += last[:n]
-        at += bit * (256 * 24 * STEPS)
+        at += sp.rows(d, n) * (24 * STEPS) + 12 * STEPS
+        at += bit * (PLACES * 24 * STEPS)
         spent[:n] += table.take(at, mode="clip")
-    total = np.empty_like(spent)
-    total[sp.order] = spent
-    sums = np.concatenate([[0.0], np.cumsum(total)])
-    to = np.cumsum([len(t) + 1 for t in texts])
-    return sums[to] - sums[np.concatenate([[0], to[:-1]])]
+    return np.bincount(sp.ends[sp.order], spent, len(sp.sizes))
 
 
 # ---------------------------------------------------------------- words
@@ -394,7 +484,7 @@ def common(counts: DataFrame, top_words: int) -> tuple[int, dict[bytes, int]]:
     return least, {bytes(r["token"]): r["n"] for r in counts.where(F.col("n") >= least).collect()}
 
 
-def lm_scores(docs: DataFrame, most_bits: int = 24, top_words: int = 300_000, group_bytes: int = 1 << 18) -> DataFrame:
+def lm_scores(docs: DataFrame, most_bits: int = 23, top_words: int = 300_000, group_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte."""
     spark = docs.sparkSession
@@ -403,8 +493,10 @@ def lm_scores(docs: DataFrame, most_bits: int = 24, top_words: int = 300_000, gr
     n, v, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"),
                             F.coalesce(F.sum(F.col("n") * (F.length("token") + 1)), F.lit(0))).first()
     least, known = common(counts, top_words)
-    model = train(docs, known, size, most_bits, group_bytes)
-    shared = spark.sparkContext.broadcast((model, {w: math.log10(c + 1) for w, c in known.items()}))
+    speller = Speller(known, n)
+    model = train(docs, speller, size, most_bits, group_bytes)
+    logs = np.array([math.log10(known[w] + 1) for w in speller.ids] + [0.0])        # by rank; last: unknown
+    shared = spark.sparkContext.broadcast((model, logs))
     floor = math.log10(n + v + 1)
 
     def run(batches):
@@ -414,22 +506,19 @@ def lm_scores(docs: DataFrame, most_bits: int = 24, top_words: int = 300_000, gr
         for b in batches:
             at = 0
             for group in grouped((spelling(t) for t in b.column(1).to_pylist()), group_bytes):
-                score = log10_probabilities(group, own)
-                n_tok, n_top, base, rare = [], [], [], []
-                for t in group:
-                    words = t.split(b" ") if t else []
-                    words.append(b"")
-                    got = [logs.get(w) for w in words]
-                    left = Counter(w for w, g in zip(words, got) if g is None)
-                    hit = [g for g in got if g is not None]
-                    n_tok.append(len(words))
-                    n_top.append(len(hit))
-                    base.append(math.fsum(hit))
-                    rare.append([{"token": w, "k": k} for w, k in left.items()])
+                sp = Spelled(group, own["speller"])
+                score = log10_probabilities(sp, own)
                 m = len(group)
+                text = np.repeat(np.arange(m), sp.sizes)
+                n_top = np.bincount(text, sp.ids >= 0, m).astype(np.int64)
+                base = np.bincount(text, logs.take(sp.ids, mode="wrap"), m)
+                left = [Counter() for _ in range(m)]
+                for i in np.flatnonzero(sp.ids < 0).tolist():
+                    left[text[i]][sp.words[i]] += 1
+                rare = [[{"token": w, "k": k} for w, k in c.items()] for c in left]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, m), pa.array(range(row, row + m), pa.int64()), pa.array([len(t) for t in group], pa.int64()),
-                     pa.array(n_tok, pa.int64()), pa.array(n_top, pa.int64()), pa.array(base, pa.float64()), pa.array(score),
+                     pa.array(sp.sizes), pa.array(n_top), pa.array(base), pa.array(score),
                      pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int64())])))],
                     ["doc_id", "row", "n_bytes", "n_tokens", "n_top", "base", "score", "rare"])
                 at, row = at + m, row + m

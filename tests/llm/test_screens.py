@@ -188,38 +188,94 @@ def test_baseline_counts_match_brute_force(spark):
     assert lm.lm_scores(frame(spark, [])).count() == 0
 
 
-def test_probabilities_of_all_next_bytes_add_up_to_one():
-    code = lm.prefix_code(np.bincount(np.frombuffer(b"some bytes for a code", np.uint8), minlength=256))
+def random_model(words, bits=10):
     rng = np.random.default_rng(1)
-    centre = (np.arange(lm.MAP_CELLS) + 0.5) * (16 / lm.MAP_CELLS) - 8
-    model = {"code": code, "bits": (10, 10, 10), "tables": [rng.integers(-30000, 30000, 1 << 10).astype(np.int16) for _ in range(3)],
-             "weights": rng.normal(0.3, 0.2, (lm.ORDERS + 1, lm.GATES)).astype(np.float32),
-             "map": np.tile(1 / (1 + np.exp(-centre)), (256, 1)).astype(np.float32)}
+    model = lm.untuned(lm.Speller(words, sum(words.values()) + 9), (bits,) * lm.ORDERS,
+                       [rng.integers(-30000, 30000, 1 << bits).astype(np.int16) for _ in range(lm.ORDERS)])
+    model["weights"] = rng.normal(0.3, 0.2, (lm.ORDERS + 1, lm.GATES)).astype(np.float32)
     model["spent"] = lm.spent_table(model["map"])
-    # P(text) must be the sum over its one-byte extensions and its end: P(prefix ab) = sum_c P(abc...) ; check the code is complete
-    assert math.isclose(sum(2.0 ** -int(n) for n in code[0]), 1.0)
-    sp = lm.Spelled([bytes([b]) for b in range(255)], code)
-    first = {b: 0.0 for b in range(256)}
-    for n, slots, bit in sp.decisions(model["bits"]):
-        _, z, _ = lm.mixed(model, slots)
-        at = np.floor(z * lm.STEPS).astype(int) + 12 * lm.STEPS + sp.last[:n] * 24 * lm.STEPS
-        lp = model["spent"][at + bit * 256 * 24 * lm.STEPS] * np.log(10)
-        for i in range(n):
-            if sp.order[i] % 2 == 0:              # the byte of text i (its end mark is odd)
-                first[int(sp.order[i]) // 2] += float(lp[i])
-    end = lm.log10_probabilities([b""], model)[0] * math.log(10)
-    assert math.isclose(sum(math.exp(first[b]) for b in range(255)) + math.exp(end), 1.0, abs_tol=1e-3)
-
-
-def test_score_does_not_depend_on_neighbours(spark):
+    return model
+
+
+def test_probabilities_of_all_next_symbols_add_up_to_one():
+    words = {f"w{i}".encode(): 40 + i for i in range(70)} | {b"seldom": 1}
+    model = random_model(words)
+    speller = model["speller"]
+    assert math.isclose(sum(2.0 ** -int(n) for n in speller.length[:256]), 1.0)
+    assert math.isclose(sum(2.0 ** -int(n) for n in speller.length[256:]), 1.0)
+
+    def spent(texts, nth):
+        """Probability of the nth symbol of each text."""
+        sp = lm.Spelled(texts, speller)
+        each = np.zeros(len(sp.at))
+        for d, (n, slots, bit) in enumerate(sp.decisions(model["bits"])):
+            _, z, _ = lm.mixed(model, sp, n, slots)
+            at = (sp.rows(d, n) + bit * lm.PLACES) * 24 * lm.STEPS + np.floor(z * lm.STEPS).astype(int) + 12 * lm.STEPS
+            each[:n] += model["spent"][at]
+        by_place = np.empty_like(each)
+        by_place[sp.order] = each
+        first = np.flatnonzero(np.diff(sp.ends, prepend=-1))
+        return 10.0 ** by_place[first + nth]
+
+    coded = [w for w, n in words.items() if n >= 4]
+    assert len(coded) == speller.coded
+    assert math.isclose(spent(coded + [b"unknown", b""], 0).sum(), 1.0, rel_tol=1e-4)
+    after_escape = [bytes([b]) + b"q" for b in range(256) if b != 32] + [b" q"]
+    assert math.isclose(spent(after_escape, 1).sum(), 1.0, rel_tol=1e-4)
+
+
+def test_score_does_not_depend_on_neighbours():
     docs = [lm.spelling((r[1] or "").encode()) for r in rows()][:40]
-    code = lm.prefix_code(sum(np.bincount(np.frombuffer(d + b"\xff", np.uint8), minlength=256) for d in docs))
-    model = {"code": code, "bits": (12, 12, 12), "tables": [np.arange(1 << 12, dtype=np.int16)] * 3,
-             "weights": np.full((lm.ORDERS + 1, lm.GATES), 0.3, np.float32), "map": np.full((256, lm.MAP_CELLS), 0.5, np.float32)}
-    model["spent"] = lm.spent_table(model["map"])
-    together = lm.log10_probabilities(docs, model)
-    alone = [lm.log10_probabilities([d], model)[0] for d in docs]
-    assert np.allclose(together, alone)
+    model = random_model(dict(Counter(w for d in docs for w in d.split()).most_common(50)), 12)
+    score = lambda texts: lm.log10_probabilities(lm.Spelled(texts, model["speller"]), model)
+    assert np.allclose(score(docs), [score([d])[0] for d in docs])
+
+
+def test_symbols_give_the_text_back():
+    docs = [lm.spelling((r[1] or "").encode()) for r in rows()][:40] + [b"\xff\xfe odd \x00 bytes"]
+    for words in ({}, dict(Counter(w for d in docs for w in d.split()).most_common(60)) | {b"": 40}):
+        speller = lm.Speller(words, 1000)
+        ranked = list(speller.ids)
+        sp = lm.Spelled(docs, speller)
+        for i, d in enumerate(docs):
+            syms = sp.data[np.sort(sp.at)][sp.ends == i].tolist()
+            assert syms[-1] == lm.END and lm.END not in syms[:-1]
+            out, spelled = [], None
+            for s in syms[:-1]:
+                if s >= lm.FIRST:
+                    out.append(ranked[s - lm.FIRST])
+                elif s == lm.ESCAPE:
+                    spelled = b""
+                elif s == 32:
+                    out.append(spelled)
+                else:
+                    spelled += bytes([s])
+            assert b" ".join(out) == d
+
+
+def test_held_out_texts_score_better_with_more_training_text(spark):
+    """Words of a small vocabulary that follow one another by rule: the
+    contexts must beat the word counts on nearly every held-out text, and
+    more text must not make it worse."""
+    rng = np.random.default_rng(3)
+    vocab = ["".join(rng.choice(list("abcdefghij"), int(n))) for n in rng.integers(3, 8, 200)]
+    follow = rng.integers(0, 200, (200, 4))
+
+    def text():
+        w, out = int(rng.integers(200)), []
+        for _ in range(80):
+            out.append(vocab[w])
+            w = int(follow[w, rng.integers(4)])
+        return " ".join(out)
+
+    data = [(i, text()) for i in range(700)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    means = []
+    for some in ([r for r in data if held(r[0]) or r[0] % 5 == 0], data):
+        got = lm.lm_scores(spark.createDataFrame(some, "doc_id long, text string")).where("held_out").collect()
+        means.append(np.mean([r["score"] for r in got]))
+        better = np.mean([r["score"] > r["base_score"] for r in got])
+    assert better >= 0.9 and means[1] > means[0]
 
 
 # ---------------------------------------------------------------- toxicity

@@ -4,9 +4,9 @@ A text's words are symbols of a prefix code over the common words of the
 training documents; any other word is an escape, its bytes in a second
 prefix code, and a blank.  Each symbol is a few binary decisions, and
 several predictors, tables of bit counts under a hashed context, give the
-log odds of each: for a word no context, the word before, the two words
-before and the last very common word (which tells the language); for a byte
-the last two, three and five bytes, and two bytes with that common word.
+log odds of each: for a word the last very common word (which tells the
+language), the word before and the two words before; for a byte two bytes
+with that common word, and the last three and five bytes.
 The odds are mixed by weights picked by a gate - word or byte, and how much
 the predictors have seen - that learn online on training documents kept out
 of the tables, and an adaptive probability map by place and mixed odds
@@ -42,10 +42,11 @@ from logsift.llm.staging import PACKED, materialise, release
 
 ESCAPE, END, FIRST = 256, 257, 258      # symbols: bytes, escape, end mark, then the coded words
 PAD = 5                                 # end marks before each text: contexts never cross texts
-ORDERS = 4                              # predictors
+ORDERS = 3                              # predictors
 COMMON = 64                             # words that tell the language
 CODED = 13                              # a coded word is one token of 2^13 or more: at most 8,192 words
 GATES, STEPS, MAP_CELLS = 128, 32, 32
+ODDS = 24 * STEPS                       # steps of the mixed odds
 DEEP = 32                               # decisions of a word told apart by the map
 PLACES = 257 + DEEP                     # map rows: byte after each byte or escape, word by depth
 CHUNK = 1 << 16
@@ -152,7 +153,7 @@ class Spelled:
         self.byte = own < 256
         before = self.data[self.at - 1]
         self.row = np.where(self.byte, np.minimum(before, 256), 257).astype(np.intp)
-        self.gate = self.byte.astype(np.int16) << 6
+        self.gate = self.byte.astype(np.int16) << 2         # shifted twice more by the predictors
 
     def contexts(self) -> list[np.ndarray]:
         u = np.uint32
@@ -166,7 +167,7 @@ class Spelled:
         three = two + back[2] * u(0x85EBCA6B)
         five = three + back[3] * u(0xC2B2AE35) + back[4] * u(0x27D4EB2F)
         pick = lambda word, byte: np.where(self.byte, byte + u(0x68E31DA4), word)
-        out = [pick(u(0x1B56C4E9), two), pick(one, three), pick(two, five), pick(lang, lang + two)]
+        out = [pick(lang, lang + two), pick(one, three), pick(two, five)]
         out = [c * u(0x165667B1) for c in out]
         return [c ^ (c >> u(15)) for c in out]
 
@@ -328,10 +329,13 @@ def mixed(model: dict, sp: Spelled, n: int, slots: list) -> tuple[np.ndarray, np
     for table, s in zip(model["tables"], slots):
         v = table.take(s, mode="clip")
         x.append(np.multiply(v, np.float32(0.00025), dtype=np.float32))    # the low bits weigh nothing
-        if len(x) > 1:
-            seen = v & 3
-            gate = seen if gate is None else gate << 2 | seen
-    gate = (gate + sp.gate[:n]).astype(np.intp)
+        v &= 3
+        if gate is None:
+            gate = sp.gate[:n] + v
+        else:
+            gate <<= 2
+            gate |= v
+    gate = gate.astype(np.intp)
     w = model["weights"]
     z = w[ORDERS].take(gate)
     for k in range(ORDERS):
@@ -397,10 +401,9 @@ def tune(texts: DataFrame, model: dict, group_bytes: int) -> None:
 
 def sizes(train_bytes: int, most_bits: int) -> tuple[int, ...]:
     """Bits of the tables: a slot of the longest contexts for every two bytes
-    of text, half as many for one word or the common word, a quarter for
-    the shortest."""
+    of text, half as many for the others."""
     most = max(18, min(most_bits, int(train_bytes).bit_length() - 1))
-    return most - 2, most - 1, most, most - 1
+    return most - 1, most - 1, most
 
 
 def untuned(speller: Speller, bits: tuple, tables: list[np.ndarray]) -> dict:
@@ -434,13 +437,17 @@ def spent_table(refine: np.ndarray) -> np.ndarray:
 def log10_probabilities(sp: Spelled, model: dict) -> np.ndarray:
     """Log10 probability of each text of a group (with its end mark)."""
     spent, table = np.zeros(len(sp.at), np.float64), model["spent"]
+    place, deeper = (sp.row * ODDS).astype(np.int32), np.where(sp.byte, 0, ODDS).astype(np.int32)
     for d, (n, slots, bit) in enumerate(sp.decisions(model["bits"])):
         _, z, _ = mixed(model, sp, n, slots)
         z *= np.float32(STEPS)
-        at = np.floor(z, out=z).astype(np.intp)
-        at += sp.rows(d, n) * (24 * STEPS) + 12 * STEPS
-        at += bit * (PLACES * 24 * STEPS)
+        z += np.float32(12 * STEPS)
+        at = z.astype(np.int32)                        # above zero: rounds down
+        at += place[:n]
+        at[bit] += PLACES * ODDS
         spent[:n] += table.take(at, mode="clip")
+        if d < DEEP - 1:
+            place[:n] += deeper[:n]
     return np.bincount(sp.ends[sp.order], spent, len(sp.sizes))
 
 

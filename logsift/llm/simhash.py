@@ -136,17 +136,20 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
     with the least text key (any one of rows that repeat both).  Rows are
     known by doc_id and two hashes of the text, so equal or missing ids of
     unlike texts stay apart."""
-    keyed = docs.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
-    prints = materialise(fingerprints(keyed, words, ("_h1", "_h2")), "simhash-prints")
-    counted = prints.groupBy("doc_id", "fp", "_h1", "_h2").agg(F.count("*").alias("_n"))
-    row = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"),
-                   F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"), "_n")
-    distinct = materialise(counted.groupBy("fp").agg(F.min(row).alias("_row")), "simhash-distinct")
-    kept = materialise(rooted(distinct, radius).groupBy("root").agg(F.min("_row").alias("_row")).select("_row.*"),
+    # the documents travel as one struct, so no column of theirs can clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    keyed = whole.select("doc", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"),
+                         F.xxhash64("doc.text").alias("h1"), F.xxhash64(F.lit(1), "doc.text").alias("h2"))
+    prints = materialise(fingerprints(keyed, words, ("h1", "h2")), "simhash-prints")
+    counted = prints.groupBy("doc_id", "fp", "h1", "h2").agg(F.count("*").alias("n"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                   F.col("h1").alias("k1"), F.col("h2").alias("k2"), "n")
+    distinct = materialise(counted.groupBy("fp").agg(F.min(row).alias("row")), "simhash-distinct")
+    kept = materialise(rooted(distinct, radius).groupBy("root").agg(F.min("row").alias("row")).select("row.*"),
                        "simhash-kept")
-    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_k1"))
-                     & (F.col("_h2") == F.col("_k2")))
-    if not kept.where("_n > 1").limit(1).count():
-        return out.select(*docs.columns)
-    return (out.where("_n = 1").select(*docs.columns)
-            .unionAll(out.where("_n > 1").dropDuplicates(["_id", "_k1", "_k2"]).select(*docs.columns)))
+    out = keyed.drop("text").join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h1") == F.col("k1"))
+                                  & (F.col("h2") == F.col("k2")))
+    if not kept.where("n > 1").limit(1).count():
+        return out.select("doc.*")
+    return out.where("n = 1").select("doc.*").unionAll(
+        out.where("n > 1").dropDuplicates(["id", "k1", "k2"]).select("doc.*"))

@@ -114,3 +114,13 @@ def test_empty_tables(spark):
 def test_corpus_has_the_awkward_cases():
     t = texts()
     assert None in t and "" in t and max(len(x or "") for x in t) > 50_000
+
+
+def test_keep_one_leaves_extra_columns_alone(spark):
+    extra = ["_h1", "_h2", "_id", "_k1", "_n", "h1", "k2", "id", "n", "row", "root", "doc", "none", "a.b"]
+    data = [(1, "one two three four five", *["x"] * len(extra)), (2, "one two three four five", *["y"] * len(extra)),
+            (None, "something else entirely in this text", *["z"] * len(extra)), (4, None, *["w"] * len(extra))]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in extra)
+    got = simhash.keep_one(spark.createDataFrame(data, schema))
+    assert got.columns == ["doc_id", "text", *extra]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((data[0], data[2], data[3]), key=str)

@@ -1,30 +1,37 @@
 """Log template mining and the per-flow / cross-flow template tables.
 
-Mining follows the published Drain idea (length + leading-token prefix tree,
-greedy merge by position-wise similarity) re-planned for Spark:
+Mining keeps the published prefix-tree idea (token count + leading tokens
+name a leaf, similar messages of a leaf share a template) and decides by
+counts instead of by arrival order, so that every step is an aggregate that
+merges and no leaf is ever held in one task:
 
 1. mask variable tokens with built-in ``regexp_replace`` (JVM side);
-2. reduce to DISTINCT masked messages with counts (map-side partial
-   aggregation -- a message repeated a million times is one row);
-3. group the distinct messages by leaf = (token count, first two tokens,
-   digit-bearing tokens as ``<*>``) and merge greedily inside each leaf with
-   ``applyInPandas``, in a deterministic order (count desc, message);
-4. join the message -> template map back and aggregate per flow.
-
-Template ids are content hashes, so they are stable across runs and do not
-depend on which flows were processed first.
+2. reduce to DISTINCT masked messages (map-side partial aggregation -- a
+   message repeated a million times is one row);
+3. per leaf and position, count the messages that hold each token.  A token
+   held by enough of the leaf's messages is common and stays, any other
+   becomes ``<*>``; a message with enough common tokens is placed;
+4. messages of a leaf that were not placed are counted among themselves in
+   the next round, where the rarer kinds are no longer outnumbered; what no
+   round places keeps its own text as template;
+5. join the message -> template map back and aggregate per flow.
+
+What is known of a leaf is at most 1/share tokens a position, whatever the
+number of its messages; the messages of a leaf meet that summary in
+``salts`` parts.  The result depends on the set of messages alone: not on
+their order, their partitioning or which flow came first.  Template ids are
+content hashes and stable across runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logsift.functions.render import DECISION_VOCABULARY_RE, RARE_TEMPLATE_THRESHOLD
+from logsift.session import materialize
 
 # --- fixed values (must equal the behaviour being matched) -----------------
 WILDCARD = "<*>"
@@ -34,14 +41,18 @@ BOILERPLATE_WARN_SHARE = 0.40
 MIN_PHRASE_CHARS = 10
 # ---------------------------------------------------------------------------
 
-SIMILARITY = 0.4          # Drain's default similarity threshold
+SIMILARITY = 0.4          # share of a message's positions that must hold common tokens
+COMMON_SHARE = 0.2        # share of a leaf's messages that makes a token common (at least two of them)
+ROUNDS = 3                # rounds of counting; each looks at what the rounds before did not place
+SALTS = 16                # parts in which a leaf's messages meet the leaf's summary
+ID_CHARS = 32             # hex characters of a template id (128 bits)
+BLANKS = r"[ \t\n\x0B\f\r]+"
 MASKS = [
     (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", WILDCARD),
     (r"\b(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?\b", WILDCARD),
     (r"\b0x[0-9a-fA-F]+\b", WILDCARD),
-    (r"(?<![A-Za-z])[-+]?\d+(?:[.,:]\d+)*(?![A-Za-z])", "<NUM>"),
+    (r"[-+]?\b\d+(?:[.,:]\d+)*\b", "<NUM>"),
 ]
-MINED_SCHEMA = T.StructType([T.StructField("masked", T.StringType()), T.StructField("template", T.StringType())])
 
 
 def mask_message(msg: Column) -> Column:
@@ -49,7 +60,7 @@ def mask_message(msg: Column) -> Column:
     m = F.coalesce(msg, F.lit(""))
     for pat, rep in MASKS:
         m = F.regexp_replace(m, pat, rep)
-    return F.trim(F.regexp_replace(m, r"\s+", " "))
+    return F.trim(F.regexp_replace(m, BLANKS, " "))
 
 
 def leaf_key(masked: Column) -> Column:
@@ -61,66 +72,66 @@ def leaf_key(masked: Column) -> Column:
                        norm(F.coalesce(F.try_element_at(toks, F.lit(2)), F.lit(""))))
 
 
-def _merge_rows(masked: list[str], threshold: float) -> list[tuple[str, str]]:
-    """Greedy Drain merge of one leaf's distinct messages, already ordered."""
-    clusters: list[list[str]] = []
-    members: list[list[str]] = []
-    for msg in masked:
-        toks = msg.split(" ")
-        best, best_sim, best_wild = -1, -1.0, -1
-        for i, tpl in enumerate(clusters):
-            if len(tpl) != len(toks):
-                continue
-            same = sum(1 for a, b in zip(tpl, toks) if a == b and a != WILDCARD)
-            wild = sum(1 for a in tpl if a == WILDCARD)
-            sim = same / len(toks) if toks else 1.0
-            if sim > best_sim or (sim == best_sim and wild > best_wild):
-                best, best_sim, best_wild = i, sim, wild
-        if best >= 0 and best_sim >= threshold:
-            clusters[best] = [a if a == b else WILDCARD for a, b in zip(clusters[best], toks)]
-            members[best].append(msg)
-        else:
-            clusters.append(list(toks))
-            members.append([msg])
-    return [(m, " ".join(tpl)) for tpl, ms in zip(clusters, members) for m in ms]
-
-
-def _merge_sorted_partition(batches, threshold: float):
-    """Rows arrive sorted by (leaf, n desc, masked); a leaf may span Arrow
-    batches, so the trailing leaf of each batch is carried into the next.
-    One output frame per input batch (not per leaf) keeps Arrow overhead low."""
-    carry = None
-    for pdf in batches:
-        if carry is not None and len(carry):
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-        if pdf.empty:
-            continue
-        last = pdf["leaf"].iloc[-1]
-        done, carry = pdf[pdf["leaf"] != last], pdf[pdf["leaf"] == last]
-        out: list[tuple[str, str]] = []
-        for _, g in done.groupby("leaf", sort=False):
-            out.extend(_merge_rows(g["masked"].tolist(), threshold))
-        if out:
-            yield pd.DataFrame(out, columns=["masked", "template"])
-    if carry is not None and len(carry):
-        yield pd.DataFrame(_merge_rows(carry["masked"].tolist(), threshold), columns=["masked", "template"])
+def _percent(share: float) -> int:
+    """Shares are compared in whole per cent, without rounding at the limit."""
+    return round(share * 100)
+
+
+def _salted(summary: DataFrame, salts: int) -> DataFrame:
+    return summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def _common_tokens(live: DataFrame, share: float) -> DataFrame:
+    """(leaf, _common): per position, in order, the tokens that enough of the
+    leaf's messages hold there -- at most 1/share of them."""
+    tokens = live.select("leaf", "_n", F.posexplode(F.split("masked", " ")).alias("_p", "_t"))
+    held = tokens.groupBy("leaf", "_p", "_t").agg(F.count(F.lit(1)).alias("_s"), F.max("_n").alias("_n"))
+    common = (F.col("_s") >= 2) & (F.col("_s") * 100 >= F.col("_n") * _percent(share))
+    places = held.groupBy("leaf", "_p").agg(F.collect_list(F.when(common, F.col("_t"))).alias("_tokens"))
+    return places.groupBy("leaf").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_p", "_tokens"))), lambda x: x["_tokens"]).alias("_common"))
+
+
+def _place(rest: DataFrame, threshold: float, share: float, salts: int) -> DataFrame:
+    """One round over messages (masked, leaf): (masked, leaf, template); the
+    template is null where the message has too few common tokens, and
+    the only message left of a leaf keeps its text."""
+    sizes = rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    parts = rest.withColumn("_salt", F.pmod(F.xxhash64("masked"), F.lit(salts)).cast("int"))
+    live = parts.join(_salted(sizes, salts), ["leaf", "_salt"])
+    summary = _common_tokens(live, share)
+    joined = parts.join(_salted(summary, salts), ["leaf", "_salt"], "left")
+    alone = F.col("_common").isNull()
+    kept = F.transform(F.split("masked", " "), lambda t, i: F.when(
+        F.array_contains(F.get(F.col("_common"), i), t), t).otherwise(F.lit(WILDCARD)))
+    scored = joined.withColumn("_kept", F.when(~alone, kept))
+    n_common = F.size(F.filter("_kept", lambda t: t != WILDCARD))
+    template = (F.when(alone, F.col("masked"))
+                .when(n_common * 100 >= F.size("_kept") * _percent(threshold), F.array_join("_kept", " ")))
+    return scored.select("masked", "leaf", template.alias("template"))
 
 
 def mine_templates(lines: DataFrame, message: str = "message", threshold: float = SIMILARITY,
-                   partitions: int | None = None) -> DataFrame:
+                   share: float = COMMON_SHARE, rounds: int = ROUNDS, salts: int = SALTS) -> DataFrame:
     """Message -> template map over DISTINCT masked messages:
     (masked, template, template_id).
 
-    Leaves are hash-partitioned and sorted within partitions, then merged by
-    one ``mapInPandas`` pass per partition (a leaf never straddles
-    partitions); this avoids a Python round trip per leaf.
+    A null message counts as the empty one; repeated messages are one row;
+    no lines give an empty table.  The template has as many tokens as its
+    message and equals it wherever it has no ``<*>``.  The messages after
+    each round are written to the checkpoint folder, as two branches and the
+    next round read them.
     """
-    distinct = (lines.select(mask_message(F.col(message)).alias("masked")).groupBy("masked")
-                .agg(F.count(F.lit(1)).alias("n")).withColumn("leaf", leaf_key(F.col("masked"))))
-    n = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = distinct.repartition(n, "leaf").sortWithinPartitions("leaf", F.col("n").desc(), "masked")
-    mined = ordered.mapInPandas(lambda it: _merge_sorted_partition(it, threshold), MINED_SCHEMA)
-    return mined.withColumn("template_id", F.concat(F.lit("t_"), F.substring(F.sha2("template", 256), 1, 12)))
+    rest = materialize(lines.select(mask_message(F.col(message)).alias("masked")).distinct()
+                       .withColumn("leaf", leaf_key(F.col("masked"))))
+    done = []
+    for _ in range(rounds):
+        result = materialize(_place(rest, threshold, share, salts))
+        done.append(result.where(F.col("template").isNotNull()).select("masked", "template"))
+        rest = result.where(F.col("template").isNull()).select("masked", "leaf")
+    done.append(rest.select("masked", F.col("masked").alias("template")))
+    return reduce(DataFrame.unionByName, done).withColumn(
+        "template_id", F.concat(F.lit("t_"), F.substring(F.sha2("template", 256), 1, ID_CHARS)))
 
 
 def assign_templates(lines: DataFrame, mined: DataFrame, message: str = "message") -> DataFrame:
@@ -149,11 +160,11 @@ def template_catalog(clusters: DataFrame, requested_flows: DataFrame, flow: str
                      decision_re: str = DECISION_VOCABULARY_RE) -> DataFrame:
     """Share of requested flows containing each template -> classification:
     decision-marker (vocabulary match, wins), boilerplate (>= 0.90 of flows),
-    informative.  The denominator counts requested flows, with or without
-    lines."""
+    informative.  ``clusters`` has one row per flow and template; the
+    denominator counts requested flows, with or without lines."""
     n = requested_flows.select(flow).distinct().agg(F.count(F.lit(1)).alias("_flows"))
     per = clusters.groupBy("template_id").agg(F.first("template").alias("template"),
-                                              F.count_distinct(flow).alias("flows"),
+                                              F.count(F.lit(1)).alias("flows"),
                                               F.sum("count").alias("total_count"))
     c = per.crossJoin(F.broadcast(n))
     pct = F.col("flows") / F.col("_flows")
@@ -164,11 +175,11 @@ def template_catalog(clusters: DataFrame, requested_flows: DataFrame, flow: str
 
 
 def classify_clusters(clusters: DataFrame, catalog: DataFrame | None) -> DataFrame:
-    """Template -> classification from the catalog (broadcast), default
-    ``unknown``."""
+    """Template -> classification from the catalog, default ``unknown``.  The
+    catalog grows with the corpus, so the planner chooses the join."""
     if catalog is None:
         return clusters.withColumn("classification", F.lit("unknown"))
-    cat = F.broadcast(catalog.select("template_id", F.col("classification").alias("_cls")))
+    cat = catalog.select("template_id", F.col("classification").alias("_cls"))
     return clusters.join(cat, "template_id", "left").withColumn(
         "classification", F.coalesce(F.col("_cls"), F.lit("unknown"))).drop("_cls")
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsift.operators.pods import match_ids
+from logsift.operators.pods import id_hits, match_ids
 
 # --- fixed values (must equal the behaviour being matched) -----------------
 MAX_DOCUMENTS = 50000
@@ -98,9 +98,10 @@ def recall_variants(ids: DataFrame, index: DataFrame, apps: Sequence[str], phras
     A exact phrase + app filter + exclusions, B without the app filter,
     C loose (case-insensitive token) + app filter, D loose without filter;
     plus the diagnostic verdict."""
-    exact = match_ids(index, ids, line="message", key=(line_key,)).withColumn("_exact", F.lit(True))
-    loose = match_ids(index, ids, line="message", key=(line_key,), case_sensitive=False).withColumn("_loose", F.lit(True))
-    j = loose.join(exact, ["flow_id", line_key], "left").join(index.select(line_key, "app_name", "message"), line_key)
+    # the case-blind hits hold the exact ones
+    loose = (id_hits(index, ids, line="message", key=(line_key,), case_sensitive=False)
+             .groupBy("flow_id", line_key).agg(F.max(F.col("message").contains(F.col("identifier"))).alias("_exact")))
+    j = loose.join(index.select(line_key, "app_name", "message"), line_key)
     in_app = F.col("app_name").isin(*apps) if apps else F.lit(True)
     free = _phrase_free(F.col("message"), phrases)
     ex = F.coalesce(F.col("_exact"), F.lit(False))

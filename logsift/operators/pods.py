@@ -161,43 +161,81 @@ def byte_cap(lines: DataFrame, cap: int = MAX_BYTES_PER_POD, file: str = "file",
 #: Length of the grams that bring identifiers and lines together; shorter
 #: identifiers are their own gram.
 GRAM = 8
+#: Bits of the filter that grams pass before they are shuffled (2 MB of words).
+FILTER_BITS = 1 << 24
 
 
-def _grams(text: Column, n: Column | int) -> Column:
-    """The distinct substrings of ``n`` characters."""
+def _grams(text: Column, n: Column | int, block: int = 512) -> Column:
+    """The distinct substrings of ``n`` characters.  A text is cut into
+    overlapping blocks first: reaching a character takes time in proportion to
+    its place, which in a very long line would square."""
     n = F.lit(n) if isinstance(n, int) else n
     last = F.length(text) - n + 1
-    return F.array_distinct(F.transform(
-        F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.substring(text, i, n)))
-
-
-def match_ids(lines: DataFrame, ids: DataFrame, line: str = "line", key: Sequence[str] = ("file", "line_no"),
-              case_sensitive: bool = True) -> DataFrame:
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(block))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(starts, lambda s: F.substring(text, s, n + (block - 1)))
+    return F.array_distinct(F.flatten(F.transform(blocks, lambda b: F.transform(
+        F.sequence(F.lit(1), F.length(b) - n + 1), lambda i: F.substring(b, i, n)))))
+
+
+def _line_grams(lines: DataFrame, lengths: DataFrame, text: Column, line: str, key: Sequence[str]) -> DataFrame:
+    """(*key, line, _gram): the distinct grams of each line; ``lengths`` is the
+    one row of gram lengths in use."""
+    return lines.select(*key, line).crossJoin(F.broadcast(lengths)).select(*key, line, F.explode(F.array_distinct(
+        F.flatten(F.transform("_lengths", lambda n: _grams(text, n))))).alias("_gram"))
+
+
+def _sift(made: DataFrame, grams: DataFrame, bits: int) -> DataFrame:
+    """Rows of ``made`` whose gram may be among ``grams`` (one-hash Bloom
+    filter).  The filter is a table of at most ``bits`` / 64 words of 64 bits,
+    so its broadcast is bounded whatever the number of identifiers; more
+    identifiers only let more rows through to the exact join."""
+    place = F.pmod(F.xxhash64("_gram"), F.lit(bits))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))
+    words = (grams.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(one).alias("_mask")))
+    return (made.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word")
+            .where(F.col("_mask").bitwiseAND(one) != 0).drop("_word", "_bit", "_mask"))
+
+
+def id_hits(lines: DataFrame, ids: DataFrame, line: str = "line", key: Sequence[str] = ("file", "line_no"),
+            case_sensitive: bool = True, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Lines containing any of many identifiers, as plain substrings:
-    (flow_id, *key) pairs, each once.
-
-    An identifier of 8 or more characters meets a line through its last 8
-    characters (ends differ more than shared prefixes do), a shorter one
-    through all of its characters; candidates are then verified with
-    ``contains`` on the whole identifier.  Only the lines' grams of lengths
-    that some identifier needs are made, and only those equal to one of the
-    identifiers' grams pass the join (which the planner broadcasts, or
-    filters at run time, when the identifiers are few).  An empty or null identifier matches nothing.
+    (flow_id, identifier, *key, line), once per identifier of a flow and line.
+
+    Of an identifier's grams of 8 characters (a shorter identifier is its own
+    gram) the one held by the fewest lines is chosen, then by the fewest
+    identifiers; an identifier with a gram that no line holds matches nothing
+    and goes.  Lines are read twice, once to count the identifiers' grams
+    (partial sums per gram) and once to meet the chosen ones.  Both times a
+    line's grams pass a Bloom filter of bounded size where they are made, so
+    what is shuffled grows with the candidates, not with the characters.
+    Candidates carry their line and are verified with ``contains`` on the
+    whole identifier.  An empty or null identifier or line matches nothing.
     """
     norm = (lambda c: c) if case_sensitive else F.lower
-    size = F.least(F.length("_id"), F.lit(GRAM))
-    wanted = (ids.select("flow_id", norm(F.col("identifier")).alias("_id")).where(F.length("_id") > 0).distinct()
-              .withColumn("_gram", F.right("_id", size)))
-    grams = wanted.select("_gram").distinct()
-    # the few gram lengths in use, as one row beside every line
-    lengths = grams.agg(F.collect_set(F.length("_gram")).alias("_lengths"))
     text = norm(F.col(line))
-    made = lines.select(*key, line).crossJoin(F.broadcast(lengths)).select(
-        *key, F.explode(F.array_distinct(F.flatten(F.transform("_lengths", lambda n: _grams(text, n))))).alias("_gram"))
-    near = made.join(wanted, "_gram").select(*key, "flow_id", "_id").distinct()
-    return (near.join(lines.select(*key, line), list(key)).where(norm(F.col(line)).contains(F.col("_id")))
-            .select("flow_id", *key).distinct())
+    wanted = (ids.select("flow_id", "identifier", norm(F.col("identifier")).alias("_id"))
+              .where(F.length("_id") > 0).distinct())
+    names = wanted.select("_id").distinct()
+    own = names.select("_id", F.explode(_grams(F.col("_id"), F.least(F.length("_id"), F.lit(GRAM)))).alias("_gram"))
+    shared = own.groupBy("_gram").agg(F.count(F.lit(1)).alias("_ids"))
+    # the few gram lengths in use, as one row beside every line
+    lengths = names.agg(F.collect_set(F.least(F.length("_id"), F.lit(GRAM))).alias("_lengths"))
+    seen = (_sift(_line_grams(lines, lengths, text, line, key).drop(line, *key), shared, filter_bits)
+            .groupBy("_gram").agg(F.count(F.lit(1)).alias("_lines")))
+    ranked = own.join(shared.join(seen, "_gram", "left"), "_gram").groupBy("_id").agg(
+        F.min(F.struct(F.coalesce("_lines", F.lit(0)).alias("_lines"), "_ids", "_gram")).alias("_best"))
+    chosen = ranked.where(F.col("_best._lines") > 0).select("_id", F.col("_best._gram").alias("_gram"))
+    near = _sift(_line_grams(lines, lengths, text, line, key), chosen.select("_gram"), filter_bits)
+    found = near.join(chosen, "_gram").where(text.contains(F.col("_id")))
+    return found.join(wanted, "_id").select("flow_id", "identifier", *key, line)
+
+
+def match_ids(lines: DataFrame, ids: DataFrame, line: str = "line", key: Sequence[str] = ("file", "line_no"),
+              case_sensitive: bool = True) -> DataFrame:
+    """Lines containing any of a flow's identifiers (:func:`id_hits`):
+    (flow_id, *key) pairs, each once."""
+    return id_hits(lines, ids, line, key, case_sensitive).select("flow_id", *key).distinct()
 
 
 def match_context(lines: DataFrame, matches: DataFrame, before: int = CONTEXT_BEFORE, after: int = CONTEXT_AFTER,

@@ -176,3 +176,31 @@ def test_codes_from_source_context_and_merge(spark):
     assert (d.category, d.category_source, d.failure_class, d.stage, d.section) == \
         ("TECHNICAL_EXCEPTION", "inferred", "C", "", "Data access")
     assert (out["E_CODE"].category, out["E_CODE"].category_source) == ("", "")
+
+
+def test_match_ids_picks_rare_grams_and_shuffles_candidates_only(spark):
+    """Identifiers with one prefix and one suffix, which every line holds too:
+    only their middles tell them apart."""
+    ids_data = [(f"f{i % 7}", f"PREFIX-0000-{i:05d}-SUFFIX-9999") for i in range(200)] + [("f1", "k9"), ("f2", None), ("f3", "")]
+    text = lambda i: f"PREFIX-0000-none SUFFIX-9999 line {i} " + (f"PREFIX-0000-{i:05d}-SUFFIX-9999 end" if i % 50 == 0 else "")
+    data = [(i, text(i)) for i in range(3000)] + [(3000, None), (3001, ""), (3002, "xk9y " * 20000)]
+    lines = spark.createDataFrame(data, "line_no int, line string").repartition(6)
+    ids = spark.createDataFrame(ids_data, "flow_id string, identifier string")
+    want = sorted({(f, n) for f, i in ids_data if i for n, t in data if t and i in t})
+    assert {n for _, n in want} == {0, 50, 100, 150, 3002}
+    for bits in (1 << 24, 64):                     # a filter that lets everything through changes nothing
+        got = sorted((r.flow_id, r.line_no) for r in PO.id_hits(lines, ids, key=("line_no",), filter_bits=bits).collect())
+        assert got == want
+    lengths = spark.sql("SELECT array(8) AS _lengths")
+    grams = spark.createDataFrame([("0-00050-",), ("0-00100-",)], "_gram string")
+    made = PO._line_grams(lines, lengths, F.col("line"), "line", ["line_no"])
+    assert made.count() > 90_000 and PO._sift(made, grams, PO.FILTER_BITS).count() <= 10
+
+
+def test_match_ids_empty_sides(spark):
+    lines = spark.createDataFrame([], "line_no int, line string")
+    ids = spark.createDataFrame([], "flow_id string, identifier string")
+    one_id = spark.createDataFrame([("f", "abc")], "flow_id string, identifier string")
+    one_line = spark.createDataFrame([(1, "xabcx")], "line_no int, line string")
+    for left, right, n in ((lines, ids, 0), (lines, one_id, 0), (one_line, ids, 0), (one_line, one_id, 1)):
+        assert PO.match_ids(left, right, key=("line_no",)).count() == n

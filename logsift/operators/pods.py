@@ -110,18 +110,21 @@ def match_services(services: DataFrame, pods: DataFrame) -> DataFrame:
     return j.drop(s["namespace"])
 
 
-def cap_per_service(matched: DataFrame, max_pods: int = MAX_PODS_PER_SERVICE) -> tuple[DataFrame, DataFrame]:
-    """Newest ``max_pods`` pods per service (start time desc, no start last,
-    then name); returns (kept targets with their rank, TRUNCATED gaps)."""
+def cap_per_service(matched: DataFrame, max_pods: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pods ranked per service (start time desc, no start last, then name):
+    (targets with their rank, TRUNCATED gaps).  All of them unless a cap is
+    given (``MAX_PODS_PER_SERVICE``): then the newest ``max_pods`` stay and the
+    gap names the number that matched."""
     pods = matched.select("service", "ord", "namespace", "pod", "start_time").distinct()
     w = Window.partitionBy("service").orderBy(F.col("start_time").desc_nulls_last(), F.col("pod"))
     ranked = pods.withColumns({"rank": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy("service"))})
-    gaps = (ranked.where((F.col("rank") == 1) & (F.col("_n") > max_pods))
+    over = F.lit(False) if max_pods is None else F.col("_n") > max_pods
+    gaps = (ranked.where((F.col("rank") == 1) & over)
             .select(F.lit("TRUNCATED").alias("gap_type"),
                     F.format_string("service %s matched %d pods; only the %d most recently started were read "
                                     "(K8S_MAX_PODS).", "service", "_n", F.lit(max_pods)).alias("detail"),
                     "service"))
-    kept = ranked.where(F.col("rank") <= max_pods).drop("_n")
+    kept = (ranked if max_pods is None else ranked.where(F.col("rank") <= max_pods)).drop("_n")
     return matched.join(kept.select("service", "pod", "rank"), ["service", "pod"]), gaps
 
 

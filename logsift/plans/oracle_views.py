@@ -30,6 +30,17 @@ v_log AS (
                 ELSE '' END AS message
   FROM events)"""
 
+# v_log regrouped into long, quiet and short flows (views.v_flow_log); named v_log for V_REC.
+V_FLOW_LOG = V_LOG.replace("v_log AS (", "v_log0 AS (") + """,
+v_flow AS (SELECT *, CAST(substr(ref_id, 2) AS BIGINT) AS usr FROM v_log0),
+v_log AS (
+  SELECT * EXCLUDE (usr) REPLACE (
+    CASE WHEN usr % 12 < 8 THEN 'flow-long-' || CAST(usr // 24 AS VARCHAR)
+         WHEN usr % 12 < 10 THEN flow_id || '-' || CAST(line_id % 2 AS VARCHAR) ELSE flow_id END AS flow_id,
+    CASE WHEN level_raw = 'error' AND (usr % 12 >= 10 OR (usr % 12 < 8 AND day(ts) NOT BETWEEN 12 AND 18)) THEN 'warning'
+         ELSE level_raw END AS level_raw)
+  FROM v_flow)"""
+
 # Level normalisation + redaction of v_log (allow-list: flow_id, ref_id).
 _RX = {
     "vid": r"\b\d{16}\b",
@@ -781,7 +792,9 @@ v_pod AS (
 v_service AS (
   SELECT lower(replace(n_name, ' ', '-')) AS service, n_nationkey AS ord, 'ns-' || CAST(n_nationkey % 3 AS VARCHAR) AS namespace,
          CASE WHEN n_nationkey % 2 = 0 THEN 'name_contains' ELSE 'label' END AS mode, lower(replace(n_name, ' ', '-')) AS value
-  FROM nation),
+  FROM nation
+  UNION ALL SELECT 'platform-' || CAST(k AS VARCHAR), 100 + k, 'ns-' || CAST(k AS VARCHAR), 'name_contains', '-'
+  FROM (SELECT DISTINCT n_nationkey % 3 AS k FROM nation)),
 pe AS (
   SELECT p.*, coalesce(phase, 'Running') AS ph,
          CAST(coalesce(start_time, '2000-01-01T00:00:00+00:00') AS TIMESTAMPTZ) AS st,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logsift.operators import evidence, records
 from logsift.plans import oracle_views as ov
 from logsift.plans.registry import query
-from logsift.plans.views import v_log
+from logsift.plans.views import v_flow_log, v_log
 
 CTX_BEFORE, CTX_AFTER = evidence.ERROR_CONTEXT_BEFORE, evidence.ERROR_CONTEXT_AFTER
 
@@ -16,7 +16,7 @@ def prepared_log(spark, sf_dir):
     return records.prepare_records(v_log(spark, sf_dir), allow=("flow_id", "ref_id"))
 
 
-_REDUCED_SQL = ov.with_views(ov.V_LOG, ov.V_REC, f"""
+_REDUCED_SQL = ov.with_views(ov.V_FLOW_LOG, ov.V_REC, f"""
 n AS (
   SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY ts, line_id) AS rn,
          count(*) OVER (PARTITION BY flow_id) AS n_lines,
@@ -53,7 +53,8 @@ FROM rendered WHERE n_lines >= 50 AND has_err IS NULL AND regexp_matches(message
 @query("reduced_evidence", _REDUCED_SQL)
 def reduced_evidence(spark, sf_dir):
     """Flagship: records -> level -> redaction -> route -> evidence lines."""
-    return evidence.reduce_evidence(prepared_log(spark, sf_dir), before=CTX_BEFORE, after=CTX_AFTER)
+    lines = records.prepare_records(v_flow_log(spark, sf_dir), allow=("flow_id", "ref_id"))
+    return evidence.reduce_evidence(lines, before=CTX_BEFORE, after=CTX_AFTER)
 
 
 @query("redaction_totals", ov.with_views(ov.V_LOG, ov.V_REC) + """

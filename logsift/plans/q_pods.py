@@ -9,10 +9,10 @@ from logsift.plans import oracle_views as ov
 from logsift.plans.registry import query
 from logsift.plans.views import v_log, v_pod, v_service
 
-CAP = 3
+CAP = PO.MAX_PODS_PER_SERVICE
 
 
-def _targets(spark, sf_dir, cap=CAP):
+def _targets(spark, sf_dir, cap=None):
     pods = PO.eligible_containers(PO.pod_inventory(v_pod(spark, sf_dir)))
     matched = PO.match_services(v_service(spark, sf_dir), pods)
     kept, gaps = PO.cap_per_service(matched, cap)
@@ -20,7 +20,7 @@ def _targets(spark, sf_dir, cap=CAP):
 
 
 @query("pod_targets", ov.with_views(ov.V_POD) + f"""
-, kept AS (SELECT * FROM pr WHERE rank <= {CAP}),
+, kept AS (SELECT * FROM pr),
 first AS (SELECT namespace, pod, arg_min(ord, rank * 100000 + ord) AS ford, min(rank * 100000 + ord) AS f FROM kept GROUP BY ALL),
 mp AS (SELECT namespace, pod, ford, row_number() OVER (ORDER BY f, pod) AS merge_pos FROM first)
 SELECT m.service, m.namespace, m.pod, m.container, CASE WHEN m.container = 'app' THEN m.app_restarts ELSE 0 END AS restart_count,
@@ -29,7 +29,8 @@ FROM pm m JOIN kept k ON k.service = m.service AND k.pod = m.pod
 JOIN mp ON mp.namespace = m.namespace AND mp.pod = m.pod AND mp.ford = m.ord""")
 def pod_targets(spark, sf_dir):
     """(pod, container) targets: Pending and sidecars dropped, services matched
-    by name or labels, newest 3 pods per service, round-robin merged."""
+    by name or labels, all pods of a service ranked newest first, round-robin
+    merged."""
     t, _ = _targets(spark, sf_dir)
     return t.select("service", "namespace", "pod", "container", "restart_count", F.col("rank").cast("bigint").alias("rank"),
                     F.col("merge_pos").cast("bigint").alias("merge_pos"))
@@ -40,8 +41,9 @@ SELECT 'TRUNCATED' AS gap_type,
        'service ' || service || ' matched ' || CAST(n AS VARCHAR) || ' pods; only the {CAP} most recently started were read (K8S_MAX_PODS).' AS detail,
        service FROM pr WHERE rank = 1 AND n > {CAP}""")
 def pod_truncation_gaps(spark, sf_dir):
-    """TRUNCATED gap for every service with more matching pods than the cap."""
-    return _targets(spark, sf_dir)[1]
+    """TRUNCATED gap, with the number of pods, for every service that matches
+    more than the cap of 20."""
+    return _targets(spark, sf_dir, CAP)[1]
 
 
 def _pod_lines(spark, sf_dir):

@@ -62,6 +62,21 @@ def v_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def v_flow_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_log`` in flows that take every reduction route: 16 users of each 24
+    share one long flow whose errors fall in the middle of the month, so both
+    context bounds cut; four users' flows are halved and short; four users'
+    flows are quiet, without errors."""
+    log = v_log(spark, sf_dir)
+    user = F.substring("ref_id", 2, 11).cast("bigint")
+    turn = user % 12
+    flow = (F.when(turn < 8, F.concat(F.lit("flow-long-"), F.floor(user / 24).cast("string")))
+            .when(turn < 10, F.concat("flow_id", F.lit("-"), (F.col("line_id") % 2).cast("string"))).otherwise(F.col("flow_id")))
+    quiet = (turn >= 10) | ((turn < 8) & ~F.dayofmonth("ts").between(12, 18))
+    level = F.when((F.col("level_raw") == "error") & quiet, F.lit("warning")).otherwise(F.col("level_raw"))
+    return log.withColumns({"flow_id": flow, "level_raw": level})
+
+
 def _level_word(et):
     return (F.when(et == "error", "ERROR").when(et == "signup", "WARNING").when(et == "click", "debug")
             .when(et == "purchase", "Info").otherwise("info"))
@@ -368,15 +383,21 @@ def v_pod(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configured services: one per nation; even ones match pods by name,
-    odd ones by label selector."""
+    odd ones by label selector.  One more per namespace matches all its pods,
+    which the others match too."""
     n = table(spark, sf_dir, "nation")
     svc = F.lower(F.regexp_replace("n_name", " ", "-"))
     mode = F.when(F.col("n_nationkey") % 2 == 0, "name_contains").otherwise("label")
+    space = n.select((F.col("n_nationkey") % 3).alias("k")).distinct()
+    wide = space.select(F.concat(F.lit("platform-"), F.col("k").cast("string")).alias("service"),
+                        (F.lit(100) + F.col("k")).alias("ord"), F.concat(F.lit("ns-"), F.col("k").cast("string")).alias("namespace"),
+                        F.lit("name_contains").alias("mode"), F.lit("-").alias("value"),
+                        F.lit(None).cast("map<string,string>").alias("selector"))
     return n.select(svc.alias("service"), F.col("n_nationkey").alias("ord"),
                     F.concat(F.lit("ns-"), (F.col("n_nationkey") % 3).cast("string")).alias("namespace"),
                     mode.alias("mode"), svc.alias("value"),
                     F.when(mode == "label", F.create_map(F.lit("app"), svc, F.lit("tier"), F.lit("a")))
-                    .alias("selector"))
+                    .alias("selector")).unionByName(wide)
 
 
 def v_status_event(spark: SparkSession, sf_dir: str) -> DataFrame:

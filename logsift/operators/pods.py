@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logsift.operators.sift import FILTER_BITS, sift
 from logsift.operators.windows import chunked_running_sum
 
 # --- fixed values (must equal the behaviour being matched) -----------------
@@ -164,8 +165,6 @@ def byte_cap(lines: DataFrame, cap: int = MAX_BYTES_PER_POD, file: str = "file",
 #: Length of the grams that bring identifiers and lines together; shorter
 #: identifiers are their own gram.
 GRAM = 8
-#: Bits of the filter that grams pass before they are shuffled (2 MB of words).
-FILTER_BITS = 1 << 24
 
 
 def _grams(text: Column, n: Column | int, block: int = 512) -> Column:
@@ -187,19 +186,6 @@ def _line_grams(lines: DataFrame, lengths: DataFrame, text: Column, line: str, k
         F.flatten(F.transform("_lengths", lambda n: _grams(text, n))))).alias("_gram"))
 
 
-def _sift(made: DataFrame, grams: DataFrame, bits: int) -> DataFrame:
-    """Rows of ``made`` whose gram may be among ``grams`` (one-hash Bloom
-    filter).  The filter is a table of at most ``bits`` / 64 words of 64 bits,
-    so its broadcast is bounded whatever the number of identifiers; more
-    identifiers only let more rows through to the exact join."""
-    place = F.pmod(F.xxhash64("_gram"), F.lit(bits))
-    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))
-    words = (grams.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(one).alias("_mask")))
-    return (made.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word")
-            .where(F.col("_mask").bitwiseAND(one) != 0).drop("_word", "_bit", "_mask"))
-
-
 def id_hits(lines: DataFrame, ids: DataFrame, line: str = "line", key: Sequence[str] = ("file", "line_no"),
             case_sensitive: bool = True, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Lines containing any of many identifiers, as plain substrings:
@@ -224,12 +210,12 @@ def id_hits(lines: DataFrame, ids: DataFrame, line: str = "line", key: Sequence[
     shared = own.groupBy("_gram").agg(F.count(F.lit(1)).alias("_ids"))
     # the few gram lengths in use, as one row beside every line
     lengths = names.agg(F.collect_set(F.least(F.length("_id"), F.lit(GRAM))).alias("_lengths"))
-    seen = (_sift(_line_grams(lines, lengths, text, line, key).drop(line, *key), shared, filter_bits)
+    seen = (sift(_line_grams(lines, lengths, text, line, key).drop(line, *key), shared, "_gram", filter_bits)
             .groupBy("_gram").agg(F.count(F.lit(1)).alias("_lines")))
     ranked = own.join(shared.join(seen, "_gram", "left"), "_gram").groupBy("_id").agg(
         F.min(F.struct(F.coalesce("_lines", F.lit(0)).alias("_lines"), "_ids", "_gram")).alias("_best"))
     chosen = ranked.where(F.col("_best._lines") > 0).select("_id", F.col("_best._gram").alias("_gram"))
-    near = _sift(_line_grams(lines, lengths, text, line, key), chosen.select("_gram"), filter_bits)
+    near = sift(_line_grams(lines, lengths, text, line, key), chosen, "_gram", filter_bits)
     found = near.join(chosen, "_gram").where(text.contains(F.col("_id")))
     return found.join(wanted, "_id").select("flow_id", "identifier", *key, line)
 

@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.functions.render import DECISION_VOCABULARY_RE, RARE_TEMPLATE_THRESHOLD
-from logsift.session import materialize
+from logsift.operators.sift import sift
+from logsift.session import materialize, written
 
 # --- fixed values (must equal the behaviour being matched) -----------------
 WILDCARD = "<*>"
@@ -57,12 +58,24 @@ MASKS = [
 
 def mask_message(msg: Column) -> Column:
     """Variable tokens replaced by placeholders; whitespace collapsed."""
-    m = F.coalesce(msg, F.lit(""))
+    text = F.coalesce(msg, F.lit(""))
+    m = text
     for pat, rep in MASKS:
         m = F.regexp_replace(m, pat, rep)
+    # every mask holds a digit or a hyphen
+    m = F.when(text.rlike("[0-9-]"), m).otherwise(text)
     return F.trim(F.regexp_replace(m, BLANKS, " "))
 
 
+def _message_id(masked: Column) -> Column:
+    """16 bytes that stand for a masked message in joins."""
+    return F.unhex(F.md5(masked))
+
+
+def _template_id(template: Column) -> Column:
+    return F.concat(F.lit("t_"), F.substring(F.sha2(template, 256), 1, ID_CHARS))
+
+
 def leaf_key(masked: Column) -> Column:
     toks = F.split(masked, " ")
     def norm(t):
@@ -77,6 +90,10 @@ def _percent(share: float) -> int:
     return round(share * 100)
 
 
+def _salt(salts: int) -> Column:
+    return F.pmod(F.xxhash64("masked"), F.lit(salts)).cast("int")
+
+
 def _salted(summary: DataFrame, salts: int) -> DataFrame:
     return summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
@@ -97,7 +114,7 @@ def _place(rest: DataFrame, threshold: float, share: float, salts: int) -> DataF
     template is null where the message has too few common tokens, and
     the only message left of a leaf keeps its text."""
     sizes = rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    parts = rest.withColumn("_salt", F.pmod(F.xxhash64("masked"), F.lit(salts)).cast("int"))
+    parts = rest.withColumn("_salt", _salt(salts))
     live = parts.join(_salted(sizes, salts), ["leaf", "_salt"])
     summary = _common_tokens(live, share)
     joined = parts.join(_salted(summary, salts), ["leaf", "_salt"], "left")
@@ -113,45 +130,58 @@ def _place(rest: DataFrame, threshold: float, share: float, salts: int) -> DataF
 
 def mine_templates(lines: DataFrame, message: str = "message", threshold: float = SIMILARITY,
                    share: float = COMMON_SHARE, rounds: int = ROUNDS, salts: int = SALTS) -> DataFrame:
-    """Message -> template map over DISTINCT masked messages:
-    (masked, template, template_id).
-
-    A null message counts as the empty one; repeated messages are one row;
-    no lines give an empty table.  The template has as many tokens as its
-    message and equals it wherever it has no ``<*>``.  The messages after
-    each round are written to the checkpoint folder, as two branches and the
-    next round read them.
+    """Message -> template map: (masked, template, template_id), one row for
+    each distinct masked message whose template is not the message itself
+    (:func:`assign_templates` gives the others their own text).
+
+    A null message counts as the empty one; no lines give an empty table.  A
+    template has as many tokens as its message and equals it wherever it has
+    no ``<*>``.  A first pass over the lines names the leaves that hold more
+    than one message, from 16 bytes a message; only the texts of those leaves
+    are moved, made distinct and counted.  What a round leaves is written to
+    the checkpoint folder, as the next round reads it several times.
     """
-    rest = materialize(lines.select(mask_message(F.col(message)).alias("masked")).distinct()
-                       .withColumn("leaf", leaf_key(F.col("masked"))))
+    masked = lines.select(mask_message(F.col(message)).alias("masked")).withColumn("leaf", leaf_key(F.col("masked")))
+    ids = masked.select("leaf", _message_id(F.col("masked")).alias("_id")).groupBy("leaf").agg(
+        F.min("_id").alias("_least"), F.max("_id").alias("_greatest"))
+    several = materialize(ids.where(F.col("_least") != F.col("_greatest")).select("leaf"))
+    near = sift(masked, several, "leaf").distinct().withColumn("_salt", _salt(salts))
+    rest = materialize(near.join(_salted(several, salts), ["leaf", "_salt"]).select("masked", "leaf"))
     done = []
     for _ in range(rounds):
-        result = materialize(_place(rest, threshold, share, salts))
-        done.append(result.where(F.col("template").isNotNull()).select("masked", "template"))
+        result = written(_place(rest, threshold, share, salts), "templates")
+        done.append(result.where(F.col("template") != F.col("masked")).select("masked", "template"))
         rest = result.where(F.col("template").isNull()).select("masked", "leaf")
-    done.append(rest.select("masked", F.col("masked").alias("template")))
-    return reduce(DataFrame.unionByName, done).withColumn(
-        "template_id", F.concat(F.lit("t_"), F.substring(F.sha2("template", 256), 1, ID_CHARS)))
+    return reduce(DataFrame.unionByName, done).withColumn("template_id", _template_id(F.col("template")))
 
 
 def assign_templates(lines: DataFrame, mined: DataFrame, message: str = "message") -> DataFrame:
-    """Attach template / template_id to every line (join on the masked text)."""
-    return lines.withColumn("masked", mask_message(F.col(message))).join(mined, "masked", "left").drop("masked")
+    """Attach template / template_id to every line: those of ``mined``, else
+    the masked message itself.  Columns of these two names are replaced."""
+    lines = lines.drop("template", "template_id")
+    masked = mask_message(F.col(message))
+    own = lines.withColumns({"_id": _message_id(masked), "_own": masked, "_own_id": _template_id(masked)})
+    mapped = mined.select(_message_id(F.col("masked")).alias("_id"), "template", "template_id")
+    return own.join(mapped, "_id", "left").select(
+        *lines.columns, F.coalesce("template", "_own").alias("template"),
+        F.coalesce("template_id", "_own_id").alias("template_id"))
 
 
 def flow_clusters(assigned: DataFrame, flow: str = "flow_id", seq: str = "seq", ts: str = "timestamp",
                   message: str = "message", examples: int = EXAMPLES_PER_TEMPLATE) -> DataFrame:
     """Per (flow, template): count, first_seen, last_seen (last in feed order)
-    and the first ``examples`` messages; partial aggregates plus a per-key
-    top-N (trimmed before the shuffle)."""
+    and the first ``examples`` messages; partial aggregates without texts plus
+    a per-key top-N (trimmed before the shuffle) that brings them."""
     key = [flow, "template_id"]
     stats = assigned.groupBy(*key).agg(
-        F.first("template").alias("template"), F.count(F.lit(1)).alias("count"),
+        F.count(F.lit(1)).alias("count"),
         F.min_by(F.col(ts), F.col(seq)).alias("first_seen"), F.max_by(F.col(ts), F.col(seq)).alias("last_seen"),
         F.min(seq).alias("first_seq"))
-    ranked = assigned.withColumn("_rk", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(seq))))
-    ex = (ranked.where(F.col("_rk") <= examples).groupBy(*key)
-          .agg(F.transform(F.array_sort(F.collect_list(F.struct("_rk", F.col(message).alias("m")))),
+    ranked = assigned.select(*key, "template", seq, message).withColumn(
+        "_rk", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(seq))))
+    ex = (ranked.where(F.col("_rk") <= max(1, examples)).groupBy(*key)
+          .agg(F.max(F.when(F.col("_rk") == 1, F.col("template"))).alias("template"),
+               F.transform(F.slice(F.array_sort(F.collect_list(F.struct("_rk", F.col(message).alias("m")))), 1, examples),
                            lambda x: x["m"]).alias("examples")))
     return stats.join(ex, key)
 

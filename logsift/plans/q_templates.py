@@ -8,7 +8,7 @@ from logsift.operators import templates as TM
 from logsift.plans import oracle_views as ov
 from logsift.plans.registry import query
 from logsift.plans.views import table, v_text_line
-from logsift.session import materialize
+from logsift.session import written
 
 
 def _sql_mask(text: str) -> str:
@@ -78,7 +78,7 @@ def _assigned(spark, sf_dir):
 
 def _clusters(spark, sf_dir):
     """Clusters are written once: the catalog and the report both read them."""
-    cl = materialize(TM.flow_clusters(_assigned(spark, sf_dir)))
+    cl = written(TM.flow_clusters(_assigned(spark, sf_dir)), "clusters")
     flows = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("flow_id"))
     return cl, TM.template_catalog(cl, flows)
 

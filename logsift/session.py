@@ -121,3 +121,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return path
+
+
+def written(df, label: str):
+    """``df`` as a compressed Parquet table in the shared checkpoint folder:
+    the lineage is cut as by :func:`materialize`, wide texts take less disk."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -38,8 +38,8 @@ def mined(spark, messages, **kw):
     lines = spark.createDataFrame([(m,) for m in messages], SCHEMA)
     masked = {r[0] for r in lines.select(TM.mask_message(F.col("message"))).collect()}
     rows = TM.mine_templates(lines, **kw).collect()
-    assert len(rows) == len(masked) and {r.masked for r in rows} == masked
-    return masked, {r.masked: r.template for r in rows}
+    assert len(rows) == len({r.masked for r in rows}) and all(r.masked in masked and r.masked != r.template for r in rows)
+    return masked, {m: m for m in masked} | {r.masked: r.template for r in rows}
 
 
 def hot_leaf_messages():

@@ -8,7 +8,7 @@ from logsift.operators import deadletter as D
 from logsift.plans import oracle_views as ov
 from logsift.plans.dlt_fixture import TYPE_PATHS
 from logsift.plans.registry import query
-from logsift.plans.views import reason_codes, v_deadletter
+from logsift.plans.views import reason_codes, table, v_deadletter
 
 APP_PACKAGES = ("com.example.app.",)
 BOILERPLATE = ("com.example.app.common.ErrorFactory",)
@@ -30,6 +30,38 @@ def dlt_headers(spark, sf_dir):
     return dlt_records(spark, sf_dir).select(*HEADER_COLS)
 
 
+def _redacted(text: str) -> str:
+    for rx, label in (("vid", "VID"), ("aad1", "AADHAAR"), ("aad2", "AADHAAR"), ("mob", "MOBILE"), ("email", "EMAIL")):
+        text = f"regexp_replace({text}, '{ov._RX[rx]}', '[REDACTED:{label}]', 'g')"
+    return text
+
+
+@query("dlt_redacted_headers", f"""
+WITH h AS (
+  SELECT event_id, unnest([
+    {{'name': 'kafka_original-offset', 'value': lpad(CAST(event_id AS VARCHAR), 12, '7')}},
+    {{'name': '__TypeId__', 'value': CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'com.example.T9' || lpad(CAST(event_id AS VARCHAR), 9, '0') END}},
+    {{'name': 'kafka_exception-message', 'value': event_type || ' failed for 9' || lpad(CAST(event_id AS VARCHAR), 9, '0')
+                                               || ' / ' || lpad(CAST(event_id AS VARCHAR), 16, '4')}},
+    {{'name': 'x-contact', 'value': CASE WHEN event_id % 4 > 0 THEN 'user' || CAST(user_id AS VARCHAR) || '@example.org, 2345 6789 '
+                                    || lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') END}}], recursive := true) FROM events)
+SELECT event_id, name, CASE WHEN name IN ('kafka_original-offset', '__TypeId__') THEN value ELSE {_redacted('value')} END AS value
+FROM h""")
+def dlt_redacted_headers(spark, sf_dir):
+    """Header maps with free-text values redacted and structural ones kept,
+    one row per header."""
+    e = F.col("event_id")
+    digits = lambda n, fill: F.lpad(e.cast("string"), n, fill)
+    headers = F.create_map(
+        F.lit(D.H_ORIGINAL_OFFSET), digits(12, "7"),
+        F.lit(D.H_TYPE_ID), F.when(e % 3 != 0, F.concat(F.lit("com.example.T9"), digits(9, "0"))),
+        F.lit(D.H_EXCEPTION_MESSAGE), F.concat("event_type", F.lit(" failed for 9"), digits(9, "0"), F.lit(" / "), digits(16, "4")),
+        F.lit("x-contact"), F.when(e % 4 > 0, F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.org, 2345 6789 "),
+                                                      F.lpad((e % 10000).cast("string"), 4, "0"))))
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", F.explode(D.redact_headers(headers)).alias("name", "value"))
+
+
 FAILURE_COLS = ["case_id", "failure_class", "class_reason", "root_fqcn", "root_message", "business_code",
                 "registry_description", "registry_category", "registry_category_source", "registry_stage",
                 "fingerprint", "signature", "truncated"]

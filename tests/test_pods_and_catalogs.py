@@ -205,3 +205,20 @@ def test_match_ids_empty_sides(spark):
     one_line = spark.createDataFrame([(1, "xabcx")], "line_no int, line string")
     for left, right, n in ((lines, ids, 0), (lines, one_id, 0), (one_line, ids, 0), (one_line, one_id, 1)):
         assert PO.match_ids(left, right, key=("line_no",)).count() == n
+
+
+def test_trace_order_spreads_a_hot_flow(spark):
+    data = [("hot" if i % 10 else f"f{i}", f"2024-01-01T00:{i % 60:02d}:00Z", "previous" if i % 3 else "current", "a.log", i)
+            for i in range(4000)]
+    rec = spark.createDataFrame(data, "flow_id string, timestamp string, instance string, file string, line_no int")
+    joining = "spark.sql.adaptive.coalescePartitions.enabled"      # small partitions would be joined again
+    before = spark.conf.get(joining)
+    spark.conf.set(joining, "false")
+    try:
+        out = PO.trace_order(rec).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(joining, before)
+    want = sorted(data, key=lambda r: (r[0], r[1], r[2] == "current", r[3], r[4]))
+    assert [tuple(r)[:5] for r in out] == want
+    hot = [r.part for r in out if r.flow_id == "hot"]
+    assert max(hot.count(p) for p in set(hot)) < 0.6 * len(hot)

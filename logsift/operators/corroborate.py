@@ -1,9 +1,9 @@
 """Trace-vs-log corroboration for every case at once.
 
-cases ⋈ log lines on the correlation id within each case's window, then one
-partial aggregation per case.  A hot correlation id (one id owning a large
-share of lines) is handled by AQE's skew-join split on the equi-join key;
-the only per-case ranked set is the first 20 cited lines, trimmed per map
+cases ⋈ log lines on the correlation id and the hour within each case's
+window, then one partial aggregation per case.  A hot correlation id (one id
+owning a large share of lines) is cut into its hours, so that only lines near
+a case are compared with its window; the only per-case ranked set is the first 20 cited lines, trimmed per map
 partition before the shuffle.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 ERROR_LINE_RE = r"\b(ERROR|FATAL|SEVERE)\b"
 FQCN_IN_TEXT_RE = r"\b((?:[a-z][\w$]*\.){2,}[A-Z][\w$]*(?:Exception|Error|Throwable))\b"
 MAX_CITATIONS = 20
+WINDOW_STEP = 3600        # seconds; cases and lines meet within steps of this length
 V_CORROBORATED, V_PARTIAL, V_CONTRADICTED, V_UNVERIFIABLE = "CORROBORATED", "PARTIAL", "CONTRADICTED", "UNVERIFIABLE"
 R_NO_LOGS = "no logs were fetched"
 R_SKIPPED = "the log fetch was skipped or failed"
@@ -33,16 +34,26 @@ def simple_name(fqcn: Column) -> Column:
 
 
 def window_lines(cases: DataFrame, lines: DataFrame, key: str = "ref_id", ts: str = "ts",
-                 start: str = "window_start", end: str = "window_end", both_bounds: bool = True) -> DataFrame:
+                 start: str = "window_start", end: str = "window_end", both_bounds: bool = True,
+               step_seconds: int = WINDOW_STEP) -> DataFrame:
     """Case ⋈ log lines on the correlation id, inside [start, end].
 
+    With both bounds a case meets the lines of the ``step_seconds`` steps that
+    its window touches, a line being in one step alone.
     ``both_bounds=False`` applies the look-back only (the lower bound).
     """
     c = cases.select("case_id", F.col(key).alias("_key"), F.col(start).alias("_ws"), F.col(end).alias("_we"))
-    cond = (c["_key"] == lines[key]) & (lines[ts] >= c["_ws"])
-    if both_bounds:
-        cond = cond & (lines[ts] <= c["_we"])
-    return c.join(lines, cond).drop("_key", "_ws", "_we")
+    if not both_bounds:
+        cond = (c["_key"] == lines[key]) & (lines[ts] >= c["_ws"])
+        return c.join(lines, cond).drop("_key", "_ws", "_we")
+
+    def step(t: Column) -> Column:
+        return F.floor(F.unix_seconds(t.cast("timestamp")) / step_seconds)
+    c = c.where(F.col("_ws") <= F.col("_we")).withColumn("_step", F.explode(F.sequence(step(F.col("_ws")), step(F.col("_we")))))
+    stepped = lines.withColumn("_line_step", step(F.col(ts)))
+    cond = ((c["_key"] == stepped[key]) & (c["_step"] == stepped["_line_step"])
+            & (stepped[ts] >= c["_ws"]) & (stepped[ts] <= c["_we"]))
+    return c.join(stepped, cond).drop("_key", "_ws", "_we", "_step", "_line_step")
 
 
 def corroborate(cases: DataFrame, case_lines: DataFrame, line: str = "line", order=("ts", "line_id"),

@@ -93,8 +93,9 @@ def match_runbooks(cases: DataFrame, runbooks: DataFrame, code: str = "reason_co
                    etype: str = "enrolment_type") -> DataFrame:
     """Per case the runbook for (code, type), else (code, ANY).
 
-    One equi-join on the code with the type restricted to the case's type or
-    ANY, then the exact match ranked first (at most two candidates per case).
+    The best runbook of each (code, type) is found first, then that of each
+    distinct (code, type) of the cases, so that a case meets one row however
+    many runbooks share its code.
     """
     rb = valid_runbooks(runbooks).select(F.col("reason_code").alias("_rb_code"),
                                          runbook_type(F.col("enrolment_type")).alias("_rb_type"),
@@ -102,16 +103,21 @@ def match_runbooks(cases: DataFrame, runbooks: DataFrame, code: str = "reason_co
                                          F.col("rule_fingerprint").alias("runbook_rule_fingerprint"),
                                          F.col("resolution.action").alias("runbook_action"))
     c = cases.withColumn("_case_type", runbook_type(F.col(etype)))
-    j = c.join(rb, (c[code] == rb["_rb_code"]) & ((rb["_rb_type"] == c["_case_type"]) | (rb["_rb_type"] == "ANY")),
-               "left")
-    rank = F.when(F.col("_rb_type") == F.col("_case_type"), 0).otherwise(1)
-    packed = F.struct(rank.alias("_r"), (-F.col("runbook_version")).alias("_v"), F.col("runbook_id").alias("_id"))
-    best = j.withColumn("_pk", packed)
+    payload = F.struct("runbook_id", "runbook_version", "runbook_rule_fingerprint", "runbook_action",
+                       F.col("_rb_type").alias("runbook_type"))
+    order = F.struct((-F.col("runbook_version")).alias("_v"), F.col("runbook_id").alias("_id"))
+    ranked = rb.groupBy("_rb_code", "_rb_type").agg(F.min(F.struct(order.alias("_o"), payload.alias("_p"))).alias("_b"))
+    kinds = c.select(F.col(code).alias("_code"), F.col("_case_type").alias("_type")).where(F.col("_code").isNotNull()).distinct()
+    met = kinds.join(ranked, (F.col("_code") == F.col("_rb_code"))
+                     & ((F.col("_rb_type") == F.col("_type")) | (F.col("_rb_type") == "ANY")))
+    rank = F.when(F.col("_rb_type") == F.col("_type"), 0).otherwise(1)
+    found = met.groupBy("_code", "_type").agg(F.min(F.struct(rank.alias("_r"), "_b")).alias("_m"))
+    j = c.join(found, (F.col(code) == F.col("_code")) & (F.col("_case_type") == F.col("_type")), "left")
     cols = [x for x in c.columns if x != "_case_type"]
-    chosen = best.groupBy("event_id").agg(
-        F.min_by(F.struct("runbook_id", "runbook_version", "runbook_rule_fingerprint", "runbook_action",
-                          F.col("_rb_type").alias("runbook_type")), F.col("_pk")).alias("_rb"))
-    return c.drop("_case_type").join(chosen, "event_id", "left").select(*cols, "_rb.*")
+    # deliveries of one event share the best match of them all
+    best = F.min("_m").over(Window.partitionBy("event_id"))
+    j = j.withColumn("_rb", F.when(F.col("event_id").isNotNull(), best)["_b"]["_p"])
+    return j.select(*cols, "_rb.*")
 
 
 def runbook_staleness(runbooks: DataFrame, current: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ DECISION_VOCABULARY_RE = (
     r"|packet.*status|enrolment.*result|biometric.*match"
     r"|MAN_DEDUP|operator.*reject|quality.*check.*fail)"
 )
+#: Lower-case words of which every text that matches the vocabulary holds one.
+DECISION_WORDS = ("approved", "reject", "denied", "decision", "triggered", "threshold", "validation", "packet",
+                  "enrolment", "biometric", "man_dedup", "quality")
 # ---------------------------------------------------------------------------
 
 

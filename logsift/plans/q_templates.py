@@ -76,11 +76,14 @@ def _assigned(spark, sf_dir):
     return TM.assign_templates(lines, TM.mine_templates(lines))
 
 
+def _flows(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("flow_id"))
+
+
 def _clusters(spark, sf_dir):
     """Clusters are written once: the catalog and the report both read them."""
-    cl = written(TM.flow_clusters(_assigned(spark, sf_dir)), "clusters")
-    flows = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("flow_id"))
-    return cl, TM.template_catalog(cl, flows)
+    cl = TM.in_full(written(TM.brief(TM.flow_clusters(_assigned(spark, sf_dir))), "clusters"))
+    return cl, TM.template_catalog(cl, _flows(spark, sf_dir))
 
 
 @query("template_assignment", ov.with_views(_MINED) + """
@@ -106,7 +109,7 @@ def template_clusters(spark, sf_dir):
 SELECT template_id, template, flows, total_count, pct_flows, classification FROM classed""")
 def template_catalog(spark, sf_dir):
     """Cross-flow catalog: share of flows per template and its class."""
-    return _clusters(spark, sf_dir)[1]
+    return TM.template_catalog(TM.flow_clusters(_assigned(spark, sf_dir)), _flows(spark, sf_dir))
 
 
 @query("template_report", ov.with_views(_MINED, _CATALOG) + """

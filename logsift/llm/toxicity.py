@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -139,28 +141,48 @@ class Words:
         return out
 
 
-def fit(bags: list, labels: np.ndarray, n_features: int, rounds: int = 300, l2: float = 2e-4, rate: float = 0.1):
-    """Noisy-or likelihood over document labels, by Adam on all bags."""
-    quiet = np.array([not b for b in bags], bool)
+def packed(bag: list) -> bytes:
+    """A bag as compressed 32-bit numbers: each feature plus one, and a zero
+    after each sentence."""
+    return zlib.compress(np.array([x for s in bag for x in (*(f + 1 for f in s), 0)], "<u4").tobytes(), 1)
+
+
+def sentences(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Document and kind of every sentence of packed bags, and the kinds:
+    features of the distinct sentences."""
+    known: dict[bytes, int] = {}
+    docs, kinds = array("i"), array("i")
+    for i, bag in enumerate(bags):
+        raw, start = zlib.decompress(bag), 0
+        for end in np.flatnonzero(np.frombuffer(raw, "<u4") == 0).tolist():
+            docs.append(i)
+            kinds.append(known.setdefault(raw[4 * start:4 * end], len(known)))
+            start = end + 1
+    return np.array(docs, np.intp), np.array(kinds, np.intp), [np.frombuffer(k, "<u4").astype(np.intp) - 1 for k in known]
+
+
+def fit(bags: list[bytes], labels: np.ndarray, n_features: int, rounds: int = 300, l2: float = 2e-4, rate: float = 0.1):
+    """Noisy-or likelihood over document labels, by Adam on all (packed)
+    bags.  Equal sentences are worked out once, so what a round holds is a
+    few numbers a sentence and the distinct sentences' features."""
+    doc, kind, kinds = sentences(bags)
+    quiet = np.bincount(doc, minlength=len(bags)) == 0
     leak = float((labels[quiet].sum() + 0.5) / (quiet.sum() + 100.0)) if len(bags) else 0.0
     leak = min(max(leak, 1e-4), 0.2)
-    rows = [(i, s) for i, bag in enumerate(bags) for s in bag]
-    if not rows:
+    if not kinds:
         return np.zeros(n_features), 0.0, leak
-    doc = np.array([i for i, _ in rows])
-    sent = np.repeat(np.arange(len(rows)), [len(s) for _, s in rows])
-    feat = np.array([f for _, s in rows for f in s])
+    sent, feat = np.repeat(np.arange(len(kinds)), [len(k) for k in kinds]), np.concatenate(kinds)
     theta, m, v = np.zeros(n_features + 1), 0.0, 0.0
     theta[-1] = -1.0
     y = labels.astype(float)
     for step in range(1, rounds + 1):
         w, b = theta[:-1], theta[-1]
-        a = np.clip(b + np.bincount(sent, w[feat], len(rows)), -30, 30)
+        a = np.clip(b + np.bincount(sent, w[feat], len(kinds)), -30, 30)
         p = 1 / (1 + np.exp(-a))
-        none = np.log1p(-leak) + np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags))
+        none = np.log1p(-leak) + np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12))[kind], len(bags))
         fire = np.maximum(-np.expm1(none), 1e-9)
-        # d loglik / d a_s = p * (y (1-P)/P - (1-y))
-        g_s = p * (y * np.exp(none) / fire - (1 - y))[doc]
+        # d loglik / d a_s = p * (y (1-P)/P - (1-y)), summed over equal sentences
+        g_s = p * np.bincount(kind, (y * np.exp(none) / fire - (1 - y))[doc], len(kinds))
         grad = np.append(np.bincount(feat, g_s[sent], n_features), g_s.sum()) / len(bags) - l2 * np.append(w, 0.0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         theta = theta + rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
@@ -176,13 +198,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, size: i
     def bags(batches):
         feats = Words(vocab)
         for b in batches:
-            got = [[f for _, _, f in feats.sentences(t or "")] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(got, pa.list_(pa.list_(pa.int32())))], ["toxic", "bag"])
+            got = [packed([f for _, _, f in feats.sentences(t or "")]) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["toxic", "bag"])
 
-    # at most about `sample_docs` rows of feature numbers
-    rows = sample.mapInArrow(bags, "toxic int, bag array<array<int>>").collect()
-    rows = sorted(((r["toxic"], [tuple(s) for s in r["bag"]]) for r in rows), key=lambda r: (r[0], r[1]))
+    # at most about `sample_docs` rows of feature numbers, compressed
+    rows = sorted((r["toxic"], bytes(r["bag"])) for r in sample.mapInArrow(bags, "toxic int, bag binary").collect())
     w, b, leak = fit([r[1] for r in rows], np.array([r[0] for r in rows]), len(vocab))
     return {"vocab": vocab, "w": w, "b": b, "leak": leak}
 

@@ -330,3 +330,13 @@ def test_toxicity_learns_where_toxic_documents_are_many(spark, percent):
     truth = {d: t for d, _, t in labels}
     assert {truth[r["doc_id"]] for r in got} == {0, 1}
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in got) / len(got) >= 0.97
+
+def test_equal_sentences_are_fitted_once():
+    rng = random.Random(3)
+    bags = [[tuple(sorted(rng.sample(range(70_000), rng.randint(1, 4)))) for _ in range(rng.randint(0, 4))] for _ in range(50)]
+    bags += [[], [(0,)], [(0,), (0,)], [(0, 1)], [(0, 70_000)]]
+    doc, kind, kinds = toxicity.sentences([toxicity.packed(b) for b in bags])
+    assert [(i, tuple(kinds[k])) for i, k in zip(doc, kind)] == [(i, s) for i, b in enumerate(bags) for s in b]
+    assert len(kinds) == len({s for b in bags for s in b})
+    w, _, leak = toxicity.fit([toxicity.packed(b) for b in ([(0, 1)], [(1,), (0,)], [(1,)], [])], np.array([1, 1, 0, 0]), 2)
+    assert w[0] > w[1] and 1e-4 <= leak <= 0.2

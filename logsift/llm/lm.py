@@ -32,6 +32,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ GATES, STEPS, MAP_CELLS = 128, 32, 32
 ODDS = 24 * STEPS                       # steps of the mixed odds
 DEEP = 32                               # decisions of a word told apart by the map
 PLACES = 257 + DEEP                     # map rows: byte after each byte or escape, word by depth
+SYMBOL = 14                             # bits of a symbol: FIRST + 2^CODED at most
 CHUNK = 1 << 16
 
 
@@ -95,6 +97,7 @@ class Speller:
         counts = np.array([n for _, n in ranked], np.int64)
         self.coded = int(np.searchsorted(-counts, -max(4, total >> CODED), "right"))
         ends = words.get(b"", 0)
+        self.codes = {w: i for i, (w, _) in enumerate(ranked[:self.coded])}
         own = counts[:self.coded].copy()
         if self.ids.get(b"", self.coded) < self.coded:
             own[self.ids[b""]] = 0                     # the end mark has its own symbol
@@ -103,95 +106,107 @@ class Speller:
         self.length = np.concatenate([bytes_[0], word[0]]).astype(np.uint8)
         self.path = np.concatenate([bytes_[1], word[1]])
 
-    def symbols(self, texts: list[bytes]) -> tuple:
+    def symbols(self, texts: list[bytes], ranks: bool = True) -> tuple:
         """Symbols with PAD end marks before each text, the mask of those
         that are spelled, words a text, and all words with their ranks (-1:
-        unknown)."""
-        words: list[bytes] = []
-        sizes = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            got = t.split(b" ") if t else []
-            sizes[i] = len(got) + 1
-            words += got
-            words.append(b"")
-        get = self.ids.get
-        ids = np.array([get(w, -1) for w in words], np.int64)
+        unknown, or, without ``ranks``, not coded)."""
+        # every word and end mark (an empty word) with one blank behind it
+        joined = b"".join([t + b"  " if t else b" " for t in texts])
+        words = joined.split(b" ")
+        words.pop()
+        text = np.frombuffer(joined, np.uint8)
+        long = np.diff(np.flatnonzero(text == 32), prepend=-1)
+        sizes = np.fromiter((t.count(b" ") + 2 if t else 1 for t in texts), np.int64, len(texts))
+        ids = np.fromiter(map((self.ids if ranks else self.codes).get, words, repeat(-1)), np.int64, len(words))
         last = np.cumsum(sizes) - 1
         spelled = (ids < 0) | (ids >= self.coded)
         spelled[last] = False
-        rare = [words[i] for i in np.flatnonzero(spelled).tolist()]
-        width = np.ones(len(words), np.int64)
-        width[spelled] = np.fromiter(map(len, rare), np.int64, len(rare)) + 2
+        width = np.where(spelled, long + 1, 1)
         width[last - sizes + 1] += PAD
         at = np.cumsum(width) - width
         real = np.ones(int(width.sum()), bool)
         pads = (at[last - sizes + 1][:, None] + np.arange(PAD)).ravel()
         real[pads] = False
         at[last - sizes + 1] += PAD
-        out = np.full(len(real), -1, np.int32)
+        out = np.empty(len(real), np.uint32)
         out[pads] = END
         out[at] = np.where(spelled, ESCAPE, ids + FIRST)
         out[at[last]] = END
-        out[out < 0] = np.frombuffer(b"".join(w + b" " for w in rare), np.uint8)
-        return out.astype(np.uint32), real, sizes, words, ids
+        byte = real.copy()
+        byte[at] = False
+        out[byte] = text[np.repeat(spelled, long)]
+        return out, real, sizes, words, ids
+
+
+def contexts(data: np.ndarray) -> list[np.ndarray]:
+    """Hashed contexts of the predictors for the symbols from the PADth on."""
+    u = np.uint32
+    back = [data[PAD - k:-k] for k in range(1, PAD + 1)]
+    told = np.where((data >= END) & (data < FIRST + COMMON), np.arange(len(data), dtype=np.int32), 0)
+    lang = data.take(np.maximum.accumulate(told)[PAD - 1:-1], mode="clip") * u(0x7FEB352D)
+    one = back[0] * u(0x2C1B3C6D)
+    two = one + back[1] * u(0x297A2D39)
+    three = two + back[2] * u(0x85EBCA6B)
+    five = three + back[3] * u(0xC2B2AE35) + back[4] * u(0x27D4EB2F)
+    byte = data[PAD:] < 256
+    out = []
+    for word, spelled in ((lang, lang + two), (one, three), (two, five)):
+        c = np.where(byte, spelled + u(0x68E31DA4), word)
+        c *= u(0x165667B1)
+        c ^= c >> u(15)
+        out.append(c)
+    return out
+
+
+def decisions(length: np.ndarray, path: np.ndarray, ctx: list[np.ndarray], bits: tuple):
+    """Per depth of symbols in order of falling length: number of symbols
+    still open, slots of the predictors, bits."""
+    masks = [np.uint32((1 << b) - 1) for b in bits]
+    opened = len(length) - np.cumsum(np.bincount(length, minlength=1))     # symbols beyond depth d
+    shift = length.astype(np.uint32)
+    for n in opened.tolist():
+        if not n:
+            return
+        left = shift[:n]
+        left -= np.uint32(1)
+        node = path[:n] >> left
+        bit = (node & np.uint32(1)).astype(bool)
+        node >>= np.uint32(1)
+        node *= np.uint32(0x9E3779B1)
+        slots = []
+        for c, mask in zip(ctx, masks):
+            s = c[:n] ^ node
+            s *= np.uint32(0x85EBCA6B)
+            s ^= s >> np.uint32(13)
+            s &= mask
+            slots.append(s)
+        yield n, slots, bit
 
 
 class Spelled:
     """A group of texts laid out for vectorised decisions."""
 
-    def __init__(self, texts: list[bytes], speller: Speller):
-        self.data, real, self.sizes, self.words, self.ids = speller.symbols(texts)
+    def __init__(self, texts: list[bytes], speller: Speller, ranks: bool = True):
+        self.data, real, self.sizes, self.words, self.ids = speller.symbols(texts, ranks)
         at = np.flatnonzero(real)
-        self.ends = np.flatnonzero(real & (self.data == END)).searchsorted(at, "left")     # text of each place
+        marks = np.flatnonzero(real & (self.data == END)) - PAD * np.arange(1, len(texts) + 1)
+        self.ends = np.repeat(np.arange(len(texts)), np.diff(marks, prepend=-1))     # text of each place
         length = speller.length[self.data[at]]
         # longest spelled first: the places still open at a depth are a prefix
         self.order = np.argsort(255 - length, kind="stable")
         self.at = at[self.order]
         own = self.data[self.at]
         self.length, self.path = length[self.order], speller.path[own]
-        self.open = len(at) - np.cumsum(np.bincount(self.length, minlength=1))      # places spelled beyond depth d
         self.byte = own < 256
         before = self.data[self.at - 1]
         self.row = np.where(self.byte, np.minimum(before, 256), 257).astype(np.intp)
         self.gate = self.byte.astype(np.int16) << 2         # shifted twice more by the predictors
 
-    def contexts(self) -> list[np.ndarray]:
-        u = np.uint32
-        data, at = self.data, self.at
-        back = [data[at - k] for k in range(1, PAD + 1)]
-        place = np.arange(len(data))
-        told = np.maximum.accumulate(np.where((data >= END) & (data < FIRST + COMMON), place, 0))
-        lang = data[told[at - 1]] * u(0x7FEB352D)
-        one = back[0] * u(0x2C1B3C6D)
-        two = one + back[1] * u(0x297A2D39)
-        three = two + back[2] * u(0x85EBCA6B)
-        five = three + back[3] * u(0xC2B2AE35) + back[4] * u(0x27D4EB2F)
-        pick = lambda word, byte: np.where(self.byte, byte + u(0x68E31DA4), word)
-        out = [pick(lang, lang + two), pick(one, three), pick(two, five)]
-        out = [c * u(0x165667B1) for c in out]
-        return [c ^ (c >> u(15)) for c in out]
-
     def decisions(self, bits: tuple):
         """Per depth: number of places still open, slots of the predictors,
         bits."""
-        ctx = list(zip(self.contexts(), [np.uint32((1 << b) - 1) for b in bits]))
-        for d in range(len(self.open)):
-            n = int(self.open[d])
-            if not n:
-                return
-            left = self.length[:n] - np.uint8(d)
-            node = self.path[:n] >> (left - np.uint8(1))
-            bit = (node & np.uint32(1)).astype(bool)
-            node >>= np.uint32(1)
-            node *= np.uint32(0x9E3779B1)
-            slots = []
-            for c, mask in ctx:
-                s = c[:n] ^ node
-                s *= np.uint32(0x85EBCA6B)
-                s ^= s >> np.uint32(13)
-                s &= mask
-                slots.append(s)
-            yield n, slots, bit
+        own = self.at - PAD
+        return decisions(self.length, self.path, [c.take(own) for c in contexts(self.data)], bits)
 
     def rows(self, d: int, n: int) -> np.ndarray:
         """Map rows of the open places at depth d."""
@@ -269,24 +284,44 @@ def byte_weights(words: dict[bytes, int]) -> np.ndarray:
     return total
 
 
-def _add(total: np.ndarray, at: np.ndarray) -> None:
-    """total[at] += 1, equal places added up first."""
-    at.sort()
-    heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    total[at[heads]] += np.diff(np.append(heads, len(at))).astype(total.dtype)
-
-
-def count_bits(spelled: Spelled, bits: tuple, total: list[np.ndarray]) -> None:
-    """Add the decisions of a group to the counts of zeros and ones."""
-    pieces: list[list] = [[] for _ in bits]
-    for _, slots, bit in spelled.decisions(bits):
-        for k, s in enumerate(slots):
-            s <<= np.uint32(1)
-            s |= bit
-            pieces[k].append(s)
-    for k in range(len(bits)):
-        _add(total[k], np.concatenate(pieces[k]))
-        pieces[k] = []
+class BitCounts:
+    """Counts of zeros and ones in every slot.  A symbol's decisions follow
+    from the symbol and its context, so symbols are held as (context, symbol)
+    and each distinct pair of some ``held`` symbols is spelled out once, with
+    its count."""
+
+    def __init__(self, speller: Speller, bits: tuple, held: int = 1 << 20):
+        self.speller, self.bits, self.held, self.n = speller, bits, held, 0
+        self.total = [np.zeros(2 << b, np.int32) for b in bits]
+        self.pairs: list[list] = [[] for _ in bits]
+
+    def add(self, texts: list[bytes]) -> None:
+        data, real, *_ = self.speller.symbols(texts, ranks=False)
+        own, real = data[PAD:].astype(np.uint64), real[PAD:]
+        for pairs, c in zip(self.pairs, contexts(data)):
+            pairs.append((c.astype(np.uint64) << np.uint64(SYMBOL) | own)[real])
+        self.n += int(real.sum())
+        if self.n >= self.held:
+            self.spell()
+
+    def spell(self) -> None:
+        for k, b in enumerate(self.bits):
+            if self.n:
+                pairs = np.concatenate(self.pairs[k])
+                self.pairs[k] = []
+                pairs.sort()
+                heads = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+                times = np.diff(np.append(heads, len(pairs))).astype(np.int32)
+                pairs = pairs[heads]
+                own = (pairs & np.uint64((1 << SYMBOL) - 1)).astype(np.intp)
+                length = self.speller.length[own]
+                order = np.argsort(255 - length, kind="stable")
+                c, times = (pairs >> np.uint64(SYMBOL)).astype(np.uint32)[order], times[order]
+                for n, (s,), bit in decisions(length[order], self.speller.path[own[order]], [c], (b,)):
+                    s <<= np.uint32(1)
+                    s |= bit
+                    np.add.at(self.total[k], s.astype(np.intp), times[:n])
+        self.n = 0
 
 
 def bit_tables(texts: DataFrame, speller: Speller, bits: tuple, group_bytes: int) -> list[np.ndarray]:
@@ -295,15 +330,14 @@ def bit_tables(texts: DataFrame, speller: Speller, bits: tuple, group_bytes: int
 
     def run(batches):
         own = shared.value
-        total = [np.zeros(2 << b, np.int32) for b in bits]
-        seen = False
+        seen = BitCounts(own, bits)
         for b in batches:
             for group in grouped((spelling(t) for t in b.column(0).to_pylist()), group_bytes):
-                seen = True
-                count_bits(Spelled(group, own), bits, total)
-        if seen:
+                seen.add(group)
+        seen.spell()
+        if any(counts.any() for counts in seen.total):
             salt = _salt()
-            for k, counts in enumerate(total):
+            for k, counts in enumerate(seen.total):
                 for c in range(0, len(counts), CHUNK):
                     part = counts[c:c + CHUNK]
                     if part.any():
@@ -337,9 +371,11 @@ def mixed(model: dict, sp: Spelled, n: int, slots: list) -> tuple[np.ndarray, np
             gate |= v
     gate = gate.astype(np.intp)
     w = model["weights"]
-    z = w[ORDERS].take(gate)
+    z = w[ORDERS].take(gate, mode="clip")
     for k in range(ORDERS):
-        z += w[k].take(gate) * x[k]
+        own = w[k].take(gate, mode="clip")
+        own *= x[k]
+        z += own
     return gate, np.clip(z, -11.999, 11.999, out=z), x
 
 
@@ -357,7 +393,7 @@ class Tuner:
 
     def learn(self, texts: list[bytes]) -> None:
         w = self.model["weights"]
-        sp = Spelled(texts, self.model["speller"])
+        sp = Spelled(texts, self.model["speller"], ranks=False)
         for d, (n_open, slots, bit) in enumerate(sp.decisions(self.model["bits"])):
             gate, z, x = mixed(self.model, sp, n_open, slots)
             err = bit - 1 / (1 + np.exp(-z))
@@ -444,7 +480,7 @@ def log10_probabilities(sp: Spelled, model: dict) -> np.ndarray:
         z += np.float32(12 * STEPS)
         at = z.astype(np.int32)                        # above zero: rounds down
         at += place[:n]
-        at[bit] += PLACES * ODDS
+        at += bit * np.int32(PLACES * ODDS)
         spent[:n] += table.take(at, mode="clip")
         if d < DEEP - 1:
             place[:n] += deeper[:n]

@@ -253,6 +253,32 @@ def test_symbols_give_the_text_back():
             assert b" ".join(out) == d
 
 
+def test_counts_spell_a_repeated_context_and_symbol_once(monkeypatch):
+    docs = [lm.spelling((r[1] or "").encode()) for r in rows()][:30] + [b""]
+    speller = lm.Speller(dict(Counter(w for d in docs for w in d.split()).most_common(60)) | {b"": 40}, 1000)
+    bits, walked, whole = (12, 11, 13), [], lm.decisions
+
+    def watched(*args):
+        for n, slots, bit in whole(*args):
+            walked.append(n)
+            yield n, slots, bit
+
+    monkeypatch.setattr(lm, "decisions", watched)
+    want = [np.zeros(2 << b, np.int64) for b in bits]
+    for _, slots, bit in lm.Spelled(docs, speller).decisions(bits):
+        for k, s in enumerate(slots):
+            np.add.at(want[k], s.astype(np.int64) * 2 + bit, 1)
+    walked.clear()
+    for held in (1 << 20, 5000):
+        counts = lm.BitCounts(speller, bits, held)
+        for _ in range(20):
+            counts.add(docs)
+        counts.spell()
+        assert all((got == 20 * w).all() for got, w in zip(counts.total, want))
+        if held == 1 << 20:
+            assert sum(walked) < sum(int(w.sum()) for w in want)
+
+
 def test_held_out_texts_score_better_with_more_training_text(spark):
     """Words of a small vocabulary that follow one another by rule: the
     contexts must beat the word counts on nearly every held-out text, and

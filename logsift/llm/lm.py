@@ -32,7 +32,6 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +85,70 @@ def prefix_code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return length, path
 
 
+SHORT = 15                              # bytes of a word that is looked up as two numbers
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+class Places:
+    """Place of a word in a list of distinct words, for all words of a
+    buffer at once.  A word of up to SHORT bytes is two numbers that hold
+    its bytes and length, found in a bucket of their hash; longer ones are
+    few and are asked for one by one."""
+
+    def __init__(self, words: list[bytes]):
+        self.long = {w: i for i, w in enumerate(words) if len(w) > SHORT}
+        own = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        width = np.array([len(words[i]) for i in own], np.int64)
+        pair = self._pairs(b"".join([words[i] for i in own]), np.cumsum(width) - width, width)
+        self.bits = max(len(own) * 2, 2).bit_length()
+        bucket = self._buckets(pair)
+        order = np.argsort(bucket, kind="stable")
+        self.pair, self.place = pair[order], np.array(own, np.int32)[order]
+        self.start = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    @staticmethod
+    def _pairs(buffer: bytes, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """The two numbers of each word (of a longer one: of its beginning)."""
+        buffer += bytes(16)
+        eight = np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))        # the eight bytes from each place
+        pair = np.empty((len(start), 2), np.uint64)
+        np.bitwise_and(eight[start], _KEEP.take(np.minimum(width, 8)), out=pair[:, 0])
+        rest = eight[start + 8]
+        rest &= _KEEP.take(np.clip(width - 8, 0, SHORT - 8))
+        rest |= np.minimum(width, SHORT + 1).astype(np.uint64) << np.uint64(56)
+        pair[:, 1] = rest
+        return pair
+
+    def _buckets(self, pair: np.ndarray) -> np.ndarray:
+        h = pair[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        h ^= (pair[:, 1] + (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h >>= np.uint64(64 - self.bits)
+        return h.view(np.int64)
+
+    def find(self, buffer: bytes, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 for those that are not in the list."""
+        got = np.full(len(start), -1, np.int64)
+        if len(self.place):
+            pair = self._pairs(buffer, start, width)
+            bucket = self._buckets(pair)
+            at, stop = self.start.take(bucket), self.start.take(bucket + 1)
+            open_ = np.flatnonzero((at < stop) & (width <= SHORT))
+            at, stop, pair = at.take(open_), stop.take(open_), pair.take(open_, axis=0)
+            while len(open_):
+                same = self.pair.take(at, axis=0) == pair
+                hit = same[:, 0] & same[:, 1]
+                got[open_[hit]] = self.place.take(at[hit])
+                at += 1
+                left = np.flatnonzero(~hit & (at < stop))
+                open_, at, stop, pair = open_.take(left), at.take(left), stop.take(left), pair.take(left, axis=0)
+        if self.long:
+            for i in np.flatnonzero(width > SHORT).tolist():
+                got[i] = self.long.get(buffer[start[i]:start[i] + width[i]], -1)
+        return got
+
+
 class Speller:
     """The vocabulary's symbols and their prefix codes.  ``words``: word to
     count, of which those that are one in 2^CODED of the ``total`` training
@@ -97,7 +160,8 @@ class Speller:
         counts = np.array([n for _, n in ranked], np.int64)
         self.coded = int(np.searchsorted(-counts, -max(4, total >> CODED), "right"))
         ends = words.get(b"", 0)
-        self.codes = {w: i for i, (w, _) in enumerate(ranked[:self.coded])}
+        self.places = Places([w for w, _ in ranked])
+        self.codes = Places([w for w, _ in ranked[:self.coded]])
         own = counts[:self.coded].copy()
         if self.ids.get(b"", self.coded) < self.coded:
             own[self.ids[b""]] = 0                     # the end mark has its own symbol
@@ -106,18 +170,22 @@ class Speller:
         self.length = np.concatenate([bytes_[0], word[0]]).astype(np.uint8)
         self.path = np.concatenate([bytes_[1], word[1]])
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "ids"}      # tasks look words up by ``places``
+
     def symbols(self, texts: list[bytes], ranks: bool = True) -> tuple:
         """Symbols with PAD end marks before each text, the mask of those
-        that are spelled, words a text, and all words with their ranks (-1:
-        unknown, or, without ``ranks``, not coded)."""
+        that are spelled, words a text, and all words (the buffer they stand
+        in, their starts and widths) with their ranks (-1: unknown, or,
+        without ``ranks``, not coded)."""
         # every word and end mark (an empty word) with one blank behind it
         joined = b"".join([t + b"  " if t else b" " for t in texts])
-        words = joined.split(b" ")
-        words.pop()
         text = np.frombuffer(joined, np.uint8)
-        long = np.diff(np.flatnonzero(text == 32), prepend=-1)
+        blanks = np.flatnonzero(text == 32)
+        long = np.diff(blanks, prepend=-1)
         sizes = np.fromiter((t.count(b" ") + 2 if t else 1 for t in texts), np.int64, len(texts))
-        ids = np.fromiter(map((self.ids if ranks else self.codes).get, words, repeat(-1)), np.int64, len(words))
+        words = joined, blanks - long + 1, long - 1
+        ids = (self.places if ranks else self.codes).find(*words)
         last = np.cumsum(sizes) - 1
         spelled = (ids < 0) | (ids >= self.coded)
         spelled[last] = False
@@ -191,14 +259,14 @@ class Spelled:
         at = np.flatnonzero(real)
         marks = np.flatnonzero(real & (self.data == END)) - PAD * np.arange(1, len(texts) + 1)
         self.ends = np.repeat(np.arange(len(texts)), np.diff(marks, prepend=-1))     # text of each place
-        length = speller.length[self.data[at]]
+        length = speller.length.take(self.data.take(at))
         # longest spelled first: the places still open at a depth are a prefix
         self.order = np.argsort(255 - length, kind="stable")
-        self.at = at[self.order]
-        own = self.data[self.at]
-        self.length, self.path = length[self.order], speller.path[own]
+        self.at = at.take(self.order)
+        own = self.data.take(self.at)
+        self.length, self.path = length.take(self.order), speller.path.take(own)
         self.byte = own < 256
-        before = self.data[self.at - 1]
+        before = self.data.take(self.at - 1)
         self.row = np.where(self.byte, np.minimum(before, 256), 257).astype(np.intp)
         self.gate = self.byte.astype(np.int16) << 2         # shifted twice more by the predictors
 
@@ -527,6 +595,18 @@ def common(counts: DataFrame, top_words: int) -> tuple[int, dict[bytes, int]]:
     return least, {bytes(r["token"]): r["n"] for r in counts.where(F.col("n") >= least).collect()}
 
 
+def unknown_words(sp: Spelled, text: np.ndarray) -> pa.ListArray:
+    """(token, k) of the words of each text that have no rank; ``text`` is
+    the text of each word."""
+    buffer, start, width = sp.words
+    at = np.flatnonzero(sp.ids < 0)
+    found = Counter(zip(text[at].tolist(), [buffer[i:i + n] for i, n in zip(start[at].tolist(), width[at].tolist())]))
+    per_text = np.bincount(np.fromiter((t for t, _ in found), np.int64, len(found)), minlength=len(sp.sizes))
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(per_text)]), pa.int32()),
+        pa.StructArray.from_arrays([pa.array([w for _, w in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["token", "k"]))
+
+
 def lm_scores(docs: DataFrame, most_bits: int = 23, top_words: int = 300_000, group_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte."""
@@ -555,14 +635,10 @@ def lm_scores(docs: DataFrame, most_bits: int = 23, top_words: int = 300_000, gr
                 text = np.repeat(np.arange(m), sp.sizes)
                 n_top = np.bincount(text, sp.ids >= 0, m).astype(np.int64)
                 base = np.bincount(text, logs.take(sp.ids, mode="wrap"), m)
-                left = [Counter() for _ in range(m)]
-                for i in np.flatnonzero(sp.ids < 0).tolist():
-                    left[text[i]][sp.words[i]] += 1
-                rare = [[{"token": w, "k": k} for w, k in c.items()] for c in left]
+                rare = unknown_words(sp, text)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, m), pa.array(range(row, row + m), pa.int64()), pa.array([len(t) for t in group], pa.int64()),
-                     pa.array(sp.sizes), pa.array(n_top), pa.array(base), pa.array(score),
-                     pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int64())])))],
+                     pa.array(sp.sizes), pa.array(n_top), pa.array(base), pa.array(score), rare],
                     ["doc_id", "row", "n_bytes", "n_tokens", "n_top", "base", "score", "rare"])
                 at, row = at + m, row + m
 

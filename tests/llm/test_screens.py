@@ -253,6 +253,31 @@ def test_symbols_give_the_text_back():
             assert b" ".join(out) == d
 
 
+def test_words_are_looked_up_together_as_a_dictionary_would():
+    import pickle
+    rng = np.random.default_rng(4)
+    odd = [b"", b"\0", b"\0\0", b"a", b"a\0", b"\xff" * 15, *(b"a" * n for n in (7, 8, 9, 14, 15, 16, 17, 300))]
+    drawn = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers(1, 24, 3000)]
+    asked = odd + drawn + [w + b"\0" for w in odd + drawn[:500]]
+    buffer, width = b" ".join(asked) + b" ", np.array([len(w) for w in asked])
+    start = np.cumsum(width + 1) - width - 1
+    for known in ([], [b""], list(dict.fromkeys(odd[::2] + drawn[::3])), list(dict.fromkeys(odd[1::2] + drawn))):
+        rank = {w: i for i, w in enumerate(known)}
+        places = pickle.loads(pickle.dumps(lm.Places(known)))
+        assert places.find(buffer, start, width).tolist() == [rank.get(w, -1) for w in asked]
+    # tasks get the numbers alone, not a dictionary of all words
+    speller = lm.Speller({w: 1 + i for i, w in enumerate(dict.fromkeys(odd + drawn)) if w}, 10_000)
+    assert not any(isinstance(v, dict) for v in vars(pickle.loads(pickle.dumps(speller))).values())
+
+
+def test_unknown_words_are_counted_text_by_text():
+    texts = [b"", b"new old new", b"old", b"new " + b"n" * 40, b"new a\0 a"]
+    sp = lm.Spelled(texts, lm.Speller({b"old": 9, b"": 5}, 14))
+    got = lm.unknown_words(sp, np.repeat(np.arange(len(texts)), sp.sizes)).to_pylist()
+    want = [[], [(b"new", 2)], [], [(b"new", 1), (b"n" * 40, 1)], [(b"new", 1), (b"a\0", 1), (b"a", 1)]]
+    assert [[(r["token"], r["k"]) for r in rare] for rare in got] == want
+
+
 def test_counts_spell_a_repeated_context_and_symbol_once(monkeypatch):
     docs = [lm.spelling((r[1] or "").encode()) for r in rows()][:30] + [b""]
     speller = lm.Speller(dict(Counter(w for d in docs for w in d.split()).most_common(60)) | {b"": 40}, 1000)

@@ -6,8 +6,11 @@ import os
 import time
 from glob import glob
 
+import pytest
 from pyspark.sql import functions as F
 
+from logsift.operators import deadletter as D
+from logsift.operators import groups as G
 from logsift.operators.groups import dedupe_cases
 from logsift.session import ensure_checkpoint_dir, materialize
 
@@ -40,7 +43,9 @@ def test_the_cleanup_setting_is_as_before(spark):
 SCHEMA = "case_id string, seq int, payload string, tags array<string>, m map<string,int>"
 
 
-def test_dedupe_in_place_equals_the_aggregate(spark):
+@pytest.mark.parametrize("ids", [0, G.MAX_BROADCAST_IDS])
+def test_dedupe_in_place_equals_the_aggregate(spark, monkeypatch, ids):
+    monkeypatch.setattr(G, "MAX_BROADCAST_IDS", ids)
     rows = [("a", 2, "late", ["x"], {"k": 1}), ("a", 1, "early", ["y"], None), ("a", None, "never", None, None),
             ("b", 5, None, None, {"k": 2}), ("c", None, "no time", ["z"], None),
             ("d", None, "p", None, None), ("d", None, "q", None, None),
@@ -63,6 +68,17 @@ def test_dedupe_in_place_does_not_shuffle_cases_that_came_once(spark):
     assert "hashpartitioning" not in final
 
 
+@pytest.mark.parametrize("traces", [0, D.MAX_BROADCAST_TRACES])
+def test_written_traces_give_the_same_failures(spark, monkeypatch, traces):
+    monkeypatch.setattr(D, "MAX_BROADCAST_TRACES", traces)
+    rows = [(i, [None, "", "a.b.CException: x\n\tat com.example.K.m(K.java:3)", "words"][i % 4], [None, "[CODE_A] y"][i % 3 % 2])
+            for i in range(24)]
+    df = spark.createDataFrame(rows, "n int, stacktrace string, exception_message string")
+    plain, kept = D.build_failures(df, None), D.build_failures(df, None, materialize=True)
+    assert kept.columns == plain.columns
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_casebooks_write_neither_payloads_nor_frames_of_links(spark, tmp_path):
     from __spark_entry__ import queries
     start = dt.datetime(2024, 1, 10)
